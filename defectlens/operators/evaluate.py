@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions import text as X
 from ..schemas import ANSWER
-from .profile import ALL, top_n
+from .profile import all_rows, top_n
 
 KS = (1, 3, 5)
 
@@ -188,7 +188,7 @@ def worst(metrics: DataFrame, column: str) -> Column:
 
 def _ordered(metrics: DataFrame) -> DataFrame:
     """Number the metric rows by name. There is one per configuration."""
-    return metrics.withColumn("_order", F.row_number().over(ALL.orderBy("config")))
+    return metrics.withColumn("_order", F.row_number().over(all_rows().orderBy("config")))
 
 
 def executive_summary(metrics: DataFrame) -> DataFrame:
@@ -217,7 +217,7 @@ def split_name(metrics: DataFrame) -> DataFrame:
 
 
 def metrics_table(metrics: DataFrame) -> DataFrame:
-    order = F.row_number().over(ALL.orderBy(F.desc("recall_at_5"), "config"))
+    order = F.row_number().over(all_rows().orderBy(F.desc("recall_at_5"), "config"))
     return split_name(metrics).withColumn("position", order)
 
 
@@ -231,9 +231,9 @@ def by_embedding(metrics: DataFrame) -> DataFrame:
     )
     return m.withColumns(
         {
-            "is_best_recall": F.col("mean_recall_at_5") == F.max("mean_recall_at_5").over(ALL),
-            "recall_gap": F.max("mean_recall_at_5").over(ALL) - F.col("mean_recall_at_5"),
-            "speed_up": F.max("mean_latency_ms").over(ALL) / F.nullif(F.col("mean_latency_ms"), F.lit(0.0)),
+            "is_best_recall": F.col("mean_recall_at_5") == F.max("mean_recall_at_5").over(all_rows()),
+            "recall_gap": F.max("mean_recall_at_5").over(all_rows()) - F.col("mean_recall_at_5"),
+            "speed_up": F.max("mean_latency_ms").over(all_rows()) / F.nullif(F.col("mean_latency_ms"), F.lit(0.0)),
         }
     )
 

@@ -6,7 +6,7 @@ class), so the single-row windows used here never see the data itself.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..dims import BENCHMARK_LABELS, TAXONOMY
@@ -15,7 +15,9 @@ from ..functions import text as X
 from ..functions import vectors as V
 from ..ranks import hash_key
 
-ALL = Window.partitionBy(F.lit(0))
+def all_rows() -> WindowSpec:
+    """Window over every row; only for tables that are already aggregated."""
+    return Window.partitionBy(F.lit(0))
 
 
 def defects_per_image(boxes: DataFrame) -> DataFrame:
@@ -35,13 +37,13 @@ def profile_totals(boxes: DataFrame) -> DataFrame:
 
 
 def with_share(counts: DataFrame, n: str = "n", name: str = "pct") -> DataFrame:
-    return counts.withColumn(name, F.col(n) * 100.0 / F.sum(n).over(ALL))
+    return counts.withColumn(name, F.col(n) * 100.0 / F.sum(n).over(all_rows()))
 
 
 def type_distribution(boxes: DataFrame) -> DataFrame:
     """Counts and shares by label with the imbalance ratio and its verdict."""
     counts = boxes.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    ratio = F.max("n").over(ALL) / F.min("n").over(ALL)
+    ratio = F.max("n").over(all_rows()) / F.min("n").over(all_rows())
     return (
         with_share(counts)
         .withColumn("damage_type", L.canonical_label(F.col("label")))
@@ -54,7 +56,7 @@ def zone_distribution(images: DataFrame) -> DataFrame:
     """Images by vehicle zone in numeric order, unknown last."""
     counts = images.groupBy("vehicle_zone").agg(F.count(F.lit(1)).alias("n_images"))
     order = F.coalesce(F.try_cast("vehicle_zone", "int") if hasattr(F, "try_cast") else F.col("vehicle_zone").try_cast("int"), F.lit(999))
-    position = F.row_number().over(ALL.orderBy(order, "vehicle_zone"))
+    position = F.row_number().over(all_rows().orderBy(order, "vehicle_zone"))
     return counts.withColumn("zone_name", L.zone_name(F.col("vehicle_zone"))).withColumn("position", position)
 
 

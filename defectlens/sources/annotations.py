@@ -13,11 +13,14 @@ DAMAGE_SUFFIX = "_labelDANO_modificado.json"
 CLEAN_SUFFIX = "_imageDANO_original.json"
 
 
-def read_annotations(spark: SparkSession, path: str, glob: str = DAMAGE_GLOB) -> DataFrame:
-    """One row per document with its file name; broken documents carry ``_corrupt``."""
+def read_annotations(spark: SparkSession, path: str, glob: str = DAMAGE_GLOB, multi_line: bool = True) -> DataFrame:
+    """One row per document with its file name; broken documents carry ``_corrupt``.
+
+    ``multi_line=False`` reads files that hold one document per line.
+    """
     docs = (
         spark.read.schema(ANNOTATION)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt")
         .option("pathGlobFilter", glob)
