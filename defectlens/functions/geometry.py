@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..dims import DEFAULT_PADDING, LABEL_NAMES, PADDING, SIZE_CUTS, THIRD_HIGH, THIRD_LOW, lookup
+from .vectors import let
 
 
 def _i(c: Column) -> Column:
@@ -200,18 +201,27 @@ def covered_area(points: Column, x1: Column, y1: Column, x2: Column, y2: Column)
         above_high = F.greatest(t - y2, F.lit(0.0))
         return (above_low * above_low - above_high * above_high) / 2
 
+    def clipped(e):  # part of the edge inside the x-range and the heights at its ends
+        a = F.greatest(x1, F.least(x2, e["px"]))
+        b = F.greatest(x1, F.least(x2, e["qx"]))
+        slope = (e["qy"] - e["py"]) / F.nullif(e["qx"] - e["px"], F.lit(0.0))
+        return F.struct(
+            (b - a).alias("run"),
+            (e["py"] + slope * (a - e["px"])).alias("ya"),
+            (e["py"] + slope * (b - e["px"])).alias("yb"),
+        )
+
+    def integral(c):
+        flat = F.least(F.greatest(c["ya"], y1), y2) - y1
+        sloped = (primitive(c["yb"]) - primitive(c["ya"])) / F.nullif(c["yb"] - c["ya"], F.lit(0.0))
+        return F.when(c["run"] == 0, F.lit(0.0)).otherwise(c["run"] * F.coalesce(sloped, flat))
+
     def edge(i):
-        p, q = F.get(points, i), F.get(points, (i + 1) % n)
-        px, py, qx, qy = dbl(p[0]), dbl(p[1]), dbl(q[0]), dbl(q[1])
-        run = qx - px
-        a = F.greatest(x1, F.least(x2, px))
-        b = F.greatest(x1, F.least(x2, qx))
-        slope = (qy - py) / F.nullif(run, F.lit(0.0))
-        ya = py + slope * (a - px)
-        yb = py + slope * (b - px)
-        flat = (b - a) * (F.least(F.greatest(ya, y1), y2) - y1)
-        sloped = (b - a) / F.nullif(yb - ya, F.lit(0.0)) * (primitive(yb) - primitive(ya))
-        return F.when(run == 0, F.lit(0.0)).otherwise(F.coalesce(sloped, flat))
+        ends = lambda p, q: F.struct(
+            dbl(p[0]).alias("px"), dbl(p[1]).alias("py"), dbl(q[0]).alias("qx"), dbl(q[1]).alias("qy")
+        )
+        given = ends(F.get(points, i), F.get(points, (i + 1) % n))
+        return let(given, lambda e: let(clipped(e), integral))
 
     total = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda acc, i: acc + edge(i))
     return F.abs(total)

@@ -10,6 +10,15 @@ def as_double(v: Column) -> Column:
     return v.cast("array<double>")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once.
+
+    Inside a lambda an outer expression would be evaluated again for every
+    element; as the element of a one-item array it is bound before.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _sum(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x)
 
@@ -24,8 +33,8 @@ def l2_norm(v: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """Unit vector; a zero vector stays as it is."""
-    n = l2_norm(v)
-    return F.when(n > 0, F.transform(as_double(v), lambda x: x / F.nullif(n, F.lit(0.0)))).otherwise(as_double(v))
+    scaled = lambda w, n: F.when(n > 0, F.transform(w, lambda x: x / n)).otherwise(w)
+    return let(as_double(v), lambda w: let(l2_norm(w), lambda n: scaled(w, n)))
 
 
 def l2sq(a: Column, b: Column) -> Column:

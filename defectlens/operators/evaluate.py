@@ -32,7 +32,8 @@ def judged(results: DataFrame, truth: DataFrame, label_space: str = "benchmark")
     keys = [c for c in ("config", "query_id") if c in truth.columns and c in results.columns]
     out = expected.join(results, keys, "left")
     same = L.in_label_space(F.col("retrieved_type"), label_space) == L.in_label_space(F.col("expected_type"), label_space)
-    return out.withColumn("is_match", F.coalesce(same, F.lit(False)))
+    known = F.col("expected_type").isNotNull() & F.col("retrieved_type").isNotNull()
+    return out.withColumn("is_match", known & F.coalesce(same, F.lit(False)))
 
 
 def first_hit_rank(judged_rows: DataFrame) -> DataFrame:

@@ -246,14 +246,13 @@ def _(v):
 
 @query(
     "a16_coverage_double_count",
-    """SELECT 2 * count(*) AS total_samples FROM (SELECT image_id FROM fx_placed_boxes) WHERE false
-       UNION ALL SELECT (SELECT count(*) FROM fx_placed_boxes) + (SELECT count(DISTINCT image_id) FROM fx_placed_boxes)""",
+    """SELECT count(*) + count(DISTINCT image_id) AS total_samples, count(*) + count(DISTINCT image_id) AS mapped_samples FROM fx_placed_boxes""",
 )
 def _(v):
     # one group per image: its dominant type and all its members are counted
     typed = S.with_types(v.boxes)
     dominant = U.dominant_type(typed, ["image_id"], "damage_type", "shape_idx")
-    return P.taxonomy_coverage(P.cluster_label_uses(dominant, typed)).select("total_samples")
+    return P.taxonomy_coverage(P.cluster_label_uses(dominant, typed)).select("total_samples", "mapped_samples")
 
 
 @query(

@@ -8,7 +8,7 @@ from ...dims import type_dim
 from ...functions import geometry as G
 from ...functions import labels as L
 from ...operators import shapes as S
-from ...operators.regions import plan_regions, region_record
+from ...operators.regions import plan_regions
 from ..registry import big, query, r
 from ..sql import near_edge, size_class
 
@@ -271,18 +271,6 @@ def _(v):
     )
 
 
-@query("p20_region_record")
-def _(v):
-    from ...operators import regions as R
-
-    members = v.cluster_members
-    record = region_record(R.cluster_regions(v.images, R.clusters(members)), members)
-    return record.select(
-        "image_id", "crop_id", "part", "defect_count", "dominant_type", "spatial_zone", F.size("included_defects").alias("n_included"),
-        F.to_json("included_defects").alias("included_defects"),
-    )
-
-
 @query(
     "p21_padding_simple",
     """SELECT image_id, shape_idx, round(coalesce(p.base_padding, 0.30)::double * CASE WHEN area < 1000 THEN 1.5 WHEN area > 10000 THEN 0.8 ELSE 1.0 END::double, 6) AS padding_factor

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ...operators import regions as R
 from ...operators import shapes as S
 from ..registry import query, r
+from ..sql import near_edge, size_class, zone3
 
 # First seed within 100 px in annotation order, as a recursive statement: in every
 # step each image's first unassigned box becomes a seed and takes its neighbours.
@@ -21,7 +22,42 @@ _SEEDS = """
       WHERE s.seed_idx IS NULL)"""
 
 
-@query("g1_cluster_boxes")
+# Greedy merging as a recursive statement: step n of each (image, group) places its
+# n-th box, with the open clusters carried along as a list.
+_MERGES = """
+    RECURSIVE ranked AS (
+      SELECT *, row_number() OVER (PARTITION BY image_id, grp ORDER BY y_min, x_min, shape_idx) AS n FROM (
+        SELECT p.*, coalesce(g.compat_group, p.damage_type) AS grp FROM fx_placed p LEFT JOIN dim_groups g USING (damage_type) WHERE area BETWEEN 50 AND 300000)),
+    sweep AS (
+      SELECT image_id, grp, 0::bigint AS n, NULL::bigint AS seed_idx, NULL::bigint AS shape_idx,
+             []::STRUCT(x1 BIGINT, y1 BIGINT, x2 BIGINT, y2 BIGINT, seed BIGINT)[] AS cs
+      FROM (SELECT DISTINCT image_id, grp FROM ranked)
+      UNION ALL
+      SELECT image_id, grp, n, CASE WHEN fits THEN cs[best].seed ELSE shape_idx END, shape_idx,
+             CASE WHEN fits THEN list_transform(cs, lambda c, i: CASE WHEN i = best THEN {'x1': least(c.x1, x_min), 'y1': least(c.y1, y_min),
+                    'x2': greatest(c.x2, x_max), 'y2': greatest(c.y2, y_max), 'seed': c.seed} ELSE c END)
+                  ELSE list_append(cs, {'x1': x_min, 'y1': y_min, 'x2': x_max, 'y2': y_max, 'seed': shape_idx}) END
+      FROM (SELECT *, best IS NOT NULL AND coalesce((greatest(cs[best].x2, x_max) - least(cs[best].x1, x_min)) * (greatest(cs[best].y2, y_max) - least(cs[best].y1, y_min)) <= 176400, false) AS fits
+            FROM (SELECT b.image_id, b.grp, b.n, b.shape_idx, b.x_min, b.y_min, b.x_max, b.y_max, s.cs,
+                         list_min(list_filter(list_transform(s.cs, lambda c, i: {'d': ((c.x1 + c.x2) // 2 - (b.x_min + b.x_max) // 2) ** 2
+                           + ((c.y1 + c.y2) // 2 - (b.y_min + b.y_max) // 2) ** 2, 'i': i}), lambda t: t.d < 10000)).i AS best
+                  FROM sweep s JOIN ranked b ON b.image_id = s.image_id AND b.grp = s.grp AND b.n = s.n + 1))),
+    members AS (
+      SELECT r.*, s.seed_idx, row_number() OVER (PARTITION BY r.image_id, s.seed_idx ORDER BY r.y_min, r.x_min, r.shape_idx) - 1 AS member_pos
+      FROM sweep s JOIN ranked r ON r.image_id = s.image_id AND r.shape_idx = s.shape_idx),
+    per_type AS (
+      SELECT image_id, seed_idx, damage_type, count(*) AS n, min(member_pos) AS first FROM members GROUP BY ALL),
+    cluster_rows AS (
+      SELECT m.*, t.dominant_type, row_number() OVER (PARTITION BY m.image_id ORDER BY m.seed_y, m.seed_x, m.seed_idx) - 1 AS cluster_idx
+      FROM (SELECT image_id, seed_idx, min(x_min) AS x_min, min(y_min) AS y_min, max(x_max) AS x_max, max(y_max) AS y_max, count(*) AS defect_count,
+                   arg_min(x_min, member_pos) AS seed_x, arg_min(y_min, member_pos) AS seed_y FROM members GROUP BY image_id, seed_idx) m
+      JOIN (SELECT image_id, seed_idx, first(damage_type ORDER BY n DESC, first) AS dominant_type FROM per_type GROUP BY ALL) t USING (image_id, seed_idx)),
+    regions AS (
+      SELECT *, (x_max - x_min) * (y_max - y_min) AS area, ((x_min + x_max) / 2.0)::double / 3264 AS rel_x, ((y_min + y_max) / 2.0)::double / 2448 AS rel_y,
+             3264 AS image_w, 2448 AS image_h FROM cluster_rows)"""
+
+
+@query("g1_cluster_boxes", f"WITH {_MERGES} SELECT image_id, shape_idx, damage_type, seed_idx, member_pos FROM members")
 def _(v):
     return v.cluster_members.select("image_id", "shape_idx", "damage_type", "seed_idx", "member_pos")
 
@@ -128,7 +164,14 @@ def _(v):
     return cells.select("image_id", "grid_x", "grid_y", r("vehicle_ratio"))
 
 
-@query("g8_clustered_regions")
+@query(
+    "g8_clustered_regions",
+    f"""WITH {_MERGES} SELECT r.image_id, replace(i.image_name, '.jpg', '') || '_cluster_' || printf('%03d', cluster_idx) AS crop_id,
+              CASE WHEN defect_count > 1 THEN 'multi_defect' ELSE 'single_defect' END AS cluster_type, defect_count, dominant_type,
+              greatest(0, x_min - 30) AS crop_x1, greatest(0, y_min - 30) AS crop_y1, least(3264, x_max + 30) AS crop_x2, least(2448, y_max + 30) AS crop_y2,
+              area, {zone3('rel_x', 'rel_y')} AS spatial_zone, {size_class('area', 'r.image_w', 'r.image_h')} AS size_class, {near_edge()} AS near_edge
+        FROM regions r JOIN fx_images i USING (image_id)""",
+)
 def _(v):
     out = R.plan_regions(v.images, v.polygons, "clustered")
     return out.select(
@@ -137,7 +180,19 @@ def _(v):
     )
 
 
-@query("g8_tiled_regions")
+_TILES = f"""{_MERGED}, tiles AS (
+      SELECT *, unnest(ys) AS tile_y FROM (
+        SELECT *, unnest({_axis('x_min', 'x_max', 'image_w')}) AS tile_x, {_axis('y_min', 'y_max', 'image_h')} AS ys, x_max - x_min > 336 OR y_max - y_min > 336 AS is_tiled
+        FROM (SELECT *, 3264::bigint AS image_w, 2448::bigint AS image_h FROM merged))),
+    numbered AS (SELECT t.image_id, replace(i.image_name, '.jpg', '') || '_cluster_'
+        || printf('%03d', row_number() OVER (PARTITION BY t.image_id ORDER BY seed_idx, tile_y, tile_x) - 1) || '.jpg' AS crop_id,
+        i.vehicle_zone, defect_count, is_tiled, tile_x, tile_y FROM tiles t JOIN fx_images i USING (image_id))"""
+
+
+@query(
+    "g8_tiled_regions",
+    f"{_TILES} SELECT image_id, crop_id, vehicle_zone, defect_count, is_tiled, tile_x AS crop_x1, tile_y AS crop_y1 FROM numbered",
+)
 def _(v):
     out = R.plan_regions(v.images, v.boxes, "optimised")
     return out.select("image_id", "crop_id", "vehicle_zone", "defect_count", "is_tiled", "crop_x1", "crop_y1")
@@ -153,13 +208,24 @@ def _(v):
     return R.plan_regions(clean, v.boxes, "grid", v.outlines).select("image_id", "crop_id", r("vehicle_ratio"))
 
 
-@query("g8_mixed_regions")
+@query(
+    "g8_mixed_regions",
+    f"""{_TILES} SELECT image_id, crop_id, true AS has_damage, 'clustered_defects' AS generation_method, tile_x AS crop_x1, tile_y AS crop_y1, tile_x + 336 AS crop_x2, tile_y + 336 AS crop_y2 FROM numbered
+        UNION ALL SELECT c.image_id, replace(i.image_name, '.jpg', '') || '_grid_' || grid_x || '_' || grid_y || '.jpg', false, 'grid_masked_polygon', grid_x, grid_y, cell_x2, cell_y2
+        FROM ({_COVER.replace('SELECT image_id, grid_x, grid_y, abs', 'SELECT image_id, grid_x, grid_y, cell_x2, cell_y2, abs', 1)}) c JOIN fx_images i USING (image_id) WHERE ratio >= 0.4""",
+)
 def _(v):
     out = R.plan_regions(v.images, v.boxes, "mixed", v.outlines, annotated=v.shapes)
     return out.select("image_id", "crop_id", "has_damage", "generation_method", "crop_x1", "crop_y1", "crop_x2", "crop_y2")
 
 
-@query("a11_cluster_stats")
+@query(
+    "a11_cluster_stats",
+    f"""WITH {_MERGES} SELECT count(*) AS n_clusters, sum(defect_count)::bigint AS n_defects, count(*) FILTER (defect_count = 1) AS n_single,
+              count(*) FILTER (defect_count > 1) AS n_multi, max(defect_count) AS max_size, round(count(*) FILTER (defect_count > 1) * 100.0::double / count(*), 6) AS multi_pct,
+              round(avg(CASE WHEN defect_count > 1 THEN defect_count END), 6) AS mean_multi_size,
+              round((1 - count(*) / sum(defect_count)::double) * 100, 6) AS reduction_pct, round(sum(defect_count) / count(*)::double, 6) AS defects_per_cluster FROM cluster_rows""",
+)
 def _(v):
     stats = R.cluster_stats(R.clusters(v.cluster_members))
     counts = ["n_clusters", "n_defects", "n_single", "n_multi", "max_size"]
@@ -200,3 +266,21 @@ def _(v):
     order = [F.col("y_min"), F.col("x_min"), F.col("shape_idx")]
     ranked = bucketed_row_number(v.boxes, ["image_id"], order, F.expr("y_min div 64"), "position")
     return ranked.select("image_id", "shape_idx", "position")
+
+
+@query(
+    "p20_region_record",
+    f"""WITH {_MERGES} SELECT r.image_id, replace(i.image_name, '.jpg', '') || '_cluster_' || printf('%03d', r.cluster_idx) AS crop_id, 0::bigint AS part, r.defect_count, r.dominant_type,
+              string_agg(m.shape_idx || ':' || m.damage_type || ':' || m.x_min || ',' || m.y_min || ',' || m.x_max || ',' || m.y_max, ' ' ORDER BY m.member_pos) AS included
+        FROM regions r JOIN fx_images i USING (image_id) JOIN members m ON m.image_id = r.image_id AND m.seed_idx = r.seed_idx GROUP BY ALL""",
+)
+def _(v):
+    members = v.cluster_members
+    record = R.region_record(R.cluster_regions(v.images, R.clusters(members)), members)
+    text = F.transform(
+        "included_defects",
+        lambda d: F.concat_ws(":", d["defect_idx"].cast("string"), d["damage_type"], F.array_join(d["bbox"].cast("array<string>"), ",")),
+    )
+    return record.select(
+        "image_id", "crop_id", "part", "defect_count", "dominant_type", F.array_join(text, " ").alias("included")
+    )

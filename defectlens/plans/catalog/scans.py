@@ -190,7 +190,7 @@ def _(v):
 
 @query(
     "s11_dims",
-    """SELECT z.zone_name, z.zone_area, l.damage_type, p.base_padding, t.benchmark_label, coalesce(g.compat_group, 'none') AS compat_group, count(*) AS n
+    """SELECT z.zone_name, z.zone_area, l.damage_type, p.base_padding::double AS base_padding, t.benchmark_label, coalesce(g.compat_group, 'none') AS compat_group, count(*) AS n
        FROM fx_boxes b JOIN fx_images i USING (image_id) JOIN dim_zones z ON z.vehicle_zone = i.vehicle_zone
        JOIN dim_labels l ON l.label = b.label JOIN dim_padding p ON p.label = b.label JOIN dim_taxonomy t ON t.label = b.label
        LEFT JOIN dim_groups g ON g.damage_type = l.damage_type GROUP BY ALL""",

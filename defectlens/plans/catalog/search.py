@@ -190,7 +190,7 @@ def _(v):
 # -- encoding ------------------------------------------------------------------------
 
 
-@query("v4_encode_texts")
+@query("v4_encode_texts", "SELECT doc_id, true AS vector_ok, 1.0::double AS norm FROM documents")
 def _(v):
     docs = v.table("documents").select("doc_id", "text")
     coded = C.encode(docs, "text", lambda: C.hashing_encoder(64), 64)

@@ -113,7 +113,7 @@ def _(v):
 @query(
     "m5_split_sizes",
     """SELECT floor(count(*) * 0.8::double)::bigint AS train_images, floor(count(*) * 0.2::double)::bigint AS test_images,
-              round(sum(n_defects) * 0.8, 4) AS train_defects FROM fx_per_image""",
+              round(sum(n_defects) * 0.8::double, 4) AS train_defects FROM fx_per_image""",
 )
 def _(v):
     return M.split_sizes(v.per_image).select("train_images", "test_images", r("train_defects", 4))

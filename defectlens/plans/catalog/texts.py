@@ -9,9 +9,8 @@ from ...functions import text as X
 from ...operators import evaluate as E
 from ...operators import rollup as U
 from ...operators import shapes as S
-from ...operators.rich import describe_rich
+from ...operators.rich import CLUSTERED, ISOLATED, SPREAD, describe_rich
 from ..registry import query
-from ..sql import bench
 
 _PLACE = "' on ' || z.zone_description || ' (' || z.zone_area || ' area)'"
 
@@ -136,17 +135,12 @@ def _(v):
     return v.records.filter("has_damage").select("image_id", X.format_spatial(F.col("zone_counts")).alias("spatial_text"))
 
 
-@query(
-    "t10_build_prompts",
-    """SELECT image_id, starts_with('You inspect', 'You') AS ok, length(description) AS context_length FROM fx_records""",
-)
+_PROMPT_SQL = "'" + E.PROMPT.replace("'", "''") + "'"
+
+
+@query("t10_build_prompts", f"SELECT image_id, replace({_PROMPT_SQL}, '%s', description) AS prompt FROM fx_records")
 def _(v):
-    prompts = E.build_prompts(v.records.select("image_id", F.col("description").alias("context")))
-    return prompts.select(
-        "image_id",
-        (F.startswith("prompt", F.lit("You inspect")) & F.contains("prompt", "context")).alias("ok"),
-        (F.length("prompt") - F.lit(len(E.PROMPT) - 2)).cast("bigint").alias("context_length"),
-    )
+    return E.build_prompts(v.records.select("image_id", F.col("description").alias("context"))).select("image_id", "prompt")
 
 
 @query(
@@ -177,29 +171,21 @@ def _(v):
 
 @query(
     "t13_describe_rich",
-    """SELECT r.image_id, length(r.image_name) > 0 AS ok, CASE WHEN p.n <= 1 THEN 'isolated' WHEN p.mean < 100 THEN 'clustered' ELSE 'spread' END AS pattern,
-              CASE WHEN r.has_damage THEN t.types ELSE 'clean' END AS types
-       FROM fx_records r LEFT JOIN (SELECT image_id, string_agg(replace(damage_type, '_', ' ') || ' (' || f.friendly || ', ' || n || ' instance'
+    f"""SELECT r.image_id, 'Vehicle zone: ' || z.zone_name || ' (' || z.zone_area || ' area). ' || CASE WHEN r.has_damage THEN 'Affected part: ' || coalesce(d.part, replace(z.zone_name, '_', ' ') || ' panel')
+                || '. Damage types: ' || t.types || '. Spatial pattern: ' || CASE WHEN c.n <= 1 THEN '{ISOLATED}' WHEN p.mean < 100 THEN '{CLUSTERED}' ELSE '{SPREAD}' END || '.'
+              ELSE 'Inspected part: ' || coalesce(d.part, replace(z.zone_name, '_', ' ') || ' panel')
+                || '. Surface condition: Clean paint, no scratches or dents detected. Panel integrity: Normal alignment, intact surface.' END AS rich_text
+       FROM fx_records r JOIN dim_zones z USING (vehicle_zone)
+       LEFT JOIN (SELECT image_id, string_agg(replace(damage_type, '_', ' ') || ' (' || f.friendly || ', ' || n || ' instance'
               || CASE WHEN n > 1 THEN 's' ELSE '' END || ')', ', ' ORDER BY first) AS types FROM fx_type_counts JOIN dim_friendly f USING (damage_type) GROUP BY image_id) t USING (image_id)
-       LEFT JOIN (SELECT image_id, count(*) AS n FROM fx_boxes GROUP BY 1) c USING (image_id)
-       LEFT JOIN (SELECT a.image_id, count(*) AS pairs, 2 AS n,
-              avg(sqrt((((a.x_min + a.x_max) - (b.x_min + b.x_max)) ** 2 + ((a.y_min + a.y_max) - (b.y_min + b.y_max)) ** 2)::double) / 2) AS mean
-              FROM fx_boxes a JOIN fx_boxes b ON a.image_id = b.image_id AND a.shape_idx < b.shape_idx GROUP BY 1) p USING (image_id)
-       WHERE r.has_damage AND c.n > 1""",
+       LEFT JOIN (SELECT image_id, count(*) AS n, ((min(y_min) + max(y_max)) / 2.0)::double / 2448 AS rel_y FROM fx_boxes GROUP BY 1) c USING (image_id)
+       LEFT JOIN dim_parts d ON d.zone_name = z.zone_name AND d.third = CASE WHEN coalesce(c.rel_y, 0.5) < 0.33 THEN 'top' WHEN coalesce(c.rel_y, 0.5) < 0.67 THEN 'center' ELSE 'bottom' END
+       LEFT JOIN (SELECT a.image_id, avg(sqrt((((a.x_min + a.x_max) - (b.x_min + b.x_max)) ** 2 + ((a.y_min + a.y_max) - (b.y_min + b.y_max)) ** 2)::double) / 2) AS mean
+              FROM fx_boxes a JOIN fx_boxes b ON a.image_id = b.image_id AND a.shape_idx < b.shape_idx GROUP BY 1) p USING (image_id)""",
 )
 def _(v):
     centre = v.boxes.groupBy("image_id").agg(((F.min("y_min") + F.max("y_max")) / 2 / F.max("image_h")).alias("rel_y"))
-    rich = describe_rich(v.records.join(centre, "image_id", "left"), S.pair_stats(v.boxes))
-    text = F.col("rich_text")
-    return rich.filter(F.col("total_defects") > 1).select(
-        "image_id",
-        F.startswith(text, F.lit("Vehicle zone: ")).alias("ok"),
-        F.when(F.contains(text, F.lit("isolated damage")), "isolated")
-        .when(F.contains(text, F.lit("clustered together")), "clustered")
-        .otherwise("spread")
-        .alias("pattern"),
-        F.regexp_extract(text, r"Damage types: (.*)\. Spatial pattern", 1).alias("types"),
-    )
+    return describe_rich(v.records.join(centre, "image_id", "left"), S.pair_stats(v.boxes)).select("image_id", "rich_text")
 
 
 @query(

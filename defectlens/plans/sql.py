@@ -16,7 +16,7 @@ def _values(name: str, columns: str, rows) -> str:
     return f"SELECT * FROM (VALUES {body}) AS {name}({columns})"
 
 
-def _zone3(x: str, y: str) -> str:
+def zone3(x: str, y: str) -> str:
     return (
         f"(CASE WHEN {y} < 0.33 THEN 'top' WHEN {y} < 0.67 THEN 'middle' ELSE 'bottom' END || '_' || "
         f"CASE WHEN {x} < 0.33 THEN 'left' WHEN {x} < 0.67 THEN 'center' ELSE 'right' END)"
@@ -71,6 +71,7 @@ CTES = {
     ),
     "dim_aliases": _values("d", "damage_type, alias", [(k, a) for k, v in dims.TYPE_DETAILS.items() for a in [*v[1], k]]),
     "dim_friendly": _values("d", "damage_type, friendly", dims.FRIENDLY.items()),
+    "dim_parts": _values("d", "zone_name, third, part", [(*k, v) for k, v in dims.PARTS.items()]),
     "dim_display": _values("d", "spatial_zone, shown", dims.SPATIAL_DISPLAY.items()),
     "dim_benchmark": _values("d", "benchmark_label", [(b,) for b in dims.BENCHMARK_LABELS]),
     "fx_images": """
@@ -94,7 +95,7 @@ CTES = {
     "fx_polygons": "SELECT * FROM fx_shapes WHERE shape_type = 'polygon'",
     "fx_boxes": "SELECT * FROM fx_polygons WHERE label <> '9'",
     "fx_placed": f"""
-        SELECT *, {_zone3('rel_x', 'rel_y')} AS spatial_zone, {size_class('area')} AS size_class, {near_edge()} AS near_edge
+        SELECT *, {zone3('rel_x', 'rel_y')} AS spatial_zone, {size_class('area')} AS size_class, {near_edge()} AS near_edge
         FROM (SELECT p.*, coalesce(l.damage_type, 'unknown') AS damage_type,
                      (x_max - x_min) * (y_max - y_min) AS area,
                      ((x_min + x_max) / 2.0)::double / image_w AS rel_x, ((y_min + y_max) / 2.0)::double / image_h AS rel_y
