@@ -22,9 +22,9 @@ def hashing_encoder(dim: int = 64) -> Encoder:
     def run(texts: list) -> np.ndarray:
         out = np.zeros((len(texts), dim))
         for i, text in enumerate(texts):
-            for word in text.lower().split():
-                h = zlib.crc32(word.encode())
-                out[i, h % dim] += 1.0 if h & 0x10000 else -1.0
+            h = np.array([zlib.crc32(w.encode()) for w in text.lower().split()], dtype=np.int64)
+            if len(h):
+                out[i] = np.bincount(h % dim, np.where(h & 0x10000, 1.0, -1.0), dim)
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, norm, out=out, where=norm > 0)
 

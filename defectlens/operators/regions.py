@@ -14,9 +14,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..arrow import arrow_schema
 from ..dims import group_of_type
 from ..functions import geometry as G
 from ..functions import labels as L
@@ -67,10 +69,12 @@ def cluster_boxes(
     extra = f", seed_idx {types['shape_idx']}, seed_x bigint, seed_y bigint, member_pos bigint"
     schema = ", ".join(f"`{c}` {t}" for c, t in ordered.dtypes) + extra
 
-    def sweep(batches: Iterator) -> Iterator:
-        return _nearest_centre_sweep(batches, keys, dist, max_area)
+    arrow = arrow_schema(schema, boxes.sparkSession)
 
-    return ordered.mapInPandas(sweep, schema).drop("_group", "_block")
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _nearest_centre_sweep(batches, keys, dist, max_area, arrow)
+
+    return ordered.mapInArrow(sweep, schema).drop("_group", "_block")
 
 
 def independent_blocks(grouped: DataFrame, dist: int) -> DataFrame:
@@ -95,18 +99,46 @@ def _cut_axis(df: DataFrame, parent: str, low: str, high: str, name: str, dist:
     return df.join(numbered.select(*keys, low, name), [*keys, low])
 
 
-class _CentreIndex:
-    """Open clusters by grid cell and exact centre; lines above the sweep are dropped."""
+# An open cluster is a list: x1, y1, x2, y2, order, seed index, seed x, seed y, members.
+
+
+class _OpenClusters:
+    """Open clusters of one sweep that a later box can still reach.
+
+    A short list is scanned as it is. Beyond ``FEW`` clusters they are kept by
+    grid cell and exact centre, and grid lines above the sweep are dropped.
+    """
+
+    FEW = 24
 
     def __init__(self, dist: int):
         self.dist = dist
+        self.few: list | None = []
         self.rows: dict[int, dict[int, dict[tuple, list]]] = {}
 
     def drop_above(self, y: int) -> None:
-        for row in [r for r in self.rows if (r + 1) * self.dist <= y]:
-            del self.rows[row]
+        if self.few is None:
+            for row in [r for r in self.rows if (r + 1) * self.dist <= y]:
+                del self.rows[row]
 
     def add(self, cluster: list) -> None:
+        if self.few is not None:
+            self.few.append(cluster)
+            if len(self.few) > self.FEW:
+                clusters, self.few = self.few, None
+                for c in clusters:
+                    self._place(c)
+        else:
+            self._place(cluster)
+
+    def grow(self, cluster: list, hull: tuple) -> None:
+        if self.few is None:
+            self._remove(cluster)
+        cluster[:4] = hull
+        if self.few is None:
+            self._place(cluster)
+
+    def _place(self, cluster: list) -> None:
         cx, cy = centre = ((cluster[0] + cluster[2]) // 2, (cluster[1] + cluster[3]) // 2)
         cell = self.rows.setdefault(cy // self.dist, {}).setdefault(cx // self.dist, {})
         queue = cell.setdefault(centre, [])
@@ -114,59 +146,74 @@ class _CentreIndex:
         if len(queue) > 1 and queue[-2][4] > cluster[4]:
             queue.sort(key=lambda c: c[4])
 
-    def remove_first(self, centre: tuple) -> None:
-        cell = self.rows[centre[1] // self.dist][centre[0] // self.dist]
+    def _remove(self, cluster: list) -> None:
+        # only the first cluster of a centre is ever found, so only it grows
+        cx, cy = centre = ((cluster[0] + cluster[2]) // 2, (cluster[1] + cluster[3]) // 2)
+        cell = self.rows[cy // self.dist][cx // self.dist]
         cell[centre].pop(0)
         if not cell[centre]:
             del cell[centre]
 
-    def nearest(self, cx: int, cy: int) -> tuple | None:
-        """(squared distance, order, centre, cluster) of the best cluster in reach."""
-        best = None
-        limit = self.dist * self.dist
-        for row in range(cy // self.dist - 1, cy // self.dist + 2):
-            cells = self.rows.get(row)
+    def nearest(self, cx: int, cy: int) -> list | None:
+        """Cluster with the nearest centre in reach; the older one on ties."""
+        best, best_d2 = None, self.dist * self.dist
+        if self.few is not None:  # in order of opening, so the first minimum is the oldest
+            for c in self.few:
+                d2 = ((c[0] + c[2]) // 2 - cx) ** 2 + ((c[1] + c[3]) // 2 - cy) ** 2
+                if d2 < best_d2:
+                    best, best_d2 = c, d2
+            return best
+        row, col = cy // self.dist, cx // self.dist
+        for r in (row - 1, row, row + 1):
+            cells = self.rows.get(r)
             if not cells:
                 continue
-            for col in range(cx // self.dist - 1, cx // self.dist + 2):
-                for centre, queue in cells.get(col, {}).items():
+            for k in (col - 1, col, col + 1):
+                for centre, queue in cells.get(k, {}).items():
                     d2 = (centre[0] - cx) ** 2 + (centre[1] - cy) ** 2
-                    if d2 < limit and (best is None or (d2, queue[0][4]) < best[:2]):
-                        best = (d2, queue[0][4], centre, queue[0])
+                    if d2 < best_d2 or (d2 == best_d2 and best is not None and queue[0][4] < best[4]):
+                        best, best_d2 = queue[0], d2
         return best
 
 
-def _nearest_centre_sweep(batches: Iterator, keys: list[str], dist: int, max_area: int) -> Iterator:
-    current, index, order = None, None, 0
-    for pdf in batches:
+def _lists(batch: pa.RecordBatch, names: list[str]) -> list[list]:
+    return [batch[n].to_pylist() for n in names]
+
+
+def _with_columns(batch: pa.RecordBatch, columns: list[list], schema: pa.Schema) -> pa.RecordBatch:
+    """Batch with new columns behind the untouched ones."""
+    extra = [pa.array(c, type=f.type) for c, f in zip(columns, list(schema)[batch.num_columns :])]
+    given = [a.cast(f.type) for a, f in zip(batch.columns, schema)]
+    return pa.RecordBatch.from_arrays([*given, *extra], schema=schema)
+
+
+def _nearest_centre_sweep(batches, keys: list[str], dist: int, max_area: int, schema: pa.Schema):
+    current, opened, order = None, None, 0
+    for batch in batches:
         seeds, xs, ys, members = [], [], [], []
-        boxes = zip(*[pdf[c].tolist() for c in CORNERS])
-        for key, idx, (x1, y1, x2, y2) in zip(zip(*[pdf[k].tolist() for k in keys]), pdf["shape_idx"].tolist(), boxes):
+        rows = zip(zip(*_lists(batch, keys)), *_lists(batch, ["shape_idx", *CORNERS]))
+        for key, idx, x1, y1, x2, y2 in rows:
             if key != current:
-                current, index, order = key, _CentreIndex(dist), 0
-            index.drop_above(y1 - dist)
-            found = index.nearest((x1 + x2) // 2, (y1 + y2) // 2)
-            cluster = None
-            if found is not None:
-                c = found[3]
-                hull = (min(c[0], x1), min(c[1], y1), max(c[2], x2), max(c[3], y2))
-                if (hull[2] - hull[0]) * (hull[3] - hull[1]) <= max_area:
-                    cluster = c
+                current, opened, order = key, _OpenClusters(dist), 0
+            opened.drop_above(y1 - dist)
+            cluster = opened.nearest((x1 + x2) // 2, (y1 + y2) // 2)
+            if cluster is not None:
+                hull = (min(cluster[0], x1), min(cluster[1], y1), max(cluster[2], x2), max(cluster[3], y2))
+                if (hull[2] - hull[0]) * (hull[3] - hull[1]) > max_area:
+                    cluster = None
+                else:
                     cluster[8] += 1
-                    if hull != tuple(c[:4]):
-                        index.remove_first(found[2])
-                        cluster[:4] = hull
-                        index.add(cluster)
+                    if hull != tuple(cluster[:4]):
+                        opened.grow(cluster, hull)
             if cluster is None:
-                # x1, y1, x2, y2, order, seed index, seed x, seed y, members
                 cluster = [x1, y1, x2, y2, order, idx, x1, y1, 1]
                 order += 1
-                index.add(cluster)
+                opened.add(cluster)
             seeds.append(cluster[5])
             xs.append(cluster[6])
             ys.append(cluster[7])
             members.append(cluster[8] - 1)
-        yield pdf.assign(seed_idx=seeds, seed_x=xs, seed_y=ys, member_pos=members)
+        yield _with_columns(batch, [seeds, xs, ys, members], schema)
 
 
 # -- clusters around a seed ----------------------------------------------------
@@ -189,27 +236,31 @@ def _seed_sweep(boxes: DataFrame, dist: int) -> DataFrame:
     ordered = boxes.repartition("image_id").sortWithinPartitions("image_id", "shape_idx")
     schema = ", ".join(f"`{c}` {t}" for c, t in ordered.dtypes) + f", seed_idx {dict(boxes.dtypes)['shape_idx']}"
 
-    def sweep(batches: Iterator) -> Iterator:
+    arrow = arrow_schema(schema, boxes.sparkSession)
+    side = 2 * dist  # coordinates are doubled, so centres stay whole numbers
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, cells = None, {}
-        side = 2 * dist  # coordinates are doubled, so centres stay whole numbers
-        for pdf in batches:
-            sx = (pdf["x_min"] + pdf["x_max"]).tolist()
-            sy = (pdf["y_min"] + pdf["y_max"]).tolist()
+        for batch in batches:
             out = []
-            for image, idx, x, y in zip(pdf["image_id"].tolist(), pdf["shape_idx"].tolist(), sx, sy):
+            for image, idx, x1, y1, x2, y2 in zip(*_lists(batch, ["image_id", "shape_idx", *CORNERS])):
                 if image != current:
                     current, cells = image, {}
-                cell = (x // side, y // side)
-                near = (s for dx in (-1, 0, 1) for dy in (-1, 0, 1) for s in cells.get((cell[0] + dx, cell[1] + dy), ()))
-                hits = [s[0] for s in near if (s[1] - x) ** 2 + (s[2] - y) ** 2 < side * side]
-                if hits:
-                    out.append(min(hits))
-                else:
-                    cells.setdefault(cell, []).append((idx, x, y))
-                    out.append(idx)
-            yield pdf.assign(seed_idx=out)
-
-    return ordered.mapInPandas(sweep, schema)
+                x, y = x1 + x2, y1 + y2
+                col, row = x // side, y // side
+                hit = None
+                for c in (col - 1, col, col + 1):
+                    for r in (row - 1, row, row + 1):
+                        for s in cells.get((c, r), ()):
+                            if (s[1] - x) ** 2 + (s[2] - y) ** 2 < side * side and (hit is None or s[0] < hit):
+                                hit = s[0]
+                if hit is None:
+                    cells.setdefault((col, row), []).append((idx, x, y))
+                    hit = idx
+                out.append(hit)
+            yield _with_columns(batch, [out], arrow)
+
+    return ordered.mapInArrow(sweep, schema)
 
 
 def _seed_by_cells(boxes: DataFrame, dist: int) -> DataFrame:
@@ -437,11 +488,12 @@ def coverage_filter(cells: DataFrame, outline: str = "outline", min_ratio: float
     differ by at most the border pixels of the outline.
     """
     x1, y1, x2, y2 = (F.col(c) for c in ("grid_x", "grid_y", "cell_x2", "cell_y2"))
-    inside = G.covered_area(F.col(outline), x1, y1, x2, y2)
+    inside = G.covered_area(F.col("_edges"), x1, y1, x2, y2)
     ratio = F.when(F.coalesce(F.size(outline), F.lit(0)) == 0, F.lit(1.0)).otherwise(
         inside / ((x2 - x1) * (y2 - y1)).cast("double")
     )
-    return cells.withColumn("vehicle_ratio", ratio).filter(F.col("vehicle_ratio") >= min_ratio)
+    edged = cells.withColumn("_edges", G.outline_edges(F.col(outline)))
+    return edged.withColumn("vehicle_ratio", ratio).filter(F.col("vehicle_ratio") >= min_ratio).drop("_edges")
 
 
 # -- whole plans ---------------------------------------------------------------

@@ -31,9 +31,13 @@ def image_rollup(images: DataFrame, boxes: DataFrame, defaults: dict | None = No
     """One record per image; images without valid shapes become clean records."""
     area = G.box_area(*[F.col(c) for c in CORNERS])
     typed = with_position(with_types(boxes.select("image_id", "shape_idx", "label", *CORNERS, "image_w", "image_h")))
-    by_type = (
+    # Per image at most one row per type and one per zone is left, whatever it holds.
+    by_item = (
         typed.withColumn("area", area)
-        .groupBy("image_id", "damage_type", "spatial_zone")
+        .groupingSets(
+            [[F.col("image_id"), F.col("damage_type")], [F.col("image_id"), F.col("spatial_zone")]],
+            "image_id", "damage_type", "spatial_zone",
+        )
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.min("shape_idx").alias("first"),
@@ -42,15 +46,15 @@ def image_rollup(images: DataFrame, boxes: DataFrame, defaults: dict | None = No
             F.min("area").alias("area_min"),
         )
     )
-    # At most (types x zones) rows per image are left, whatever the image holds.
-    entries = lambda c: F.collect_list(F.struct("n", "first", F.col(c).alias("name")))
-    totals = by_type.groupBy("image_id").agg(
-        F.sum("n").alias("total_defects"),
-        F.sum("area_sum").alias("total_bbox_area"),
+    of_type = F.col("damage_type").isNotNull()
+    entry = lambda c: F.struct("n", F.col("first").cast("bigint").alias("first"), F.col(c).alias("name"))
+    totals = by_item.groupBy("image_id").agg(
+        F.sum(F.when(of_type, F.col("n"))).alias("total_defects"),
+        F.sum(F.when(of_type, F.col("area_sum"))).alias("total_bbox_area"),
         F.max("area_max").alias("max_defect_size"),
         F.min("area_min").alias("min_defect_size"),
-        entries("damage_type").alias("_types"),
-        entries("spatial_zone").alias("_zones"),
+        F.collect_list(F.when(of_type, entry("damage_type"))).alias("type_counts"),
+        F.collect_list(F.when(~of_type, entry("spatial_zone"))).alias("zone_counts"),
     )
     joined = images.join(totals, "image_id", "left")
     zone = L.vehicle_zone(F.col("image_name"))
@@ -59,10 +63,10 @@ def image_rollup(images: DataFrame, boxes: DataFrame, defaults: dict | None = No
             "vehicle_zone": zone,
             "zone_description": L.zone_description(zone, "unknown area"),
             "zone_area": L.zone_area(zone),
-            "type_counts": merge_entries(F.col("_types")),
-            "zone_counts": merge_entries(F.col("_zones")),
+            "type_counts": F.coalesce("type_counts", no_counts()),
+            "zone_counts": F.coalesce("zone_counts", no_counts()),
         }
-    ).drop("_types", "_zones")
+    )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
     has_damage = F.col("total_defects").isNotNull()
     return wide.select(
@@ -88,18 +92,8 @@ def image_rollup(images: DataFrame, boxes: DataFrame, defaults: dict | None = No
     )
 
 
-def merge_entries(entries: Column) -> Column:
-    """Sum the counts of entries with the same name; the earliest position wins."""
-    names = F.array_distinct(F.transform(entries, lambda e: e["name"]))
-    empty = F.array().cast("array<struct<n:bigint,first:bigint,name:string>>")
-
-    def total(name):
-        same = F.filter(entries, lambda e: e["name"] == name)
-        n = F.aggregate(same, F.lit(0).cast("bigint"), lambda acc, e: acc + e["n"])
-        first = F.array_min(F.transform(same, lambda e: e["first"].cast("bigint")))
-        return F.struct(n.alias("n"), first.alias("first"), name.alias("name"))
-
-    return F.coalesce(F.transform(names, total), empty)
+def no_counts() -> Column:
+    return F.array().cast("array<struct<n:bigint,first:bigint,name:string>>")
 
 
 def dominant_of(counts: Column) -> Column:

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..arrow import arrow_schema
 from ..dims import LARGEST_PROFILE, SEARCH_PROFILES, TYPE_DETAILS, lookup
 from ..functions import labels as L
 from ..functions import vectors as V
@@ -192,19 +193,12 @@ def top_k(df: DataFrame, by: list[str], k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
 
 
-def _arrow_schema(df_schema: str, spark) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    return to_arrow_schema(_parse_datatype_string(df_schema))
-
-
 def _scan_corpus(q, c, k, by, exclude_self, names, schema) -> DataFrame:
     """Few queries: broadcast them and scan the corpus once."""
     spark = c.sparkSession
     table = q.toArrow()
     held = spark.sparkContext.broadcast((_ids(table["query_id"]), _matrix(table["_v"])))
-    arrow = _arrow_schema(schema, spark)
+    arrow = arrow_schema(schema, spark)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = held.value
@@ -230,7 +224,7 @@ def _scan_queries(q, c, k, by, exclude_self, names, schema) -> DataFrame:
     table = c.toArrow()
     groups = np.array(table[by].to_pylist(), dtype=object) if by else np.full(table.num_rows, None, dtype=object)
     held = spark.sparkContext.broadcast((groups, _ids(table["id"]), _matrix(table["_v"])))
-    arrow = _arrow_schema(schema, spark)
+    arrow = arrow_schema(schema, spark)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels, ids, matrix = held.value
@@ -269,7 +263,7 @@ def _block_join(q: DataFrame, c: DataFrame, group: str, k: int, exclude_self: bo
     keys = [group, "_cb", "_qb"]
     types = {**dict(left.dtypes), **dict(c.dtypes)}
     schema = f"`{group}` {types[group]}, query_id {types['query_id']}, id {types['id']}, distance double"
-    arrow = _arrow_schema(schema, spark)
+    arrow = arrow_schema(schema, spark)
     names = [group, "query_id", "id", "distance"]
 
     def search(key, a: pa.Table, b: pa.Table) -> pa.Table:
@@ -338,7 +332,7 @@ def train_cells(corpus: DataFrame, vector: str, n_cells: int, seed: int = 42) ->
     n = corpus.count()
     part = corpus if n <= TRAINING_ROWS else corpus.sample(TRAINING_ROWS / n, seed)
     ready = part.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
-    model = KMeans(k=max(2, n_cells), seed=seed, maxIter=10).fit(ready)
+    model = KMeans(k=max(2, n_cells), seed=seed, maxIter=8, initMode="random").fit(ready)
     return np.array(model.clusterCenters())
 
 
@@ -355,7 +349,7 @@ def _sign_codes(x: np.ndarray, planes: np.ndarray, tables: int, bits: int) -> np
 def _with_cells(df: DataFrame, key: str, cells_of) -> DataFrame:
     """One row per cell of each vector; ``cells_of`` maps a matrix to cell numbers."""
     schema = f"`{key}` {dict(df.dtypes)[key]}, _v array<double>, _cell bigint"
-    arrow = _arrow_schema(schema, df.sparkSession)
+    arrow = arrow_schema(schema, df.sparkSession)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -6,6 +6,8 @@ image_w, image_h``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,31 +125,66 @@ def pair_stats(boxes: DataFrame, image: str = "image_id") -> DataFrame:
         .groupBy(image, "sx", "sy")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    schema = f"{image} {dict(boxes.dtypes)[image]}, n_boxes bigint, n_pairs bigint, mean_pair_distance double"
+    schema = f"`{image}` {dict(boxes.dtypes)[image]}, n_boxes bigint, n_pairs bigint, mean_pair_distance double"
+    ordered = centres.repartition(image).sortWithinPartitions(image)
+    return ordered.mapInPandas(lambda batches: _pair_summaries(batches, image), schema)
+
+
+def _pair_summaries(batches: Iterator, image: str) -> Iterator:
+    """Summaries of whole images from rows sorted by image."""
+    import pandas as pd
+
+    held: list = []  # rows of the image the last batch ended in
+    for pdf in batches:
+        if len(pdf) == 0:
+            continue
+        last = pdf[image].iloc[-1]
+        if pdf[image].iloc[0] == last and held and held[-1][image].iloc[-1] == last:
+            held.append(pdf)
+            continue
+        whole = pd.concat([*held, pdf], ignore_index=True) if held else pdf
+        open_rows = whole[image] == last
+        yield _summarise_images(whole[~open_rows], image)
+        held = [whole[open_rows]]
+    if held:
+        yield _summarise_images(pd.concat(held, ignore_index=True), image)
 
-    def summarise(pdf):
-        return _weighted_pair_summary(pdf, image)
 
-    return centres.groupBy(image).applyInPandas(summarise, schema)
+FEW_CENTRES, MANY_CENTRES = 64, 4096
 
 
-def _weighted_pair_summary(pdf, image: str):
+def _summarise_images(rows, image: str):
     import numpy as np
     import pandas as pd
 
-    n = pdf["n"].to_numpy().astype(np.float64)
-    x = pdf["sx"].to_numpy() / 2.0
-    y = pdf["sy"].to_numpy() / 2.0
-    boxes = int(pdf["n"].sum())
+    keys = rows[image].to_numpy()
+    n = rows["n"].to_numpy().astype(np.float64)
+    sx, sy = rows["sx"].to_numpy(), rows["sy"].to_numpy()
+    start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, dtype=np.int64)
+    size = np.diff(np.r_[start, len(keys)])
+    group = np.repeat(np.arange(len(start)), size)
+    total = np.zeros(len(start))
+    small = size[group] <= FEW_CENTRES if len(start) else np.zeros(0, dtype=bool)
+    # images with few centres, all at once: pair each row with the one k places on
+    for k in range(1, min(int(size.max(initial=1)), FEW_CENTRES)):
+        i = np.flatnonzero((group[:-k] == group[k:]) & small[:-k])
+        total += np.bincount(group[i], n[i] * n[i + k] * np.hypot(sx[i] - sx[i + k], sy[i] - sy[i + k]) / 2, len(start))
+    for g in np.flatnonzero(size > FEW_CENTRES):
+        part = slice(start[g], start[g] + size[g])
+        total[g] = _distance_sum(sx[part], sy[part], n[part])
+    boxes = np.add.reduceat(n, start).astype(np.int64) if len(start) else np.empty(0, dtype=np.int64)
     pairs = boxes * (boxes - 1) // 2
-    if len(pdf) <= 4096:
-        total = sum(
-            float(n[i] * (n[i + 1 :] * np.hypot(x[i + 1 :] - x[i], y[i + 1 :] - y[i])).sum()) for i in range(len(pdf) - 1)
-        )
-    else:
-        total = _distance_sum_by_shift(pdf["sx"].to_numpy(), pdf["sy"].to_numpy(), n)
-    mean = total / pairs if pairs else None
-    return pd.DataFrame({image: [pdf[image].iloc[0]], "n_boxes": [boxes], "n_pairs": [pairs], "mean_pair_distance": [mean]})
+    mean = pd.Series(np.divide(total, pairs, out=np.zeros(len(start)), where=pairs > 0)).where(pairs > 0)
+    return pd.DataFrame({image: keys[start], "n_boxes": boxes, "n_pairs": pairs, "mean_pair_distance": mean.astype("Float64")})
+
+
+def _distance_sum(sx, sy, n) -> float:
+    import numpy as np
+
+    if len(n) > MANY_CENTRES:
+        return _distance_sum_by_shift(sx, sy, n)
+    far = lambda i: np.hypot(sx[i + 1 :] - sx[i], sy[i + 1 :] - sy[i]) / 2
+    return sum(float(n[i] * (n[i + 1 :] * far(i)).sum()) for i in range(len(n) - 1))
 
 
 def _distance_sum_by_shift(sx, sy, n) -> float:

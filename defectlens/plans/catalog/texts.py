@@ -127,7 +127,10 @@ def _(v):
 
     # vector n stands for image n
     hits = self_free_top5(v).withColumnRenamed("id", "image_id")
-    return E.context_images(hits.join(v.records, "image_id"))
+    # records of the images found, not of all images
+    ids = hits.select("image_id").distinct()
+    records = U.image_rollup(v.images.join(ids, "image_id", "left_semi"), v.boxes.join(ids, "image_id", "left_semi"))
+    return E.context_images(hits.join(records, "image_id"))
 
 
 @query("t9_format_spatial", "SELECT image_id, spatial_text FROM fx_spatial_texts")
