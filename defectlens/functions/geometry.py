@@ -181,47 +181,3 @@ def region_id(image_stem: Column, kind: str, number: Column, second: Column | No
     if kind == "grid":
         return F.format_string("%s_grid_%d_%d", image_stem, number, second)
     return F.format_string(f"%s_{kind}_%03d", image_stem, number)
-
-
-def outline_edges(points: Column) -> Column:
-    """Edges of a closed polygon with their slopes; vertical ones enclose no area and are left out."""
-    n = F.size(points)
-
-    def edge(i):
-        p, q = F.get(points, i), F.get(points, (i + 1) % n)
-        px, py, qx, qy = (c.cast("double") for c in (p[0], p[1], q[0], q[1]))
-        slope = (qy - py) / F.nullif(qx - px, F.lit(0.0))
-        return F.struct(px.alias("px"), py.alias("py"), qx.alias("qx"), slope.alias("slope"))
-
-    edges = F.transform(F.sequence(F.lit(0), n - 1), edge)
-    return F.when(n > 0, F.filter(edges, lambda e: e["slope"].isNotNull()))
-
-
-def covered_area(edges: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
-    """Area of a polygon, given by its :func:`outline_edges`, inside a rectangle.
-
-    Each edge contributes the signed integral of its height, limited to
-    ``[y1, y2]``, over the part of its x-range inside ``[x1, x2]``; the sum over
-    a closed outline is the clipped area. The integral of a limited linear
-    function has the closed form used below, so no Python is involved.
-    """
-    x1, y1, x2, y2 = (c.cast("double") for c in (x1, y1, x2, y2))
-    zero = F.lit(0.0)
-
-    def ends(e):  # width of the edge inside the x-range and its heights there, from y1
-        a = F.greatest(x1, F.least(x2, e["px"]))
-        b = F.greatest(x1, F.least(x2, e["qx"]))
-        low = e["py"] - y1 - e["slope"] * e["px"]
-        return F.struct((b - a).alias("w"), (low + e["slope"] * a).alias("p"), (low + e["slope"] * b).alias("q"))
-
-    def part(c):
-        top = y2 - y1
-        square = lambda t: t * t
-        # antiderivative of min(max(t, 0), top)
-        primitive = lambda t: (square(F.greatest(t, zero)) - square(F.greatest(t - top, zero))) / 2
-        flat = F.least(F.greatest(c["p"], zero), top)
-        sloped = (primitive(c["q"]) - primitive(c["p"])) / (c["q"] - c["p"])
-        return F.when(c["q"] == c["p"], c["w"] * flat).otherwise(c["w"] * sloped)
-
-    inside = F.filter(F.transform(edges, ends), lambda c: c["w"] != 0)
-    return F.abs(F.aggregate(inside, zero, lambda acc, c: acc + part(c)))

@@ -45,7 +45,7 @@ def cluster_boxes(
     boxes: DataFrame,
     dist: int = MERGE_DISTANCE,
     max_area: int = MAX_CLUSTER_AREA,
-    split_above: int = SPLIT_ABOVE,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Greedy merging of compatible boxes, top to bottom and left to right.
 
@@ -55,9 +55,9 @@ def cluster_boxes(
     seed_y`` (the box that opened the cluster) and ``member_pos``.
 
     Clusters never mix compatibility groups, so (image, group) is one sweep.
+    ``hot`` lists the images to cut into independent blocks first.
     """
     grouped = boxes.withColumn("_group", group_of_type(F.col("damage_type")))
-    hot = hot_images(boxes, split_above)
     if hot is None:
         blocks = grouped.withColumn("_block", F.lit(0).cast("bigint"))
     else:
@@ -315,9 +315,22 @@ def merge_boxes(members: DataFrame, by: list[str] | None = None) -> DataFrame:
     return merged.withColumns({"cluster_area": G.box_area(x1, y1, x2, y2), "cx": G.half(x1, x2), "cy": G.half(y1, y2)})
 
 
-def clusters(members: DataFrame, numbered_by_bucket: bool = False) -> DataFrame:
-    """One row per cluster of :func:`cluster_boxes`, numbered in order of opening."""
+def plan_clusters(boxes: DataFrame, split_above: int = SPLIT_ABOVE, **limits) -> tuple[DataFrame, DataFrame]:
+    """(members, clusters) of the merged boxes, safe for images of any size."""
+    hot = hot_images(boxes, split_above)
+    members = cluster_boxes(boxes, hot=hot, **limits)
+    return members, clusters(members, hot is not None)
+
+
+def clusters(members: DataFrame, has_hot_images: bool) -> DataFrame:
+    """One row per cluster of :func:`cluster_boxes`, numbered in order of opening.
+
+    Without hot images one shuffle by image serves all steps. With them, members
+    are combined before each shuffle and the numbering is split by height.
+    """
     by = ["image_id", "seed_idx", "seed_x", "seed_y"]
+    if not has_hot_images:
+        members = members.repartition("image_id")
     per_type = members.groupBy(*by, "damage_type").agg(
         F.min("x_min").alias("x_min"),
         F.min("y_min").alias("y_min"),
@@ -335,7 +348,7 @@ def clusters(members: DataFrame, numbered_by_bucket: bool = False) -> DataFrame:
         F.collect_list(F.struct("n", "first", F.col("damage_type").alias("name"))).alias("type_counts"),
     )
     order = [F.col("seed_y"), F.col("seed_x"), F.col("seed_idx")]
-    if numbered_by_bucket:
+    if has_hot_images:
         rows = bucketed_row_number(rows, ["image_id"], order, F.floor(F.col("seed_y") / 16), "_rn")
     else:
         rows = rows.withColumn("_rn", F.row_number().over(Window.partitionBy("image_id").orderBy(*order)))
@@ -485,15 +498,51 @@ def coverage_filter(cells: DataFrame, outline: str = "outline", min_ratio: float
     """Share of each cell inside the outline; cells below the ratio are dropped.
 
     The clipped area is exact for the polygon; counting filled pixels would
-    differ by at most the border pixels of the outline.
+    differ by at most the border pixels of the outline. A whole Arrow batch of
+    cells is measured at once.
     """
-    x1, y1, x2, y2 = (F.col(c) for c in ("grid_x", "grid_y", "cell_x2", "cell_y2"))
-    inside = G.covered_area(F.col("_edges"), x1, y1, x2, y2)
-    ratio = F.when(F.coalesce(F.size(outline), F.lit(0)) == 0, F.lit(1.0)).otherwise(
-        inside / ((x2 - x1) * (y2 - y1)).cast("double")
-    )
-    edged = cells.withColumn("_edges", G.outline_edges(F.col(outline)))
-    return edged.withColumn("vehicle_ratio", ratio).filter(F.col("vehicle_ratio") >= min_ratio).drop("_edges")
+    schema = ", ".join(f"`{c}` {t}" for c, t in cells.dtypes) + ", vehicle_ratio double"
+    arrow = arrow_schema(schema, cells.sparkSession)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            box = [batch[c].to_numpy().astype(float) for c in ("grid_x", "grid_y", "cell_x2", "cell_y2")]
+            yield _with_columns(batch, [_covered_share(batch[outline], *box)], arrow)
+
+    return cells.mapInArrow(measure, schema).filter(F.col("vehicle_ratio") >= min_ratio)
+
+
+def _covered_share(outlines: pa.Array, x1, y1, x2, y2):
+    """Covered share of each rectangle; 1.0 where there is no outline.
+
+    An edge contributes the signed integral of its height, limited to the
+    rectangle's heights, over its x-range inside the rectangle. Those parts sum
+    to the clipped area of a closed polygon.
+    """
+    import numpy as np
+    import pyarrow.compute as pc
+
+    size = pc.fill_null(pc.list_value_length(outlines), 0).to_numpy(zero_copy_only=False)
+    points = outlines.flatten().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, 2)
+    cell = np.repeat(np.arange(len(size)), size)
+    after = np.arange(1, len(points) + 1)
+    ends = np.cumsum(size)[size > 0]
+    after[ends - 1] = ends - size[size > 0]  # the last point joins the first
+    p, q = points, points[after]
+    left, right, low, top = x1[cell], x2[cell], y1[cell], (y2 - y1)[cell]
+    run = q[:, 0] - p[:, 0]
+    slope = np.divide(q[:, 1] - p[:, 1], run, out=np.zeros(len(p)), where=run != 0)
+    a, b = np.clip(p[:, 0], left, right), np.clip(q[:, 0], left, right)
+    ya = p[:, 1] + slope * (a - p[:, 0]) - low
+    yb = p[:, 1] + slope * (b - p[:, 0]) - low
+
+    def primitive(t):  # antiderivative of min(max(t, 0), top)
+        return (np.maximum(t, 0) ** 2 - np.maximum(t - top, 0) ** 2) / 2
+
+    flat = np.clip(ya, 0, top)
+    mean = np.divide(primitive(yb) - primitive(ya), yb - ya, out=flat, where=np.abs(yb - ya) > 1e-9)
+    area = np.abs(np.bincount(cell, (b - a) * mean, len(size)))
+    return np.where(size > 0, area / ((x2 - x1) * (y2 - y1)), 1.0)
 
 
 # -- whole plans ---------------------------------------------------------------
@@ -606,8 +655,7 @@ def plan_regions(
         return individual_regions(images, boxes)
     if method == "clustered":
         kept = with_types(filter_area(boxes, 50, 300_000))
-        hot = hot_images(kept, SPLIT_ABOVE) is not None
-        return cluster_regions(images, clusters(cluster_boxes(kept), numbered_by_bucket=hot))
+        return cluster_regions(images, plan_clusters(kept)[1])
     if method == "optimised":
         return tile_regions(images, boxes)
     if outlines is None:

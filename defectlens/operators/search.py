@@ -114,10 +114,10 @@ class _TopK:
 # -- exact search -----------------------------------------------------------------
 
 
-def vector_size(df: DataFrame, vector: str) -> tuple[int, int]:
-    """(rows, bytes of the vectors in double) of one side."""
+def vector_bytes(df: DataFrame, vector: str, k: int = 0) -> int:
+    """Bytes of one side's vectors in double, with k result slots per row."""
     row = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size(vector)), F.lit(0)).alias("d")).first()
-    return row["n"], row["n"] * max(row["d"], 1) * 8
+    return row["n"] * (max(row["d"], 1) + 3 * k) * 8
 
 
 def assert_dim(df: DataFrame, dim: int, vector: str = "embedding") -> DataFrame:
@@ -158,20 +158,15 @@ def knn(
         types[by] = dict(c.dtypes)[by]
     names = list(types)
     schema = ", ".join(f"`{n}` {t}" for n, t in types.items())
-    _, query_bytes = vector_size(q, "_v")
-    if query_bytes <= broadcast_bytes:
+    if vector_bytes(q, "_v", k) <= broadcast_bytes:
         found = _scan_corpus(q, c, k, by, exclude_self, names, schema)
+    elif vector_bytes(c, "_v") <= broadcast_bytes:
+        found = _scan_queries(q, c, k, by, exclude_self, names, schema)
+    elif by:
+        found = _block_join(_per_group(q, c, by), c, by, k, exclude_self, broadcast_bytes)
     else:
-        _, corpus_bytes = vector_size(c, "_v")
-        if corpus_bytes <= broadcast_bytes:
-            found = _scan_queries(q, c, k, by, exclude_self, names, schema)
-        else:
-            group = by or "_all"
-            if by:
-                keyed = _per_group(q, c, by)
-            else:
-                keyed, c = q.withColumn("_all", F.lit(0)), c.withColumn("_all", F.lit(0))
-            found = _block_join(keyed, c, group, k, exclude_self, broadcast_bytes).select(*names)
+        one = lambda df: df.withColumn("_all", F.lit(0))
+        found = _block_join(one(q), one(c), "_all", k, exclude_self, broadcast_bytes).drop("_all")
     return top_k(found, _groups(by), k)
 
 

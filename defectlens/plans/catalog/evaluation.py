@@ -305,7 +305,7 @@ def _(v):
 def _(v):
     # individual crops against clustered ones; time grows with the number of regions
     individual = R.individual_regions(v.images, v.polygons).agg(F.count(F.lit(1)).alias("n_regions"))
-    clustered = R.clusters(v.cluster_members).agg(F.count(F.lit(1)).alias("n_regions"))
+    clustered = v.clustering[1].agg(F.count(F.lit(1)).alias("n_regions"))
     mean_recall = v.metrics.agg(F.avg("recall_at_5")).scalar()
     summary = lambda df: df.select(
         F.lit("all").alias("dataset"), "n_regions", mean_recall.alias("recall"), (F.col("n_regions") * 0.0058).alias("seconds")

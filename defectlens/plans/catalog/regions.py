@@ -59,7 +59,7 @@ _MERGES = """
 
 @query("g1_cluster_boxes", f"WITH {_MERGES} SELECT image_id, shape_idx, damage_type, seed_idx, member_pos FROM members")
 def _(v):
-    return v.cluster_members.select("image_id", "shape_idx", "damage_type", "seed_idx", "member_pos")
+    return v.clustering[0].select("image_id", "shape_idx", "damage_type", "seed_idx", "member_pos")
 
 
 @query(
@@ -227,7 +227,7 @@ def _(v):
               round((1 - count(*) / sum(defect_count)::double) * 100, 6) AS reduction_pct, round(sum(defect_count) / count(*)::double, 6) AS defects_per_cluster FROM cluster_rows""",
 )
 def _(v):
-    stats = R.cluster_stats(R.clusters(v.cluster_members))
+    stats = R.cluster_stats(v.clustering[1])
     counts = ["n_clusters", "n_defects", "n_single", "n_multi", "max_size"]
     return stats.select(*counts, *[r(c) for c in stats.columns if c not in counts])
 
@@ -275,8 +275,8 @@ def _(v):
         FROM regions r JOIN fx_images i USING (image_id) JOIN members m ON m.image_id = r.image_id AND m.seed_idx = r.seed_idx GROUP BY ALL""",
 )
 def _(v):
-    members = v.cluster_members
-    record = R.region_record(R.cluster_regions(v.images, R.clusters(members)), members)
+    members, rows = v.clustering
+    record = R.region_record(R.cluster_regions(v.images, rows), members)
     text = F.transform(
         "included_defects",
         lambda d: F.concat_ws(":", d["defect_idx"].cast("string"), d["damage_type"], F.array_join(d["bbox"].cast("array<string>"), ",")),

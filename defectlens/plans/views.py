@@ -118,8 +118,9 @@ class Views:
         return shapes.with_types(shapes.filter_area(self.polygons, 50, 300_000))
 
     @cached_property
-    def cluster_members(self) -> DataFrame:
-        return regions.cluster_boxes(self.typed_boxes)
+    def clustering(self) -> tuple[DataFrame, DataFrame]:
+        """Members and rows of the merged clusters."""
+        return regions.plan_clusters(self.typed_boxes)
 
     @cached_property
     def seed_members(self) -> DataFrame:
