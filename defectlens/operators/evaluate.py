@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions import text as X
+from ..ranks import exact_percentiles
 from ..schemas import ANSWER
 from .profile import all_rows, top_n
 
@@ -102,14 +103,12 @@ def type_counts(results: DataFrame, k: int = 5) -> DataFrame:
 
 def latency_percentiles(run_log: DataFrame) -> DataFrame:
     """p50, p95, p99 and throughput from recorded times."""
-    total = F.col("retrieval_time_ms") + F.col("generation_time_ms")
-    p = lambda s: F.percentile(total, F.lit(s))
-    return run_log.groupBy("config").agg(
-        p(0.5).alias("p50_ms"),
-        p(0.95).alias("p95_ms"),
-        p(0.99).alias("p99_ms"),
-        (F.count(F.lit(1)) * 1000.0 / F.nullif(F.sum(total), F.lit(0.0))).alias("queries_per_second"),
+    timed = run_log.select("config", (F.col("retrieval_time_ms") + F.col("generation_time_ms")).alias("total_ms"))
+    points = exact_percentiles(timed, ["config"], "total_ms", {"p50_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99})
+    rate = timed.groupBy("config").agg(
+        (F.count(F.lit(1)) * 1000.0 / F.nullif(F.sum("total_ms"), F.lit(0.0))).alias("queries_per_second")
     )
+    return points.join(rate, "config")
 
 
 # -- set recall ----------------------------------------------------------------

@@ -60,8 +60,21 @@ def zone_distribution(images: DataFrame) -> DataFrame:
     return counts.withColumn("zone_name", L.zone_name(F.col("vehicle_zone"))).withColumn("position", position)
 
 
-def zone_type_matrix(boxes: DataFrame) -> DataFrame:
-    return boxes.groupBy("vehicle_zone", "label").agg(F.count(F.lit(1)).alias("n"), F.min("shape_key").alias("first"))
+def label_counts(boxes: DataFrame) -> DataFrame:
+    """Boxes and first position of each (image, label): small input for joins on the image."""
+    return boxes.groupBy("image_id", "label").agg(F.count(F.lit(1)).alias("n"), F.min("shape_idx").alias("first"))
+
+
+def zone_type_matrix(boxes: DataFrame, zones: DataFrame) -> DataFrame:
+    """Boxes by vehicle zone and label; ``zones`` has ``image_id, vehicle_zone``.
+
+    Boxes are counted per image before the join, so an image with very many of
+    them takes part with one row per label.
+    """
+    joined = label_counts(boxes).join(zones.select("image_id", "vehicle_zone"), "image_id")
+    return joined.groupBy("vehicle_zone", "label").agg(
+        F.sum("n").alias("n"), F.min(F.struct("image_id", "first")).alias("first")
+    )
 
 
 def top_n(df: DataFrame, by: list[str], order: list[Column], n: int, name: str = "rank") -> DataFrame:
@@ -69,8 +82,8 @@ def top_n(df: DataFrame, by: list[str], order: list[Column], n: int, name: str =
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(name) <= n)
 
 
-def top_types_by_zone(boxes: DataFrame, n: int = 3) -> DataFrame:
-    return top_n(zone_type_matrix(boxes), ["vehicle_zone"], [F.desc("n"), F.asc("first")], n)
+def top_types_by_zone(boxes: DataFrame, zones: DataFrame, n: int = 3) -> DataFrame:
+    return top_n(zone_type_matrix(boxes, zones), ["vehicle_zone"], [F.desc("n"), F.asc("first")], n)
 
 
 FIXED_DENSITY = [(5, "low"), (15, "medium")]

@@ -489,14 +489,17 @@ def rerank(
 def search_two_stage(queries: DataFrame, images: DataFrame, regions: DataFrame, n_images: int = 10, k: int = 5) -> DataFrame:
     """Nearest images first, then the nearest regions inside them.
 
-    ``regions`` has ``id, image_id, embedding``; only regions of the chosen
-    images are measured.
+    ``regions`` has ``id, image_id, embedding``. Queries and regions meet per
+    chosen image in blocks of bounded size, so an image with very many regions,
+    or one that very many queries choose, is shared by many tasks.
     """
     chosen = knn(queries, images, n_images).select("query_id", F.col("id").alias("image_id"))
-    asked = chosen.join(queries.select("query_id", F.col("embedding").alias("_q")), "query_id")
-    pairs = asked.join(regions.select("image_id", "id", "embedding"), "image_id")
-    measured = pairs.withColumn("distance", V.l2sq(F.col("_q"), F.col("embedding"))).drop("_q", "embedding")
-    return top_k(measured, ["query_id"], k)
+    asked = chosen.join(queries.select("query_id", F.col("embedding").alias("_v")), "query_id")
+    inside = regions.select("image_id", "id", F.col("embedding").alias("_v")).join(
+        chosen.select("image_id").distinct(), "image_id", "left_semi"
+    )
+    found = _block_join(asked, inside, "image_id", k, False, BROADCAST_BYTES)
+    return top_k(found.drop("image_id"), ["query_id"], k)
 
 
 def index_self_check(vectors: DataFrame, n: int | None = 10, tolerance: float = 0.01, seed: int = 42) -> DataFrame:

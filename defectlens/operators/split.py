@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..dims import LABEL_NAMES
 from ..ranks import bucketed_row_number, dense_id, hash_key
-from .profile import top_n, with_share
+from .profile import label_counts, top_n, with_share
 
 HASH_RANGE = 1 << 63
 
@@ -111,12 +111,15 @@ def split_sizes(per_image: DataFrame, train: float = 0.8, test: float = 0.2, cou
     )
 
 
-def split_balance(split_labels: DataFrame) -> DataFrame:
-    """Train and test counts by label with the test share."""
-    wide = split_labels.groupBy("label").agg(
-        F.count_if(F.col("split") == "train").alias("n_train"),
-        F.count_if(F.col("split") == "test").alias("n_test"),
-    )
+def split_balance(split: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Train and test counts by label with the test share.
+
+    ``split`` has ``image_id, split``. Boxes are counted per image and label
+    before they meet the split.
+    """
+    joined = label_counts(boxes).join(split.select("image_id", "split"), "image_id")
+    on = lambda side: F.coalesce(F.sum(F.when(F.col("split") == side, F.col("n"))), F.lit(0))
+    wide = joined.groupBy("label").agg(on("train").alias("n_train"), on("test").alias("n_test"))
     total = F.col("n_train") + F.col("n_test")
     return wide.withColumn("test_pct", F.col("n_test") * 100.0 / F.nullif(total, F.lit(0)))
 

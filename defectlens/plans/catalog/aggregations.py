@@ -15,10 +15,8 @@ from ..sql import bench, dot, norm, order_key
 from ..views import order_key as key_column
 
 
-def _zoned(boxes, v):
-    """Boxes with the zone of their image and one position over the whole zone."""
-    zones = v.images.select("image_id", L.vehicle_zone(F.col("image_name")).alias("vehicle_zone"))
-    return boxes.join(zones, "image_id").withColumn("shape_key", F.struct("image_id", "shape_idx"))
+def _zones(v):
+    return v.images.select("image_id", L.vehicle_zone(F.col("image_name")).alias("vehicle_zone"))
 
 
 @query(
@@ -58,7 +56,7 @@ def _(v):
     "SELECT i.vehicle_zone, p.label, count(*) AS n FROM fx_polygons p JOIN fx_images i USING (image_id) GROUP BY ALL",
 )
 def _(v):
-    return P.zone_type_matrix(_zoned(v.polygons, v)).select("vehicle_zone", "label", "n")
+    return P.zone_type_matrix(v.polygons, _zones(v)).select("vehicle_zone", "label", "n")
 
 
 @query(
@@ -68,7 +66,7 @@ def _(v):
          FROM fx_polygons JOIN fx_images USING (image_id) GROUP BY vehicle_zone, label)) WHERE rank <= 3""",
 )
 def _(v):
-    return P.top_types_by_zone(_zoned(v.polygons, v)).select("vehicle_zone", "label", "n", big("rank"))
+    return P.top_types_by_zone(v.polygons, _zones(v)).select("vehicle_zone", "label", "n", big("rank"))
 
 
 @query(

@@ -198,12 +198,11 @@ def _(v):
 def _(v):
     from ...dims import dims
     from ...functions import labels as L
+    from ...operators.profile import zone_type_matrix
 
     d = dims(v.spark)
     zoned = v.images.select("image_id", L.vehicle_zone(F.col("image_name")).alias("vehicle_zone"))
-    counted = (
-        v.boxes.select("image_id", "label").join(zoned, "image_id").groupBy("vehicle_zone", "label").agg(F.count(F.lit(1)).alias("n"))
-    )
+    counted = zone_type_matrix(v.boxes, zoned)
     wide = (
         counted.join(F.broadcast(d["zones"]), "vehicle_zone")
         .join(F.broadcast(d["padding"]), "label")

@@ -129,8 +129,7 @@ _BALANCE = f"""SELECT b.label, count(*) FILTER (s.split = 'train') AS n_train, c
 
 
 def _balance(v):
-    labels = v.boxes.select("image_id", "label").join(_split(v).select("image_id", "split"), "image_id")
-    return M.split_balance(labels).select("label", "n_train", "n_test", r("test_pct", 4))
+    return M.split_balance(_split(v), v.boxes).select("label", "n_train", "n_test", r("test_pct", 4))
 
 
 @query("a18_split_balance", f"SELECT label, n_train, n_test, round(n_test * 100.0 / (n_train + n_test), 4) AS test_pct FROM ({_BALANCE})")
@@ -141,8 +140,9 @@ def _(v):
 @query("j8_full_outer_counts", f"SELECT label, n_train, n_test FROM ({_BALANCE})")
 def _(v):
     split = _split(v).select("image_id", "split")
+    counts = P.label_counts(v.boxes)
     side = lambda s: (
-        v.boxes.select("image_id", "label").join(split.filter(F.col("split") == s), "image_id").groupBy("label").agg(F.count(F.lit(1)).alias(f"n_{s}"))
+        counts.join(split.filter(F.col("split") == s), "image_id").groupBy("label").agg(F.sum("n").alias(f"n_{s}"))
     )
     both = side("train").join(side("test"), "label", "full")
     return both.select("label", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("n_train", "n_test")])

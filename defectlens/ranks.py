@@ -58,6 +58,43 @@ def bucketed_row_number(
     return joined.drop(*drop)
 
 
+def exact_percentiles(
+    df: DataFrame, by: list[str], value: str, shares: dict[str, float], buckets: int = 64
+) -> DataFrame:
+    """Linear-interpolated percentiles of each group, as columns named by ``shares``.
+
+    Equal values are counted first. Value ranges from approximate percentiles
+    then split every group, so neither a hot group nor a hot value meets in one
+    task; only the rows next to a wanted position are kept.
+    """
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    cuts = [i / buckets for i in range(1, buckets)]
+    bounds = df.agg(F.percentile_approx(value, F.array(*[F.lit(c) for c in cuts]), F.lit(10_000)).alias("b")).scalar()
+    keyed = counted.withColumn("_cuts", bounds).withColumn(
+        "_bucket", F.size(F.filter("_cuts", lambda b: b < F.col(value)))
+    )
+    keys = [*by, "_bucket"]
+    group = Window.partitionBy(*by)
+    before = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    # groups x buckets rows
+    offsets = (
+        keyed.groupBy(*keys)
+        .agg(F.sum("_n").alias("_bn"))
+        .select(*keys, F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_offset"), F.sum("_bn").over(group).alias("_total"))
+    )
+    inner = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    placed = keyed.drop("_cuts").withColumn("_upto", F.sum("_n").over(inner)).join(offsets, keys)
+    last = F.col("_offset") + F.col("_upto") - 1  # position of the last copy of the value, from 0
+    first = last - F.col("_n") + 1
+    aggs = []
+    for name, share in shares.items():
+        at = (F.col("_total") - 1) * F.lit(share)
+        pick = lambda p: F.max(F.when((first <= p) & (p <= last), F.col(value)))
+        low, high = pick(F.floor(at)), pick(F.ceil(at))
+        aggs.append((low + (high - low) * F.max(at - F.floor(at))).alias(name))
+    return placed.groupBy(*by).agg(*aggs)
+
+
 def dense_id(df: DataFrame, order: list[Column], name: str = "id", partitions: int | None = None) -> DataFrame:
     """Consecutive ids from 0 in a global order.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from defectlens.operators import profile as P
 from defectlens.operators import split as M
-from defectlens.ranks import bucketed_row_number, dense_id, hash_key
+from defectlens.ranks import bucketed_row_number, dense_id, exact_percentiles, hash_key
 
 
 def test_bucketed_row_number_equals_window(spark):
@@ -102,3 +102,16 @@ def test_mean_pair_cosine_equals_all_pairs(spark):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     want = np.mean([u[i] @ u[j] for i in range(30) for j in range(i)])
     assert P.mean_pair_cosine(df, []).first().mean_cosine == pytest.approx(want)
+
+
+def test_exact_percentiles(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    values = {"hot": np.r_[rng.normal(size=700), np.full(900, 1.25)], "one": np.array([4.0]), "two": np.array([1.0, 2.0])}
+    rows = [(g, float(x)) for g, xs in values.items() for x in xs]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    shares = {"a": 0.5, "b": 0.95, "c": 0.013}
+    for r in exact_percentiles(df, ["g"], "x", shares, buckets=8).collect():
+        for name, share in shares.items():
+            assert r[name] == pytest.approx(np.percentile(values[r.g], share * 100))
