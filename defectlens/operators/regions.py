@@ -12,6 +12,7 @@ those parts are swept by different tasks.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -106,19 +107,25 @@ class _OpenClusters:
     """Open clusters of one sweep that a later box can still reach.
 
     A short list is scanned as it is. Beyond ``FEW`` clusters they are kept by
-    grid cell and exact centre, and grid lines above the sweep are dropped.
+    grid cell and exact centre: cells are searched outward from the box, so a
+    crowded image costs a few cells per box, and grid lines above the sweep are
+    dropped.
     """
 
     FEW = 24
+    CELL = 20
 
     def __init__(self, dist: int):
         self.dist = dist
         self.few: list | None = []
         self.rows: dict[int, dict[int, dict[tuple, list]]] = {}
+        reach = -(-dist // self.CELL)
+        square = range(-reach, reach + 1)
+        self.rings = [[(r, c) for r in square for c in square if max(abs(r), abs(c)) == n] for n in range(reach + 1)]
 
     def drop_above(self, y: int) -> None:
         if self.few is None:
-            for row in [r for r in self.rows if (r + 1) * self.dist <= y]:
+            for row in [r for r in self.rows if (r + 1) * self.CELL <= y]:
                 del self.rows[row]
 
     def add(self, cluster: list) -> None:
@@ -140,17 +147,18 @@ class _OpenClusters:
 
     def _place(self, cluster: list) -> None:
         cx, cy = centre = ((cluster[0] + cluster[2]) // 2, (cluster[1] + cluster[3]) // 2)
-        cell = self.rows.setdefault(cy // self.dist, {}).setdefault(cx // self.dist, {})
-        queue = cell.setdefault(centre, [])
-        queue.append(cluster)
-        if len(queue) > 1 and queue[-2][4] > cluster[4]:
-            queue.sort(key=lambda c: c[4])
+        cell = self.rows.setdefault(cy // self.CELL, {}).setdefault(cx // self.CELL, {})
+        queue = cell.setdefault(centre, deque())
+        if queue and queue[-1][4] > cluster[4]:
+            queue = cell[centre] = deque(sorted([*queue, cluster], key=lambda c: c[4]))
+        else:
+            queue.append(cluster)
 
     def _remove(self, cluster: list) -> None:
         # only the first cluster of a centre is ever found, so only it grows
         cx, cy = centre = ((cluster[0] + cluster[2]) // 2, (cluster[1] + cluster[3]) // 2)
-        cell = self.rows[cy // self.dist][cx // self.dist]
-        cell[centre].pop(0)
+        cell = self.rows[cy // self.CELL][cx // self.CELL]
+        cell[centre].popleft()
         if not cell[centre]:
             del cell[centre]
 
@@ -163,13 +171,15 @@ class _OpenClusters:
                 if d2 < best_d2:
                     best, best_d2 = c, d2
             return best
-        row, col = cy // self.dist, cx // self.dist
-        for r in (row - 1, row, row + 1):
-            cells = self.rows.get(r)
-            if not cells:
-                continue
-            for k in (col - 1, col, col + 1):
-                for centre, queue in cells.get(k, {}).items():
+        row, col = cy // self.CELL, cx // self.CELL
+        for n, ring in enumerate(self.rings):
+            if best is not None and n and best_d2 < ((n - 1) * self.CELL + 1) ** 2:
+                break  # every centre of this ring is farther away
+            for r, c in ring:
+                cells = self.rows.get(row + r)
+                if not cells:
+                    continue
+                for centre, queue in cells.get(col + c, {}).items():
                     d2 = (centre[0] - cx) ** 2 + (centre[1] - cy) ** 2
                     if d2 < best_d2 or (d2 == best_d2 and best is not None and queue[0][4] < best[4]):
                         best, best_d2 = queue[0], d2

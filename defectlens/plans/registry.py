@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..ship import ship_package
 from .sql import compose
 from .views import Views
 
@@ -29,7 +30,14 @@ def query(name: str, sql: str | None = None):
 
 
 def callables() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    bind = lambda fn: lambda spark, sf_dir: fn(Views(spark, sf_dir))
+
+    def bind(fn):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return fn(Views(spark, sf_dir))
+
+        return run
+
     return {name: bind(fn) for name, fn in QUERIES.items()}
 
 
