@@ -99,6 +99,8 @@ COMPATIBLE_GROUPS = {
 # relative area upper bounds (exclusive); anything above is very_large
 SIZE_CUTS = [("very_small", 0.005), ("small", 0.02), ("medium", 0.08), ("large", 0.15)]
 
+ALL_TYPES = [*LABEL_NAMES.values(), UNKNOWN_TYPE]
+
 # thirds of the image used for the 3x3 spatial grid
 THIRD_LOW, THIRD_HIGH = 0.33, 0.67
 

@@ -15,12 +15,12 @@ from .labels import title
 def by_count(counts: Column) -> Column:
     """Order by count descending, then by first appearance."""
     keyed = F.transform(counts, lambda c: F.struct((-c["n"]).alias("neg"), c["first"], c["name"], c["n"]))
-    return F.array_sort(keyed)
+    return F.sort_array(keyed)
 
 
 def by_first(counts: Column) -> Column:
     """Order by first appearance only."""
-    return F.array_sort(F.transform(counts, lambda c: F.struct(c["first"], c["name"], c["n"])))
+    return F.sort_array(F.transform(counts, lambda c: F.struct(c["first"], c["name"], c["n"])))
 
 
 def plural(n: Column) -> Column:

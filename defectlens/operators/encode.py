@@ -114,7 +114,7 @@ def pool_patches(patches: DataFrame, whole: DataFrame, key: str = "image_id", sh
         .groupBy(key, "_d")
         .agg(F.avg("_x").alias("_m"))
         .groupBy(key)
-        .agg(F.array_sort(F.collect_list(F.struct("_d", "_m"))).alias("_p"))
+        .agg(F.sort_array(F.collect_list(F.struct("_d", "_m"))).alias("_p"))
         .select(key, F.transform("_p", lambda p: p["_m"]).alias("_patch"))
     )
     mixed = F.zip_with(

@@ -406,7 +406,7 @@ NO_IMAGES = "No similar examples found in the database."
 
 def _context(rows: DataFrame, by: list[str], line: Column, head: str, max_examples: int) -> DataFrame:
     kept = rows.filter(F.col("rank") <= max_examples)
-    examples = F.array_sort(F.collect_list(F.struct("rank", line.alias("text"))))
+    examples = F.sort_array(F.collect_list(F.struct("rank", line.alias("text"))))
     body = F.array_join(F.transform(examples, lambda e: e["text"]), "\n")
     return kept.groupBy(*by).agg(F.concat(F.lit(head + "\n"), body).alias("context"))
 
@@ -435,7 +435,7 @@ def context_crops(results: DataFrame, by: list[str] | None = None, max_examples:
         ).otherwise(""),
         F.when(
             F.size(types) > 1,
-            F.concat(F.lit("\n- **Additional damages**: "), F.array_join(F.array_sort(F.array_distinct(types)), ", ")),
+            F.concat(F.lit("\n- **Additional damages**: "), F.array_join(F.sort_array(F.array_distinct(types)), ", ")),
         ).otherwise(""),
     )
     return _context(results, by or ["query_id"], line, "## Similar Verified Cases:\n", max_examples)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..dims import BENCHMARK_LABELS, TAXONOMY
+from ..dims import BENCHMARK_LABELS
 from ..functions import labels as L
 from ..functions import text as X
 from ..functions import vectors as V
@@ -55,7 +55,7 @@ def type_distribution(boxes: DataFrame) -> DataFrame:
 def zone_distribution(images: DataFrame) -> DataFrame:
     """Images by vehicle zone in numeric order, unknown last."""
     counts = images.groupBy("vehicle_zone").agg(F.count(F.lit(1)).alias("n_images"))
-    order = F.coalesce(F.try_cast("vehicle_zone", "int") if hasattr(F, "try_cast") else F.col("vehicle_zone").try_cast("int"), F.lit(999))
+    order = F.coalesce(F.col("vehicle_zone").try_cast("int"), F.lit(999))
     position = F.row_number().over(all_rows().orderBy(order, "vehicle_zone"))
     return counts.withColumn("zone_name", L.zone_name(F.col("vehicle_zone"))).withColumn("position", position)
 
@@ -327,7 +327,3 @@ def overall_damage_split(records: DataFrame) -> DataFrame:
         F.sum("total_defects").alias("total_defects"),
         (F.sum("total_defects") / F.nullif(damaged, F.lit(0))).alias("avg_defects_damaged"),
     )
-
-
-def mapped_labels() -> list[str]:
-    return list(TAXONOMY)

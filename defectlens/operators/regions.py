@@ -14,17 +14,18 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..arrow import arrow_schema
-from ..dims import group_of_type
+from ..dims import ALL_TYPES, group_of_type
 from ..functions import geometry as G
 from ..functions import labels as L
 from ..ranks import bucketed_row_number
-from .rollup import dominant_of
+from .rollup import dominant_of, fixed_counts
 from .shapes import CORNERS, filter_area, filter_area_adaptive, with_position, with_types
 
 MERGE_DISTANCE = 100
@@ -103,6 +104,13 @@ def _cut_axis(df: DataFrame, parent: str, low: str, high: str, name: str, dist:
 # An open cluster is a list: x1, y1, x2, y2, order, seed index, seed x, seed y, members.
 
 
+@lru_cache
+def _rings(reach: int) -> list[list[tuple]]:
+    """Cell offsets by their distance from the middle cell."""
+    square = range(-reach, reach + 1)
+    return [[(r, c) for r in square for c in square if max(abs(r), abs(c)) == n] for n in range(reach + 1)]
+
+
 class _OpenClusters:
     """Open clusters of one sweep that a later box can still reach.
 
@@ -119,9 +127,7 @@ class _OpenClusters:
         self.dist = dist
         self.few: list | None = []
         self.rows: dict[int, dict[int, dict[tuple, list]]] = {}
-        reach = -(-dist // self.CELL)
-        square = range(-reach, reach + 1)
-        self.rings = [[(r, c) for r in square for c in square if max(abs(r), abs(c)) == n] for n in range(reach + 1)]
+        self.rings = _rings(-(-dist // self.CELL))
 
     def drop_above(self, y: int) -> None:
         if self.few is None:
@@ -335,27 +341,25 @@ def plan_clusters(boxes: DataFrame, split_above: int = SPLIT_ABOVE, **limits) ->
 def clusters(members: DataFrame, has_hot_images: bool) -> DataFrame:
     """One row per cluster of :func:`cluster_boxes`, numbered in order of opening.
 
-    Without hot images one shuffle by image serves all steps. With them, members
-    are combined before each shuffle and the numbering is split by height.
+    ``damage_type`` must be canonical. Without hot images one shuffle by image
+    serves all steps. With them, members are combined before each shuffle and
+    the numbering is split by height.
     """
     by = ["image_id", "seed_idx", "seed_x", "seed_y"]
     if not has_hot_images:
         members = members.repartition("image_id")
-    per_type = members.groupBy(*by, "damage_type").agg(
-        F.min("x_min").alias("x_min"),
-        F.min("y_min").alias("y_min"),
-        F.max("x_max").alias("x_max"),
-        F.max("y_max").alias("y_max"),
-        F.count(F.lit(1)).alias("n"),
-        F.min("member_pos").alias("first"),
-    )
-    rows = per_type.groupBy(*by).agg(
-        F.min("x_min").alias("x_min"),
-        F.min("y_min").alias("y_min"),
-        F.max("x_max").alias("x_max"),
-        F.max("y_max").alias("y_max"),
-        F.sum("n").alias("defect_count"),
-        F.collect_list(F.struct("n", "first", F.col("damage_type").alias("name"))).alias("type_counts"),
+    aggs, type_counts = fixed_counts("damage_type", "member_pos", ALL_TYPES, "type_counts")
+    rows = (
+        members.groupBy(*by)
+        .agg(
+            F.min("x_min").alias("x_min"),
+            F.min("y_min").alias("y_min"),
+            F.max("x_max").alias("x_max"),
+            F.max("y_max").alias("y_max"),
+            F.count(F.lit(1)).alias("defect_count"),
+            *aggs,
+        )
+        .select(*by, *CORNERS, "defect_count", type_counts)
     )
     order = [F.col("seed_y"), F.col("seed_x"), F.col("seed_idx")]
     if has_hot_images:
@@ -415,7 +419,7 @@ def region_record(regions: DataFrame, members: DataFrame, part_size: int = 4096)
     parts = (
         members.withColumn("part", F.floor(F.col("member_pos") / part_size).cast("bigint"))
         .groupBy("image_id", "seed_idx", "part")
-        .agg(F.array_sort(F.collect_list(member)).alias("included_defects"))
+        .agg(F.sort_array(F.collect_list(member)).alias("included_defects"))
     )
     return regions.join(parts, ["image_id", "seed_idx"])
 
@@ -456,7 +460,7 @@ def cover(start: Column, end: Column, limit: Column, size: int, overlap: float)
         lambda i: F.greatest(F.lit(0).cast("bigint"), start + i * step),
     )
     stepped = F.filter(cursors, lambda c: c + size <= limit)
-    covering = F.array_sort(F.array_distinct(F.concat(stepped, F.array(clamp(end - size)))))
+    covering = F.sort_array(F.array_distinct(F.concat(stepped, F.array(clamp(end - size)))))
     return F.when(end - start <= size, centred).otherwise(covering)
 
 

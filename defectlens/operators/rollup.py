@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..dims import ALL_TYPES, SPATIAL_DISPLAY
 from ..functions import geometry as G
 from ..functions import labels as L
 from ..functions import text as X
@@ -27,34 +28,53 @@ def counted(df: DataFrame, by: list[str], item: str, position: str, name: str =
     return per_item.groupBy(*by).agg(F.collect_list(entry).alias(name))
 
 
-def image_rollup(images: DataFrame, boxes: DataFrame, defaults: dict | None = None) -> DataFrame:
+def fixed_counts(item: str, position: str, names: list[str], name: str) -> tuple[list[Column], Column]:
+    """Aggregates and final column for counts over a fixed list of items.
+
+    Two plain numbers per item keep the aggregation in one hash pass: no lists
+    are built and a hot group is one short row per task before the shuffle. An
+    item outside the list fails the query instead of going missing.
+    """
+    aggs = [F.count(item).alias(f"_{name}_all")]
+    entries, total = [], F.lit(0)
+    for i, value in enumerate(names):
+        hit = F.col(item) == value
+        aggs += [F.count_if(hit).alias(f"_{name}_n{i}"), F.min(F.when(hit, F.col(position))).cast("bigint").alias(f"_{name}_p{i}")]
+        n = F.col(f"_{name}_n{i}")
+        entries.append(F.struct(n.alias("n"), F.col(f"_{name}_p{i}").alias("first"), F.lit(value).alias("name")))
+        total = total + n
+    built = F.filter(F.array(*entries), lambda e: e["n"] > 0)
+    wrong = F.raise_error(F.lit(f"{item} holds values outside {names}")).cast(COUNTS)
+    return aggs, F.when(F.col(f"_{name}_all") == total, built).otherwise(wrong).alias(name)
+
+
+COUNTS = "array<struct<n:bigint,first:bigint,name:string>>"
+
+
+def no_counts() -> Column:
+    return F.array().cast(COUNTS)
+
+
+def image_rollup(images: DataFrame, boxes: DataFrame) -> DataFrame:
     """One record per image; images without valid shapes become clean records."""
     area = G.box_area(*[F.col(c) for c in CORNERS])
     typed = with_position(with_types(boxes.select("image_id", "shape_idx", "label", *CORNERS, "image_w", "image_h")))
-    # Per image at most one row per type and one per zone is left, whatever it holds.
-    by_item = (
+    type_aggs, type_counts = fixed_counts("damage_type", "shape_idx", ALL_TYPES, "type_counts")
+    zone_aggs, zone_counts = fixed_counts("spatial_zone", "shape_idx", list(SPATIAL_DISPLAY), "zone_counts")
+    totals = (
         typed.withColumn("area", area)
-        .groupingSets(
-            [[F.col("image_id"), F.col("damage_type")], [F.col("image_id"), F.col("spatial_zone")]],
-            "image_id", "damage_type", "spatial_zone",
-        )
+        .groupBy("image_id")
         .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min("shape_idx").alias("first"),
-            F.sum("area").alias("area_sum"),
-            F.max("area").alias("area_max"),
-            F.min("area").alias("area_min"),
+            F.count(F.lit(1)).alias("total_defects"),
+            F.sum("area").alias("total_bbox_area"),
+            F.max("area").alias("max_defect_size"),
+            F.min("area").alias("min_defect_size"),
+            *type_aggs,
+            *zone_aggs,
+        )
+        .select(
+            "image_id", "total_defects", "total_bbox_area", "max_defect_size", "min_defect_size", type_counts, zone_counts
         )
-    )
-    of_type = F.col("damage_type").isNotNull()
-    entry = lambda c: F.struct("n", F.col("first").cast("bigint").alias("first"), F.col(c).alias("name"))
-    totals = by_item.groupBy("image_id").agg(
-        F.sum(F.when(of_type, F.col("n"))).alias("total_defects"),
-        F.sum(F.when(of_type, F.col("area_sum"))).alias("total_bbox_area"),
-        F.max("area_max").alias("max_defect_size"),
-        F.min("area_min").alias("min_defect_size"),
-        F.collect_list(F.when(of_type, entry("damage_type"))).alias("type_counts"),
-        F.collect_list(F.when(~of_type, entry("spatial_zone"))).alias("zone_counts"),
     )
     joined = images.join(totals, "image_id", "left")
     zone = L.vehicle_zone(F.col("image_name"))
@@ -92,10 +112,6 @@ def image_rollup(images: DataFrame, boxes: DataFrame, defaults: dict | None = No
     )
 
 
-def no_counts() -> Column:
-    return F.array().cast("array<struct<n:bigint,first:bigint,name:string>>")
-
-
 def dominant_of(counts: Column) -> Column:
     """Most frequent name; ties go to the one seen first; ``unknown`` when empty."""
     return F.coalesce(F.get(X.by_count(counts), F.lit(0))["name"], F.lit("unknown"))
@@ -133,7 +149,7 @@ def image_boxes(boxes: DataFrame, part_size: int = 4096) -> DataFrame:
     return (
         boxes.withColumn("part", F.floor(F.col("shape_idx") / part_size).cast("bigint"))
         .groupBy("image_id", "part")
-        .agg(F.array_sort(F.collect_list(box)).alias("bboxes"))
+        .agg(F.sort_array(F.collect_list(box)).alias("bboxes"))
     )
 
 

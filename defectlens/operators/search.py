@@ -392,7 +392,13 @@ def filter_condition(filters: dict, form: str = "crop") -> Column:
     the row's one normalised label; the image form tests any of ``damage_types``
     (normalised), or ``defect_types`` (raw) when that list is empty.
     """
-    known = lambda c: F.coalesce(F.col(c), F.lit("unknown"))
+
+    # A missing value counts as "unknown" or 0. It is spelled as a test on the bare
+    # column, which the Parquet scan can take over.
+    def within(column: str, allowed: list) -> Column:
+        test = F.col(column).isin(allowed)
+        return test | F.col(column).isNull() if "unknown" in allowed else test
+
     out = F.lit(True)
     for name, value in filters.items():
         if name == "damage_type" and form == "crop":
@@ -405,11 +411,13 @@ def filter_condition(filters: dict, form: str = "crop") -> Column:
                 F.coalesce(F.arrays_overlap(raw, wanted), F.lit(False))
             )
         elif name in ("spatial_zone", "vehicle_zone", "zone_area"):
-            test = known(name).isin(_allowed(value))
+            test = within(name, _allowed(value))
         elif name == "min_defects":
-            test = F.coalesce(F.col("total_defects"), F.lit(0)) >= value
+            test = F.col("total_defects") >= value
+            test = test if value > 0 else test | F.col("total_defects").isNull()
         elif name == "max_defects":
-            test = F.coalesce(F.col("total_defects"), F.lit(0)) <= value
+            test = F.col("total_defects") <= value
+            test = test if value < 0 else test | F.col("total_defects").isNull()
         elif name == "has_damage":
             test = F.col("has_damage") == value
         elif name == "category":
@@ -445,7 +453,7 @@ def first_queries(df: DataFrame, n: int | None, key: str = "query_id") -> DataFr
 
 def assert_filters(results: DataFrame, filters: dict, form: str = "crop") -> DataFrame:
     """Rows, rows that break the filter, and whether all satisfy it."""
-    bad = F.count_if(~filter_condition(filters, form))
+    bad = F.count_if(~F.coalesce(filter_condition(filters, form), F.lit(False)))
     return results.agg(F.count(F.lit(1)).alias("n_rows"), bad.alias("n_violations")).withColumn(
         "holds", F.col("n_violations") == 0
     )

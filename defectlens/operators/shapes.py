@@ -31,9 +31,15 @@ def polygons_only(shapes: DataFrame, drop_odd_label: bool = False) -> DataFrame:
     return kept.filter(F.col("label") != ODD_LABEL) if drop_odd_label else kept
 
 
-def with_boxes(shapes: DataFrame, points: str = "points") -> DataFrame:
-    """Integer box columns from the polygon points."""
-    boxed = shapes.withColumn("_box", G.bbox_from_points(F.col(points)))
+def with_boxes(shapes: DataFrame, points: str = "points", late: bool = False) -> DataFrame:
+    """Integer box columns from the polygon points.
+
+    Points are truncated before min/max; with ``late`` the extremes are
+    truncated afterwards and clamped to the image, as the tile plan does.
+    """
+    p = F.col(points)
+    box = G.bbox_from_points_late(p, F.col("image_w"), F.col("image_h")) if late else G.bbox_from_points(p)
+    boxed = shapes.withColumn("_box", box)
     return boxed.select("*", *[F.col(f"_box.{c}") for c in CORNERS]).drop("_box")
 
 

@@ -49,6 +49,11 @@ def _(v):
     return S.with_boxes(v.points).select("image_id", "shape_idx", *[big(c) for c in S.CORNERS])
 
 
+@query("p4_bbox_late", "SELECT image_id, shape_idx, x_min, y_min, x_max, y_max FROM fx_polygons")
+def _(v):
+    return S.with_boxes(v.points, late=True).select("image_id", "shape_idx", *[big(c) for c in S.CORNERS])
+
+
 @query(
     "p5_clamp_bbox",
     """SELECT image_id, shape_idx, greatest(0, x_min - 1300)::bigint AS x_min, greatest(0, y_min - 1000)::bigint AS y_min,

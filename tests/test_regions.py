@@ -213,3 +213,9 @@ def test_mixed_plan_grids_only_unannotated_images(spark):
     plan = R.plan_regions(images, boxes, "mixed", annotated=annotated)
     got = {r.image_id: (r.generation_method, r.vehicle_zone) for r in plan.collect()}
     assert got == {1: ("clustered_defects", "1"), 2: ("grid_masked_polygon", "2")}
+
+
+def test_unknown_names_fail_instead_of_going_missing(spark):
+    boxes = frame(spark, [(1, 0, "1", "rust", 5, 5, 60, 60, 3264, 2448)])
+    with pytest.raises(Exception, match="holds values outside"):
+        R.plan_clusters(boxes)[1].select("type_counts").collect()

@@ -164,3 +164,26 @@ def test_rerank_weights(spark):
     hits = spark.createDataFrame([(1, 7, 0.9, False), (1, 8, 0.8, True)], "query_id long, id long, s double, m boolean")
     got = Q.rerank(hits, F.col("s"), F.col("m"), F.lit(0.0)).orderBy("new_rank").collect()
     assert [r.id for r in got] == [8, 7] and got[0].score == pytest.approx(0.73)
+
+
+def test_filters_reach_the_scan(spark, tmp_path):
+    x = RNG.standard_normal((20, 4))
+    vectors(spark, x, "id", vehicle_zone=[str(i % 4) for i in range(20)], has_damage=[i % 2 == 0 for i in range(20)]).write.parquet(str(tmp_path / "v"))
+    corpus = spark.read.parquet(str(tmp_path / "v"))
+    cond = Q.filter_condition({"vehicle_zone": ["1", "2"], "has_damage": True})
+    plan = corpus.filter(cond).select("id")._jdf.queryExecution().executedPlan().toString()
+    assert "In(vehicle_zone, [1,2])" in plan and "EqualTo(has_damage,true)" in plan
+    assert "embedding" not in plan.split("ReadSchema")[1]
+
+
+def test_missing_values_in_filters(spark):
+    df = spark.createDataFrame([(1, None, None), (2, "unknown", 3), (3, "4", 0)], "id long, vehicle_zone string, total_defects long")
+    ids = lambda f: sorted(r.id for r in df.filter(Q.filter_condition(f, "image")).collect())
+    assert ids({"vehicle_zone": "unknown"}) == [1, 2] and ids({"vehicle_zone": ["4"]}) == [3]
+    assert ids({"min_defects": 0}) == [1, 2, 3] and ids({"min_defects": 1}) == [2] and ids({"max_defects": 2}) == [1, 3]
+    assert tuple(Q.assert_filters(df, {"vehicle_zone": "4"}, "image").first()) == (3, 2, False)
+
+
+def test_image_form_uses_raw_types_only_without_normalised_ones(spark):
+    df = spark.createDataFrame([(1, ["Dent"], ["dent"]), (2, [], ["Dent"]), (3, None, None)], "id long, damage_types array<string>, defect_types array<string>")
+    assert [r.id for r in df.filter(Q.filter_condition({"damage_type": "Dent"}, "image")).collect()] == [1, 2]
