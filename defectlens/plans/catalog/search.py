@@ -181,10 +181,9 @@ def _(v):
     return Q.zero_distance_matches(train, test).select("query_id", "id")
 
 
-@query("w1_topk_per_query", "SELECT query_id, id, rank FROM fx_results WHERE rank <= 3 AND config = 'visual_high'")
+@query("w1_topk_per_query", "SELECT config, query_id, id, rank FROM fx_results WHERE rank <= 3")
 def _(v):
-    high = v.results.filter("config = 'visual_high'").drop("rank")
-    return Q.top_k(high, ["query_id"], 3).select("query_id", "id", "rank")
+    return Q.top_k(v.results.drop("rank"), ["config", "query_id"], 3).select("config", "query_id", "id", "rank")
 
 
 # -- encoding ------------------------------------------------------------------------
