@@ -165,8 +165,7 @@ def knn(
     elif by:
         found = _block_join(_per_group(q, c, by), c, by, k, exclude_self, broadcast_bytes)
     else:
-        one = lambda df: df.withColumn("_all", F.lit(0))
-        found = _block_join(one(q), one(c), "_all", k, exclude_self, broadcast_bytes).drop("_all")
+        found = _block_join(q, c, None, k, exclude_self, broadcast_bytes)
     return top_k(found, _groups(by), k)
 
 
@@ -235,7 +234,7 @@ def _scan_queries(q, c, k, by, exclude_self, names, schema) -> DataFrame:
     return q.mapInArrow(scan, schema)
 
 
-def _block_join(q: DataFrame, c: DataFrame, group: str, k: int, exclude_self: bool, block_bytes: int) -> DataFrame:
+def _block_join(q: DataFrame, c: DataFrame, group: str | None, k: int, exclude_self: bool, block_bytes: int) -> DataFrame:
     """Search inside each group with both sides cut into blocks of bounded size.
 
     A group of any size (one cell with a third of the corpus, say) becomes
@@ -245,21 +244,29 @@ def _block_join(q: DataFrame, c: DataFrame, group: str, k: int, exclude_self: bo
     spark = c.sparkSession
     dim = c.agg(F.coalesce(F.max(F.size("_v")), F.lit(1))).first()[0]
     rows = max(k, block_bytes // (dim * 8))
-    # one row per group: bounded by the number of cells or configurations
-    sizes = (
-        c.groupBy(group).agg(F.count(F.lit(1)).alias("_nc"))
-        .join(q.groupBy(group).agg(F.count(F.lit(1)).alias("_nq")), group)
-        .select(group, F.ceil(F.col("_nc") / rows).alias("_cs"), F.ceil(F.col("_nq") / rows).alias("_qs"))
-    )
-    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
-    part = lambda key, n: F.pmod(F.xxhash64(key), F.col(n))
-    left = q.join(sizes, group).withColumns({"_qb": part("query_id", "_qs")}).withColumn("_cb", spread("_cs"))
-    right = c.join(sizes, group).withColumns({"_cb": part("id", "_cs")}).withColumn("_qb", spread("_qs"))
-    keys = [group, "_cb", "_qb"]
+    if group is None:
+        blocks = lambda df: F.lit(max(1, -(-df.count() // rows)))
+        corpus_blocks, query_blocks = blocks(c), blocks(q)
+        keys = ["_cb", "_qb"]
+    else:
+        # one row per group: a cell, a configuration or an image
+        sizes = (
+            c.groupBy(group).agg(F.count(F.lit(1)).alias("_nc"))
+            .join(q.groupBy(group).agg(F.count(F.lit(1)).alias("_nq")), group)
+            .select(group, F.ceil(F.col("_nc") / rows).alias("_cs"), F.ceil(F.col("_nq") / rows).alias("_qs"))
+        )
+        q, c = q.join(sizes, group), c.join(sizes, group)
+        corpus_blocks, query_blocks = F.col("_cs"), F.col("_qs")
+        keys = [group, "_cb", "_qb"]
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n.cast("bigint") - 1))
+    part = lambda key, n: F.pmod(F.xxhash64(key), n)
+    left = q.withColumn("_qb", part("query_id", query_blocks)).withColumn("_cb", spread(corpus_blocks))
+    right = c.withColumn("_cb", part("id", corpus_blocks)).withColumn("_qb", spread(query_blocks))
     types = {**dict(left.dtypes), **dict(c.dtypes)}
-    schema = f"`{group}` {types[group]}, query_id {types['query_id']}, id {types['id']}, distance double"
+    names = [*([group] if group else []), "query_id", "id", "distance"]
+    types["distance"] = "double"
+    schema = ", ".join(f"`{n}` {types[n]}" for n in names)
     arrow = arrow_schema(schema, spark)
-    names = [group, "query_id", "id", "distance"]
 
     def search(key, a: pa.Table, b: pa.Table) -> pa.Table:
         if a.num_rows == 0 or b.num_rows == 0:
@@ -268,7 +275,7 @@ def _block_join(q: DataFrame, c: DataFrame, group: str, k: int, exclude_self: bo
         ids, x = _ids(b["id"]), _matrix(b["_v"])
         for s in range(0, len(ids), 10_000):
             top.add(ids[s : s + 10_000], x[s : s + 10_000])
-        return pa.Table.from_batches([top.batch(names, arrow, **{group: key[0].as_py()})])
+        return pa.Table.from_batches([top.batch(names, arrow, **({group: key[0].as_py()} if group else {}))])
 
     a = left.select(*keys, "query_id", "_v").groupBy(*keys)
     b = right.select(*keys, "id", "_v").groupBy(*keys)
