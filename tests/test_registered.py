@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from defectlens.plans import registry
 from tools.check import compare, connect
 
 CHECKS = entry.oracle_sql()
-NAMES = list(entry.queries())
+NAMES = list(registry.callables())
 
 
 @pytest.fixture(scope="module")
