@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, quality, url_filter
+from . import license_scan, packing, quality, token_files, url_filter
 from .common import ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,22 @@ judged AS (SELECT f.* EXCLUDE (n_words, word_chars, n_symbols, n_dup_lines, n_re
 def _op10(table) -> DataFrame:
     judged = quality.judge(table("documents").select("doc_id", "text", "source"))
     return judged.select("row.doc_id", "m.*", "base_failed", "kept")
+
+
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op2_packing")
+def _op2(table) -> DataFrame:
+    return packing.digests(packing.pack(table("documents"), _tokenizer("byte_bpe_50k.json")))
+
+
+@query("op6_token_files")
+def _op6(table) -> DataFrame:
+    docs = table("documents")
+    path = token_files.shared_path(docs.sparkSession)
+    token_files.write_tokens(docs, path, _tokenizer("word_bpe_49k.json"))
+    return token_files.read_tokens(docs.sparkSession, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
