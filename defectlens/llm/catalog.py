@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, packing, quality, token_files, url_filter
+from . import license_scan, line_dedup, ngram_join, packing, quality, token_files, url_filter
 from .common import ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,3 +148,14 @@ def _op6(table) -> DataFrame:
     path = token_files.shared_path(docs.sparkSession)
     token_files.write_tokens(docs, path, _tokenizer("word_bpe_49k.json"))
     return token_files.read_tokens(docs.sparkSession, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op8_line_dedup")
+def _op8(table) -> DataFrame:
+    report = line_dedup.line_report(table("documents"))
+    return report.select("doc_id", "n_lines", F.size("dropped").cast("bigint").alias("n_dropped"), F.array_join("dropped", ",").alias("dropped"))
+
+
+@query("op9_ngram_join")
+def _op9(table) -> DataFrame:
+    return ngram_join.classify(table("documents")).drop("node")
