@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, line_dedup, ngram_join, packing, quality, token_files, url_filter
+from . import decontaminate, license_scan, line_dedup, ngram_join, packing, quality, token_files, url_filter
 from .common import ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,3 +159,8 @@ def _op8(table) -> DataFrame:
 @query("op9_ngram_join")
 def _op9(table) -> DataFrame:
     return ngram_join.classify(table("documents")).drop("node")
+
+
+@query("op3_decontamination")
+def _op3(table) -> DataFrame:
+    return decontaminate.find_leaks(table("documents"), table("benchmark"))
