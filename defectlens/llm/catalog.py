@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, line_dedup, ngram_join, packing, quality, token_files, url_filter
+from . import chunk_dedup, decontaminate, license_scan, line_dedup, ngram_join, packing, quality, token_files, url_filter
 from .common import ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -164,3 +164,10 @@ def _op9(table) -> DataFrame:
 @query("op3_decontamination")
 def _op3(table) -> DataFrame:
     return decontaminate.find_leaks(table("documents"), table("benchmark"))
+
+
+@query("op7_substring_dedup")
+def _op7(table) -> DataFrame:
+    passages = chunk_dedup.repeated_passages(table("documents"))
+    start = F.col("start").cast("bigint")
+    return passages.select("doc_id", start.alias("start_word"), (F.col("end") - F.col("start")).cast("bigint").alias("n_words"), F.col("firsts").alias("first_doc_ids"))
