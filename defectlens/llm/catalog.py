@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, decontaminate, license_scan, line_dedup, ngram_join, packing, quality, token_files, url_filter
+from . import chunk_dedup, decontaminate, license_scan, line_dedup, ngram_join, packing, pii, quality, token_files, url_filter
 from .common import ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -171,3 +171,11 @@ def _op7(table) -> DataFrame:
     passages = chunk_dedup.repeated_passages(table("documents"))
     start = F.col("start").cast("bigint")
     return passages.select("doc_id", start.alias("start_word"), (F.col("end") - F.col("start")).cast("bigint").alias("n_words"), F.col("firsts").alias("first_doc_ids"))
+
+
+@query("op4_pii")
+def _op4(table) -> DataFrame:
+    found = pii.find(table("documents"))
+    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    joined = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    return found.select("doc_id", *[count(k) for k in pii.KINDS[:4]], F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
