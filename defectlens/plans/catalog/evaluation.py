@@ -162,11 +162,16 @@ def _(v):
 
 @query(
     "e9_by_embedding",
-    """SELECT 'visual' AS embedding_type, count(*) AS n_configs, round(avg(recall_at_5), 6) AS mean_recall_at_5, round(avg(mrr), 6) AS mean_mrr,
-              round(avg(avg_total_time_ms), 6) AS mean_latency_ms, true AS is_best_recall, 0.0::double AS recall_gap, 1.0::double AS speed_up FROM fx_metrics""",
+    """WITH m AS (SELECT 'visual' AS embedding_type, config, recall_at_5, mrr, avg_total_time_ms FROM fx_metrics UNION ALL
+                  SELECT 'text', 'text_' || density, recall_at_5, mrr, avg_total FROM fx_text_metrics JOIN (
+                    SELECT density, avg(value / length('text_' || density)) + avg(value * 3) AS avg_total
+                    FROM events CROSS JOIN (VALUES ('high'), ('medium'), ('low')) d(density) GROUP BY density) USING (density)),
+            t AS (SELECT embedding_type, count(*) AS n_configs, avg(recall_at_5) AS a, avg(mrr) AS b, avg(avg_total_time_ms) AS c FROM m GROUP BY embedding_type)
+       SELECT embedding_type, n_configs, round(a, 6) AS mean_recall_at_5, round(b, 6) AS mean_mrr, round(c, 6) AS mean_latency_ms,
+              a = max(a) OVER () AS is_best_recall, round(max(a) OVER () - a, 6) AS recall_gap, round(max(c) OVER () / c, 6) AS speed_up FROM t""",
 )
 def _(v):
-    out = E.by_embedding(v.metrics)
+    out = E.by_embedding(v.metrics_both)
     plain = ["embedding_type", "n_configs", "is_best_recall"]
     return out.select(*[c if c in plain else r(c) for c in out.columns])
 
@@ -217,12 +222,22 @@ _FIRST = "SELECT config, query_id, row_number() OVER (PARTITION BY config ORDER
 
 @query(
     "e14_detail_rows",
-    f"""SELECT j.config, f.query_no, j.query_id, j.expected_type, j.rank, j.retrieved_type, j.is_match, round(j.distance, 6) AS distance
-        FROM fx_judged j JOIN ({_FIRST}) f ON f.config = j.config AND f.query_id = j.query_id WHERE f.query_no <= 3""",
+    f"""SELECT j.config, f.query_no, j.query_id, j.expected_type, j.rank, j.retrieved_type, j.is_match, round(j.distance, 6) AS distance,
+              round(t.r, 6) AS retrieval_time_ms, round(t.g, 6) AS generation_time_ms,
+              CASE j.query_id % 4 WHEN 0 THEN 'fenced' WHEN 1 THEN 'fenced' WHEN 2 THEN 'plain' ELSE 'broken' END AS answer_form
+        FROM fx_judged j JOIN ({_FIRST}) f ON f.config = j.config AND f.query_id = j.query_id
+        JOIN (SELECT config, query_id, avg(retrieval_time_ms) AS r, avg(generation_time_ms) AS g FROM fx_run_log GROUP BY ALL) t
+          ON t.config = j.config AND t.query_id = j.query_id
+        JOIN (SELECT DISTINCT image_id FROM fx_boxes) b ON b.image_id = j.query_id WHERE f.query_no <= 3""",
 )
 def _(v):
-    return E.detail_rows(_judged(v)).select(
-        "config", big("query_no"), "query_id", "expected_type", "rank", "retrieved_type", "is_match", r("distance")
+    answers = v.answers.withColumnRenamed("case_id", "query_id")
+    rows = E.detail_rows(_judged(v), 3, v.run_log, answers).filter(F.col("generated_answer").isNotNull())
+    text = F.col("generated_answer")
+    form = F.when(F.startswith(text, F.lit("```")), "fenced").when(F.startswith(text, F.lit("{")), "plain").otherwise("broken")
+    return rows.select(
+        "config", big("query_no"), "query_id", "expected_type", "rank", "retrieved_type", "is_match", r("distance"),
+        r("retrieval_time_ms"), r("generation_time_ms"), form.alias("answer_form"),
     )
 
 
@@ -231,17 +246,25 @@ def _(v):
     return E.first_per_group(_judged(v), 3).select("config", "query_id", big("query_no")).distinct()
 
 
+def _ndcg_sql(k: int) -> str:
+    return (
+        f"round(avg(CASE WHEN expected_type IS NOT NULL THEN CASE WHEN hits > 0 THEN dcg_{k} / "
+        f"list_sum(list_transform(range(1, least(hits, {k}) + 1), lambda i: 1.0::double / log2(i + 1))) ELSE 0 END END), 6) AS ndcg_at_{k}"
+    )
+
+
 @query(
     "e15_ndcg",
-    """SELECT config, round(avg(CASE WHEN expected_type IS NOT NULL THEN CASE WHEN ideal > 0 THEN dcg / ideal ELSE 0 END END), 6) AS ndcg_at_5,
-              round(avg(CASE WHEN expected_type IS NOT NULL THEN (hits > 0)::int END), 6) AS recall_at_10 FROM (
-         SELECT config, query_id, expected_type, count(*) FILTER (is_match) AS hits, coalesce(sum(CASE WHEN is_match THEN 1.0::double / log2(rank + 1) END), 0) AS dcg,
-                list_sum(list_transform(range(1, count(*) FILTER (is_match) + 1), lambda i: 1.0::double / log2(i + 1))) AS ideal
-         FROM fx_judged GROUP BY config, query_id, expected_type) GROUP BY config""",
+    f"""SELECT config, {_ndcg_sql(5)}, {_ndcg_sql(10)}, round(avg(CASE WHEN expected_type IS NOT NULL THEN (hits > 0)::int END), 6) AS recall_at_10,
+              round(avg(CASE WHEN expected_type IS NOT NULL THEN hits / 10.0::double END), 6) AS precision_at_10 FROM (
+         SELECT config, query_id, expected_type, count(*) FILTER (is_match) AS hits,
+                coalesce(sum(1.0::double / log2(rank + 1)) FILTER (is_match AND rank <= 5), 0) AS dcg_5,
+                coalesce(sum(1.0::double / log2(rank + 1)) FILTER (is_match), 0) AS dcg_10
+         FROM fx_judged10 GROUP BY config, query_id, expected_type) GROUP BY config""",
 )
 def _(v):
-    out = E.retrieval_metrics(_judged(v), ks=(1, 3, 5, 10), ndcg=(5, 10))
-    return out.select("config", r("ndcg_at_5"), r("recall_at_10"))
+    out = E.retrieval_metrics(E.judged(v.results10, v.truth), ks=(1, 3, 5, 10), ndcg=(5, 10))
+    return out.select("config", *[r(c) for c in ("ndcg_at_5", "ndcg_at_10", "recall_at_10", "precision_at_10")])
 
 
 @query(

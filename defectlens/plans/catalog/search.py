@@ -60,19 +60,85 @@ def _(v):
     return hits.select("query_id", "rank", "id", r("distance"))
 
 
-@query("v9_ivf_probe")
+def _probed_sql(nprobe: int) -> str:
+    return f"""SELECT query_id, rank, id, round(distance, 6) AS distance FROM (
+        SELECT p.query_id, p.id, p.distance, row_number() OVER (PARTITION BY p.query_id ORDER BY p.distance, p.id) AS rank
+        FROM fx_pairs p JOIN fx_cells c ON c.id = p.id AND c.near = 1 JOIN fx_cells q ON q.id = p.query_id AND q.cell = c.cell AND q.near <= {nprobe}
+        WHERE p.query_id <> p.id) WHERE rank <= 5"""
+
+
+@query("v9_ivf_probe", _probed_sql(4))
+def _(v):
+    hits = Q.ann_knn(v.queries, v.vectors, 5, "ivf", nprobe=4, exclude_self=True, centers=v.centers)
+    return hits.select("query_id", "rank", "id", r("distance"))
+
+
+def stored_index(v):
+    """The vectors as an index in the shared folder: (index, centres)."""
+    from ...sources import tables as T
+    from .scans import scratch
+
+    folder = scratch(v.spark)
+    cells, centers = Q.build_ivf(v.vectors, v.centers)
+    T.save_index(cells.withColumn("config", F.lit("all")), centers.select("cell"), folder, "cell")
+    T.save_centers(centers, folder)
+    return T.read_index(v.spark, folder, "all"), T.read_centers(v.spark, folder)
+
+
+@query("v9_stored_index", _probed_sql(2))
+def _(v):
+    hits = Q.search_index(v.queries, *stored_index(v), 5, nprobe=2, exclude_self=True)
+    return hits.select("query_id", "rank", "id", r("distance"))
+
+
+# Sign hashes whose directions follow from a rule, so that other engines can compute them.
+LSH_TABLES, LSH_BITS = 24, 4
+
+
+def _planes(dim: int, n: int):
+    import numpy as np
+
+    i, d = np.arange(1, n + 1)[None, :], np.arange(1, dim + 1)[:, None]
+    return ((i * 7919 + d * 104729 + i * d * 31337) % 1009 - 504).astype(float)
+
+
+_CODES = f"""codes AS (SELECT id, t, sum(CASE WHEN s > 0 THEN 1 << b ELSE 0 END) AS code FROM (
+    SELECT id, (i - 1) // {LSH_BITS} AS t, ((i - 1) % {LSH_BITS})::int AS b, sum(x * ((i * 7919 + d * 104729 + i * d * 31337) % 1009 - 504)) AS s
+    FROM (SELECT id, unnest(embedding)::double AS x, unnest(range(1, 65)) AS d FROM fx_vectors) CROSS JOIN range(1, {LSH_TABLES * LSH_BITS + 1}) r(i)
+    GROUP BY id, i) GROUP BY id, t),
+  meet AS (SELECT DISTINCT a.id AS query_id, b.id FROM codes a JOIN codes b USING (t, code) WHERE a.id <> b.id)"""
+_LSH_TOP = """SELECT p.query_id, p.id, p.distance, row_number() OVER (PARTITION BY p.query_id ORDER BY p.distance, p.id) AS rank
+    FROM fx_pairs p JOIN meet m ON m.query_id = p.query_id AND m.id = p.id"""
+
+
+def _lsh(v):
+    planes = _planes(64, LSH_TABLES * LSH_BITS)
+    return Q.ann_knn(v.queries, v.vectors, 5, "lsh", tables=LSH_TABLES, bits=LSH_BITS, exclude_self=True, planes=planes)
+
+
+@query("v9_lsh", f"WITH {_CODES} SELECT query_id, rank, id, round(distance, 6) AS distance FROM ({_LSH_TOP}) WHERE rank <= 5")
 def _(v):
-    return Q.ann_knn(v.queries, v.vectors, 5, "ivf", n_cells=16, nprobe=4, exclude_self=True)
+    return _lsh(v).select("query_id", "rank", "id", r("distance"))
 
 
-@query("v9_lsh")
+@query(
+    "v9_recall",
+    f"""WITH {_CODES}, ivf AS ({_probed_sql(9)}), lsh AS (SELECT * FROM ({_LSH_TOP}) WHERE rank <= 5)
+        SELECT method, n_exact, n_found, round(n_found / n_exact::double, 6) AS recall, n_found >= 0.9 * n_exact AS is_enough FROM (
+          SELECT 'ivf' AS method, count(*) AS n_exact, count(i.id) AS n_found FROM fx_top5 e LEFT JOIN ivf i ON i.query_id = e.query_id AND i.id = e.id
+          UNION ALL SELECT 'lsh', count(*), count(i.id) FROM fx_top5 e LEFT JOIN lsh i ON i.query_id = e.query_id AND i.id = e.id)""",
+)
 def _(v):
-    return Q.ann_knn(v.queries, v.vectors, 5, "lsh", exclude_self=True)
+    exact = self_free_top5(v)
+    found = {"ivf": Q.ann_knn(v.queries, v.vectors, 5, "ivf", nprobe=9, exclude_self=True, centers=v.centers), "lsh": _lsh(v)}
+    rows = [Q.recall_of(f, exact).withColumn("method", F.lit(m)) for m, f in found.items()]
+    out = rows[0].unionByName(rows[1])
+    return out.select("method", "n_exact", "n_found", r("recall"), (F.col("recall") >= 0.9).alias("is_enough"))
 
 
-@query("v10_index_self_check", "SELECT count(*) AS n_checked, 0::bigint AS n_failed FROM fx_vectors")
+@query("v10_index_self_check", "SELECT count(*) AS n_checked, 0::bigint AS n_failed, 0.0::double AS max_distance FROM fx_vectors")
 def _(v):
-    return Q.index_self_check(v.vectors, None).select("n_checked", "n_failed")
+    return Q.index_self_check(v.vectors, *stored_index(v), None).select("n_checked", "n_failed", r("max_distance"))
 
 
 @query("v16_choose_profile", "SELECT count(*) AS n_vectors, CASE WHEN count(*) < 10000 THEN 'poc' WHEN count(*) < 100000 THEN 'production' ELSE 'large_scale' END AS profile FROM fx_vectors")
@@ -174,11 +240,10 @@ def _(v):
 
 @query(
     "j7_zero_distance_leakage",
-    "SELECT p.query_id, p.id FROM fx_pairs p JOIN fx_vectors a ON a.id = p.query_id JOIN fx_vectors b ON b.id = p.id WHERE a.density = 'high' AND b.density <> 'high' AND p.distance <= 1e-12",
+    "SELECT t.id AS query_id, min(v.id) AS id FROM fx_leaked t JOIN fx_vectors v ON v.embedding = t.embedding WHERE v.density <> 'high' GROUP BY t.id",
 )
 def _(v):
-    test, train = v.vectors.filter("density = 'high'"), v.vectors.filter("density <> 'high'")
-    return Q.zero_distance_matches(train, test).select("query_id", "id")
+    return Q.zero_distance_matches(v.vectors.filter("density <> 'high'"), v.leaked)
 
 
 @query("w1_topk_per_query", "SELECT config, query_id, id, rank FROM fx_results WHERE rank <= 3")

@@ -165,9 +165,38 @@ CTES = {
                coalesce({bench('r.retrieved_type')} = {bench('t.expected_type')} AND t.expected_type IS NOT NULL AND r.retrieved_type IS NOT NULL, false) AS is_match
         FROM fx_truth t LEFT JOIN fx_results r ON r.config = t.config AND r.query_id = t.query_id""",
     "fx_run_log": """
-        SELECT 'visual_' || d.density AS config, v.id AS query_id, e.value / length('visual_' || d.density) AS retrieval_time_ms,
-               e.value * 3 AS generation_time_ms
-        FROM fx_vectors v JOIN events e ON e.event_id = v.id CROSS JOIN (VALUES ('high'), ('medium'), ('low')) d(density)""",
+        SELECT 'visual_' || d.density AS config, e.event_id % (SELECT count(*) FROM embeddings) AS query_id,
+               e.value / length('visual_' || d.density) AS retrieval_time_ms, e.value * 3 AS generation_time_ms
+        FROM events e CROSS JOIN (VALUES ('high'), ('medium'), ('low')) d(density)""",
+    "fx_results10": """
+        SELECT 'visual_' || r.density AS config, r.query_id, r.id, r.distance, r.rank, v.label_raw AS retrieved_type FROM (
+          SELECT *, row_number() OVER (PARTITION BY density, query_id ORDER BY distance, id) AS rank FROM fx_pairs WHERE query_id <> id) r
+        JOIN fx_vectors v ON v.id = r.id WHERE r.rank <= 10""",
+    "fx_judged10": f"""
+        SELECT t.config, t.query_id, t.expected_type, r.rank,
+               coalesce({bench('r.retrieved_type')} = {bench('t.expected_type')} AND t.expected_type IS NOT NULL AND r.retrieved_type IS NOT NULL, false) AS is_match
+        FROM fx_truth t LEFT JOIN fx_results10 r ON r.config = t.config AND r.query_id = t.query_id""",
+    "fx_text_metrics": f"""
+        SELECT density, avg(CASE WHEN expected_type IS NOT NULL THEN (hits > 0)::int END) AS recall_at_5,
+               avg(CASE WHEN expected_type IS NOT NULL THEN coalesce(1.0::double / first_hit, 0) END) AS mrr FROM (
+          SELECT density, query_id, expected_type, count(*) FILTER (is_match) AS hits, min(CASE WHEN is_match THEN rank END) AS first_hit FROM (
+            SELECT p.density, p.query_id, p.rank, nullif(CASE WHEN q.label_raw = 'unknown' THEN '' ELSE q.label_raw END, '') AS expected_type,
+                   coalesce({bench('c.label_raw')} = {bench('q.label_raw')} AND q.label_raw <> 'unknown', false) AS is_match
+            FROM (SELECT *, row_number() OVER (PARTITION BY density, query_id ORDER BY distance, id) AS rank FROM (
+                    SELECT q.id AS query_id, c.id, c.density, {l2sq('q.embedding[33:64]', 'c.embedding[33:64]')} AS distance
+                    FROM fx_vectors q JOIN fx_vectors c ON q.id <> c.id)) p
+            JOIN fx_vectors q ON q.id = p.query_id JOIN fx_vectors c ON c.id = p.id WHERE p.rank <= 5)
+          GROUP BY ALL) GROUP BY density""",
+    "fx_centers": """
+        SELECT label AS cell, list(m ORDER BY d) AS center FROM (
+          SELECT label, d, avg(x) AS m FROM (SELECT label, unnest(embedding)::double AS x, unnest(range(1, 65)) AS d FROM embeddings) GROUP BY label, d)
+        GROUP BY label""",
+    "fx_cells": f"""
+        SELECT v.id, c.cell, row_number() OVER (PARTITION BY v.id ORDER BY {l2sq('v.embedding', 'c.center')}, c.cell) AS near
+        FROM fx_vectors v CROSS JOIN fx_centers c""",
+    "fx_leaked": """
+        SELECT id, embedding FROM fx_vectors WHERE density = 'high' UNION ALL
+        SELECT id + 1000000, embedding FROM fx_vectors WHERE density <> 'high' AND id % 7 = 0""",
     "fx_per_query": """
         SELECT config, query_id, expected_type, count(*) FILTER (is_match AND rank <= 1) AS hits_1,
                count(*) FILTER (is_match AND rank <= 3) AS hits_3, count(*) FILTER (is_match AND rank <= 5) AS hits_5,
@@ -213,7 +242,7 @@ def compose(sql: str) -> str:
     need(sql)
     if not done:
         return sql
-    heavy = {"fx_pairs", "fx_results", "fx_judged", "fx_metrics"}
+    heavy = {"fx_pairs", "fx_cells", "fx_results", "fx_judged", "fx_metrics"}
     parts = ",\n".join(f"{n} AS {'MATERIALIZED ' if n in heavy else ''}({t})" for n, t in done.items())
     own = re.match(r"\s*WITH\s+(RECURSIVE\s+)?", sql)
     if own:  # the statement has CTEs of its own: one list for all

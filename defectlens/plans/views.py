@@ -195,6 +195,56 @@ class Views:
         hits = knn(self.queries, corpus, 5, by="config", exclude_self=True)
         return hits.join(self.vectors.select("id", F.col("label_raw").alias("retrieved_type")), "id")
 
+    @cached_property
+    def results10(self) -> DataFrame:
+        """As ``results``, ten deep."""
+        from ..operators.search import knn
+
+        corpus = self.vectors.withColumn("config", F.concat_ws("_", F.lit("visual"), "density"))
+        hits = knn(self.queries, corpus, 10, by="config", exclude_self=True)
+        return hits.join(self.vectors.select("id", F.col("label_raw").alias("retrieved_type")), "id")
+
+    @cached_property
+    def metrics_both(self) -> DataFrame:
+        """Metric rows of the whole vectors and of their text halves."""
+        from .evaluate import evaluate_configs
+        from ..sources.tables import list_configs
+
+        corpora = self.configs_vectors.select("config", "id", "embedding", F.col("label_raw").alias("retrieved_type"))
+        configs = list_configs(self.configs_vectors, EMBEDDING_TYPES, DENSITIES)
+        truth = self.truth.select("query_id", "expected_type").distinct()
+        halves = self.parts.select(F.col("id").alias("query_id"), F.col("text_part").alias("embedding"))
+        out = [evaluate_configs(configs, corpora, q, truth, exclude_self=True, run_log=self.run_log_both) for q in (self.queries.select("query_id", "embedding"), halves)]
+        return out[0].unionByName(out[1])
+
+    @cached_property
+    def centers(self) -> DataFrame:
+        """Mean vector of each label: cells that other engines can compute as well."""
+        parts = self.table("embeddings").select("label", F.posexplode("embedding").alias("d", "x"))
+        means = parts.groupBy("label", "d").agg(F.avg(F.col("x").cast("double")).alias("m"))
+        listed = means.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("d", "m"))).alias("p"))
+        return listed.select(F.col("label").cast("bigint").alias("cell"), F.transform("p", lambda p: p["m"]).alias("center"))
+
+    @cached_property
+    def leaked(self) -> DataFrame:
+        """Test vectors: those of high density, and copies of every seventh of the others."""
+        copies = self.vectors.filter("density <> 'high' AND id % 7 = 0").withColumn("id", F.col("id") + 1_000_000)
+        return self.vectors.filter("density = 'high'").unionByName(copies)
+
+    @cached_property
+    def damaged_vectors(self) -> DataFrame:
+        """The vectors, some of them missing, zero, NaN or infinite."""
+        n = F.col("id") % 11
+        bad = lambda x: F.transform("embedding", lambda e, i: F.when(i == 3, F.lit(x).cast("float")).otherwise(e))
+        vector = (
+            F.when(n == 1, F.lit(None).cast("array<float>"))
+            .when(n == 2, F.transform("embedding", lambda e: F.lit(0.0).cast("float")))
+            .when(n == 3, bad(float("nan")))
+            .when(n == 4, bad(float("inf")))
+            .otherwise(F.col("embedding"))
+        )
+        return self.vectors.withColumn("embedding", vector)
+
     @cached_property
     def truth(self) -> DataFrame:
         """Expected type of each query under each configuration; vectors of label 8 have none."""
@@ -204,11 +254,19 @@ class Views:
 
     @cached_property
     def run_log(self) -> DataFrame:
-        """Recorded times of each (configuration, query): the event values."""
-        names = F.array(*[F.lit(f"visual_{d}") for d in DENSITIES])
-        events = self.table("events").select(F.col("event_id").alias("query_id"), "value")
+        """Recorded times of each (configuration, query): the event values, dealt to the queries in turn."""
+        return self._times("visual")
+
+    @cached_property
+    def run_log_both(self) -> DataFrame:
+        """The recorded times under the configurations of both embedding types."""
+        return self._times("visual").unionByName(self._times("text"))
+
+    def _times(self, embedding_type: str) -> DataFrame:
+        names = F.array(*[F.lit(f"{embedding_type}_{d}") for d in DENSITIES])
+        n = self.queries.agg(F.count(F.lit(1))).scalar()
         return (
-            events.join(self.queries.select("query_id"), "query_id")
+            self.table("events").select(F.pmod("event_id", n).alias("query_id"), "value")
             .withColumn("config", F.explode(names))
             .select(
                 "config",

@@ -43,13 +43,32 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def save_index(df: DataFrame, config: DataFrame, path: str, cell: str | None = None) -> None:
-    """Index table partitioned by configuration (and cell) with its configuration rows beside it."""
+def save_index(df: DataFrame, config: DataFrame, path: str, cell: str | None = None, rows_per_file: int = 1_000_000) -> None:
+    """Index table partitioned by configuration (and cell) with its configuration rows beside it.
+
+    A partition is written by as many tasks as it has files of ``rows_per_file``, so
+    a configuration of any size is not one task.
+    """
     parts = ["config", cell] if cell else ["config"]
-    df.repartition(*parts).write.mode("overwrite").partitionBy(*parts).parquet(f"{path}/vectors")
+    sizes = df.groupBy(*parts).agg(F.ceil(F.count(F.lit(1)) / rows_per_file).cast("int").alias("_files"))
+    salt = F.pmod(F.xxhash64("id"), F.lit(64)).cast("int")
+    spread = sizes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    filed = df.withColumn("_salt", salt).join(spread, [*parts, "_salt"])
+    filed = filed.withColumn("_file", F.pmod(F.xxhash64("id", F.lit(1)), F.col("_files"))).drop("_salt", "_files")
+    dealt = filed.repartition(*parts, "_file").drop("_file")
+    dealt.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy(*parts).parquet(f"{path}/vectors")
     config.write.mode("overwrite").json(f"{path}/config")
 
 
+def save_centers(centers: DataFrame, path: str) -> None:
+    """The cells' centres beside the index they belong to."""
+    centers.write.mode("overwrite").parquet(f"{path}/centers")
+
+
+def read_centers(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/centers")
+
+
 def read_index(spark: SparkSession, path: str, config: str | None = None) -> DataFrame:
     df = spark.read.parquet(f"{path}/vectors")
     return df if config is None else df.filter(F.col("config") == config)

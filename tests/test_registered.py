@@ -25,7 +25,7 @@ def test_query(spark, con, data_dir, name):
 
 
 def test_only_approximate_and_encoded_queries_go_unchecked():
-    assert set(NAMES) - set(CHECKS) == {"v9_ivf_probe", "v9_lsh", "v12_search_hybrid"}
+    assert set(NAMES) - set(CHECKS) == {"v12_search_hybrid"}
 
 
 def test_entry(spark):

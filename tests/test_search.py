@@ -120,11 +120,74 @@ def test_wrong_dimension_fails(spark):
 
 def test_self_check_and_leakage(spark):
     x = RNG.standard_normal((50, 4))
-    assert tuple(Q.index_self_check(vectors(spark, x, "id"), 10).select("n_checked", "n_failed").first()) == (10, 0)
+    index, centers = Q.build_ivf(vectors(spark, x, "id"), n_cells=4)
+    assert tuple(Q.index_self_check(vectors(spark, x, "id"), index, centers, 10).select("n_checked", "n_failed").first()) == (10, 0)
+    part = index.filter("id <> 7").withColumn("cell", F.when(F.col("id") == 9, F.col("cell") + 1).otherwise(F.col("cell")))
+    assert Q.index_self_check(vectors(spark, x, "id"), part, centers, None).first().n_failed == 2
     train, test = vectors(spark, x[:40], "id"), vectors(spark, np.concatenate([x[38:], x[:1]]), "id", list(range(100, 113)))
     assert sorted(r.query_id for r in Q.zero_distance_matches(train, test).collect()) == [100, 101, 112]
 
 
+BAD = [[float("nan"), 1.0, 1.0, 1.0], [float("inf"), 0.0, 0.0, 0.0], [1.0, None, 0.0, 0.0], None]
+
+
+def with_bad(spark, x, key):
+    rows = [(1000 + i, v) for i, v in enumerate(BAD)]
+    return vectors(spark, x, key).unionByName(spark.createDataFrame(rows, f"{key} long, embedding array<float>"))
+
+
+@pytest.mark.parametrize("way", [*WAYS, "ivf", "lsh"])
+def test_vectors_that_are_not_finite_take_no_part(spark, way):
+    q, c = RNG.standard_normal((130, 4)), RNG.standard_normal((150, 4))
+    asked, corpus = with_bad(spark, q, "query_id"), with_bad(spark, c, "id")
+    if way == "lsh":
+        got = Q.ann_knn(asked, corpus, 5, "lsh", tables=1, bits=1, planes=np.zeros((4, 1)))  # one bucket
+    elif way == "ivf":
+        got = Q.ann_knn(asked, corpus, 5, n_cells=4, nprobe=4)
+    else:
+        got = Q.knn(asked, corpus, 5, broadcast_bytes={"scan_corpus": 64 << 20, "scan_queries": 8000, "block_join": 1000}[way])
+    assert answers(got) == brute(q, c, 5, range(130), range(150))
+
+
+@pytest.mark.parametrize("method", ["exact", "ivf", "lsh"])
+def test_other_dimensions_fail(spark, method):
+    x = RNG.standard_normal((20, 4))
+    mixed = vectors(spark, x, "id").unionByName(spark.createDataFrame([(50, [1.0] * 6), (51, [1.0] * 2)], "id long, embedding array<float>"))
+    with pytest.raises(ValueError, match="different dimensions"):
+        Q.search(vectors(spark, x, "query_id"), mixed, 3, method)
+    with pytest.raises(ValueError, match="different dimensions"):
+        Q.search(vectors(spark, x[:, :3], "query_id"), vectors(spark, x, "id"), 3, method)
+
+
+def test_search_is_exact_at_any_size(spark, monkeypatch):
+    monkeypatch.setattr(Q, "SEARCH_PROFILES", [("poc", 10), ("production", 100)])
+    x = RNG.standard_normal((150, 6))
+    assert answers(Q.search(vectors(spark, x, "query_id"), vectors(spark, x, "id"), 4)) == brute(x, x, 4, range(150), range(150))
+
+
+def test_a_third_of_the_corpus_in_one_group(spark):
+    q, c = RNG.standard_normal((40, 4)), RNG.standard_normal((300, 4))
+    names = ["hot" if i % 3 == 0 else f"g{i}" for i in range(300)]
+    hits = Q.knn(vectors(spark, q, "query_id"), vectors(spark, c, "id", config=names), 3, by="config", broadcast_bytes=600)
+    rows = [i for i in range(300) if names[i] == "hot"]
+    assert answers(hits.filter("config = 'hot'")) == brute(q, c[rows], 3, range(40), rows)
+
+
+def test_stored_index_reads_only_probed_cells(spark, tmp_path):
+    from defectlens.sources import tables as T
+
+    centres = RNG.standard_normal((8, 5)) * 5
+    x = centres[RNG.integers(0, 8, 400)] + RNG.standard_normal((400, 5)) * 0.2
+    cells, centers = Q.build_ivf(vectors(spark, x, "id"), n_cells=8)
+    T.save_index(cells.withColumn("config", F.lit("all")), centers.select("cell"), str(tmp_path / "i"), "cell", rows_per_file=50)
+    T.save_centers(centers, str(tmp_path / "i"))
+    index, stored = T.read_index(spark, str(tmp_path / "i"), "all"), T.read_centers(spark, str(tmp_path / "i"))
+    assert answers(Q.search_index(vectors(spark, x, "query_id"), index, stored, 5, nprobe=8)) == brute(x, x, 5, range(400), range(400))
+    few = Q.search_index(vectors(spark, x[:1], "query_id"), index, stored, 5, nprobe=1)
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "cell" in plan.split("PartitionFilters")[1].split("]")[0]
+
+
 def test_two_stage_stays_inside_images(spark):
     x = RNG.standard_normal((20, 4))
     images = vectors(spark, x, "id")
