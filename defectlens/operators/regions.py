@@ -235,17 +235,22 @@ def _nearest_centre_sweep(batches, keys: list[str], dist: int, max_area: int, sc
 # -- clusters around a seed ----------------------------------------------------
 
 
-def cluster_seed(boxes: DataFrame, dist: int = MERGE_DISTANCE, split_above: int = SPLIT_ABOVE) -> DataFrame:
+def cluster_seed(boxes: DataFrame, dist: int = MERGE_DISTANCE) -> DataFrame:
     """Each box joins the earliest seed closer than ``dist``, else becomes one.
 
-    Seeds are at least ``dist`` apart, so their number per image is bounded by
-    the image size. Adds ``seed_idx``.
+    Boxes with one centre share their fate, so only distinct centres are swept,
+    each with its first ``shape_idx``: an image has a bounded number of them, however
+    many boxes it holds. All boxes then get the seed of their centre by a join on
+    image and centre. Adds ``seed_idx``; boxes with equal keys all stay.
     """
-    hot = hot_images(boxes, split_above)
-    if hot is None:
-        return _seed_sweep(boxes, dist)
-    calm = _seed_sweep(boxes.join(hot, "image_id", "left_anti"), dist)
-    return calm.unionByName(_seed_by_cells(boxes.join(hot, "image_id", "left_semi"), dist))
+    spots = boxes.withColumns(
+        {"_sx": (F.col("x_min") + F.col("x_max")).cast("bigint"), "_sy": (F.col("y_min") + F.col("y_max")).cast("bigint")}
+    )
+    firsts = spots.groupBy("image_id", "_sx", "_sy").agg(F.min("shape_idx").alias("shape_idx"))
+    zero = F.lit(0).cast("bigint")  # a box whose corners add up to the doubled centre
+    centres = firsts.select("image_id", "shape_idx", F.col("_sx").alias("x_min"), F.col("_sy").alias("y_min"), zero.alias("x_max"), zero.alias("y_max"))
+    swept = _seed_sweep(centres, dist).select("image_id", F.col("x_min").alias("_sx"), F.col("y_min").alias("_sy"), "seed_idx")
+    return spots.join(swept, ["image_id", "_sx", "_sy"]).select(*boxes.columns, "seed_idx")
 
 
 def _seed_sweep(boxes: DataFrame, dist: int) -> DataFrame:
@@ -279,41 +284,6 @@ def _seed_sweep(boxes: DataFrame, dist: int) -> DataFrame:
     return ordered.mapInArrow(sweep, schema)
 
 
-def _seed_by_cells(boxes: DataFrame, dist: int) -> DataFrame:
-    """Hot images: seeds from distinct centres only, then an equi-join by grid cell."""
-    side = 2 * dist
-    spots = boxes.withColumns(
-        {"_sx": (F.col("x_min") + F.col("x_max")).cast("bigint"), "_sy": (F.col("y_min") + F.col("y_max")).cast("bigint")}
-    )
-    # Only the first box of a centre can be a seed: one row per distinct centre is left.
-    firsts = spots.groupBy("image_id", "_sx", "_sy").agg(F.min("shape_idx").alias("shape_idx"))
-    as_boxes = firsts.select(
-        "image_id", "shape_idx", F.col("_sx").alias("x_min"), F.col("_sy").alias("y_min"),
-        F.lit(0).cast("bigint").alias("x_max"), F.lit(0).cast("bigint").alias("y_max"),
-    )
-    found = _seed_sweep(as_boxes, dist).filter(F.col("seed_idx") == F.col("shape_idx"))
-    cell = lambda c: F.floor(F.col(c) / side).cast("bigint")
-    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    seeds = (
-        found.select("image_id", "seed_idx", F.col("x_min").alias("_seed_sx"), F.col("y_min").alias("_seed_sy"))
-        .withColumn("_dx", F.explode(around))
-        .withColumn("_dy", F.explode(around))
-        .withColumns({"_cx": cell("_seed_sx") + F.col("_dx"), "_cy": cell("_seed_sy") + F.col("_dy")})
-        .drop("_dx", "_dy")
-    )
-    placed = spots.withColumns({"_cx": cell("_sx"), "_cy": cell("_sy")})
-    gap = (F.col("_sx") - F.col("_seed_sx")) ** 2 + (F.col("_sy") - F.col("_seed_sy")) ** 2
-    near = placed.join(seeds, ["image_id", "_cx", "_cy"]).filter(gap < side * side)
-    # a cell meets a bounded number of seeds, so this is a small fan-out per box
-    columns = boxes.columns
-    kept = [c for c in columns if c not in ("image_id", "shape_idx")]
-    return (
-        near.groupBy("image_id", "shape_idx")
-        .agg(F.min("seed_idx").alias("seed_idx"), *[F.first(c).alias(c) for c in kept])
-        .select(*columns, "seed_idx")
-    )
-
-
 # -- cluster rows ------------------------------------------------------------
 
 
@@ -605,9 +575,9 @@ def individual_regions(images: DataFrame, boxes: DataFrame, adaptive: bool = Fal
     )
 
 
-def tile_regions(images: DataFrame, boxes: DataFrame, size: int = 336, split_above: int = SPLIT_ABOVE) -> DataFrame:
+def tile_regions(images: DataFrame, boxes: DataFrame, size: int = 336) -> DataFrame:
     """Seed clusters of labelled boxes, covered by fixed-size tiles."""
-    members = cluster_seed(boxes, split_above=split_above)
+    members = cluster_seed(boxes)
     merged = merge_boxes(members).join(images.select("image_id", "image_name", "image_w", "image_h"), "image_id")
     tiles = tile_plan(merged, size)
     # seeds and tiles per image are bounded by the image size, so is this window

@@ -109,14 +109,19 @@ def expected_seeds(rows):
     return out
 
 
-@pytest.mark.parametrize("limit", [10**6, 20])
-def test_cluster_seed(spark, limit):
+def test_cluster_seed(spark):
     rows = random_boxes(4, [3, 60, 500])
     rows += [(1, 1000 + i, "1", "dent", 50, 50, 60, 60, 3264, 2448) for i in range(50)]  # copies
-    got = {(r.image_id, r.shape_idx): r.seed_idx for r in R.cluster_seed(frame(spark, rows), split_above=limit).collect()}
+    got = {(r.image_id, r.shape_idx): r.seed_idx for r in R.cluster_seed(frame(spark, rows)).collect()}
     assert got == expected_seeds(rows)
 
 
+def test_boxes_with_equal_keys_all_stay(spark):
+    rows = [(1, 5, "1", "dent", 10, 10, 20, 20, 3264, 2448), (1, 5, "1", "dent", 900, 900, 920, 920, 3264, 2448), (1, 5, "1", "dent", 10, 10, 20, 20, 3264, 2448), (1, 6, "1", "dent", 30, 30, 40, 40, 3264, 2448)]
+    got = sorted((r.shape_idx, r.x_min, r.seed_idx) for r in R.cluster_seed(frame(spark, rows)).collect())
+    assert got == [(5, 10, 5), (5, 10, 5), (5, 900, 5), (6, 30, 5)]
+
+
 def expected_tiles(box, w, h, size=336):
     def axis(lo, hi, limit):
         if hi - lo <= size:
