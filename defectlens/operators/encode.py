@@ -31,6 +31,22 @@ def hashing_encoder(dim: int = 64) -> Encoder:
     return run
 
 
+#: Characters that ``letter_encoder`` counts, one per element.
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def letter_encoder(dim: int = 32) -> Encoder:
+    """Unit vectors of letter counts (both cases): a stand-in for a model that other engines can repeat."""
+
+    def run(texts: list) -> np.ndarray:
+        out = np.array([[t.count(c) + (t.count(c.upper()) if c.isalpha() else 0) for c in LETTERS[:dim]] for t in texts], dtype=float)
+        out = out.reshape(len(texts), dim)
+        norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+        return np.divide(out, norm, out=out, where=norm > 0)
+
+    return run
+
+
 def encode(
     df: DataFrame,
     column: str,

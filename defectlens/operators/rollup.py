@@ -140,17 +140,20 @@ def spatial_distribution(boxes: DataFrame) -> DataFrame:
 
 
 def image_boxes(boxes: DataFrame, part_size: int = 4096) -> DataFrame:
-    """Nested box lists of image records, cut into parts of bounded length.
+    """Nested box lists of image records, ordered by position.
 
-    ``shape_idx`` is the position in the document, so the part number needs no
-    window and an ordinary image has exactly one part.
+    ``shape_idx`` is the position in the document, from 0. A record of more than
+    ``part_size`` boxes is laid out as several rows; every row says how many
+    (``n_parts``), and ``part`` 0 of 1 is the whole list.
     """
     box = F.struct(F.col("shape_idx"), F.array(*[F.col(c).cast("int") for c in CORNERS]).alias("bbox"))
-    return (
+    parts = (
         boxes.withColumn("part", F.floor(F.col("shape_idx") / part_size).cast("bigint"))
         .groupBy("image_id", "part")
         .agg(F.sort_array(F.collect_list(box)).alias("bboxes"))
     )
+    counted = boxes.groupBy("image_id").agg((F.floor(F.max("shape_idx") / part_size) + 1).cast("bigint").alias("n_parts"))
+    return parts.join(counted, "image_id")
 
 
 def having_min_defects(boxes: DataFrame, minimum: int = 5) -> DataFrame:

@@ -135,12 +135,13 @@ def _(v):
 
 @query(
     "a8_image_boxes",
-    """SELECT image_id, shape_idx // 4096 AS part, count(*) AS n_boxes, sum(x_min)::bigint AS x_sum FROM fx_boxes GROUP BY ALL""",
+    """SELECT image_id, 0::bigint AS part, 1::bigint AS n_parts, count(*) AS n_boxes,
+              string_agg(x_min || ',' || y_min || ',' || x_max || ',' || y_max, ' ' ORDER BY shape_idx, x_min, y_min) AS boxes FROM fx_boxes GROUP BY image_id""",
 )
 def _(v):
-    parts = U.image_boxes(v.boxes)
-    x_sum = F.aggregate("bboxes", F.lit(0).cast("bigint"), lambda acc, b: acc + b["bbox"][0])
-    return parts.select("image_id", "part", F.size("bboxes").cast("bigint").alias("n_boxes"), x_sum.alias("x_sum"))
+    parts = U.image_boxes(v.indexed_boxes)
+    text = F.array_join(F.transform("bboxes", lambda b: F.array_join(b["bbox"].cast("array<string>"), ",")), " ")
+    return parts.select("image_id", "part", "n_parts", F.size("bboxes").cast("bigint").alias("n_boxes"), text.alias("boxes"))
 
 
 @query(

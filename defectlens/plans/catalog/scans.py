@@ -48,12 +48,26 @@ def _document_folder(v) -> str:
     return folder
 
 
+def _image_documents(v) -> str:
+    """One document per image with all its polygons, as JSON lines."""
+    at = lambda x, y: F.array(F.col(x) + 0.7, F.col(y) + 0.4)
+    points = F.array(at("x_min", "y_min"), at("x_max", "y_min"), at("x_max", "y_max"), at("x_min", "y_max"))
+    shape = F.struct("shape_idx", "label", F.lit("polygon").alias("shape_type"), points.alias("points"))
+    grouped = v.polygons.groupBy("image_id", "image_w", "image_h").agg(F.sort_array(F.collect_list(shape)).alias("shapes"))
+    doc = F.to_json(
+        F.struct(F.col("image_id").cast("string").alias("imagePath"), F.col("image_w").alias("imageWidth"), F.col("image_h").alias("imageHeight"), "shapes")
+    )
+    folder = scratch(v.spark)
+    grouped.select(doc.alias("value")).write.mode("overwrite").text(folder)
+    return folder
+
+
 @query(
     "s1_read_annotations",
     "SELECT image_id, label, x_min, y_min, x_max, y_max FROM fx_polygons",
 )
 def _(v):
-    docs = A.read_annotations(v.spark, _document_folder(v), "*", multi_line=False)
+    docs = A.read_annotations(v.spark, _image_documents(v), "*", multi_line=False)
     valid, _bad = A.split_valid(docs)
     boxes = shapes.with_boxes(shapes.explode_shapes(valid))
     return boxes.select(

@@ -254,30 +254,63 @@ def _(v):
 # -- encoding ------------------------------------------------------------------------
 
 
-@query("v4_encode_texts", "SELECT doc_id, true AS vector_ok, 1.0::double AS norm FROM documents")
+def _letters_sql(text: str, dim: int = 32) -> str:
+    """Unit vector of letter counts of a text expression, as floats."""
+    count = lambda c: f"(2 * length({text}) - length(replace({text}, '{c}', '')) - length(replace({text}, '{c.upper()}', '')))" if c.isalpha() else f"(length({text}) - length(replace({text}, '{c}', '')))"
+    counts = ", ".join(f"{count(c)}::double" for c in C.LETTERS[:dim])
+    return f"[{counts}]"
+
+
+def _unit_sql(source: str, keys: str, text: str) -> str:
+    return f"""SELECT {keys}, list_transform(c, lambda x: CASE WHEN n > 0 THEN x / n ELSE x END::float) AS e FROM (
+        SELECT *, sqrt(list_sum(list_transform(c, lambda x: x * x))) AS n FROM (SELECT {keys}, {_letters_sql(text)} AS c FROM {source}))"""
+
+
+@query(
+    "v4_encode_texts",
+    f"""SELECT doc_id, true AS vector_ok, round(list_sum(list_transform(list_zip(e, range(1, 33)), lambda z: z[1]::double * z[2])), 6) AS weighed
+        FROM ({_unit_sql('documents', 'doc_id', 'text')})""",
+)
 def _(v):
     docs = v.table("documents").select("doc_id", "text")
-    coded = C.encode(docs, "text", lambda: C.hashing_encoder(64), 64)
-    return coded.select("doc_id", "vector_ok", r(V.l2_norm(F.col("embedding")), 4, "norm"))
+    coded = C.encode(docs, "text", lambda: C.letter_encoder(32), 32)
+    weighed = F.aggregate(F.transform("embedding", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda acc, x: acc + x)
+    return coded.select("doc_id", "vector_ok", r(weighed, 6, "weighed"))
 
 
-@query("v11_encode_consistency", "SELECT count(*) AS n, 1.0::double AS mean_similarity, 0::bigint AS n_below, 0::bigint AS n_failed FROM conversations")
+@query(
+    "v11_encode_consistency",
+    f"""SELECT count(*) AS n, round(avg(list_sum(list_transform(e, lambda x: x::double * x::double))), 6) AS mean_similarity, 0::bigint AS n_below, 0::bigint AS n_failed
+        FROM ({_unit_sql('conversations', 'conv_id', 'text')})""",
+)
 def _(v):
-    out = C.encode_consistency(v.table("conversations").select("text"), "text", lambda: C.hashing_encoder(64), 64)
+    out = C.encode_consistency(v.table("conversations").select("text"), "text", lambda: C.letter_encoder(32), 32)
     return out.select("n", r("mean_similarity"), "n_below", "n_failed")
 
 
-@query("v12_search_hybrid")
+@query(
+    "v12_search_hybrid",
+    f"""WITH named AS (SELECT v.id, v.embedding[1:32] AS visual, v.total_defects || ' ' || replace(coalesce(l.damage_type, 'unknown'), '_', ' ')
+              || CASE WHEN v.total_defects > 1 THEN 's' ELSE '' END || ' on ' || v.zone_description || ' (' || v.zone_area || ' area)' AS t
+            FROM fx_vectors v LEFT JOIN dim_labels l ON l.label = v.label_raw),
+          texted AS ({_unit_sql('named', 'id', 't')}),
+          joined AS (SELECT id, list_concat(list_transform(visual, lambda x: x::double / {norm('visual')} * 0.6::double), list_transform(e, lambda x: x::double / {norm('e')} * 0.4::double)) AS f
+            FROM named JOIN texted USING (id)),
+          fused AS (SELECT id, list_transform(f, lambda x: x / sqrt(list_sum(list_transform(f, lambda y: y * y)))) AS u FROM joined)
+        SELECT query_id, rank, id, round(distance, 6) AS distance FROM (
+          SELECT q.id AS query_id, c.id, {l2sq('q.u', 'c.u')} AS distance, row_number() OVER (PARTITION BY q.id ORDER BY {l2sq('q.u', 'c.u')}, c.id) AS rank
+          FROM fused q JOIN fused c ON q.id <> c.id) WHERE rank <= 5""",
+)
 def _(v):
     counts = F.array(
         F.struct(F.col("total_defects").alias("n"), F.lit(0).cast("bigint").alias("first"), L.canonical_label(F.col("label_raw")).alias("name"))
     )
     text = X.describe_damage(counts, F.col("zone_description"), F.col("zone_area"), "v2")
     records = v.parts.drop("embedding", "text_part")
-    texted = C.encode(records.withColumn("_text", text), "_text", lambda: C.hashing_encoder(32), 32, name="_t")
+    texted = C.encode(records.withColumn("_text", text), "_text", lambda: C.letter_encoder(32), 32, name="_t")
     corpus = texted.select("id", V.fuse_concat(F.col("visual"), F.col("_t")).alias("embedding"))
     asked = records.withColumnRenamed("id", "query_id")
-    return C.search_hybrid(asked, text, corpus, lambda: C.hashing_encoder(32), 32, 5, exclude_self=True).select(
+    return C.search_hybrid(asked, text, corpus, lambda: C.letter_encoder(32), 32, 5, exclude_self=True).select(
         "query_id", "rank", "id", r("distance")
     )
 

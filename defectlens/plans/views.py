@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..operators import regions, shapes
 from ..operators.rollup import image_rollup
+from ..ranks import bucketed_row_number
 
 DENSITIES = ["high", "medium", "low"]
 EMBEDDING_TYPES = ["visual_indices", "text_indices"]
@@ -78,6 +79,17 @@ class Views:
         """Polygons without the odd label."""
         return shapes.polygons_only(self.shapes, drop_odd_label=True)
 
+    @cached_property
+    def indexed_boxes(self) -> DataFrame:
+        """Boxes with their position 0..n-1 in the image's document as ``shape_idx``.
+
+        Line numbers lead the order and cut an image into buckets, so no image is
+        numbered by one task.
+        """
+        bucket = F.expr("shape_idx div 1000000000000000")
+        numbered = bucketed_row_number(self.boxes, ["image_id"], [F.col("shape_idx"), F.col("x_min"), F.col("y_min")], bucket, "position")
+        return numbered.withColumn("shape_idx", F.col("position") - 1).drop("position")
+
     @cached_property
     def points(self) -> DataFrame:
         """Polygons with fractional corner points instead of a box."""
