@@ -118,9 +118,8 @@ def density_share(classed: DataFrame) -> DataFrame:
 def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
     """Equal-width bins between minimum and maximum; the last bin is closed."""
     value = F.col(column).cast("double")
-    low = df.agg(F.min(value).alias("v")).scalar()
-    high = df.agg(F.max(value).alias("v")).scalar()
-    bounded = df.select(value.alias("v"), low.alias("low"), high.alias("high"))
+    ends = df.agg(F.struct(F.min(value).alias("low"), F.max(value).alias("high")).alias("ends")).scalar()
+    bounded = df.select(value.alias("v"), ends["low"].alias("low"), ends["high"].alias("high"))
     width = (F.col("high") - F.col("low")) / bins
     position = F.floor((F.col("v") - F.col("low")) * bins / F.nullif(F.col("high") - F.col("low"), F.lit(0.0)))
     bin_ = F.least(F.coalesce(position, F.lit(0)), F.lit(bins - 1)).cast("bigint")
@@ -214,12 +213,17 @@ def norm_stats(vectors: DataFrame, by: list[str] | None = None, column: str = "e
 
 
 def component_stats(vectors: DataFrame, column: str = "embedding") -> DataFrame:
-    return vectors.select(F.explode(V.as_double(F.col(column))).alias("x")).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg("x").alias("mean_value"),
-        F.stddev_pop("x").alias("std_value"),
-        F.min("x").alias("min_value"),
-        F.max("x").alias("max_value"),
+    """Statistics over all elements of all vectors; each vector is summed up inside its row first."""
+    v = V.as_double(F.col(column))
+    add = lambda f: F.aggregate(v, F.lit(0.0), lambda acc, x: acc + f(x))
+    rows = vectors.select(
+        F.size(v).alias("n"), add(lambda x: x).alias("s"), add(lambda x: x * x).alias("q"), F.array_min(v).alias("low"), F.array_max(v).alias("high")
+    ).filter("n > 0")
+    total, n = rows.agg(*[F.sum(c).alias(c) for c in ("n", "s", "q")], F.min("low").alias("low"), F.max("high").alias("high")), F.col("n")
+    spread = F.greatest(F.col("q") / n - (F.col("s") / n) ** 2, F.lit(0.0))
+    return total.select(
+        F.coalesce(n, F.lit(0)).cast("bigint").alias("n"), (F.col("s") / n).alias("mean_value"), F.sqrt(spread).alias("std_value"),
+        F.col("low").alias("min_value"), F.col("high").alias("max_value"),
     )
 
 

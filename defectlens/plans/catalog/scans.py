@@ -14,7 +14,7 @@ from ...ranks import dense_id
 from ...sources import annotations as A
 from ...sources import tables as T
 from ..registry import big, query, r
-from ..sql import norm
+from ..sql import bench, dot, l2sq, norm
 from ..views import DENSITIES, EMBEDDING_TYPES, order_key
 
 
@@ -180,6 +180,34 @@ def _(v):
     return stored.groupBy("config").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("id_sum"))
 
 
+_STORED = ["recall_at_1", "recall_at_5", "precision_at_5", "mrr", "avg_total_time_ms"]
+
+
+@query("s9_write_metrics", "SELECT config, " + ", ".join(f"round({c}, 6) AS {c}" for c in _STORED) + ", num_queries FROM fx_metrics")
+def _(v):
+    folder = scratch(v.spark)
+    T.write_metrics(v.metrics, folder)
+    stored = T.read_metric_rows(v.spark, folder, "config string, " + ", ".join(f"{c} double" for c in _STORED) + ", num_queries bigint")
+    return stored.select("config", *[r(c) for c in _STORED], "num_queries")
+
+
+@query(
+    "x1_sql_functions",
+    f"""SELECT id, coalesce(l.damage_type, 'unknown') AS canonical, {bench('label_raw')} AS benchmark, round({l2sq('embedding[1:32]', 'embedding[33:64]')}, 6) AS gap,
+              round({dot('embedding[1:32]', 'embedding[33:64]')} / ({norm('embedding[1:32]')} * {norm('embedding[33:64]')}), 6) AS cosine
+        FROM fx_vectors v LEFT JOIN dim_labels l ON l.label = v.label_raw""",
+)
+def _(v):
+    from ...functions import register
+
+    register(v.spark)
+    return v.spark.sql(
+        """SELECT id, canonical_label(label_raw) AS canonical, normalize_label(label_raw) AS benchmark,
+                  round(l2sq(visual, text_part), 6) AS gap, round(cosine(visual, text_part), 6) AS cosine FROM {parts}""",
+        parts=v.parts,
+    )
+
+
 @query("s9_write_results", "SELECT config, query_id, rank, id, round(distance, 6) AS distance FROM fx_results")
 def _(v):
     folder = scratch(v.spark)

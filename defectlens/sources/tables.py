@@ -82,6 +82,16 @@ def read_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def write_metrics(df: DataFrame, path: str) -> None:
+    """One metric row per configuration, beside the results."""
+    df.write.mode("overwrite").json(path)
+
+
+def read_metric_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Metric rows as they were written."""
+    return spark.read.schema(schema).json(path)
+
+
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     """Metric rows of either layout under one set of names."""
     return unify_metrics(spark.read.schema(METRICS).json(path))
