@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..dims import LABEL_NAMES
-from ..ranks import bucketed_row_number, dense_id, hash_key
+from ..ranks import bucketed_row_number, hash_key
 from .profile import label_counts, top_n, with_share
 
 HASH_RANGE = 1 << 63
@@ -83,23 +83,40 @@ def balanced_sample(
     return both.orderBy("_stage", "label", "_h", "image_id").limit(n).drop("_stage", "_h")
 
 
-def slice_by_position(df: DataFrame, order: list[Column], n: int) -> DataFrame:
-    """First n, last n and n around the middle, as rows with a ``subset`` name."""
-    placed = dense_id(df, order, "position").withColumn("_count", df.select(F.count(F.lit(1))).scalar())
-    start = F.greatest(F.lit(0), F.expr("_count div 2") - n // 2)
-    position = F.col("position")
-    subsets = F.array_compact(
-        F.array(
-            F.when(position < n, "low_density"),
-            F.when((position >= start) & (position < start + n), "medium_density"),
-            F.when(position >= F.col("_count") - n, "high_density"),
-        )
-    )
-    return placed.withColumn("subset", F.explode(subsets)).drop("_count")
+def slice_by_position(df: DataFrame, lead: str, key: str, n: int, buckets: int = 64) -> DataFrame:
+    """First n, last n and n around the middle by (``lead``, ``key``), as rows with ``position`` and ``subset``.
+
+    ``lead`` is a count with few values, ``key`` a whole number. Both ends are a
+    top-n. For the middle the rows are counted by ``lead``; only those whose
+    value covers the wanted places are ranked, in ranges of the key.
+    """
+    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    start = F.greatest(F.lit(0), F.expr("_total div 2") - n // 2)
+    before = Window.orderBy("_lead").rowsBetween(Window.unboundedPreceding, -1)  # one row per value of lead
+    counts = df.groupBy(F.col(lead).alias("_lead")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    counts = counts.withColumn("_total", total).withColumn("_start", start)
+    # at most n values cover n places
+    cover = counts.filter((F.col("_base") < F.col("_start") + n) & (F.col("_base") + F.col("_n") > F.col("_start"))).select("_lead", "_base", "_start")
+    inside = df.join(F.broadcast(cover), F.col(lead).eqNullSafe(F.col("_lead")))
+    ends = df.agg(F.struct(F.min(key).alias("low"), F.max(key).alias("high")).alias("ends")).scalar()
+    width = F.greatest((ends["high"] - ends["low"]) / buckets, F.lit(1.0))
+    bucket = F.floor((F.col(key) - ends["low"]) / width).cast("bigint")
+    ranked = bucketed_row_number(inside, ["_lead"], [F.col(key)], bucket, "_rn").withColumn("position", F.col("_base") + F.col("_rn") - 1)
+    middle = ranked.filter((F.col("position") >= F.col("_start")) & (F.col("position") < F.col("_start") + n)).select(*df.columns, "position")
+
+    def end(order: list[Column], place) -> DataFrame:
+        numbered = df.orderBy(*order).limit(n).withColumn("_rn", F.row_number().over(Window.orderBy(*order)))  # n rows
+        return numbered.withColumn("position", place(F.col("_rn")).cast("bigint")).select(*df.columns, "position")
+
+    low = end([F.col(lead), F.col(key)], lambda rn: rn - 1)
+    high = end([F.desc(lead), F.desc(key)], lambda rn: total - rn)
+    parts = {"low_density": low, "medium_density": middle, "high_density": high}
+    out = [rows.withColumn("subset", F.lit(name)) for name, rows in parts.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 def density_subsets(per_image: DataFrame, n: int = 20, count: str = "n_defects") -> DataFrame:
-    return slice_by_position(per_image, [F.col(count), F.col("image_id")], n)
+    return slice_by_position(per_image, count, "image_id", n)
 
 
 def split_sizes(per_image: DataFrame, train: float = 0.8, test: float = 0.2, count: str = "n_defects") -> DataFrame:

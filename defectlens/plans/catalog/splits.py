@@ -106,7 +106,7 @@ def _(v):
 
 @query("w5_slice_by_position", _subset_sql(50))
 def _(v):
-    out = M.slice_by_position(v.per_image, [F.col("n_defects"), F.col("image_id")], 50)
+    out = M.slice_by_position(v.per_image, "n_defects", "image_id", 50)
     return out.select("image_id", "n_defects", "position", "subset")
 
 
