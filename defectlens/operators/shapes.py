@@ -115,12 +115,17 @@ def relate_to_box(boxes: DataFrame, other: list[str]) -> DataFrame:
     return boxes.withColumns({"iou": G.bbox_iou(*a, *b), "distance": G.bbox_distance(*a, *b)})
 
 
-def pair_stats(boxes: DataFrame, image: str = "image_id") -> DataFrame:
+#: Distinct centres of an image in a block, and parts of an image's centres when they meet its number of blocks.
+BLOCK_CENTRES, SALTS = 2048, 32
+
+
+def pair_stats(boxes: DataFrame, image: str = "image_id", block: int = BLOCK_CENTRES) -> DataFrame:
     """Boxes, box pairs and mean centre distance over all pairs of each image.
 
-    No pair is ever a row. Boxes are first counted by centre, which bounds a
-    group by the image resolution however many boxes share it; the pair sum is
-    then taken over those weighted centres inside the task.
+    No pair is ever a row. Boxes are first counted by centre, which bounds a group
+    by the image resolution however many boxes share it. The centres of an image
+    are cut into blocks; pairs inside a block and pairs of two blocks are added up
+    in separate tasks, so a crowded image is no single task.
     """
     centres = (
         boxes.select(
@@ -131,47 +136,77 @@ def pair_stats(boxes: DataFrame, image: str = "image_id") -> DataFrame:
         .groupBy(image, "sx", "sy")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    schema = f"`{image}` {dict(boxes.dtypes)[image]}, n_boxes bigint, n_pairs bigint, mean_pair_distance double"
-    ordered = centres.repartition(image).sortWithinPartitions(image)
-    return ordered.mapInPandas(lambda batches: _pair_summaries(batches, image), schema)
+    sizes = centres.groupBy(image).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks"))
+    sizes = sizes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col("_blocks") > 1, SALTS - 1).otherwise(0))))
+    several = sizes.filter("_blocks > 1")  # images of very many centres
+    salted = centres.withColumn("_salt", F.pmod(F.xxhash64("sx", "sy"), F.lit(SALTS)).cast("int"))
+    crowded = salted.join(several, [image, "_salt"]).drop("_salt")
+    own = F.pmod(F.xxhash64("sx", "sy", F.lit(1)), F.col("_blocks")).cast("int")
+    crowded = crowded.withColumn("_block", own)
+    calm = centres.join(several.select(image).distinct(), image, "left_anti").withColumn("_block", F.lit(0))
+    inner = calm.unionByName(crowded.drop("_blocks"))
+    kind = dict(boxes.dtypes)[image]
+    keys = [image, "_block"]
+    ordered = inner.repartition(*keys).sortWithinPartitions(*keys)
+    inside = ordered.mapInPandas(lambda batches: _pair_summaries(batches, keys), f"`{image}` {kind}, _block int, n_boxes bigint, distances double")
+    meet = crowded.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).filter("_other <> _block")
+    meet = meet.withColumns({"_i": F.least("_block", "_other"), "_j": F.greatest("_block", "_other")})
+    across = meet.groupBy(image, "_i", "_j").applyInPandas(lambda pdf: _between_blocks(pdf, image), f"`{image}` {kind}, distances double")
+    both = inside.select(image, "n_boxes", "distances").unionByName(across.withColumn("n_boxes", F.lit(0).cast("bigint")))
+    total = both.groupBy(image).agg(F.sum("n_boxes").alias("n_boxes"), F.sum("distances").alias("_d"))
+    pairs = F.expr("n_boxes * (n_boxes - 1) div 2")
+    return total.select(image, "n_boxes", pairs.alias("n_pairs"), (F.col("_d") / F.nullif(pairs, F.lit(0))).alias("mean_pair_distance"))
+
+
+def _between_blocks(pdf, image: str):
+    """Sum of the distances between the boxes of two blocks."""
+    import numpy as np
+    import pandas as pd
+
+    first = (pdf["_block"] == pdf["_i"]).to_numpy()
+    x, y, n = (pdf[c].to_numpy().astype(np.float64) for c in ("sx", "sy", "n"))
+    total = sum(float(n[i] * (n[~first] * np.hypot(x[~first] - x[i], y[~first] - y[i])).sum()) for i in np.flatnonzero(first)) / 2
+    return pd.DataFrame({image: [pdf[image].iloc[0]], "distances": [total]})
 
 
-def _pair_summaries(batches: Iterator, image: str) -> Iterator:
-    """Summaries of whole images from rows sorted by image."""
+def _pair_summaries(batches: Iterator, keys: list[str]) -> Iterator:
+    """Boxes and sums of pair distances of whole blocks, from rows sorted by image and block."""
     import pandas as pd
 
-    held: list = []  # rows of the image the last batch ended in
+    held: list = []  # rows of the block the last batch ended in
+    at = lambda pdf, i: tuple(pdf[k].iloc[i] for k in keys)
     for pdf in batches:
         if len(pdf) == 0:
             continue
-        last = pdf[image].iloc[-1]
-        if pdf[image].iloc[0] == last and held and held[-1][image].iloc[-1] == last:
+        last = at(pdf, -1)
+        if at(pdf, 0) == last and held and at(held[-1], -1) == last:
             held.append(pdf)
             continue
         whole = pd.concat([*held, pdf], ignore_index=True) if held else pdf
-        open_rows = whole[image] == last
-        yield _summarise_images(whole[~open_rows], image)
+        open_rows = (whole[keys[0]] == last[0]) & (whole[keys[1]] == last[1])
+        yield _summarise_blocks(whole[~open_rows], keys)
         held = [whole[open_rows]]
     if held:
-        yield _summarise_images(pd.concat(held, ignore_index=True), image)
+        yield _summarise_blocks(pd.concat(held, ignore_index=True), keys)
 
 
-FEW_CENTRES, MANY_CENTRES = 64, 4096
+FEW_CENTRES = 64
 
 
-def _summarise_images(rows, image: str):
+def _summarise_blocks(rows, keys: list[str]):
     import numpy as np
     import pandas as pd
 
-    keys = rows[image].to_numpy()
+    image, block = (rows[k].to_numpy() for k in keys)
     n = rows["n"].to_numpy().astype(np.float64)
     sx, sy = rows["sx"].to_numpy(), rows["sy"].to_numpy()
-    start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, dtype=np.int64)
-    size = np.diff(np.r_[start, len(keys)])
+    new = (image[1:] != image[:-1]) | (block[1:] != block[:-1])
+    start = np.flatnonzero(np.r_[True, new]) if len(image) else np.empty(0, dtype=np.int64)
+    size = np.diff(np.r_[start, len(image)])
     group = np.repeat(np.arange(len(start)), size)
     total = np.zeros(len(start))
     small = size[group] <= FEW_CENTRES if len(start) else np.zeros(0, dtype=bool)
-    # images with few centres, all at once: pair each row with the one k places on
+    # blocks of few centres, all at once: pair each row with the one k places on
     for k in range(1, min(int(size.max(initial=1)), FEW_CENTRES)):
         i = np.flatnonzero((group[:-k] == group[k:]) & small[:-k])
         total += np.bincount(group[i], n[i] * n[i + k] * np.hypot(sx[i] - sx[i + k], sy[i] - sy[i + k]) / 2, len(start))
@@ -179,34 +214,11 @@ def _summarise_images(rows, image: str):
         part = slice(start[g], start[g] + size[g])
         total[g] = _distance_sum(sx[part], sy[part], n[part])
     boxes = np.add.reduceat(n, start).astype(np.int64) if len(start) else np.empty(0, dtype=np.int64)
-    pairs = boxes * (boxes - 1) // 2
-    mean = pd.Series(np.divide(total, pairs, out=np.zeros(len(start)), where=pairs > 0)).where(pairs > 0)
-    return pd.DataFrame({image: keys[start], "n_boxes": boxes, "n_pairs": pairs, "mean_pair_distance": mean.astype("Float64")})
+    return pd.DataFrame({keys[0]: image[start], keys[1]: block[start], "n_boxes": boxes, "distances": total})
 
 
 def _distance_sum(sx, sy, n) -> float:
     import numpy as np
 
-    if len(n) > MANY_CENTRES:
-        return _distance_sum_by_shift(sx, sy, n)
     far = lambda i: np.hypot(sx[i + 1 :] - sx[i], sy[i + 1 :] - sy[i]) / 2
     return sum(float(n[i] * (n[i + 1 :] * far(i)).sum()) for i in range(len(n) - 1))
-
-
-def _distance_sum_by_shift(sx, sy, n) -> float:
-    """Pair distance sum of many weighted centres.
-
-    The autocorrelation of the count image holds, for every shift, how many
-    pairs lie that far apart; cost depends on the image size, not on the pairs.
-    """
-    import numpy as np
-
-    sx, sy = sx - sx.min(), sy - sy.min()
-    h, w = int(sy.max()) + 1, int(sx.max()) + 1
-    image = np.zeros((2 * h, 2 * w))
-    np.add.at(image, (sy, sx), n)
-    spectrum = np.fft.rfft2(image)
-    pairs = np.fft.irfft2(spectrum * np.conj(spectrum), s=image.shape)
-    dy = np.minimum(np.arange(2 * h), 2 * h - np.arange(2 * h))
-    dx = np.minimum(np.arange(2 * w), 2 * w - np.arange(2 * w))
-    return float((pairs * np.hypot(dy[:, None], dx[None, :])).sum() / 2 / 2)

@@ -185,6 +185,8 @@ def test_pair_stats_for_few_and_many_centres(spark):
     rng = random.Random(7)
     rows += [(5, i, "1", "dent", x, y, x + 3, y + 4, 700, 700) for i, (x, y) in enumerate((rng.randrange(150), rng.randrange(120)) for _ in range(6000))]
     got = {r.image_id: r for r in S.pair_stats(frame(spark, rows)).collect()}
+    cut = {r.image_id: r for r in S.pair_stats(frame(spark, rows), block=300).collect()}  # many blocks of an image
+    assert all(cut[i][:3] == got[i][:3] and cut[i][3] == pytest.approx(got[i][3]) for i in got)
     for image in range(6):
         c = np.array([((r[4] + r[6]) / 2, (r[5] + r[7]) / 2) for r in rows if r[0] == image])
         n = len(c)
