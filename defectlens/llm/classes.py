@@ -1,55 +1,42 @@
-"""Links and classes of similar items: leaders in buckets, exact checks, union-find. DataFrame functions only."""
+"""Candidate pairs in buckets and classes of linked items. DataFrame functions only."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import keep
 
 
-def links_by_leaders(bands: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Verified links (``a`` < ``b``) between items that share a bucket, without all pairs of a bucket.
+def in_company(bands: DataFrame) -> DataFrame:
+    """``bucket``, ``id`` and ``n`` (members) of the rows of ``bands`` whose bucket has more than one member; kept."""
+    shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return keep(bands.join(shared, "bucket"))
+
 
-    ``bands`` has ``bucket`` and ``id``, one row each. In every round the members of
-    a bucket are compared with its leaders; who is linked to a leader is done with
-    this bucket, and so are the leaders. The rest goes on with twice as many leaders,
-    until no bucket holds two members that have not met: so members are only left
-    unlinked after they were compared, and rounds grow with the logarithm of a
-    bucket. Leaders are those with the most company in their buckets, so that the
-    text from which the others were copied comes first. Two members linked to
-    different leaders are not compared again here; they share other buckets.
-    ``verify`` gets pairs ``a``, ``b`` and returns those that are links.
+def leader_pairs(members: DataFrame) -> DataFrame:
+    """Distinct pairs ``a`` < ``b`` of each member and the leader of its bucket; kept.
+
+    The leader is the member with the most company in all its buckets, so that the
+    text from which others were copied comes first. There are fewer pairs than
+    members, however large a bucket is.
     """
-    shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = keep(bands.join(shared, "bucket"))
     score = members.groupBy("id").agg(F.sum("n").alias("score"))
-    left = keep(members.join(score, "id").select("bucket", "id", "score"))
-    links, tested, k = [], [], 1
-    while not left.isEmpty():
-        order = Window.partitionBy("bucket").orderBy(F.desc("score"), "id")
-        lead = left.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("bucket", F.col("id").alias("leader"))
-        met = left.join(lead, "bucket").filter("id <> leader")
-        met = met.select("bucket", "id", F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
-        pairs = met.select("a", "b").distinct()
-        if tested:
-            pairs = pairs.join(reduce(DataFrame.unionByName, tested), ["a", "b"], "left_anti")
-        pairs = keep(pairs)
-        links.append(keep(verify(pairs)))
-        tested.append(pairs)
-        done = met.join(reduce(DataFrame.unionByName, links), ["a", "b"], "left_semi").select("bucket", "id")
-        done = done.unionByName(lead.select("bucket", F.col("leader").alias("id"))).distinct()
-        rest = keep(left.join(done, ["bucket", "id"], "left_anti"))
-        still = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-        left = keep(rest.join(still, "bucket"))
-        k *= 2
-    if not links:
-        empty = bands.select(F.col("id").alias("a"), F.col("id").alias("b")).filter("false")
-        return empty
-    return reduce(DataFrame.unionByName, links)
+    scored = members.join(score, "id").select("bucket", "id", "score")
+    best = scored.groupBy("bucket").agg(F.max(F.struct("score", "id")).alias("best")).select("bucket", F.col("best.id").alias("leader"))
+    met = scored.join(best, "bucket").filter("id <> leader")
+    return keep(met.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct())
+
+
+def unsettled(members: DataFrame, links: DataFrame) -> DataFrame:
+    """``bucket``, ``id`` and ``class`` of the buckets of three or more that the links have not joined into one class; kept.
+
+    A bucket of two has been compared; in one class there is nothing left to find.
+    """
+    found = components(links)
+    classed = members.filter("n > 2").join(found, "id", "left").select("bucket", "id", F.coalesce("class", "id").alias("class"))
+    several = classed.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("bucket")
+    return keep(classed.join(several, "bucket"))
 
 
 def components(links: DataFrame) -> DataFrame:

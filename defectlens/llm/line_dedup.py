@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .classes import components, links_by_leaders
+from .classes import components, in_company, leader_pairs, unsettled
 from .common import keep
 
 #: Lines are equal in kind when the sets of their shingles of so many characters have this Jaccard similarity or more.
@@ -68,7 +68,13 @@ def classify_lines(docs: DataFrame, id: str = "doc_id", text: str = "text") -> t
         both = sets.select("a", "b", F.size("x").alias("x"), F.size("y").alias("y"), F.size(F.array_intersect("x", "y")).alias("n"))
         return both.filter(F.col("n") >= SIMILARITY * (F.col("x") + F.col("y") - F.col("n"))).select("a", "b")
 
-    return signed, components(links_by_leaders(bands, verify))
+    members = in_company(bands)
+    links = keep(verify(leader_pairs(members)))
+    left = unsettled(members, links)
+    # members of different classes that share a bucket, each pair once; what the leaders joined takes no part
+    other = left.select("bucket", F.col("id").alias("b"), F.col("class").alias("other"))
+    rest = left.withColumnRenamed("id", "a").join(other, "bucket").filter("a < b and class <> other").select("a", "b").distinct()
+    return signed, components(links.unionByName(verify(rest)))
 
 
 def dropped_lines(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:

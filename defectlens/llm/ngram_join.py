@@ -10,13 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .classes import components, links_by_leaders
+from .classes import components, in_company, leader_pairs, unsettled
 from .common import SpanHash, keep, mapped, mix, text_blocks, word_spans
 
 WORDS = 5
 SIMILARITY = 0.8
 #: MinHash values of a document; BANDS bands of ROWS of them: two texts at 0.8 share a bucket with probability 0.99995.
 VALUES, BANDS, ROWS = 128, 25, 5
+#: Bytes of texts in a block; members of a bucket meet block by block.
+BLOCK_OF_TEXTS = 4 << 20
 #: Values that are compared between two looks at the posterior, and the posterior below which a pair is dropped.
 STEP, TOLERANCE = 16, 1e-4
 
@@ -81,19 +83,22 @@ def least_matches() -> dict[int, int]:
 
 
 def _sign(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Bucket hashes and MinHash values of each text; both null without words."""
+    """The batch with bucket hashes (``bands``) and MinHash values (``sig``) of each text; both null without words."""
     for row, data, offsets in text_blocks(batch.column("text")):
         h, at = shingles(data, offsets)
-        n = len(offsets) - 1
         has = np.diff(at) > 0
         values = signatures(h, at)
         take = pa.array(np.where(has, np.cumsum(has) - 1, 0), mask=~has)
         bands = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * BANDS), pa.array(buckets(values).ravel()))
         raw = pa.Array.from_buffers(pa.binary(), len(values), [None, pa.py_buffer((np.arange(len(values) + 1) * 4 * VALUES).astype(np.int32)), pa.py_buffer(values.astype("<u4"))])
-        own = batch.slice(row, n)
-        yield pa.RecordBatch.from_arrays(
-            [own.column("doc_id"), own.column("node"), bands.take(take), raw.take(take)], ["doc_id", "node", "bands", "sig"]
-        )
+        own = batch.slice(row, len(offsets) - 1)
+        yield pa.RecordBatch.from_arrays([*own.columns, bands.take(take), raw.take(take)], [*own.schema.names, "bands", "sig"])
+
+
+def _sign_only(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """As ``_sign``, with the bucket hashes only."""
+    for part in _sign(batch):
+        yield part.select(["doc_id", "node", "bands"])
 
 
 def _prune(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -123,43 +128,92 @@ def _check(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
 
 
+def _links_in_blocks(group: pa.Table) -> pa.Table:
+    """Links between two blocks of a bucket that join classes; pairs that are joined already are not compared.
+
+    Each pair is looked at in the first bucket only that it shares: values step by
+    step, then the sets themselves, likely pairs first.
+    """
+    bucket, i, j = (group.column(c)[0].as_py() for c in ("bucket", "i", "j"))
+    ids, block = group.column("id").to_numpy(), group.column("block").to_numpy()
+    bands = np.array(group.column("bands").to_pylist(), np.int64)
+    values = np.frombuffer(b"".join(group.column("sig").to_pylist()), "<u4").reshape(-1, VALUES)
+    sets = []
+    for _, data, offsets in text_blocks(group.column("text")):
+        h, at = shingles(data, offsets)
+        sets += [np.unique(h[x:y]) for x, y in zip(at, at[1:])]
+    _, own = np.unique(group.column("class").to_numpy(), return_inverse=True)
+    band = int(np.flatnonzero(bands[0] == bucket)[0])
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    out, bounds = [], least_matches()
+    for a in left:
+        other = right[right > a] if i == j else right
+        other = other[own[other] != own[a]]
+        other = other[(bands[other, :band] != bands[a, :band]).all(1)]
+        matches = np.zeros(len(other), np.int64)
+        for n, least in bounds.items():
+            matches += (values[other, n - STEP : n] == values[a, n - STEP : n]).sum(1)
+            good = matches >= least
+            other, matches = other[good], matches[good]
+        for b in other[np.argsort(-matches, kind="stable")]:
+            if own[a] != own[b]:
+                same = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                if same >= SIMILARITY * (len(sets[a]) + len(sets[b]) - same):
+                    out.append(sorted((int(ids[a]), int(ids[b]))))
+                    own[own == own[b]] = own[a]
+    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+
 def classify(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``node`` (digest of the text), ``class_id``, ``n_links`` and ``n_same`` of every row.
 
     Two texts are linked when the sets of their shingles of five words have a
     Jaccard similarity of 0.8 or more; classes are connected texts, named by their
     least id. Equal texts are one node, so copies make no pairs: ``n_same`` counts the
-    other rows with the same text, ``n_links`` the checked links of the text to
-    other texts. Every text of a class is linked to a leader of it or through others;
-    within a class not all pairs are formed. Null, empty and blank texts have no
-    shingles: each is a class of its own with no copies. Repeated rows are copies.
+    other rows with the same text, ``n_links`` the links of the text that were checked
+    and used to connect classes, so it is 0 only for a text without any link. Null,
+    empty and blank texts have no shingles: each is a class of its own with no
+    copies. Repeated rows are copies.
+
+    Candidates share a bucket. Each is first compared with its bucket's leader; what
+    is then still in several classes meets block by block, and no pairs leave a task
+    but links.
     """
     kind = docs.schema[id].dataType.simpleString()
     slim = docs.select(F.col(f"`{id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     slim = slim.withColumn("node", F.unhex(F.md5("text")))
-    signed = keep(mapped(slim.select("doc_id", "node", "text"), _sign, f"doc_id {kind}, node binary, bands array<long>, sig binary"))
-    worded = signed.filter("sig is not null")
-    nodes = keep(worded.groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
-    bands = worded.select("node", F.explode("bands").alias("bucket")).distinct().select("bucket", F.col("node").alias("id"))
-    one = nodes.select("node", F.col("first").alias("doc_id"))  # a copy of each text
-    sigs = signed.join(one, ["node", "doc_id"]).groupBy("node").agg(F.min("sig").alias("sig"))
-    texts = slim.join(one, ["node", "doc_id"]).groupBy("node").agg(F.min("text").alias("text"))
-
-    def beside(pairs: DataFrame, other: DataFrame, value: str) -> DataFrame:
+    signed = mapped(slim.select("doc_id", "node", "text"), _sign_only, f"doc_id {kind}, node binary, bands array<long>")
+    signed = keep(signed.withColumn("row_no", F.monotonically_increasing_id()))  # the numbers are written, so they stay
+    worded = signed.filter("bands is not null")
+    nodes = worded.groupBy("node").agg(F.min(F.struct("doc_id", "row_no")).alias("one"), F.count(F.lit(1)).alias("n"))
+    nodes = keep(nodes.select("node", F.col("one.row_no").alias("id"), F.col("one.doc_id").alias("first"), "n"))
+    single = nodes.select("id")
+    bands = worded.select(F.col("row_no").alias("id"), "bands").join(single, "id").select(F.explode("bands").alias("bucket"), "id")
+    members = in_company(bands)
+    pairs = leader_pairs(members)
+    wanted = members.select("id").distinct()
+    # the texts that share a bucket, one row each; their values are computed again rather than shuffled
+    named = nodes.join(wanted, "id").select("id", F.col("node").alias("own"), F.col("first").alias("own_id"))
+    texts = slim.join(named, (F.col("node") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("own_id")))
+    texts = texts.dropDuplicates(["id", "own", "own_id"]).select("id", "text")
+    near = keep(mapped(texts, _sign, "id long, text string, bands array<long>, sig binary"))
+
+    def beside(pairs: DataFrame, value: str) -> DataFrame:
         for side in "ab":
-            pairs = pairs.join(other.select(F.col("node").alias(side), F.col(value).alias(f"{value}_{side}")), side)
+            pairs = pairs.join(near.select(F.col("id").alias(side), F.col(value).alias(f"{value}_{side}")), side)
         return pairs
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        likely = keep(mapped(beside(pairs, sigs, "sig").select("a", "b", "sig_a", "sig_b"), _prune, "a binary, b binary"))
-        named = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        near = keep(texts.join(named, "node", "left_semi"))
-        return mapped(beside(likely, near, "text").select("a", "b", "text_a", "text_b"), _check, "a binary, b binary")
-
-    links = keep(links_by_leaders(bands, verify))
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    found = components(links).withColumnRenamed("id", "node")
-    classed = nodes.join(found, "node", "left").join(degree, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    likely = keep(mapped(beside(pairs, "sig").select("a", "b", "sig_a", "sig_b"), _prune, "a long, b long"))
+    direct = keep(mapped(beside(likely, "text").select("a", "b", "text_a", "text_b"), _check, "a long, b long"))
+    open_ = unsettled(members, direct).join(near, "id")
+    sizes = open_.groupBy("bucket").agg(F.ceil(F.sum(F.octet_length("text")) / BLOCK_OF_TEXTS).cast("int").alias("blocks"))
+    dealt = open_.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    meet = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    met = dealt.select("bucket", "id", "class", "block", "sig", "bands", "text", meet)
+    met = met.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
+    links = direct.unionByName(keep(met.groupBy("bucket", "i", "j").applyInArrow(_links_in_blocks, "a long, b long").distinct()))
+    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
+    classed = nodes.join(components(links), "id", "left").join(degree, "id", "left").withColumn("class", F.coalesce("class", "id"))
     names = classed.groupBy("class").agg(F.min("first").alias("class_id"))
     known = classed.join(names, "class").select("node", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("n") - 1).alias("n_same"))
     return signed.select("doc_id", "node").join(known, "node", "left").select(
