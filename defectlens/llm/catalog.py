@@ -127,7 +127,7 @@ judged AS (SELECT f.* EXCLUDE (n_words, word_chars, n_symbols, n_dup_lines, n_re
 
 @query("op10_quality_rules", quality_sql())
 def _op10(table) -> DataFrame:
-    judged = quality.judge(table("documents").select("doc_id", "text", "source"))
+    judged = quality.judge(table("documents"), carried=["doc_id", "source"])
     return judged.select("row.doc_id", "m.*", "base_failed", "kept")
 
 
@@ -147,7 +147,7 @@ def _op6(table) -> DataFrame:
     docs = table("documents")
     path = token_files.shared_path(docs.sparkSession)
     token_files.write_tokens(docs, path, _tokenizer("word_bpe_49k.json"))
-    return token_files.read_tokens(docs.sparkSession, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return token_files.read_tokens(docs.sparkSession, path, F.crc32("ids")).withColumnRenamed("ids", "ids_crc32")
 
 
 @query("op8_line_dedup")

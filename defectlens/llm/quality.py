@@ -55,13 +55,13 @@ def _measures(text: Column) -> Column:
     )
 
 
-def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Columns ``row`` (the whole input row), ``m`` (measures) and ``failed`` (one flag per rule).
+def measure(docs: DataFrame, text: str = "text", carried: list[str] | None = None) -> DataFrame:
+    """Columns ``row`` (the input row, or the ``carried`` columns of it), ``m`` (measures) and ``failed`` (one flag per rule).
 
     A null text counts as empty: no words, so it fails the rule of least words.
     Rows are taken one by one; repeated rows and ids give repeated results.
     """
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carried or docs.columns]).alias("row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
     out = rows.select("row", _measures(F.col("t")).alias("x"))
     m = out.select(
         "row",
@@ -105,14 +105,14 @@ def host_rates(measured: DataFrame, host: str = "source") -> DataFrame:
     return rates.withColumn("host_rejected", worst > HOST_LIMIT)
 
 
-def judge(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
-    """``row``, ``m``, ``base_failed`` and ``kept`` of every document.
+def judge(docs: DataFrame, text: str = "text", host: str = "source", carried: list[str] | None = None) -> DataFrame:
+    """``row``, ``m``, ``base_failed`` and ``kept`` of every document. ``carried`` columns, the host's among them, make up ``row``; all by default.
 
     The measured rows are written once to the shared folder, because host
     verdicts need all of them first. Hosts are counted before the shuffle; a hot
     host's documents are joined back by a join that Spark may split or broadcast.
     """
-    measured = keep(measure(docs, text))
+    measured = keep(measure(docs, text, carried))
     hosts = host_rates(measured, host).select("host", "host_rejected")
     joined = measured.join(hosts, F.col(f"row.`{host}`").eqNullSafe(F.col("host")), "left")
     base = F.col("failed.short") | F.col("failed.repeats")

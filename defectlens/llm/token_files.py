@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import text_blocks
@@ -143,11 +143,13 @@ def shards_of(content: bytes) -> Iterator[Shard]:
         at += shard.size + 1
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+def read_tokens(spark: SparkSession, path: str, ids: Column | None = None) -> DataFrame:
     """``doc_id``, ``start`` (ids of all documents before it), ``n_tokens`` and ``ids`` of every document in the files.
 
     One pass reads the shards' heads for the number of ids in each file, which are
-    added up in file order (one row per file); the other decodes the documents.
+    added up in file order (one row per file); the other decodes the documents. A
+    column made of the ids (a checksum, say) may be asked for instead of them; it is
+    made before the two are joined, so the ids themselves need not be shuffled.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
@@ -174,6 +176,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     upto = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     bases = counts.select("file", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("base"))
     docs = files.mapInArrow(bodies, "file string, doc_id long, inside long, n_tokens long, ids binary")
+    docs = docs if ids is None else docs.withColumn("ids", ids)
     return docs.join(bases, "file").select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids")
 
 
