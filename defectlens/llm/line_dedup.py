@@ -11,14 +11,15 @@ from .common import keep
 #: Lines are equal in kind when the sets of their shingles of so many characters have this Jaccard similarity or more.
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Signatures use longer shingles at word starts only: fewer, and rarely shared by chance.
-SIGNED = 8
-BANDS, ROWS = 12, 3
+#: Signatures use longer shingles at word starts only: fewer, and hardly shared by chance, however many lines there are.
+SIGNED = 12
+BANDS, ROWS = 9, 3
 
 
 def normal(line: Column) -> Column:
     """The form in which lines are compared: lower case, white space as one space, trimmed."""
-    return F.btrim(F.regexp_replace(F.lower(line), r"[\x20\x09-\x0D]+", " "))
+    low = F.btrim(F.translate(F.lower(line), "\t\x0b\x0c\r", "    "))
+    return F.when(F.contains(low, F.lit("  ")), F.regexp_replace(low, "  +", " ")).otherwise(low)
 
 
 def _shingles(line: Column) -> Column:
@@ -34,36 +35,37 @@ def _rows(docs: DataFrame, id: str, text: str) -> DataFrame:
 
 
 def _occurrences(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """``doc_id``, ``node``, ``pos``, ``norm`` and ``key`` of each line that is not blank."""
+    """``doc_id``, ``node``, ``pos`` and ``norm`` of each line that is not blank."""
     lines = _rows(docs, id, text).select("doc_id", "node", F.posexplode("lines").alias("pos", "line"))
-    return lines.select("doc_id", "node", "pos", normal(F.col("line")).alias("norm")).filter("norm <> ''").withColumn("key", F.unhex(F.md5("norm")))
+    return lines.select("doc_id", "node", "pos", normal(F.col("line")).alias("norm")).filter("norm <> ''")
 
 
 def _signed(lines: DataFrame) -> DataFrame:
-    """Distinct lines with their first place, number and band hashes.
+    """Distinct lines with their key, number and band hashes.
 
-    Lines are dealt out by key once; shingles are exploded and their minima taken
-    where the lines already lie, so signatures are not shuffled.
+    Lines are counted before they are dealt out, once; shingles are exploded and
+    their minima taken where the distinct lines then lie, so signatures are not
+    shuffled.
     """
-    place = F.struct("doc_id", "node", "pos")
-    distinct = lines.groupBy("key").agg(F.min("norm").alias("norm"), F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
+    distinct = lines.groupBy("norm").agg(F.count(F.lit(1)).alias("n"))
     starts = F.regexp_extract_all(F.concat(F.lit(" "), F.col("norm")), F.lit(f"(?s)(?= (.{{1,{SIGNED}}}))"), F.lit(1))
-    hashed = distinct.select("key", "norm", "first", "n", F.explode(starts).alias("s")).withColumn("h", F.xxhash64("s"))
+    hashed = distinct.select("norm", "n", F.explode(starts).alias("s")).select("norm", "n", F.xxhash64("s").alias("h"))
     least = [F.min(F.xxhash64("h", F.lit(i))).alias(f"m{i}") for i in range(BANDS * ROWS)]
-    signed = hashed.groupBy("key", "norm", "first.doc_id", "first.node", "first.pos", "n").agg(*least)
+    signed = hashed.groupBy("norm").agg(F.max("n").alias("n"), *least)
     bands = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)])
-    return signed.select("key", "norm", F.struct("doc_id", "node", "pos").alias("first"), "n", bands.alias("bands"))
+    return signed.select(F.unhex(F.md5("norm")).alias("key"), "norm", "n", bands.alias("bands"))
 
 
 def classify_lines(docs: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(distinct lines with ``key``, ``norm``, ``first``, ``n``; classes of the lines that have links)."""
-    signed = keep(_signed(_occurrences(docs, id, text)))
-    bands = signed.select(F.explode(F.array_distinct("bands")).alias("bucket"), F.col("key").alias("id"))
-    lines = signed.select("key", "norm")
+    """(distinct lines with ``id``, ``key``, ``norm``, ``n``; classes of the lines that have links)."""
+    # short numbers keep the bucket rows small; they are written, so they stay
+    signed = keep(_signed(_occurrences(docs, id, text)).withColumn("id", F.monotonically_increasing_id()))
+    bands = signed.select(F.explode(F.array_distinct("bands")).alias("bucket"), "id")
+    lines = signed.select("id", "norm")
 
     def verify(pairs: DataFrame) -> DataFrame:
         for side in "ab":
-            pairs = pairs.join(lines.select(F.col("key").alias(side), F.col("norm").alias(f"norm_{side}")), side)
+            pairs = pairs.join(lines.select(F.col("id").alias(side), F.col("norm").alias(f"norm_{side}")), side)
         sets = pairs.select("a", "b", _shingles(F.col("norm_a")).alias("x"), _shingles(F.col("norm_b")).alias("y"))
         both = sets.select("a", "b", F.size("x").alias("x"), F.size("y").alias("y"), F.size(F.array_intersect("x", "y")).alias("n"))
         return both.filter(F.col("n") >= SIMILARITY * (F.col("x") + F.col("y") - F.col("n"))).select("a", "b")
@@ -85,12 +87,12 @@ def dropped_lines(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Da
     document and get the same answer; null texts are empty.
     """
     signed, found = classify_lines(docs, id, text)
-    heads = signed.select("key", "first", "n").join(found.withColumnRenamed("id", "key"), "key", "left").filter("n > 1 or class is not null")
-    heads = keep(heads.withColumn("class", F.coalesce("class", "key")))
-    stays = heads.groupBy("class").agg(F.min("first").alias("stays"))
-    decided = heads.join(stays, "class").select("key", "stays")
-    where = _occurrences(docs, id, text).select("key", F.struct("doc_id", "node", "pos").alias("place"))
-    gone = where.join(decided, "key").filter(~F.col("place").eqNullSafe(F.col("stays")))
+    heads = signed.select("id", "key", "n").join(found, "id", "left").filter("n > 1 or class is not null")
+    heads = heads.select("key", F.coalesce("class", "id").alias("class"))
+    where = _occurrences(docs, id, text).select(F.unhex(F.md5("norm")).alias("key"), F.struct("doc_id", "node", "pos").alias("place"))
+    placed = keep(where.join(heads, "key").select("class", "place"))
+    stays = placed.groupBy("class").agg(F.min("place").alias("stays"))
+    gone = placed.join(stays, "class").filter(~F.col("place").eqNullSafe(F.col("stays")))
     return gone.select("place.*").distinct().groupBy("doc_id", "node").agg(F.sort_array(F.collect_list("pos")).alias("dropped"))
 
 
