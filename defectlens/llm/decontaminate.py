@@ -22,12 +22,14 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, SpanHash, text_blocks, word_spans
 
-#: Hashed words, random directions, directions that are kept.
-FEATURES, DIRECTIONS, RANK = 8192, 64, 48
-#: Words of a passage of the matrix; words between windows, and the lengths of windows by the length of an item.
-PASSAGE, STRIDE, LENGTHS = 32, 4, (16, 32)
+#: Hashed words, and random directions; as many singular directions are kept.
+FEATURES, DIRECTIONS = 8192, 64
+#: Words of a passage of the matrix; the lengths of windows by the length of an item, and the words between windows of each length.
+PASSAGE, LENGTHS, STRIDES = 32, (16, 32), (4, 8)
+#: Windows whose words are looked up at once.
+HITS = 20_000
 #: Cosine from which a window is a candidate for an item.
-COSINE = 0.5
+COSINE = 0.55
 #: Share of an item's words in a common subsequence: contaminated, and contaminated if the answer is there too.
 SAME, PARAPHRASE, ANSWER = 0.8, 0.6, 0.8
 #: Benchmark bytes that are compared with the corpus in one pass; a larger benchmark takes more passes.
@@ -98,7 +100,11 @@ def random_directions() -> np.ndarray:
 
 
 def latent_space(docs: DataFrame) -> np.ndarray:
-    """Vector of each feature: its inverse document frequency times the leading right singular vectors, each scaled by its singular value."""
+    """Vector of each feature: its inverse document frequency times the leading right singular vectors, each over its squared singular value.
+
+    The first directions tell languages and common words apart and would make all
+    windows of a language alike; so divided they count least.
+    """
     df, n = frequencies(docs)
     idf = np.log((1 + n) / (1 + df)).astype(np.float32)
     spark = docs.sparkSession
@@ -107,14 +113,18 @@ def latent_space(docs: DataFrame) -> np.ndarray:
     def add(total: np.ndarray, words: np.ndarray, first: np.ndarray) -> None:
         w = weights.value
         if not hasattr(add, "rows"):
-            add.rows = random_directions() * w[:, None]
-        f = _feature(words)
-        starts = _cuts(first, PASSAGE)
-        projected = np.add.reduceat(add.rows[f], starts, axis=0)
-        passage = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(words))))
-        order = np.argsort(f, kind="stable")
-        own, at = np.unique(f[order], return_index=True)
-        total[own] += np.add.reduceat(projected[passage[order]], at, axis=0) * w[own, None]
+            add.rows = np.vstack([random_directions() * w[:, None], np.zeros((1, DIRECTIONS), np.float32)])
+        f = _feature(words).astype(np.int64)
+        # every text is filled up to whole passages with a feature of zeros
+        counts = np.diff(first)
+        at = PASSAGE * np.concatenate([[0], np.cumsum(-(-counts // PASSAGE))])
+        place = np.arange(len(words)) + np.repeat(at[:-1] - first[:-1], counts)
+        filled = np.full(at[-1], FEATURES)
+        filled[place] = f
+        projected = np.ascontiguousarray(add.rows[filled].reshape(-1, PASSAGE, DIRECTIONS).sum(1).T)
+        passage = place // PASSAGE
+        for c in range(DIRECTIONS):
+            total[:, c] += np.bincount(f, projected[c][passage], FEATURES) * w
 
     z = _summed(docs, lambda: np.zeros((FEATURES, DIRECTIONS)), add)
     omega = random_directions().astype(np.float64)
@@ -123,9 +133,10 @@ def latent_space(docs: DataFrame) -> np.ndarray:
     core = omega.T @ y
     low = np.linalg.cholesky((core + core.T) / 2)
     u, s, _ = np.linalg.svd(np.linalg.solve(low, y.T).T, full_matrices=False)
-    values = np.maximum(s**2 - shift, 0)[:RANK]
-    scale = np.where(values > 1e-9 * max(values[0], 1e-300), 1 / np.sqrt(np.maximum(values, 1e-300)), 0.0)
-    return (idf[:, None] * u[:, :RANK] * scale * np.sqrt(max(n, 1))).astype(np.float32)
+    values = np.maximum(s**2 - shift, 0)
+    kept = values > 1e-9 * max(values[0], 1e-300)
+    scale = np.where(kept, values[0] / np.where(kept, values, 1.0), 0.0)
+    return (idf[:, None] * u * scale).astype(np.float32)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -155,7 +166,14 @@ class Benchmark:
         for own, out in ((texts, self.words), ([_answer(t) for t in texts], self.answers)):
             for _, words, first in _words(pa.array(own, pa.string())):
                 out += [words[a:b].tolist() for a, b in zip(first, first[1:])]
-        self.queries: dict[int, tuple[np.ndarray, list[tuple[int, int]]]] = {}
+        self.sizes = np.array([len(w) for w in self.words], np.int64)
+        self.repeats = np.array([len(w) - len(set(w)) for w in self.words], np.int64)
+        self.vocabulary = np.unique(np.array([w for own in self.words for w in own], np.uint64))
+        self.holds = np.zeros((len(self.words), len(self.vocabulary) + 1), bool)  # the last column: other words
+        for i, own in enumerate(self.words):
+            self.holds[i, np.searchsorted(self.vocabulary, np.array(own, np.uint64))] = True
+        self.queries: dict[int, np.ndarray] = {}
+        self.places: dict[int, np.ndarray] = {}  # item and offset of each query
         for length in LENGTHS:
             places, rows = [], []
             for i, own in enumerate(self.words):
@@ -166,7 +184,8 @@ class Benchmark:
                     f = _feature(np.array(own[s : s + length], np.uint64))
                     places.append((i, s))
                     rows.append(vectors[f].sum(0))
-            self.queries[length] = (_unit(np.array(rows, np.float32).reshape(-1, RANK)).T.copy(), places)
+            self.places[length] = np.array(places, np.int64).reshape(-1, 2)
+            self.queries[length] = _unit(np.array(rows, np.float32).reshape(-1, DIRECTIONS)).T.copy()
 
     def verdict(self, item: int, region: list[int]) -> float:
         """Share of the item in a common subsequence with the region, or 0 if it doesn't count as found."""
@@ -192,47 +211,81 @@ def _answer(text: str) -> str:
 
 def _length(n: int) -> int:
     """Length of the windows in which an item of n words is looked for."""
-    return max((x for x in LENGTHS if 1.25 * x <= n), default=LENGTHS[0])
+    return max((x for x in LENGTHS if x <= n), default=LENGTHS[0])
 
 
 def _find(items: Benchmark, vectors: np.ndarray, words: np.ndarray, first: np.ndarray) -> dict[tuple[int, int], float]:
     """(text, item) -> share, over the texts of one block."""
-    starts = _cuts(first, STRIDE)
+    starts = _cuts(first, STRIDES[0])
     if not len(starts):
         return {}
     text = np.searchsorted(first, starts, side="right") - 1
-    sums = np.add.reduceat(vectors[_feature(words)], starts, axis=0)
+    known = np.searchsorted(items.vocabulary, words)
+    known[known == len(items.vocabulary)] = 0
+    known = np.where(items.vocabulary[known] == words, known, len(items.vocabulary)) if len(items.vocabulary) else np.zeros(len(words), np.int64)
+    known = np.append(known, len(items.vocabulary))
+    # texts are filled up to whole strides with zeros
+    counts = np.diff(first)
+    at = STRIDES[0] * np.concatenate([[0], np.cumsum(-(-counts // STRIDES[0]))])
+    filled = np.zeros((at[-1], vectors.shape[1]), np.float32)
+    filled[np.arange(len(words)) + np.repeat(at[:-1] - first[:-1], counts)] = vectors[_feature(words)]
+    sums = filled.reshape(-1, STRIDES[0], vectors.shape[1]).sum(1)
     best: dict[tuple[int, int], float] = {}
     tried: set[tuple[int, int, int]] = set()
     window, covered = sums.copy(), 1
-    for length in LENGTHS:
-        for k in range(covered, length // STRIDE):
+    for length, stride in zip(LENGTHS, STRIDES):
+        for k in range(covered, length // STRIDES[0]):
             same = text[k:] == text[:-k] if k < len(text) else np.zeros(0, bool)
             window[: len(same)] += sums[k:] * same[:, None]
-        covered = length // STRIDE
-        queries, places = items.queries[length]
-        if not places:
+        covered = length // STRIDES[0]
+        places = items.places[length]
+        if not len(places):
             continue
-        hit, query = np.nonzero(_unit(window) @ queries >= COSINE)
-        for g, q in zip(hit.tolist(), query.tolist()):
-            item, offset = places[q]
-            t, n = int(text[g]), len(items.words[item])
-            if best.get((t, item), 0.0) == 1.0:
-                continue
-            slack = n // 4 + STRIDE
-            begin = int(starts[g]) - offset
-            key = (t, item, begin // (2 * STRIDE))
-            if key in tried:
-                continue
-            tried.add(key)
-            low = max(int(first[t]), begin // (2 * STRIDE) * (2 * STRIDE) - slack)
-            high = min(int(first[t + 1]), begin + n + slack + 2 * STRIDE)
-            share = items.verdict(item, words[low:high].tolist())
-            if share > best.get((t, item), 0.0):
-                best[t, item] = share
+        taken = np.flatnonzero((starts - first[text]) % stride == 0)
+        hit, query = np.nonzero(_unit(window[taken]) @ items.queries[length] >= COSINE)
+        hit = taken[hit]
+        around = np.arange(-stride, length + stride)
+        for s in range(0, len(hit), HITS):
+            # few candidates have enough of the item's words in and around the window
+            h, q = hit[s : s + HITS], query[s : s + HITS]
+            item = places[q, 0]
+            at = starts[h, None] + around
+            at = np.where((at >= first[text[h], None]) & (at < first[text[h] + 1, None]), at, len(words))
+            there, least = known[at], PARAPHRASE * np.minimum(length, items.sizes[item])
+            held = items.holds[item[:, None], there]
+            enough = np.flatnonzero(held.sum(1) >= least)
+            # a word counts as often only as the item repeats words
+            own = np.sort(np.where(held[enough], there[enough], -1), axis=1)
+            distinct = (own[:, 1:] > own[:, :-1]).sum(1) + (own[:, 0] >= 0)
+            enough = enough[distinct + items.repeats[item[enough]] >= least[enough]]
+            for g, i, offset in zip(h[enough].tolist(), item[enough].tolist(), places[q[enough], 1].tolist()):
+                t, n = int(text[g]), int(items.sizes[i])
+                begin = (int(starts[g]) - offset) // 8 * 8
+                if best.get((t, i), 0.0) == 1.0 or (t, i, begin) in tried:
+                    continue
+                tried.add((t, i, begin))
+                slack = n // 4 + 4
+                region = words[max(int(first[t]), begin - slack) : min(int(first[t + 1]), begin + 8 + n + slack)]
+                share = items.verdict(i, region.tolist())
+                if share > best.get((t, i), 0.0):
+                    best[t, i] = share
     return best
 
 
+def _passes(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_text: str) -> Iterator[tuple[object, object]]:
+    """For each pass over the documents the items of the pass (a broadcast Arrow table) and the latent space (broadcast)."""
+    items = benchmark.select(F.col(f"`{item_id}`").alias("item_id"), F.coalesce(F.col(f"`{item_text}`"), F.lit("")).alias("text")).filter("text <> ''")
+    n_bytes = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    passes = -(-n_bytes // PASS_BYTES)
+    if not passes:
+        return
+    context = docs.sparkSession.sparkContext
+    vectors = context.broadcast(latent_space(docs.select(F.col(f"`{text}`").alias("text"))))
+    for p in range(passes):
+        part = items.filter(F.pmod(F.xxhash64("text"), F.lit(passes)) == p) if passes > 1 else items
+        yield context.broadcast(part.toArrow()), vectors  # about PASS_BYTES
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``doc_id``, ``item_id`` and ``share`` (of the item's words) for every document that holds an item.
 
@@ -244,17 +297,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text:
     """
     kind, item_kind = docs.schema[id].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()
     slim = docs.select(F.col(f"`{id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    items = benchmark.select(F.col(f"`{item_id}`").alias("item_id"), F.coalesce(F.col(f"`{item_text}`"), F.lit("")).alias("text")).filter("text <> ''")
-    spark = docs.sparkSession
-    n_bytes = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    vectors = spark.sparkContext.broadcast(latent_space(slim))
-    passes = -(-n_bytes // PASS_BYTES)
-    found = []
-    for p in range(passes):
-        part = items.filter(F.pmod(F.xxhash64("text"), F.lit(passes)) == p).toArrow() if passes > 1 else items.toArrow()  # about PASS_BYTES
-        held = spark.sparkContext.broadcast(part)
+    out = slim.select("doc_id", F.lit(None).cast(item_kind).alias("item_id"), F.lit(None).cast("double").alias("share")).filter("false")
+    for held, vectors in _passes(docs, benchmark, text, item_id, item_text):
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], held=held, vectors=vectors) -> Iterator[pa.RecordBatch]:
             table = held.value
             names = table.column("item_id").combine_chunks()
             known = Benchmark(table.column("text").to_pylist(), vectors.value)
@@ -267,18 +313,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text:
                         ["doc_id", "item_id", "share"],
                     )
 
-        found.append(slim.mapInArrow(run, f"doc_id {kind}, item_id {item_kind}, share double"))
-    if not found:
-        return slim.select("doc_id", F.lit(None).cast(item_kind).alias("item_id"), F.lit(None).cast("double").alias("share")).filter("false")
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
+        out = out.unionByName(slim.mapInArrow(run, f"doc_id {kind}, item_id {item_kind}, share double"))
     return out
 
 
-def remove_leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", **names: str) -> DataFrame:
-    """The documents that hold no item, in their own columns. Rows whose id is that of a document with an item go with it."""
-    leaks = find_leaks(docs, benchmark, id, text, **names).select(F.col("doc_id").alias("leaked_id")).distinct()
-    columns = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    own = docs.select(columns.alias("row"))
-    return own.join(leaks, F.col(f"row.`{id}`").eqNullSafe(F.col("leaked_id")), "left_anti").select("row.*")
+def remove_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows that hold no item, in their own columns. Each row is judged where it lies, so nothing is shuffled."""
+    out, place = docs, docs.columns.index(text)
+    for held, vectors in _passes(docs, benchmark, text, item_id, item_text):
+
+        def run(batches: Iterator[pa.RecordBatch], held=held, vectors=vectors) -> Iterator[pa.RecordBatch]:
+            known = Benchmark(held.value.column("text").to_pylist(), vectors.value)
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                for row, words, first in _words(batch.column(place)):
+                    clean[[row + t for t, _ in _find(known, vectors.value, words, first)]] = False
+                yield batch.filter(pa.array(clean))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out
