@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .classes import components, in_company, leader_pairs, unsettled
-from .common import SpanHash, keep, mapped, mix, text_blocks, word_spans
+from .common import SpanHash, keep, mapped, mix, ragged, text_blocks, word_spans
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -19,6 +19,8 @@ SIMILARITY = 0.8
 VALUES, BANDS, ROWS = 128, 25, 5
 #: Bytes of texts in a block; members of a bucket meet block by block.
 BLOCK_OF_TEXTS = 4 << 20
+#: Texts of one class in a block when all its links are counted.
+BLOCK_OF_NODES = 512
 #: Values that are compared between two looks at the posterior, and the posterior below which a pair is dropped.
 STEP, TOLERANCE = 16, 1e-4
 
@@ -128,6 +130,15 @@ def _check(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
 
 
+def _sets(texts: pa.Array) -> list[np.ndarray]:
+    """Distinct shingles of each text, ascending."""
+    sets = []
+    for _, data, offsets in text_blocks(texts):
+        h, at = shingles(data, offsets)
+        sets += [np.unique(h[x:y]) for x, y in zip(at, at[1:])]
+    return sets
+
+
 def _links_in_blocks(group: pa.Table) -> pa.Table:
     """Links between two blocks of a bucket that join classes; pairs that are joined already are not compared.
 
@@ -138,10 +149,7 @@ def _links_in_blocks(group: pa.Table) -> pa.Table:
     ids, block = group.column("id").to_numpy(), group.column("block").to_numpy()
     bands = np.array(group.column("bands").to_pylist(), np.int64)
     values = np.frombuffer(b"".join(group.column("sig").to_pylist()), "<u4").reshape(-1, VALUES)
-    sets = []
-    for _, data, offsets in text_blocks(group.column("text")):
-        h, at = shingles(data, offsets)
-        sets += [np.unique(h[x:y]) for x, y in zip(at, at[1:])]
+    sets = _sets(group.column("text"))
     _, own = np.unique(group.column("class").to_numpy(), return_inverse=True)
     band = int(np.flatnonzero(bands[0] == bucket)[0])
     left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
@@ -164,20 +172,63 @@ def _links_in_blocks(group: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
 
+def _degrees_in_blocks(group: pa.Table) -> pa.Table:
+    """Number of links of each text between two blocks of a class; texts without any are left out.
+
+    All pairs whose sizes allow a link are compared by the sets themselves, so none is
+    lost: the shingles of one text are marked and counted in all partners at once.
+    """
+    i, j = (group.column(c)[0].as_py() for c in ("i", "j"))
+    ids, block = group.column("id").to_numpy(), group.column("block").to_numpy()
+    sets = _sets(group.column("text"))
+    sizes = np.array([len(s) for s in sets], np.int64)
+    first = np.cumsum(sizes) - sizes
+    known, number = np.unique(np.concatenate(sets), return_inverse=True)
+    marked = np.zeros(len(known), np.int32)
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    degree = np.zeros(len(ids), np.int64)
+    for a in left:
+        other = right[right > a] if i == j else right
+        other = other[np.minimum(sizes[other], sizes[a]) >= SIMILARITY * np.maximum(sizes[other], sizes[a])]
+        if not len(other):
+            continue
+        own = number[first[a] : first[a] + sizes[a]]
+        marked[own] = 1
+        same = np.add.reduceat(marked[ragged(number, first[other], sizes[other])], np.cumsum(sizes[other]) - sizes[other])
+        marked[own] = 0
+        linked = other[same >= SIMILARITY * (sizes[a] + sizes[other] - same)]
+        degree[a] += len(linked)
+        degree[linked] += 1
+    some = np.flatnonzero(degree)
+    return pa.table({"id": pa.array(ids[some], pa.int64()), "n_links": pa.array(degree[some])})
+
+
+def _degrees(classes: DataFrame, near: DataFrame) -> DataFrame:
+    """``id`` and ``n_links`` of every text in ``classes``. Links lie inside classes; two texts of one class are one link."""
+    sizes = classes.join(near.select("id", F.octet_length("text").alias("bytes")), "id").groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    sizes = keep(sizes.select("class", "n", F.ceil(F.greatest(F.col("bytes") / BLOCK_OF_TEXTS, F.col("n") / BLOCK_OF_NODES)).cast("int").alias("blocks")))
+    two = classes.join(sizes.filter("n = 2"), "class").select("id", F.lit(1).cast("bigint").alias("n_links"))
+    dealt = classes.join(sizes.filter("n > 2"), "class").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    met = dealt.join(near, "id").select("class", "id", "block", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    met = met.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
+    parts = met.groupBy("class", "i", "j").applyInArrow(_degrees_in_blocks, "id long, n_links long")
+    return two.unionByName(parts.groupBy("id").agg(F.sum("n_links").alias("n_links")))
+
+
 def classify(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``node`` (digest of the text), ``class_id``, ``n_links`` and ``n_same`` of every row.
 
     Two texts are linked when the sets of their shingles of five words have a
     Jaccard similarity of 0.8 or more; classes are connected texts, named by their
     least id. Equal texts are one node, so copies make no pairs: ``n_same`` counts the
-    other rows with the same text, ``n_links`` the links of the text that were checked
-    and used to connect classes, so it is 0 only for a text without any link. Null,
-    empty and blank texts have no shingles: each is a class of its own with no
-    copies. Repeated rows are copies.
+    other rows with the same text, ``n_links`` the number of other texts that the text
+    is linked to. Null, empty and blank texts have no shingles: each is a class of its
+    own with no copies. Repeated rows are copies.
 
     Candidates share a bucket. Each is first compared with its bucket's leader; what
     is then still in several classes meets block by block, and no pairs leave a task
-    but links.
+    but links that join classes. Links are counted afterwards: all texts of a class
+    meet block by block, and tasks give numbers of links, not pairs.
     """
     kind = docs.schema[id].dataType.simpleString()
     slim = docs.select(F.col(f"`{id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
@@ -212,8 +263,9 @@ def classify(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
     met = dealt.select("bucket", "id", "class", "block", "sig", "bands", "text", meet)
     met = met.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
     links = direct.unionByName(keep(met.groupBy("bucket", "i", "j").applyInArrow(_links_in_blocks, "a long, b long").distinct()))
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-    classed = nodes.join(components(links), "id", "left").join(degree, "id", "left").withColumn("class", F.coalesce("class", "id"))
+    found = keep(components(links))
+    degree = keep(_degrees(found, near))
+    classed = nodes.join(found, "id", "left").join(degree, "id", "left").withColumn("class", F.coalesce("class", "id"))
     names = classed.groupBy("class").agg(F.min("first").alias("class_id"))
     known = classed.join(names, "class").select("node", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("n") - 1).alias("n_same"))
     return signed.select("doc_id", "node").join(known, "node", "left").select(

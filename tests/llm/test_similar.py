@@ -95,6 +95,20 @@ def test_ngram_join(table, some_documents):
     assert ngram_join.classify(docs.limit(0)).count() == 0 and ngram_join.keep_one(docs.limit(0)).count() == 0
 
 
+def test_ngram_degrees(table, some_documents, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_OF_NODES", 40)
+    rnd = random.Random(12)
+    base = [f"v{rnd.randrange(2000)}" for _ in range(300)]
+    rows = some_documents[:-2] + [(20_000 + i, edited(rnd, base, rnd.randint(0, 12))) for i in range(200)]
+    rows += [(30_000 + i, " ".join(["one", "after", "other", *base[:100], f"tail{i}"])) for i in range(5)] + [(30_000, " ".join(base))]
+    texts = {t for _, t in rows if word_shingles(t)}
+    sets = {t: word_shingles(t) for t in texts}
+    want = {t: sum(o != t and 10 * len(s & sets[o]) >= 8 * len(s | sets[o]) for o in texts) for t, s in sets.items()}
+    got = sorted((r.doc_id, r.n_links) for r in ngram_join.classify(table(rows, "doc_id long, text string").repartition(6)).collect())
+    assert got == sorted((i, want.get(t, 0)) for i, t in rows)
+    assert max(want.values()) > 50
+
+
 def test_ngram_query(spark, data_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{data_dir}/documents.parquet").select("doc_id", "text").collect()]
     want, _ = brute_documents(rows)
