@@ -167,6 +167,24 @@ def test_line_dedup(spark, table):
     assert sorted(r.text for r in line_dedup.drop_lines(twice).collect()) == ["", "one line of it\nanother line", "one line of it\nanother line"]
 
 
+def test_lines_with_edits_anywhere(table):
+    """Each line and its edited copy are a document each; only the copies that are links count."""
+    rnd = random.Random(14)
+    spaced = lambda n: "".join(rnd.choice("abcdefghijklmno ") for _ in range(n)).strip(" ").ljust(n, "p")
+    unspaced = lambda n: "".join(chr(rnd.randrange(0x4E00, 0x5E00)) for _ in range(n))
+    rows, pairs = [], []
+    for k in range(600):
+        n = rnd.randint(40, 120)
+        line = (spaced if k % 2 else unspaced)(n)
+        at = {0: {0}, 1: {n - 1}, 2: {0, n - 1}, 3: {3}, 4: {rnd.randrange(n)}, 5: {rnd.randrange(n), rnd.randrange(n)}}[k % 6 if k % 4 else k // 4 % 6]
+        copy = "".join("#" if i in at else c for i, c in enumerate(line))
+        rows += [(2 * k, line), (2 * k + 1, copy)]
+        pairs.append((2 * k, 2 * k + 1))
+    want, _ = brute_lines(rows)
+    got = {(r.doc_id, p) for r in line_dedup.dropped_lines(table(rows, "doc_id long, text string").repartition(5)).collect() for p in r.dropped}
+    assert len(want) > 400 and got <= want and len(want - got) <= 0.002 * len(want)
+
+
 def test_line_query(spark, data_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{data_dir}/documents.parquet").select("doc_id", "text").collect()]
     want, linked = brute_lines(rows)
