@@ -39,9 +39,21 @@ SENTENCES = {
     "spdx_bsd3": "spdx license identifier bsd 3 clause",
     "all_rights": "all rights reserved",
 }
+# The address in the Apache header stands alone, or runs into the sentence before or after it, by line breaks and comment signs.
+SENTENCES["apache2_obtain"] = "you may obtain a copy of the license at"
+for _end, _scheme in (("", "http"), ("_s", "https")):
+    SENTENCES[f"apache2_url{_end}"] = f"{_scheme} www apache org licenses license 2 0"
+    SENTENCES[f"apache2_copy{_end}"] = f"{SENTENCES['apache2_obtain']} {SENTENCES[f'apache2_url{_end}']}"
+    for _part in ("url", "copy"):
+        SENTENCES[f"apache2_{_part}{_end}_basis"] = f"{SENTENCES[f'apache2_{_part}{_end}']} {SENTENCES['apache2_basis']}"
+_APACHE = [
+    run
+    for s in ("", "_s")
+    for run in (("copy" + s, "basis"), ("obtain", "url" + s, "basis"), ("copy" + s + "_basis",), ("obtain", "url" + s + "_basis"))
+]
 # Licences and the sentences that make them, in the order in which they are tried.
 RULES = (
-    ("Apache-2.0", ("apache2_the", "apache2_copy", "apache2_basis", "apache2_see")),
+    *[("Apache-2.0", ("apache2_the", *[f"apache2_{x}" for x in run], "apache2_see")) for run in _APACHE],
     ("BSD-3-Clause", ("bsd_redistribution", "bsd_source", "bsd_binary", "bsd_endorse", "bsd_as_is")),
     ("BSD-2-Clause", ("bsd_redistribution", "bsd_source", "bsd_binary", "bsd_as_is")),
     ("MIT", ("mit_grant", "mit_notice", "mit_as_is", "mit_liability")),
@@ -63,8 +75,8 @@ RULES = (
 HINT = r"(?i)licen|permi|copyright|redistribut|warrant|as is|rights reserved|liable"
 #: Ends of sentences inside a line, and at its end.
 STOP = r"[.!?]+[ \t\r]+|[.!?]+$"
-#: Paragraph ends: blank lines, and a colon at the end of a line.
-PARAGRAPH = r":[ \t\r]*\n+|\n[ \t\r]*\n+"
+#: Paragraph ends: blank lines or lines of comment signs only, and a colon at the end of a line.
+PARAGRAPH = r":[ \t\r]*\n+|\n[ \t\r]*([#*/;%-]+[ \t\r]*)?\n+"
 
 
 def _known(piece: Column) -> Column:

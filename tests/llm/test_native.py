@@ -57,6 +57,32 @@ def test_licences(table):
     assert license_scan.scan(docs.limit(0)).count() == 0
 
 
+APACHE = """Copyright 2020 Somebody
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+
+
+def test_apache_header(table):
+    hashes = "\n".join(f"# {x}".rstrip() for x in APACHE.split("\n"))
+    stars = "/*\n" + "\n".join(f" * {x}".rstrip() for x in APACHE.split("\n")) + "\n */\nint x;"
+    texts = [APACHE, hashes, stars, APACHE.replace("\n\n    http", "\n    http"), APACHE.replace("2.0\n\nUnless", "2.0\nUnless"), APACHE.replace("\n\n", "\n").replace("Somebody\n", "Somebody\n\n")]
+    texts += [t.replace("http:", "https:") for t in texts]
+    docs = table(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.row.doc_id: (r.licences, r.n_unmatched) for r in license_scan.scan(docs).collect()}
+    assert got == {i: (["Apache-2.0"], 0) for i in range(12)}
+
+
 def brute_url(url, rules):
     rest = url.split("://", 1)[1] if url and "://" in url else ""
     raw = re.match(r"[^/?#]*", rest)[0]
