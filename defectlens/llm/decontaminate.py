@@ -6,7 +6,9 @@
    the singular value decomposition then follows from Z and W alone.
 3. One pass that projects every window of every document and compares it with the
    benchmark's windows by cosine; candidates are checked by their longest common
-   subsequence with the item, and doubtful ones by the item's answer.
+   subsequence with the item, and doubtful ones by the item's answer. Items of fewer
+   words than the shortest window are found by their rarest words instead: of n words
+   with k in the subsequence, one of any n - k + 1 must be there.
 """
 
 from __future__ import annotations
@@ -20,16 +22,16 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SpanHash, text_blocks, word_spans
+from .common import LOWER, SpanHash, ragged, text_blocks, word_spans
 
 #: Hashed words, and random directions; as many singular directions are kept.
 FEATURES, DIRECTIONS = 8192, 64
 #: Words of a passage of the matrix; the lengths of windows by the length of an item, and the words between windows of each length.
-PASSAGE, LENGTHS, STRIDES = 32, (16, 32), (4, 8)
+PASSAGE, LENGTHS, STRIDES = 32, (16, 32), (4, 4)
 #: Windows whose words are looked up at once.
 HITS = 20_000
 #: Cosine from which a window is a candidate for an item.
-COSINE = 0.55
+COSINE = 0.5
 #: Share of an item's words in a common subsequence: contaminated, and contaminated if the answer is there too.
 SAME, PARAPHRASE, ANSWER = 0.8, 0.6, 0.8
 #: Benchmark bytes that are compared with the corpus in one pass; a larger benchmark takes more passes.
@@ -177,7 +179,7 @@ class Benchmark:
         for length in LENGTHS:
             places, rows = [], []
             for i, own in enumerate(self.words):
-                if not own or _length(len(own)) != length:
+                if len(own) < LENGTHS[0] or _length(len(own)) != length:
                     continue
                 starts = sorted({*range(0, max(1, len(own) - length + 1), length), max(0, len(own) - length)})
                 for s in starts:
@@ -187,6 +189,14 @@ class Benchmark:
             self.places[length] = np.array(places, np.int64).reshape(-1, 2)
             self.queries[length] = _unit(np.array(rows, np.float32).reshape(-1, DIRECTIONS)).T.copy()
 
+        self.short = np.flatnonzero((self.sizes > 0) & (self.sizes < LENGTHS[0]))
+        self.short_words = np.full((len(self.short), LENGTHS[0] - 1), -1)
+        for row, i in enumerate(self.short.tolist()):
+            self.short_words[row, : self.sizes[i]] = np.searchsorted(self.vocabulary, np.array(self.words[i], np.uint64))
+        self.least = np.array([n if n < 5 else next(k for k in range(n + 1) if k / n >= PARAPHRASE) for n in self.sizes[self.short].tolist()], np.int64)
+        self.in_short = np.zeros(len(self.vocabulary) + 1, bool)
+        self.in_short[self.short_words[self.short_words >= 0]] = True
+
     def verdict(self, item: int, region: list[int]) -> float:
         """Share of the item in a common subsequence with the region, or 0 if it doesn't count as found."""
         own = self.words[item]
@@ -214,6 +224,45 @@ def _length(n: int) -> int:
     return max((x for x in LENGTHS if x <= n), default=LENGTHS[0])
 
 
+def _find_short(items: Benchmark, known: np.ndarray, words: np.ndarray, first: np.ndarray, best: dict[tuple[int, int], float]) -> None:
+    """Adds the items of fewer words than a window to ``best``; ``known`` are the words' numbers in the vocabulary."""
+    at = np.flatnonzero(items.in_short[known[:-1]])
+    if not len(at):
+        return
+    at = at[np.argsort(known[at], kind="stable")]
+    counts = np.bincount(known[at], minlength=len(items.vocabulary) + 1)
+    begins = np.cumsum(counts) - counts
+    there = items.short_words >= 0
+    order = np.argsort(np.where(there, counts[items.short_words], len(words) + 1), axis=1, kind="stable")
+    n = items.sizes[items.short]
+    row, column = np.nonzero(np.arange(order.shape[1]) < (n - items.least + 1)[:, None])
+    column = order[row, column]
+    word = items.short_words[row, column]
+    # runs of triggers with about HITS occurrences together
+    size = counts[word]
+    upto = np.cumsum(size)
+    cuts = np.searchsorted(upto, np.arange(HITS, int(upto[-1]) + HITS, HITS), side="left") + 1
+    tried: set[tuple[int, int]] = set()
+    for a, b in zip([0, *cuts], [*cuts, len(word)]):
+        of, place = np.repeat(np.arange(a, min(b, len(word))), size[a:b]), ragged(at, begins[word[a:b]], size[a:b])
+        for s in range(0, len(place), HITS):
+            own, p = of[s : s + HITS], place[s : s + HITS]
+            r, begin = row[own], p - column[own]
+            text = np.searchsorted(first, p, side="right") - 1
+            slack = np.where(n[r] < 5, 0, n[r] // 4 + 4)
+            low, high = np.maximum(begin - slack, first[text]), np.minimum(begin + n[r] + slack, first[text + 1])
+            spot = low[:, None] + np.arange(int((high - low).max()))
+            inside = known[np.where(spot < high[:, None], spot, len(words))]
+            enough = np.flatnonzero(items.holds[items.short[r][:, None], inside].sum(1) >= items.least[r])
+            for t, i, x, y in zip(text[enough].tolist(), items.short[r[enough]].tolist(), low[enough].tolist(), high[enough].tolist()):
+                if best.get((t, i), 0.0) == 1.0 or (i, x) in tried:
+                    continue
+                tried.add((i, x))
+                share = items.verdict(i, words[x:y].tolist())
+                if share > best.get((t, i), 0.0):
+                    best[t, i] = share
+
+
 def _find(items: Benchmark, vectors: np.ndarray, words: np.ndarray, first: np.ndarray) -> dict[tuple[int, int], float]:
     """(text, item) -> share, over the texts of one block."""
     starts = _cuts(first, STRIDES[0])
@@ -231,6 +280,7 @@ def _find(items: Benchmark, vectors: np.ndarray, words: np.ndarray, first: np.nd
     filled[np.arange(len(words)) + np.repeat(at[:-1] - first[:-1], counts)] = vectors[_feature(words)]
     sums = filled.reshape(-1, STRIDES[0], vectors.shape[1]).sum(1)
     best: dict[tuple[int, int], float] = {}
+    _find_short(items, known, words, first, best)
     tried: set[tuple[int, int, int]] = set()
     window, covered = sums.copy(), 1
     for length, stride in zip(LENGTHS, STRIDES):

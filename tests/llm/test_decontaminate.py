@@ -87,6 +87,34 @@ def test_leaks(spark, table):
     assert decontaminate.find_leaks(docs.limit(0), benchmark).count() == 0
 
 
+def test_short_items_and_paraphrases(table):
+    """Short items inside long documents, whole or changed, and paraphrases of 0.6 to 0.8 that keep the answer."""
+    rnd = random.Random(9)
+    common = ["the", "of", "and", "to", "in", "a", "is"]
+    stems = [f"{a}{b}" for a in "abcdefghijklmnop" for b in ("or", "an", "ti", "re", "st", "en", "ou", "ing")]
+    make = lambda n: [rnd.choice(common) if rnd.random() < 0.35 else rnd.choice(stems) + rnd.choice(stems) for _ in range(n)]
+    short = [make(n) for n in (2, 3, 4, 5, 6, 8, 10, 13, 15) for _ in range(8)]
+    asked = [(make(rnd.randint(20, 45)), make(6)) for _ in range(60)]
+    items = [(i, " ".join(w)) for i, w in enumerate(short)] + [(100 + i, " ".join(q) + ". " + " ".join(a)) for i, (q, a) in enumerate(asked)]
+    rows, planted = [], {}
+    for d, (i, item) in enumerate([x for x in items for _ in range(2)]):
+        own = item.replace(".", "").split()
+        n, free = len(own), len(own) - (6 if i >= 100 else 0)
+        lost = rnd.randint(n // 5, 2 * n // 5) if i >= 100 else (n // 5 if n >= 5 and d % 2 else 0)
+        for k in rnd.sample(range(free), lost):
+            own[k] = f"other{rnd.randrange(999)}"
+        body = make(rnd.randint(150, 300))
+        at = rnd.randrange(len(body))
+        rows.append((d, " ".join(body[:at] + own + body[at:])))
+        planted[d] = i
+    texts = {i: words(t) for i, t in items}
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(table(rows, "doc_id long, text string").repartition(4), table(items, "item_id long, text string")).collect()}
+    short_lost = {(d, i) for d, i in planted.items() if i < 100} - got
+    long_lost = {(d, i) for d, i in planted.items() if i >= 100 and lcs(texts[i], words(rows[d][1])) >= 0.6 * len(texts[i])} - got
+    assert not short_lost
+    assert not long_lost
+
+
 def test_query(spark, data_dir):
     docs = [tuple(r) for r in spark.read.parquet(f"{data_dir}/documents.parquet").select("doc_id", "text").collect()]
     items = [tuple(r) for r in spark.read.parquet(f"{data_dir}/benchmark.parquet").collect()]
