@@ -100,6 +100,42 @@ def _extend(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "start", "end", "firsts"])
 
 
+def _agreeing(a: np.ndarray, b: np.ndarray) -> int:
+    """Number of words at the beginning of both that agree."""
+    n = min(len(a), len(b))
+    other = np.flatnonzero(a[:n] != b[:n])
+    return int(other[0]) if len(other) else n
+
+
+def _widen(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs with all words before and after them that agree with the document they repeat, over chunks of other sources too."""
+
+    def words(column: str) -> list[np.ndarray]:
+        out = []
+        for _, data, offsets in text_blocks(batch.column(column)):
+            starts, ends, first = word_spans(data, offsets)
+            h = SpanHash(data)(starts, ends)
+            out += [h[a:b] for a, b in zip(first, first[1:])]
+        return out
+
+    take, low, high = [], [], []
+    for k, (own, other, spans) in enumerate(zip(words("text"), words("source_text"), batch.column("spans").to_pylist())):
+        found = set()
+        for s in spans:
+            start, end, shift = s["start"], s["end"], s["shift"]
+            if not any(d == shift and x <= start and end <= y for x, y, d in found):
+                x = start - _agreeing(own[:start][::-1], other[: start - shift][::-1])
+                found.add((x, end + _agreeing(own[end:], other[end - shift :]), shift))
+        for x, y in {(x, y) for x, y, _ in found if y - x >= PASSAGE}:
+            take.append(k)
+            low.append(x)
+            high.append(y)
+    rows = pa.array(take, pa.int64())
+    yield pa.RecordBatch.from_arrays(
+        [batch.column("doc_id").take(rows), batch.column("h").take(rows), pa.array(low, pa.int32()), pa.array(high, pa.int32()), batch.column("firsts").take(rows)], ["doc_id", "h", "start", "end", "firsts"]
+    )
+
+
 def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``h`` (hash of the text), ``start``, ``end`` (words) and ``firsts`` (ids of the documents that had it before).
 
@@ -132,6 +168,7 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text") -
     row = Window.partitionBy("doc_id", "h").orderBy("start")
     touching = F.lag("end").over(row) == F.col("start")
     grouped = runs.withColumn("region", F.sum(F.when(touching, 0).otherwise(1)).over(row))
+    grouped = keep(grouped)
     regions = grouped.groupBy("doc_id", "h", "region").agg(
         F.min("start").alias("start"),
         F.max("end").alias("end"),
@@ -153,7 +190,26 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text") -
         joined = joined.join(named, F.col(a).eqNullSafe(F.col("d")) & (F.col(b) == F.col("g"))).drop("d", "g")
     joined = joined.select("doc_id", "h", "start", "end", "firsts", F.col("left.shift").alias("left_shift"), F.col("right.shift").alias("right_shift"), "text", "left_text", "right_text")
     lengthened = mapped(joined, _extend, f"doc_id {kind}, h long, start int, end int, firsts array<{kind}>")
-    return long_enough.unionByName(lengthened.filter(F.col("end") - F.col("start") >= PASSAGE))
+    whole = Window.partitionBy("doc_id", "h", "region")
+    broken = grouped.withColumn("size", F.max("end").over(whole) - F.min("start").over(whole)).filter(F.col("size") < PASSAGE)
+    pairs = broken.groupBy("doc_id", "h", F.col("source.of").alias("of"), F.col("source.of_h").alias("of_h")).agg(
+        F.sort_array(F.collect_list(F.struct("start", "end", F.col("source.shift").alias("shift")))).alias("spans")
+    )
+    pairs = keep(pairs.withColumn("firsts", F.array("of")))
+    needed = pairs.select("doc_id", "h").unionByName(pairs.select(F.col("of").alias("doc_id"), F.col("of_h").alias("h"))).distinct()
+    sources = keep(slim.join(needed, match(slim, needed), "left_semi").dropDuplicates(["doc_id", "h"]))
+    for side, (x, y) in {"": ("doc_id", "h"), "source_": ("of", "of_h")}.items():
+        named = sources.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), F.col("text").alias(f"{side}text"))
+        pairs = pairs.join(named, F.col(x).eqNullSafe(F.col("d")) & (F.col(y) == F.col("g"))).drop("d", "g")
+    widened = mapped(pairs.select("doc_id", "h", "spans", "firsts", "text", "source_text"), _widen, f"doc_id {kind}, h long, start int, end int, firsts array<{kind}>")
+    found = long_enough.unionByName(lengthened.filter(F.col("end") - F.col("start") >= PASSAGE)).unionByName(widened)
+    before = Window.partitionBy("doc_id", "h").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("doc_id", "h").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
+    apart = F.coalesce(F.col("start") >= F.max("end").over(before), F.lit(True)).cast("int")
+    merged = found.withColumn("apart", apart).withColumn("passage", F.sum("apart").over(upto)).groupBy("doc_id", "h", "passage").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("firsts")))).alias("firsts")
+    )
+    return merged.select(out)
 
 
 def _cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

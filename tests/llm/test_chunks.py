@@ -75,6 +75,22 @@ def test_passages(table):
     assert chunk_dedup.repeated_passages(docs.limit(0)).count() == 0 and chunk_dedup.drop_repeats(docs.limit(0)).count() == 0
 
 
+def test_inner_phrases_of_earlier_documents(table):
+    rnd = random.Random(10)
+    make = lambda n: [f"{rnd.choice('abcdefgh')}{rnd.randrange(5000)}" for _ in range(n)]
+    rows, shared = [], [make(62) for _ in range(60)]
+    for k, passage in enumerate(shared):
+        middle = passage[24:38]
+        rows.append((k, " ".join(make(30) + middle + make(30))))
+        rows += [(1000 * (i + 1) + k, " ".join(make(40) + passage + make(40))) for i in range(2)]
+    found = chunk_dedup.repeated_passages(table(rows, "doc_id long, text string").repartition(4)).collect()
+    of = {r.doc_id: (r.start, r.end) for r in found}
+    assert len(of) == len(found) and set(of) <= {*range(2000, 2060)}
+    missing = [k for k in range(60) if 2000 + k not in of]
+    assert not missing
+    assert all(40 <= x and y <= 102 and y - x >= 50 for x, y in of.values())
+
+
 def test_query(spark, data_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{data_dir}/documents.parquet").select("doc_id", "text").collect()]
     found = catalog.QUERIES["op7_substring_dedup"](spark, data_dir).collect()
