@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ...dims import zone_dim
 from ...operators import shapes
-from ...ranks import dense_id
+from ...ranks import bucketed_row_number, dense_id
 from ...sources import annotations as A
 from ...sources import tables as T
 from ..registry import big, query, r
@@ -18,6 +18,10 @@ from ..sql import bench, dot, l2sq, norm
 from ..views import DENSITIES, EMBEDDING_TYPES, order_key
 
 
+#: Polygons in one document at most; an image of more has several documents.
+DOCUMENT_SHAPES = 4096
+
+
 def scratch(spark) -> str:
     """New folder beside the checkpoints, or a local temporary one in local mode."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -49,11 +53,14 @@ def _document_folder(v) -> str:
 
 
 def _image_documents(v) -> str:
-    """One document per image with all its polygons, as JSON lines."""
+    """All polygons of each image, as JSON lines; an image of more than ``DOCUMENT_SHAPES`` has a document for each so many."""
     at = lambda x, y: F.array(F.col(x) + 0.7, F.col(y) + 0.4)
     points = F.array(at("x_min", "y_min"), at("x_max", "y_min"), at("x_max", "y_max"), at("x_min", "y_max"))
     shape = F.struct("shape_idx", "label", F.lit("polygon").alias("shape_type"), points.alias("points"))
-    grouped = v.polygons.groupBy("image_id", "image_w", "image_h").agg(F.sort_array(F.collect_list(shape)).alias("shapes"))
+    bucket = F.expr("shape_idx div 1000000000000000")
+    numbered = bucketed_row_number(v.polygons, ["image_id"], [F.col("shape_idx"), F.col("x_min"), F.col("y_min")], bucket, "position")
+    part = F.floor((F.col("position") - 1) / DOCUMENT_SHAPES)
+    grouped = numbered.groupBy("image_id", "image_w", "image_h", part.alias("part")).agg(F.sort_array(F.collect_list(shape)).alias("shapes"))
     doc = F.to_json(
         F.struct(F.col("image_id").cast("string").alias("imagePath"), F.col("image_w").alias("imageWidth"), F.col("image_h").alias("imageHeight"), "shapes")
     )

@@ -103,3 +103,15 @@ def test_configs_without_index_are_left_out(spark):
     v = spark.createDataFrame([(1, [1.0, 2.0], "visual_low")], "id long, embedding array<float>, config string")
     got = T.list_configs(v, ["visual_indices", "text_indices"], ["high", "low"]).collect()
     assert [tuple(r) for r in got] == [("visual_low", "visual", "low", 2, 1)]
+
+
+def test_documents_of_an_image_are_bounded(spark, views, monkeypatch):
+    from types import SimpleNamespace
+
+    from defectlens.plans.catalog import scans
+
+    monkeypatch.setattr(scans, "DOCUMENT_SHAPES", 50)
+    hot = views.polygons.withColumns({"image_id": F.lit(7).cast("bigint"), "image_w": F.lit(100), "image_h": F.lit(100)}).limit(1000)
+    folder = scans._image_documents(SimpleNamespace(spark=spark, polygons=hot))
+    sizes = [r.n for r in A.read_annotations(spark, folder, "*", multi_line=False).select(F.size("shapes").alias("n")).collect()]
+    assert sum(sizes) == 1000 and max(sizes) <= 50
