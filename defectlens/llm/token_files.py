@@ -7,7 +7,7 @@ next level, so any id is read from a few bytes without decoding its neighbours.
 
 A file is a run of shards, each followed by one line break that the writer adds.
 A shard: magic, number of documents, ids and levels, its length in bytes; document
-ids; first id of each document and the end; then for each level its number of
+ids and a bitmap of those that are null; first id of each document and the end; then for each level its number of
 bytes, the bytes, the bitmap and the directory. All numbers are little-endian.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import text_blocks
 from .tokens import encoder
 
-MAGIC = b"DACTOKEN"
+MAGIC = b"DACTOKN2"
 RANK_BITS = 512
 #: Shards in a file, so that a file stays of a size that one task reads.
 SHARDS_PER_FILE = 16
@@ -54,6 +54,8 @@ class Shard:
         at = 40
         self.doc_ids = np.frombuffer(raw, "<i8", n_docs, at)
         at += 8 * n_docs
+        self.no_id = np.unpackbits(np.frombuffer(raw, np.uint8, -(-n_docs // 8), at), count=n_docs, bitorder="little").astype(bool)
+        at += -(-n_docs // 8)
         self.starts = np.frombuffer(raw, "<u8", n_docs + 1, at).astype(np.int64)
         at += 8 * (n_docs + 1)
         self.levels = []
@@ -93,9 +95,10 @@ class Shard:
         return value
 
 
-def shard_bytes(doc_ids: np.ndarray, starts: np.ndarray, ids: np.ndarray) -> bytes:
+def shard_bytes(doc_ids: np.ndarray, starts: np.ndarray, ids: np.ndarray, no_id: np.ndarray | None = None) -> bytes:
     levels = encode_levels(ids)
-    parts = [doc_ids.astype("<i8").tobytes(), starts.astype("<u8").tobytes()]
+    no_id = np.zeros(len(doc_ids), bool) if no_id is None else no_id
+    parts = [doc_ids.astype("<i8").tobytes(), np.packbits(no_id, bitorder="little").tobytes(), starts.astype("<u8").tobytes()]
     for chunk, bits, directory in levels:
         parts += [np.array([len(chunk)], "<u8").tobytes(), chunk.tobytes(), bits.tobytes(), directory.tobytes()]
     size = 40 + sum(map(len, parts))
@@ -109,15 +112,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id: str = "doc_id",
     Documents are dealt out by ranges of their id (and a hash of the text, so that
     rows with the same id may lie in several ranges) and sorted inside; the file
     names follow that order. Null texts are empty; a document always has ``end_id``.
-    Rows with a null id are refused, as the format has no place for it.
+    Rows with a null id come first and are read back with a null id.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer)
         for batch in batches:
-            if batch.column(0).null_count:
-                raise ValueError("document without id")
-            doc_ids = batch.column(0).to_numpy(zero_copy_only=False)
+            no_id = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            doc_ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
             for row, data, offsets in text_blocks(batch.column(1)):
                 ids, at = coder.encode(data, offsets)
                 starts = at + np.arange(len(at))
@@ -125,7 +127,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id: str = "doc_id",
                 inside = np.ones(starts[-1], bool)
                 inside[starts[1:] - 1] = False
                 whole[inside] = ids
-                raw = shard_bytes(doc_ids[row : row + len(at) - 1], starts, whole)
+                raw = shard_bytes(doc_ids[row : row + len(at) - 1], starts, whole, no_id[row : row + len(at) - 1])
                 yield pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], ["raw"])
 
     slim = docs.select(F.col(f"`{id}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text"))
@@ -167,7 +169,7 @@ def read_tokens(spark: SparkSession, path: str, ids: Column | None = None) -> Da
                     ids, n = s.all().astype("<u4"), len(s.doc_ids)
                     body = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((4 * s.starts).astype(np.int32)), pa.py_buffer(ids)])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([name.as_py()] * n, pa.string()), pa.array(s.doc_ids), pa.array(before + s.starts[:-1]), pa.array(np.diff(s.starts)), body],
+                        [pa.array([name.as_py()] * n, pa.string()), pa.array(s.doc_ids, mask=s.no_id), pa.array(before + s.starts[:-1]), pa.array(np.diff(s.starts)), body],
                         ["file", "doc_id", "inside", "n_tokens", "ids"],
                     )
                     before += s.n_ids

@@ -123,3 +123,12 @@ def test_token_files(spark, table, tmp_path, data_dir):
         ids = [*coder.encode(t, add_special_tokens=False).ids, 2]
         assert tuple(r) == (i, at, len(ids), crc(ids))
         at += len(ids)
+
+
+def test_documents_without_id(spark, table, tmp_path):
+    rows = [(5, "five"), (None, "no id"), (0, "zero"), (None, None), (-3, "less")]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    token_files.write_tokens(table(rows, "doc_id long, text string").repartition(2), str(tmp_path / "n"), path)
+    got = sorted((r.start, r.doc_id, r.n_tokens) for r in token_files.read_tokens(spark, str(tmp_path / "n")).collect())
+    assert [i for _, i, _ in got] == [None, None, -3, 0, 5]
+    assert [s for s, _, _ in got] == [sum(n for _, _, n in got[:k]) for k in range(5)]
