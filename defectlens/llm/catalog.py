@@ -1,4 +1,4 @@
-"""Queries of the ten operators over the given tables, and their SQL where it can express them."""
+"""Queries of the operators over the given tables, and their SQL where it can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, decontaminate, license_scan, line_dedup, ngram_join, packing, pii, quality, token_files, url_filter
+from . import chunk_dedup, decontaminate, license_scan, line_dedup, ngram_join, packing, pii, quality, token_files, url_filter, whitening
 from .common import ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -179,3 +179,10 @@ def _op4(table) -> DataFrame:
     count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
     joined = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     return found.select("doc_id", *[count(k) for k in pii.KINDS[:4]], F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+@query("op13_whitening")
+def _op13(table) -> DataFrame:
+    found = whitening.components(table("embeddings"), ["vec_id"])
+    # the sum outgrows a long at about 1e8 rows; it is null there and exact in the operator
+    return found.withColumn("deviation", F.expr("try_cast(deviation as bigint)")).select("row.vec_id", *found.columns[1:])
