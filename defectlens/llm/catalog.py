@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, decontaminate, license_scan, line_dedup, ngram_join, packing, pii, quality, token_files, url_filter, whitening
+from . import chunk_dedup, decontaminate, license_scan, line_dedup, ngram_join, packing, pii, quality, shards, token_files, url_filter, whitening
 from .common import ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -181,6 +181,18 @@ def _op4(table) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in pii.KINDS[:4]], F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
+@query("op12_sharding")
+def _op12(table) -> DataFrame:
+    docs = table("documents")
+    path = shards.shared_path(docs.sparkSession)
+    shards.write_shards(docs, path)
+    t = F.col("row.text")
+    return shards.read_shards(docs.sparkSession, path, docs).select(
+        "row.doc_id", shards.size_of(t).alias("size"), F.crc32(F.coalesce(t, F.lit(""))).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 @query("op13_whitening")
 def _op13(table) -> DataFrame:
     found = whitening.components(table("embeddings"), ["vec_id"])
