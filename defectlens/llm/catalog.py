@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, decontaminate, license_scan, line_dedup, ngram_join, packing, pii, quality, shards, token_files, url_filter, whitening
+from . import alignment, chunk_dedup, decontaminate, license_scan, line_dedup, ngram_join, packing, pii, quality, shards, token_files, url_filter, whitening
 from .common import ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -181,6 +181,12 @@ def _op4(table) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in pii.KINDS[:4]], F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
+@query("op11_alignment")
+def _op11(table) -> DataFrame:
+    report = alignment.link_report(table("documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"), ["doc_id"])
+    return report.select("row.doc_id", *report.columns[1:])
+
+
 @query("op12_sharding")
 def _op12(table) -> DataFrame:
     docs = table("documents")

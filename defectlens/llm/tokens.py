@@ -85,18 +85,27 @@ class Encoder:
         own = [e.ids for e in alone]
         lengths.append(np.fromiter(map(len, own), np.int64, len(own)))
         parts.append(np.fromiter(chain.from_iterable(own), np.uint32, int(lengths[-1].sum())))
-        new, sizes = np.concatenate(parts), np.concatenate(lengths)
+        self._add([*plain, *rest], np.concatenate(parts), np.concatenate(lengths))
+
+    def _remember(self, pieces: list[bytes], own: list[list[int]]) -> None:
+        sizes = np.fromiter(map(len, own), np.int64, len(own))
+        self._add(pieces, np.fromiter(chain.from_iterable(own), np.uint32, int(sizes.sum())), sizes)
+
+    def _add(self, pieces: list[bytes], new: np.ndarray, sizes: np.ndarray) -> None:
         used = int(self.ends[-1])
         if used + len(new) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * (used + len(new)))
         self.flat[used : used + len(new)] = new
         n = len(self.known)
-        self.known.update(zip(chain(plain, rest), range(n, n + len(pieces))))
+        self.known.update(zip(pieces, range(n, n + len(pieces))))
         self.ends = np.concatenate([self.ends, used + np.cumsum(sizes)])
 
+    def starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        return piece_starts(data, offsets)
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, first id of each text and the end) of one block of texts."""
-        starts = piece_starts(data, offsets)
+        starts = self.starts(data, offsets)
         if not len(starts):
             return np.empty(0, np.uint32), np.zeros(len(offsets), np.int64)
         ends = np.append(starts[1:], len(data))
