@@ -24,7 +24,7 @@ from .common import SpanHash, keep, ragged, text_blocks
 from .tokens import Encoder
 
 #: Ids of windows a worker remembers before it starts anew, and ids up to which a window is remembered.
-MEMO_IDS = 2_000_000
+MEMO_IDS = 4_000_000
 LONG_WINDOW = 64
 #: Links that are sent to every executor at most: those in most documents. The others are joined.
 SENT_LINKS = 1_000_000
@@ -101,48 +101,68 @@ class Side:
         return good & (wrong[ends[1:]] == wrong[ends[:-1]])
 
 
-def _numbers(ids: np.ndarray) -> str:
-    return ",".join(map(str, ids.tolist()))
-
-
 class Windows:
     """Alignments of windows, remembered by their two id tuples."""
 
     def __init__(self, a: Side, b: Side):
-        self.a, self.b = a, b
+        self.lengths = a.lengths.tolist(), b.lengths.tolist()
+        self.names = [str(i) for i in range(max(map(len, self.lengths)))]
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[tuple[bytes, bytes], int] = {}
+        self.known: dict[tuple[tuple[int, ...], tuple[int, ...]], int] = {}
         self.groups: list[str] = []
         self.n_groups: list[int] = []
-        self.links: list[np.ndarray] = []
+        self.links = np.empty(1 << 16, np.int64)
+        self.ends = np.zeros(1, np.int64)
         self.size = 0
 
-    def align(self, a: np.ndarray, b: np.ndarray) -> tuple[str, int, np.ndarray]:
+    def align(self, a: tuple[int, ...], b: tuple[int, ...]) -> tuple[str, int, list[int]]:
         """(group text, groups, linked id pairs as ``a << 32 | b``, one for each pair of tokens that overlap)."""
-        end_a, end_b = np.cumsum(self.a.lengths[a]), np.cumsum(self.b.lengths[b])
-        ends = np.union1d(end_a, end_b)  # one stretch of bytes for each pair of tokens that overlap
-        in_a, in_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
-        links = (a[in_a].astype(np.int64) << 32) | b[in_b].astype(np.int64)
-        both = ends[(end_a[in_a] == ends) & (end_b[in_b] == ends)]
-        cut_a, cut_b = np.searchsorted(end_a, both) + 1, np.searchsorted(end_b, both) + 1
-        parts = [f"{_numbers(a[i:j])}|{_numbers(b[k:m])}" for i, j, k, m in zip([0, *cut_a[:-1]], cut_a, [0, *cut_b[:-1]], cut_b)]
-        return ";".join(parts), len(parts), links
-
-    def number(self, a: np.ndarray, b: np.ndarray) -> int:
-        key = a.tobytes(), b.tobytes()
-        at = self.known.get(key)
-        if at is None:
-            text, n, links = self.align(a, b)
-            at = len(self.groups)
-            self.groups.append(text)
-            self.n_groups.append(n)
-            self.links.append(links)
-            self.size += len(a) + len(b)
-            if len(a) + len(b) <= LONG_WINDOW:
-                self.known[key] = at
-        return at
+        size_a, size_b = self.lengths
+        names = self.names
+        i = j = 0
+        end_a, end_b = size_a[a[0]], size_b[b[0]]
+        group_a, group_b, groups, links = [names[a[0]]], [names[b[0]]], [], []
+        while True:
+            links.append(a[i] << 32 | b[j])
+            step_a, step_b = end_a <= end_b, end_b <= end_a
+            if step_a and step_b:
+                groups.append(f"{','.join(group_a)}|{','.join(group_b)}")
+                group_a, group_b = [], []
+                if i + 1 == len(a):
+                    return ";".join(groups), len(groups), links
+            if step_a:
+                i += 1
+                end_a += size_a[a[i]]
+                group_a.append(names[a[i]])
+            if step_b:
+                j += 1
+                end_b += size_b[b[j]]
+                group_b.append(names[b[j]])
+
+    def numbers(self, windows: list[tuple[tuple[int, ...], tuple[int, ...]]]) -> np.ndarray:
+        """Numbers of the windows; what is not known yet is aligned."""
+        out, links, sizes = [], [], []
+        for key in windows:
+            at = self.known.get(key)
+            if at is None:
+                text, n, own = self.align(*key)
+                at = len(self.groups)
+                self.groups.append(text)
+                self.n_groups.append(n)
+                links += own
+                sizes.append(len(own))
+                self.size += len(key[0]) + len(key[1])
+                if len(key[0]) + len(key[1]) <= LONG_WINDOW:
+                    self.known[key] = at
+            out.append(at)
+        used = int(self.ends[-1])
+        if used + len(links) > len(self.links):
+            self.links = np.resize(self.links, 2 * (used + len(links)))
+        self.links[used : used + len(links)] = links
+        self.ends = np.concatenate([self.ends, used + np.cumsum(np.array(sizes, np.int64))])
+        return np.array(out, np.int64)
 
 
 def _cuts(a: Side, b: Side, ids_a: np.ndarray, ids_b: np.ndarray, text_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,21 +205,24 @@ class Aligner:
             codes, distinct = pd.factorize(key)
             first = np.empty(len(distinct), np.int64)
             first[codes[::-1]] = np.arange(len(codes))[::-1]
-            number = np.fromiter(
-                (self.windows.number(ids_a[i:j], ids_b[k:m]) for i, j, k, m in zip(from_a[first], cut_a[first], from_b[first], cut_b[first])), np.int64, len(first)
-            )[codes]
+            list_a, list_b = ids_a.tolist(), ids_b.tolist()
+            bounds = zip(from_a[first].tolist(), cut_a[first].tolist(), from_b[first].tolist(), cut_b[first].tolist())
+            number = self.windows.numbers([(tuple(list_a[i:j]), tuple(list_b[k:m])) for i, j, k, m in bounds])[codes]
             last = np.searchsorted(cut_a, np.cumsum(n_a))  # the window that ends a text
-        k = begin = 0
+            w = self.windows
+            sizes = w.ends[number + 1] - w.ends[number]
+            links = ragged(w.links, w.ends[number], sizes)
+            link_ends = np.cumsum(sizes)[last].tolist()
+            numbers, last = number.tolist(), last.tolist()
+        k = begin = link = 0
         for ok in good.tolist():
             if not ok:
                 yield None
                 continue
-            own = number[begin : last[k] + 1].tolist()
-            begin = int(last[k]) + 1
-            w = self.windows
-            links = np.concatenate([w.links[i] for i in own])
-            pairs, often = np.unique(links, return_counts=True)
-            yield int(n_a[k]), int(n_b[k]), sum(w.n_groups[i] for i in own), ";".join([w.groups[i] for i in own]), pairs, often
+            own = numbers[begin : last[k] + 1]
+            pairs, often = np.unique(links[link : link_ends[k]], return_counts=True)
+            begin, link = last[k] + 1, link_ends[k]
+            yield int(n_a[k]), int(n_b[k]), sum(map(w.n_groups.__getitem__, own)), ";".join(map(w.groups.__getitem__, own)), pairs, often
             k += 1
 
 
