@@ -24,7 +24,7 @@ from .common import SpanHash, keep, ragged, text_blocks
 from .tokens import Encoder
 
 #: Ids of windows a worker remembers before it starts anew, and ids up to which a window is remembered.
-MEMO_IDS = 4_000_000
+MEMO_IDS = 2_000_000
 LONG_WINDOW = 64
 #: Links that are sent to every executor at most: those in most documents. The others are joined.
 SENT_LINKS = 1_000_000
@@ -101,12 +101,19 @@ class Side:
         return good & (wrong[ends[1:]] == wrong[ends[:-1]])
 
 
+def _fragments(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of every id's number before ``,``, ``|`` and ``;``, with starts and lengths by ``3 * id + mark``."""
+    texts = [str(i).encode() + mark for i in range(size) for mark in (b",", b"|", b";")]
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    return np.frombuffer(b"".join(texts), np.uint8), np.cumsum(lengths) - lengths, lengths
+
+
 class Windows:
     """Alignments of windows, remembered by their two id tuples."""
 
     def __init__(self, a: Side, b: Side):
-        self.lengths = a.lengths.tolist(), b.lengths.tolist()
-        self.names = [str(i) for i in range(max(map(len, self.lengths)))]
+        self.lengths = a.lengths, b.lengths
+        self.fragments = _fragments(max(map(len, self.lengths)))
         self.forget()
 
     def forget(self) -> None:
@@ -117,51 +124,60 @@ class Windows:
         self.ends = np.zeros(1, np.int64)
         self.size = 0
 
-    def align(self, a: tuple[int, ...], b: tuple[int, ...]) -> tuple[str, int, list[int]]:
-        """(group text, groups, linked id pairs as ``a << 32 | b``, one for each pair of tokens that overlap)."""
-        size_a, size_b = self.lengths
-        names = self.names
-        i = j = 0
-        end_a, end_b = size_a[a[0]], size_b[b[0]]
-        group_a, group_b, groups, links = [names[a[0]]], [names[b[0]]], [], []
-        while True:
-            links.append(a[i] << 32 | b[j])
-            step_a, step_b = end_a <= end_b, end_b <= end_a
-            if step_a and step_b:
-                groups.append(f"{','.join(group_a)}|{','.join(group_b)}")
-                group_a, group_b = [], []
-                if i + 1 == len(a):
-                    return ";".join(groups), len(groups), links
-            if step_a:
-                i += 1
-                end_a += size_a[a[i]]
-                group_a.append(names[a[i]])
-            if step_b:
-                j += 1
-                end_b += size_b[b[j]]
-                group_b.append(names[b[j]])
-
-    def numbers(self, windows: list[tuple[tuple[int, ...], tuple[int, ...]]]) -> np.ndarray:
-        """Numbers of the windows; what is not known yet is aligned."""
-        out, links, sizes = [], [], []
-        for key in windows:
-            at = self.known.get(key)
+    def align(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """(group texts, numbers of groups, numbers of links, all links) of windows whose ids lie one after the other.
+
+        A link is ``a << 32 | b``, one for each pair of tokens that overlap: every stretch of bytes between two
+        neighbouring ends belongs to one such pair.
+        """
+        end_a, end_b = np.cumsum(self.lengths[0][a]), np.cumsum(self.lengths[1][b])
+        ends = np.union1d(end_a, end_b)
+        in_a, in_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
+        links = (a[in_a].astype(np.int64) << 32) | b[in_b].astype(np.int64)
+        window = end_a[np.cumsum(n_a) - 1]
+        sizes = np.diff(np.searchsorted(ends, window, side="right"), prepend=0)
+        both = (end_a[in_a] == ends) & (end_b[in_b] == ends)
+        last_a, last_b = in_a[both], in_b[both]  # the last tokens of every group
+        groups = np.diff(np.cumsum(both)[np.searchsorted(ends, window)], prepend=0)
+        # in the text A's tokens of a group come before B's
+        mark_a, mark_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        mark_a[last_a], mark_b[last_b] = 1, 2
+        place_a = np.arange(len(a)) + np.repeat(np.append(0, last_b[:-1] + 1), np.diff(last_a, prepend=-1))
+        place_b = np.arange(len(b)) + np.repeat(last_a + 1, np.diff(last_b, prepend=-1))
+        order = np.empty(len(a) + len(b), np.int64)
+        order[place_a], order[place_b] = 3 * a.astype(np.int64) + mark_a, 3 * b.astype(np.int64) + mark_b
+        flat, at, lengths = self.fragments
+        text = ragged(flat, at[order], lengths[order]).tobytes().decode()
+        stops = np.cumsum(lengths[order])[np.cumsum(n_a + n_b) - 1].tolist()
+        return [text[i : j - 1] for i, j in zip([0, *stops], stops)], groups, sizes, links
+
+    def numbers(self, a: np.ndarray, b: np.ndarray, bounds: list[tuple[int, int, int, int]]) -> np.ndarray:
+        """Numbers of the windows at ``bounds`` in the two id arrays; those not known yet are aligned together."""
+        list_a, list_b = a.tolist(), b.tolist()
+        out, new = [], []
+        known, n = self.known, len(self.groups)
+        for bound in bounds:
+            i, j, k, m = bound
+            key = tuple(list_a[i:j]), tuple(list_b[k:m])
+            at = known.get(key)
             if at is None:
-                text, n, own = self.align(*key)
-                at = len(self.groups)
-                self.groups.append(text)
-                self.n_groups.append(n)
-                links += own
-                sizes.append(len(own))
-                self.size += len(key[0]) + len(key[1])
-                if len(key[0]) + len(key[1]) <= LONG_WINDOW:
-                    self.known[key] = at
+                at = n + len(new)
+                new.append(bound)
+                if j - i + m - k <= LONG_WINDOW:
+                    known[key] = at
             out.append(at)
-        used = int(self.ends[-1])
-        if used + len(links) > len(self.links):
-            self.links = np.resize(self.links, 2 * (used + len(links)))
-        self.links[used : used + len(links)] = links
-        self.ends = np.concatenate([self.ends, used + np.cumsum(np.array(sizes, np.int64))])
+        if new:
+            from_a, to_a, from_b, to_b = np.array(new, np.int64).T
+            n_a, n_b = to_a - from_a, to_b - from_b
+            texts, groups, sizes, links = self.align(ragged(a, from_a, n_a), ragged(b, from_b, n_b), n_a, n_b)
+            self.groups += texts
+            self.n_groups += groups.tolist()
+            self.size += int(n_a.sum() + n_b.sum())
+            used = int(self.ends[-1])
+            if used + len(links) > len(self.links):
+                self.links = np.resize(self.links, 2 * (used + len(links)))
+            self.links[used : used + len(links)] = links
+            self.ends = np.concatenate([self.ends, used + np.cumsum(sizes)])
         return np.array(out, np.int64)
 
 
@@ -205,9 +221,8 @@ class Aligner:
             codes, distinct = pd.factorize(key)
             first = np.empty(len(distinct), np.int64)
             first[codes[::-1]] = np.arange(len(codes))[::-1]
-            list_a, list_b = ids_a.tolist(), ids_b.tolist()
-            bounds = zip(from_a[first].tolist(), cut_a[first].tolist(), from_b[first].tolist(), cut_b[first].tolist())
-            number = self.windows.numbers([(tuple(list_a[i:j]), tuple(list_b[k:m])) for i, j, k, m in bounds])[codes]
+            bounds = list(zip(from_a[first].tolist(), cut_a[first].tolist(), from_b[first].tolist(), cut_b[first].tolist()))
+            number = self.windows.numbers(ids_a, ids_b, bounds)[codes]
             last = np.searchsorted(cut_a, np.cumsum(n_a))  # the window that ends a text
             w = self.windows
             sizes = w.ends[number + 1] - w.ends[number]
