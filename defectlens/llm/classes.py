@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import discard, keep
 
 
 def in_company(bands: DataFrame) -> DataFrame:
@@ -56,8 +56,9 @@ def components(links: DataFrame) -> DataFrame:
         down = large.filter("v < u")
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = keep(small.select("e.u", "e.v").filter("u <> v").distinct())
+        last, edges = edges, keep(small.select("e.u", "e.v").filter("u <> v").distinct())
         after = mark(edges)
+        discard(last)
         if after == before:
             break
         before = after

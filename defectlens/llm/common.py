@@ -27,13 +27,22 @@ def ready(spark: SparkSession) -> None:
     ensure_checkpoint_dir(spark)
 
 
-def keep(df: DataFrame) -> DataFrame:
+def keep(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Write a table to the shared folder and read it back: cuts the lineage, so lost executors cost no recomputation."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/kept-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", codec).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept.kept_at = path
+    return kept
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``keep`` wrote, once nothing reads it any more."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(df.kept_at)
+    path.getFileSystem(conf).delete(path, True)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -1,18 +1,34 @@
-"""Fuzzy line deduplication over all documents, in DataFrame functions only."""
+"""Fuzzy line deduplication over all documents.
+
+Lines, copies, buckets, classes and results are DataFrame work. Signatures and the
+comparison of lines run in Arrow batches: a form in DataFrame functions only took ten times
+the time that is allowed.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .classes import components, in_company, leader_pairs, unsettled
-from .common import keep
+from .classes import components, leader_pairs, unsettled
+from .common import SpanHash, keep, mapped, mix, text_blocks
 
 #: Lines are equal in kind when the sets of their shingles of so many characters have this Jaccard similarity or more.
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Signatures are of the same shingles. Two lines at the limit share a bucket with probability 0.9998.
-BANDS, ROWS = 16, 4
+#: Signatures are of the same shingles. Two lines at the limit share a bucket with probability 0.9989.
+BANDS, ROWS = 13, 4
+VALUES = BANDS * ROWS
+#: Equal values with which a pair is compared in full: a pair at the limit has fewer with a probability of 2e-6.
+LIKELY = 28
+#: Lines and bytes of lines in a block; members of a bucket that the leaders leave open meet block by block.
+BLOCK_OF_LINES, BLOCK_OF_BYTES = 2048, 4 << 20
+
+_ODD = (mix(np.arange(1, 2 * VALUES + 1, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)
 
 
 def normal(line: Column) -> Column:
@@ -21,11 +37,91 @@ def normal(line: Column) -> Column:
     return F.when(F.contains(low, F.lit("  ")), F.regexp_replace(low, "  +", " ")).otherwise(low)
 
 
-def _shingles(line: Column) -> Column:
-    """Distinct shingles of a line; a shorter line is its own shingle."""
-    return F.when(F.length(line) <= SHINGLE, F.array(line)).otherwise(
-        F.array_distinct(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)))
-    )
+def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of five characters of each line, and the first of each line; a shorter line is its own shingle."""
+    chars = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+    first = np.searchsorted(chars, offsets)
+    own = np.maximum(np.diff(first) - SHINGLE + 1, np.minimum(np.diff(first), 1))
+    at = np.concatenate([[0], np.cumsum(own)])
+    place = np.arange(at[-1]) + np.repeat(first[:-1] - at[:-1], own)
+    end = np.minimum(place + SHINGLE, np.repeat(first[1:], own))
+    return SpanHash(data)(chars[place], chars[end]), at
+
+
+def signatures(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """MinHash values, cut to 16 bits, one row for each line."""
+    out = np.empty((VALUES, len(at) - 1), np.uint16)
+    narrow = (h >> np.uint64(32)).astype(np.uint32)
+    buffer = np.empty_like(narrow)
+    for k in range(VALUES if len(narrow) else 0):
+        np.multiply(narrow, _ODD[2 * k] | np.uint32(1), out=buffer)
+        np.add(buffer, _ODD[2 * k + 1], out=buffer)
+        least = np.minimum.reduceat(buffer, at[:-1])
+        out[k] = (least * np.uint32(0x9E3779B1)) >> np.uint32(16)  # the least values have empty high bits
+    return np.ascontiguousarray(out.T)
+
+
+def _sign(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch with the signature of each line (``sig``)."""
+    for row, data, offsets in text_blocks(batch.column("norm")):
+        values = signatures(*shingles(data, offsets))
+        raw = pa.Array.from_buffers(pa.binary(), len(values), [None, pa.py_buffer((np.arange(len(values) + 1) * 2 * VALUES).astype(np.int32)), pa.py_buffer(values.astype("<u2"))])
+        own = batch.slice(row, len(offsets) - 1)
+        yield pa.RecordBatch.from_arrays([*own.columns, raw], [*own.schema.names, "sig"])
+
+
+def _values(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, VALUES)
+
+
+def _sets(lines: pa.Array) -> list[np.ndarray]:
+    """Distinct shingles of each line, ascending."""
+    sets = []
+    for _, data, offsets in text_blocks(lines):
+        h, at = shingles(data, offsets)
+        sets += [np.unique(h[x:y]) for x, y in zip(at, at[1:])]
+    return sets
+
+
+def _alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets have the wanted Jaccard similarity."""
+    if min(len(a), len(b)) < SIMILARITY * max(len(a), len(b)):
+        return False
+    same = len(np.intersect1d(a, b, assume_unique=True))
+    return same >= SIMILARITY * (len(a) + len(b) - same)
+
+
+def _prune(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    if batch.num_rows:
+        same = (_values(batch.column("sig_a")) == _values(batch.column("sig_b"))).sum(1)
+        yield batch.select(["a", "b"]).take(pa.array(np.flatnonzero(same >= LIKELY)))
+
+
+def _check(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    pairs = zip(_sets(batch.column("norm_a")), _sets(batch.column("norm_b")))
+    yield batch.select(["a", "b"]).take(pa.array([i for i, (x, y) in enumerate(pairs) if _alike(x, y)], pa.int64()))
+
+
+def _links_in_blocks(group: pa.Table) -> pa.Table:
+    """Links between two blocks of a bucket that join classes; what is joined already is not compared."""
+    i, j = (group.column(c)[0].as_py() for c in ("i", "j"))
+    ids, block = group.column("id").to_numpy(), group.column("block").to_numpy()
+    values, sets = _values(group.column("sig")), _sets(group.column("norm"))
+    sizes = np.array([len(s) for s in sets])
+    _, own = np.unique(group.column("class").to_numpy(), return_inverse=True)
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    out = []
+    for a in left:
+        other = right[right > a] if i == j else right
+        other = other[(own[other] != own[a]) & (np.minimum(sizes[other], sizes[a]) >= SIMILARITY * np.maximum(sizes[other], sizes[a]))]
+        same = (values[other] == values[a]).sum(1)
+        likely = same >= LIKELY
+        other, same = other[likely], same[likely]
+        for b in other[np.argsort(-same, kind="stable")]:
+            if own[a] != own[b] and _alike(sets[a], sets[b]):
+                out.append(sorted((int(ids[a]), int(ids[b]))))
+                own[own == own[b]] = own[a]
+    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
 
 def _rows(docs: DataFrame, id: str, text: str) -> DataFrame:
@@ -39,42 +135,34 @@ def _occurrences(docs: DataFrame, id: str, text: str) -> DataFrame:
     return lines.select("doc_id", "node", "pos", normal(F.col("line")).alias("norm")).filter("norm <> ''")
 
 
-def _signed(lines: DataFrame) -> DataFrame:
-    """Distinct lines with their key, number and band hashes.
-
-    Lines are counted before they are dealt out, once; shingles are exploded and
-    their minima taken where the distinct lines then lie, so signatures are not
-    shuffled.
-    """
-    distinct = lines.groupBy("norm").agg(F.count(F.lit(1)).alias("n"))
-    hashed = distinct.select("norm", "n", F.explode(_shingles(F.col("norm"))).alias("s")).select("norm", "n", F.xxhash64("s").alias("h"))
-    least = [F.min(F.xxhash64("h", F.lit(i))).alias(f"m{i}") for i in range(BANDS * ROWS)]
-    signed = hashed.groupBy("norm").agg(F.max("n").alias("n"), *least)
-    bands = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)])
-    return signed.select(F.unhex(F.md5("norm")).alias("key"), "norm", "n", bands.alias("bands"))
-
-
 def classify_lines(docs: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(distinct lines with ``id``, ``key``, ``norm``, ``n``; classes of the lines that have links)."""
-    # short numbers keep the bucket rows small; they are written, so they stay
-    signed = keep(_signed(_occurrences(docs, id, text)).withColumn("id", F.monotonically_increasing_id()))
-    bands = signed.select(F.explode(F.array_distinct("bands")).alias("bucket"), "id")
-    lines = signed.select("id", "norm")
+    """(distinct lines with ``id``, ``norm``, ``n``; classes of the lines that have links).
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    Lines that share a bucket are compared with its leader; what is then still in several classes meets
+    block by block. Values are compared before lines are moved, and no pairs leave a block but links that join classes.
+    """
+    distinct = _occurrences(docs, id, text).groupBy("norm").agg(F.count(F.lit(1)).alias("n"))
+    # the numbers are written, so they stay; buckets are made of the signature again rather than written
+    signed = keep(mapped(distinct, _sign, "norm string, n long, sig binary").withColumn("id", F.monotonically_increasing_id()), "zstd")
+    buckets = F.array(*[F.xxhash64(F.lit(b), F.substring("sig", 2 * ROWS * b + 1, 2 * ROWS)) for b in range(BANDS)])
+    bands = signed.select(F.explode(buckets).alias("bucket"), "id")
+    members = keep(bands.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).filter("n > 1"))
+
+    def beside(pairs: DataFrame, value: str) -> DataFrame:
         for side in "ab":
-            pairs = pairs.join(lines.select(F.col("id").alias(side), F.col("norm").alias(f"norm_{side}")), side)
-        sets = pairs.select("a", "b", _shingles(F.col("norm_a")).alias("x"), _shingles(F.col("norm_b")).alias("y"))
-        both = sets.select("a", "b", F.size("x").alias("x"), F.size("y").alias("y"), F.size(F.array_intersect("x", "y")).alias("n"))
-        return both.filter(F.col("n") >= SIMILARITY * (F.col("x") + F.col("y") - F.col("n"))).select("a", "b")
+            pairs = pairs.join(signed.select(F.col("id").alias(side), F.col(value).alias(f"{value}_{side}")), side)
+        return pairs.select("a", "b", f"{value}_a", f"{value}_b")
 
-    members = in_company(bands)
-    links = keep(verify(leader_pairs(members)))
-    left = unsettled(members, links)
-    # members of different classes that share a bucket, each pair once; what the leaders joined takes no part
-    other = left.select("bucket", F.col("id").alias("b"), F.col("class").alias("other"))
-    rest = left.withColumnRenamed("id", "a").join(other, "bucket").filter("a < b and class <> other").select("a", "b").distinct()
-    return signed, components(links.unionByName(verify(rest)))
+    likely = keep(mapped(beside(leader_pairs(members), "sig"), _prune, "a long, b long"))
+    direct = keep(mapped(beside(likely, "norm"), _check, "a long, b long"))
+    left = unsettled(members, direct).join(signed, "id")
+    bytes_ = F.sum(F.octet_length("norm") + 2 * VALUES)
+    sizes = left.groupBy("bucket").agg(F.ceil(F.greatest(bytes_ / BLOCK_OF_BYTES, F.count(F.lit(1)) / BLOCK_OF_LINES)).cast("int").alias("blocks"))
+    dealt = left.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    met = dealt.select("bucket", "id", "class", "block", "sig", "norm", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    met = met.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
+    rest = met.groupBy("bucket", "i", "j").applyInArrow(_links_in_blocks, "a long, b long").distinct()
+    return signed, components(direct.unionByName(rest))
 
 
 def dropped_lines(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -85,8 +173,8 @@ def dropped_lines(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Da
     document and get the same answer; null texts are empty.
     """
     signed, found = classify_lines(docs, id, text)
-    heads = signed.select("id", "key", "n").join(found, "id", "left").filter("n > 1 or class is not null")
-    heads = heads.select("key", F.coalesce("class", "id").alias("class"))
+    heads = signed.select("id", F.unhex(F.md5("norm")).alias("key"), "n").join(found, "id", "left").filter("n > 1 or class is not null")
+    heads = keep(heads.select("key", F.coalesce("class", "id").alias("class")))
     where = _occurrences(docs, id, text).select(F.unhex(F.md5("norm")).alias("key"), F.struct("doc_id", "node", "pos").alias("place"))
     placed = keep(where.join(heads, "key").select("class", "place"))
     stays = placed.groupBy("class").agg(F.min("place").alias("stays"))
