@@ -9,11 +9,16 @@ A file is a run of shards, each followed by one line break that the writer adds.
 A shard: magic, number of documents, ids and levels, its length in bytes; document
 ids and a bitmap of those that are null; first id of each document and the end; then for each level its number of
 bytes, the bytes, the bitmap and the directory. All numbers are little-endian.
+
+Beside the files lies a manifest, a Parquet table with one row for each shard: its file and
+place there and the number of ids before it. With it any id of the corpus is found by its position
+and read with a few short reads (``read_at``).
 """
 
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +33,10 @@ MAGIC = b"DACTOKN2"
 RANK_BITS = 512
 #: Shards in a file, so that a file stays of a size that one task reads.
 SHARDS_PER_FILE = 16
+#: Bytes of texts sent to a worker at once, bytes of texts in a shard, and pieces a worker remembers.
+BATCH_BYTES, SHARD_BYTES, PIECES = 8 << 20, 1 << 20, 500_000
+#: Positions in a cell; a shard lies in a few of them.
+CELL = 1 << 20
 
 
 def encode_levels(values: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -112,15 +121,16 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id: str = "doc_id",
     Documents are dealt out by ranges of their id (and a hash of the text, so that
     rows with the same id may lie in several ranges) and sorted inside; the file
     names follow that order. Null texts are empty; a document always has ``end_id``.
-    Rows with a null id come first and are read back with a null id.
+    Rows with a null id come first and are read back with a null id. The manifest is
+    written last.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(tokenizer)
+        coder = encoder(tokenizer, PIECES)
         for batch in batches:
             no_id = batch.column(0).is_null().to_numpy(zero_copy_only=False)
             doc_ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
-            for row, data, offsets in text_blocks(batch.column(1)):
+            for row, data, offsets in text_blocks(batch.column(1), SHARD_BYTES):
                 ids, at = coder.encode(data, offsets)
                 starts = at + np.arange(len(at))
                 whole = np.full(starts[-1], end_id, np.uint32)
@@ -134,52 +144,140 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id: str = "doc_id",
     tie = F.xxhash64("text")
     ordered = slim.repartitionByRange("id", tie).sortWithinPartitions("id", tie)
     shards = ordered.mapInArrow(run, "raw binary").select(F.col("raw").cast("string").alias("value"))
-    shards.write.option("maxRecordsPerFile", SHARDS_PER_FILE).text(path)
+    with small_batches(docs.sparkSession):
+        shards.write.option("maxRecordsPerFile", SHARDS_PER_FILE).text(path)
+        _with_bases(_heads(docs.sparkSession, path)).write.parquet(manifest_path(path))
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Less memory for what is on its way to the workers while a job runs."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
 
+def manifest_path(path: str) -> str:
+    return f"{path.rstrip('/')}-manifest"
 
-def shards_of(content: bytes) -> Iterator[Shard]:
+
+def shards_of(content: bytes) -> Iterator[tuple[int, Shard]]:
+    """(place in the file, shard)."""
     view, at = memoryview(content), 0
     while at < len(view):
         shard = Shard(view[at:])
-        yield shard
+        yield at, shard
         at += shard.size + 1
 
 
+def _heads(spark: SparkSession, path: str) -> DataFrame:
+    """``file``, ``part`` (number of the writing task), ``at`` (place in the file) and ``n`` (ids) of every shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0), batch.column(1)):
+                heads = [(at, s.n_ids) for at, s in shards_of(content.as_buffer())]
+                at, n = (pa.array(x, pa.int64()) for x in zip(*heads)) if heads else (pa.array([], pa.int64()),) * 2
+                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(heads), pa.string()), at, n], ["file", "at", "n"])
+
+    found = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, at long, n long")
+    return found.select("file", F.regexp_extract("file", r"part-(\d+)-[^/]*$", 1).cast("int").alias("part"), "at", "n")
+
+
+def _with_bases(heads: DataFrame) -> DataFrame:
+    """Also ``base``, the ids in all shards before: added up inside the files of a task first, then over the tasks."""
+    rows = Window.unboundedPreceding, -1
+    parts = heads.groupBy("part").agg(F.sum("n").alias("n"))
+    # one row for each task that wrote
+    starts = parts.select("part", F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(*rows)), F.lit(0)).alias("start"))
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("file", "at").rowsBetween(*rows)), F.lit(0))
+    return heads.withColumn("inside", inside).join(starts, "part").select("file", "at", "n", (F.col("start") + F.col("inside")).alias("base"))
+
+
 def read_tokens(spark: SparkSession, path: str, ids: Column | None = None) -> DataFrame:
     """``doc_id``, ``start`` (ids of all documents before it), ``n_tokens`` and ``ids`` of every document in the files.
 
-    One pass reads the shards' heads for the number of ids in each file, which are
-    added up in file order (one row per file); the other decodes the documents. A
+    Documents are decoded in one pass and get their shard's base from the manifest. A
     column made of the ids (a checksum, say) may be asked for instead of them; it is
     made before the two are joined, so the ids themselves need not be shuffled.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
-    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column(0), batch.column(1)):
-                n = sum(s.n_ids for s in shards_of(content.as_buffer()))
-                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()]), pa.array([n], pa.int64())], ["file", "n"])
-
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1)):
-                before = 0
-                for s in shards_of(content.as_buffer()):
+                for at, s in shards_of(content.as_buffer()):
                     ids, n = s.all().astype("<u4"), len(s.doc_ids)
                     body = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((4 * s.starts).astype(np.int32)), pa.py_buffer(ids)])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([name.as_py()] * n, pa.string()), pa.array(s.doc_ids, mask=s.no_id), pa.array(before + s.starts[:-1]), pa.array(np.diff(s.starts)), body],
-                        ["file", "doc_id", "inside", "n_tokens", "ids"],
+                        [pa.array([name.as_py()] * n, pa.string()), pa.array([at] * n, pa.int64()), pa.array(s.doc_ids, mask=s.no_id), pa.array(s.starts[:-1]), pa.array(np.diff(s.starts)), body],
+                        ["file", "at", "doc_id", "inside", "n_tokens", "ids"],
                     )
-                    before += s.n_ids
 
-    counts = files.mapInArrow(heads, "file string, n long")
-    upto = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
-    bases = counts.select("file", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("base"))
-    docs = files.mapInArrow(bodies, "file string, doc_id long, inside long, n_tokens long, ids binary")
+    docs = files.mapInArrow(bodies, "file string, at long, doc_id long, inside long, n_tokens long, ids binary")
     docs = docs if ids is None else docs.withColumn("ids", ids)
-    return docs.join(bases, "file").select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids")
+    bases = read_manifest(spark, path).select("file", "at", "base")
+    return docs.join(bases, ["file", "at"]).select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids")
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("file string, at long, n long, base long").parquet(manifest_path(path))
+
+
+def _pick(read, at: int, places: np.ndarray) -> np.ndarray:
+    """Ids at places of the shard that starts at byte ``at``; ``read(start, length)`` is called for what they need only."""
+    n_docs, _, n_levels, _ = np.frombuffer(read(at + 8, 32), "<u8").tolist()
+    at += 40 + 8 * n_docs - (-n_docs // 8) + 8 * (n_docs + 1)
+    out, open_ = np.zeros(len(places), np.uint32), np.arange(len(places))
+    for k in range(n_levels):
+        if not len(places):
+            break
+        (n,) = np.frombuffer(read(at, 8), "<u8").tolist()
+        blocks, chunk = -(-n // RANK_BITS), at + 8
+        bitmap = chunk + n
+        directory = bitmap + blocks * RANK_BITS // 8
+        further = np.full(len(places), -1, np.int64)
+        for i, place in enumerate(places.tolist()):
+            out[open_[i]] |= np.uint32(read(chunk + place, 1)[0] << 8 * k)
+            block, bit = divmod(place, RANK_BITS)
+            own = int.from_bytes(read(bitmap + block * RANK_BITS // 8, RANK_BITS // 8), "little")
+            if own >> bit & 1:
+                before = int.from_bytes(read(directory + 4 * block, 4), "little")
+                further[i] = before + (own & ((1 << bit) - 1)).bit_count()
+        places, open_ = further[further >= 0], open_[further >= 0]
+        at = directory + 4 * (blocks + 1)
+    return out
+
+
+def read_at(spark: SparkSession, path: str, positions: DataFrame, position: str = "position") -> DataFrame:
+    """``position`` and ``token`` of the wanted positions of the corpus, counted from 0 over all documents in order.
+
+    Positions find their shard in the manifest by cells of equal length; tasks then read a few bytes for each
+    of them from the files. Positions outside the corpus and nulls have no row; repeated ones are repeated.
+    """
+    shards = read_manifest(spark, path).filter("n > 0").withColumn("last", F.col("base") + F.col("n"))
+    cells = F.explode(F.sequence(F.floor(F.col("base") / CELL), F.floor((F.col("last") - 1) / CELL))).alias("cell")
+    wanted = positions.select(F.col(f"`{position}`").cast("bigint").alias("position")).withColumn("cell", F.floor(F.col("position") / CELL))
+    met = wanted.join(shards.select("file", "at", "base", "last", cells), "cell").filter("position >= base and position < last")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            rows = batch.to_pandas()
+            for file, own in rows.groupby("file"):
+                system, name = fs.FileSystem.from_uri(file)
+                with system.open_input_file(name) as raw:
+                    read = lambda start, length: raw.read_at(length, start)
+                    for at, few in own.groupby("at"):
+                        token = _pick(read, int(at), (few["position"] - few["base"]).to_numpy(np.int64))
+                        yield pa.RecordBatch.from_arrays([pa.array(few["position"].to_numpy(np.int64)), pa.array(token.astype(np.int64))], ["position", "token"])
+
+    return met.select("file", "at", "base", "position").mapInArrow(run, "position long, token long")
 
 
 def shared_path(spark: SparkSession) -> str:

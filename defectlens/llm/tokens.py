@@ -51,6 +51,8 @@ def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class Encoder:
     """Ids of ``tokenizers`` files; ``encode`` gives what encoding each whole text gives."""
 
+    most = CACHE_PIECES
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -114,7 +116,7 @@ class Encoder:
         first[codes[::-1]] = np.arange(len(codes))[::-1]
         raw = data.tobytes()
         pieces = [raw[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist())]
-        if len(self.known) > CACHE_PIECES:
+        if len(self.known) > self.most:
             self._forget()
         found = list(map(self.known.get, pieces))
         if None in found:
@@ -129,8 +131,9 @@ class Encoder:
 _LOADED: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder of a file."""
+def encoder(path: str, most: int = CACHE_PIECES) -> Encoder:
+    """The worker's encoder of a file, remembering ``most`` pieces."""
     if path not in _LOADED:
         _LOADED[path] = Encoder(path)
+    _LOADED[path].most = most
     return _LOADED[path]

@@ -132,3 +132,26 @@ def test_documents_without_id(spark, table, tmp_path):
     got = sorted((r.start, r.doc_id, r.n_tokens) for r in token_files.read_tokens(spark, str(tmp_path / "n")).collect())
     assert [i for _, i, _ in got] == [None, None, -3, 0, 5]
     assert [s for s, _, _ in got] == [sum(n for _, _, n in got[:k]) for k in range(5)]
+
+
+def test_single_ids_of_many_files(spark, table, tmp_path, monkeypatch):
+    for name, value in [("CELL", 1000), ("SHARD_BYTES", 20_000), ("SHARDS_PER_FILE", 2)]:
+        monkeypatch.setattr(token_files, name, value)
+    path, texts = public_tokenizers.path("word_bpe_49k.json"), some_texts()
+    docs = table(list(enumerate(texts)), "doc_id long, text string")
+    token_files.write_tokens(docs, str(tmp_path / "r"), path)
+    assert len(list((tmp_path / "r").glob("part-*"))) > 1
+    whole = np.concatenate([np.frombuffer(r.ids, "<u4") for r in token_files.read_tokens(spark, str(tmp_path / "r")).orderBy("start").collect()])
+    rnd = np.random.default_rng(2)
+    wanted = [0, len(whole) - 1, 5, 5, *rnd.integers(0, len(whole), 500).tolist()]
+    frame = spark.createDataFrame([(p,) for p in [*wanted, -1, len(whole), None]], "position long")
+    got = sorted(tuple(r) for r in token_files.read_at(spark, str(tmp_path / "r"), frame).collect())
+    assert got == sorted((p, int(whole[p])) for p in wanted)
+
+
+def test_reads_are_few():
+    values = (2 ** np.random.default_rng(1).uniform(0, 32, 50_000)).astype(np.uint32)
+    raw = token_files.shard_bytes(np.arange(9), np.arange(10), values)
+    read = []
+    pick = token_files._pick(lambda at, n: read.append(n) or raw[at : at + n], 0, np.array([7, 40_000]))
+    assert pick.tolist() == values[[7, 40_000]].tolist() and sum(read) < 1000
