@@ -20,11 +20,11 @@ from .common import SpanHash, keep, mapped, mix, text_blocks
 #: Lines are equal in kind when the sets of their shingles of so many characters have this Jaccard similarity or more.
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Signatures are of the same shingles. Two lines at the limit share a bucket with probability 0.9989.
-BANDS, ROWS = 13, 4
+#: Signatures are of the same shingles. Two lines at the limit share a bucket with probability 0.9983, at 0.82 with 0.9993.
+BANDS, ROWS = 16, 5
 VALUES = BANDS * ROWS
-#: Equal values with which a pair is compared in full: a pair at the limit has fewer with a probability of 2e-6.
-LIKELY = 28
+#: Equal values with which a pair is compared in full: a pair at the limit has fewer with a probability of 1e-5.
+LIKELY = 47
 #: Lines and bytes of lines in a block; members of a bucket that the leaders leave open meet block by block.
 BLOCK_OF_LINES, BLOCK_OF_BYTES = 2048, 4 << 20
 
@@ -61,6 +61,20 @@ def signatures(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(out.T)
 
 
+def _bands(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """``id`` and bucket hashes (``bands``) of each line."""
+    for row, data, offsets in text_blocks(batch.column("norm")):
+        values = signatures(*shingles(data, offsets)).astype(np.uint64)
+        out = np.empty((len(values), BANDS), np.uint64)
+        for b in range(BANDS):
+            h = np.full(len(values), b + 1, np.uint64)
+            for j in range(ROWS):
+                h = mix(h * np.uint64(0x9E3779B97F4A7C15) + values[:, b * ROWS + j])
+            out[:, b] = h
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * BANDS), pa.array(out.view(np.int64).ravel()))
+        yield pa.RecordBatch.from_arrays([batch.column("id").slice(row, len(values)), lists], ["id", "bands"])
+
+
 def _sign(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """The batch with the signature of each line (``sig``)."""
     for row, data, offsets in text_blocks(batch.column("norm")):
@@ -142,11 +156,13 @@ def classify_lines(docs: DataFrame, id: str = "doc_id", text: str = "text") -> t
     block by block. Values are compared before lines are moved, and no pairs leave a block but links that join classes.
     """
     distinct = _occurrences(docs, id, text).groupBy("norm").agg(F.count(F.lit(1)).alias("n"))
-    # the numbers are written, so they stay; buckets are made of the signature again rather than written
-    signed = keep(mapped(distinct, _sign, "norm string, n long, sig binary").withColumn("id", F.monotonically_increasing_id()), "zstd")
-    buckets = F.array(*[F.xxhash64(F.lit(b), F.substring("sig", 2 * ROWS * b + 1, 2 * ROWS)) for b in range(BANDS)])
-    bands = signed.select(F.explode(buckets).alias("bucket"), "id")
+    # the numbers are written, so they stay
+    lines = keep(distinct.withColumn("id", F.monotonically_increasing_id()), "zstd")
+    bands = mapped(lines.select("id", "norm"), _bands, "id long, bands array<long>").select(F.explode("bands").alias("bucket"), "id")
     members = keep(bands.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).filter("n > 1"))
+    # the lines that share a bucket; their values are computed again rather than written for all lines
+    wanted = keep(members.select("id").distinct())
+    signed = keep(mapped(lines.join(wanted, "id").select("id", "norm"), _sign, "id long, norm string, sig binary"))
 
     def beside(pairs: DataFrame, value: str) -> DataFrame:
         for side in "ab":
@@ -162,7 +178,7 @@ def classify_lines(docs: DataFrame, id: str = "doc_id", text: str = "text") -> t
     met = dealt.select("bucket", "id", "class", "block", "sig", "norm", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     met = met.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
     rest = met.groupBy("bucket", "i", "j").applyInArrow(_links_in_blocks, "a long, b long").distinct()
-    return signed, components(direct.unionByName(rest))
+    return lines, components(direct.unionByName(rest))
 
 
 def dropped_lines(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -172,8 +188,8 @@ def dropped_lines(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Da
     number. Blank lines take no part. Rows that agree in id and text are one
     document and get the same answer; null texts are empty.
     """
-    signed, found = classify_lines(docs, id, text)
-    heads = signed.select("id", F.unhex(F.md5("norm")).alias("key"), "n").join(found, "id", "left").filter("n > 1 or class is not null")
+    lines, found = classify_lines(docs, id, text)
+    heads = lines.select("id", F.unhex(F.md5("norm")).alias("key"), "n").join(found, "id", "left").filter("n > 1 or class is not null")
     heads = keep(heads.select("key", F.coalesce("class", "id").alias("class")))
     where = _occurrences(docs, id, text).select(F.unhex(F.md5("norm")).alias("key"), F.struct("doc_id", "node", "pos").alias("place"))
     placed = keep(where.join(heads, "key").select("class", "place"))
