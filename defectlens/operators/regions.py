@@ -4,10 +4,9 @@ Boxes carry ``image_id, shape_idx, x_min, y_min, x_max, y_max``, plus
 ``damage_type`` for :func:`cluster_boxes`.
 
 Both clusterings depend on the order of the boxes, so they run as a sweep over
-rows that Spark has already shuffled by image and sorted. A sweep keeps only the
-clusters still within reach; it never holds a whole image. An image above
-``split_above`` boxes is cut into parts that cannot influence each other, and
-those parts are swept by different tasks.
+rows that Spark has already shuffled and sorted. A sweep keeps only the
+clusters still within reach; it never holds a whole image. Images are cut into parts
+that cannot influence each other, and parts are swept by different tasks.
 """
 
 from __future__ import annotations
@@ -16,7 +15,9 @@ from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,25 +31,14 @@ from .shapes import CORNERS, filter_area, filter_area_adaptive, with_position, w
 
 MERGE_DISTANCE = 100
 MAX_CLUSTER_AREA = 420 * 420
-SPLIT_ABOVE = 200_000
-
-
-def hot_images(boxes: DataFrame, split_above: int) -> DataFrame | None:
-    """Images with more boxes than the limit, or None when there are none."""
-    hot = boxes.groupBy("image_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > split_above)
-    hot = hot.select("image_id")
-    return None if hot.isEmpty() else hot
+#: Side of the squares by whose first corners boxes are taken together when an image is cut into parts.
+PART_CELL = 128
 
 
 # -- clusters by nearest centre ----------------------------------------------
 
 
-def cluster_boxes(
-    boxes: DataFrame,
-    dist: int = MERGE_DISTANCE,
-    max_area: int = MAX_CLUSTER_AREA,
-    hot: DataFrame | None = None,
-) -> DataFrame:
+def cluster_boxes(boxes: DataFrame, dist: int = MERGE_DISTANCE, max_area: int = MAX_CLUSTER_AREA) -> DataFrame:
     """Greedy merging of compatible boxes, top to bottom and left to right.
 
     A box tries the cluster with the nearest centre among those of a compatible
@@ -56,17 +46,13 @@ def cluster_boxes(
     or when the merged box would exceed ``max_area``. Adds ``seed_idx, seed_x,
     seed_y`` (the box that opened the cluster) and ``member_pos``.
 
-    Clusters never mix compatibility groups, so (image, group) is one sweep.
-    ``hot`` lists the images to cut into independent blocks first.
+    Clusters never mix compatibility groups nor reach over a gap of ``dist``, so every part of
+    an image and group is a sweep of its own, and parts are dealt to tasks.
     """
     grouped = boxes.withColumn("_group", group_of_type(F.col("damage_type")))
-    if hot is None:
-        blocks = grouped.withColumn("_block", F.lit(0).cast("bigint"))
-    else:
-        calm = grouped.join(hot, "image_id", "left_anti").withColumn("_block", F.lit(0).cast("bigint"))
-        blocks = calm.unionByName(independent_blocks(grouped.join(hot, "image_id", "left_semi"), dist))
-    keys = ["image_id", "_group", "_block"]
-    ordered = blocks.repartition(*keys).sortWithinPartitions(*keys, "y_min", "x_min", "shape_idx")
+    keys = ["image_id", "_group", "_part"]
+    parts = connected_parts(grouped, dist)
+    ordered = parts.repartition(*keys).sortWithinPartitions(*keys, "y_min", "x_min", "shape_idx")
     types = dict(boxes.dtypes)
     extra = f", seed_idx {types['shape_idx']}, seed_x bigint, seed_y bigint, member_pos bigint"
     schema = ", ".join(f"`{c}` {t}" for c, t in ordered.dtypes) + extra
@@ -76,29 +62,89 @@ def cluster_boxes(
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _nearest_centre_sweep(batches, keys, dist, max_area, arrow)
 
-    return ordered.mapInArrow(sweep, schema).drop("_group", "_block")
+    return ordered.mapInArrow(sweep, schema).drop("_group", "_part")
 
 
-def independent_blocks(grouped: DataFrame, dist: int) -> DataFrame:
-    """Cut (image, group) wherever a gap wider than ``dist`` crosses the image.
+def connected_parts(grouped: DataFrame, dist: int) -> DataFrame:
+    """Boxes with ``_part``, so that no cluster of one part of an (image, group) can reach another part.
 
-    A cluster's centre lies inside the hull of its members, so boxes on two
-    sides of such a gap can never meet. The gaps are found on per-pixel extents,
-    i.e. on at most one row per pixel line of an image, not on the boxes.
+    The hull of a part holds the hulls and centres of all its clusters, so parts whose
+    hulls are ``dist`` or more apart never meet. Boxes are first taken together by square
+    (each a partial aggregate, so a crowded image shuffles no more rows than it has squares); then the hulls of
+    squares are joined while any two are too near.
     """
-    across = _cut_axis(grouped.withColumn("_b0", F.lit(0)), "_b0", "y_min", "y_max", "_b1", dist)
-    down = _cut_axis(across, "_b1", "x_min", "x_max", "_b2", dist)
-    return down.withColumn("_block", F.col("_b1") * F.lit(1 << 24) + F.col("_b2")).drop("_b0", "_b1", "_b2")
-
-
-def _cut_axis(df: DataFrame, parent: str, low: str, high: str, name: str, dist: int) -> DataFrame:
-    keys = ["image_id", "_group", parent]
-    lines = df.groupBy(*keys, low).agg(F.max(high).alias("_high"))
-    w = Window.partitionBy(*keys).orderBy(low)
-    reach = F.max("_high").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    flagged = lines.withColumn("_cut", F.coalesce((F.col(low) > reach + dist).cast("bigint"), F.lit(0)))
-    numbered = flagged.withColumn(name, F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return df.join(numbered.select(*keys, low, name), [*keys, low])
+    cells = {"_cx": F.floor(F.col("x_min") / PART_CELL), "_cy": F.floor(F.col("y_min") / PART_CELL)}
+    placed = grouped.withColumns(cells)
+    keys = ["image_id", "_group", "_cx", "_cy"]
+    hulls = placed.groupBy(*keys).agg(
+        *[(F.min if c.endswith("min") else F.max)(c).cast("bigint").alias(c) for c in CORNERS]
+    )
+    types = dict(hulls.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in keys) + ", _part int"
+    arrow = arrow_schema(schema, grouped.sparkSession)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches, ["image_id", "_group"]):
+            ends = _ends(table, ["image_id", "_group"])
+            boxes = np.column_stack([table[c].to_numpy() for c in CORNERS])
+            part = np.concatenate([_joined_hulls(boxes[i:j], dist) for i, j in zip([0, *ends[:-1]], ends)])
+            columns = [table[c].combine_chunks().cast(arrow.field(c).type) for c in keys]
+            yield from pa.table([*columns, pa.array(part, pa.int32())], schema=arrow).to_batches()
+
+    sorted_hulls = hulls.repartition("image_id", "_group").sortWithinPartitions("image_id", "_group")
+    return placed.join(sorted_hulls.mapInArrow(number, schema), keys).drop("_cx", "_cy")
+
+
+def _ends(table: pa.Table, keys: list[str]) -> list[int]:
+    """End of every run of rows with equal keys."""
+    if not table.num_rows:
+        return []
+    codes = np.zeros(table.num_rows, np.int64)
+    for k in keys:
+        own = pc.dictionary_encode(table[k].combine_chunks(), null_encoding="encode").indices.to_numpy()
+        codes = codes * (int(own.max()) + 1) + own
+    return [*(np.flatnonzero(np.diff(codes)) + 1).tolist(), table.num_rows]
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches that are sorted by the keys; the last group waits for the next batch."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([*held, batch])
+        ends = _ends(table, keys)
+        if len(ends) > 1:
+            yield table.slice(0, ends[-2])
+            table = table.slice(ends[-2])
+        held = table.combine_chunks().to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _joined_hulls(hulls: np.ndarray, dist: int) -> np.ndarray:
+    """Number of the part of each hull: parts are joined while their hulls are less than ``dist`` apart."""
+    part = np.arange(len(hulls))
+    own = hulls.copy()
+    open_ = list(range(len(hulls)))
+    alive = np.ones(len(hulls), bool)
+    while open_:
+        i = open_.pop()
+        if not alive[i]:
+            continue
+        x1, y1, x2, y2 = own[i]
+        gap_x = np.maximum(np.maximum(own[:, 0] - x2, x1 - own[:, 2]), 0)
+        gap_y = np.maximum(np.maximum(own[:, 1] - y2, y1 - own[:, 3]), 0)
+        near = alive & (gap_x * gap_x + gap_y * gap_y < dist * dist)
+        near[i] = False
+        others = np.flatnonzero(near)
+        if len(others):
+            own[i, :2] = np.minimum(own[i, :2], own[others, :2].min(0))
+            own[i, 2:] = np.maximum(own[i, 2:], own[others, 2:].max(0))
+            alive[others] = False
+            part[np.isin(part, others)] = i
+            open_.append(i)
+    return part
 
 
 # An open cluster is a list: x1, y1, x2, y2, order, seed index, seed x, seed y, members.
@@ -301,23 +347,19 @@ def merge_boxes(members: DataFrame, by: list[str] | None = None) -> DataFrame:
     return merged.withColumns({"cluster_area": G.box_area(x1, y1, x2, y2), "cx": G.half(x1, x2), "cy": G.half(y1, y2)})
 
 
-def plan_clusters(boxes: DataFrame, split_above: int = SPLIT_ABOVE, **limits) -> tuple[DataFrame, DataFrame]:
+def plan_clusters(boxes: DataFrame, **limits) -> tuple[DataFrame, DataFrame]:
     """(members, clusters) of the merged boxes, safe for images of any size."""
-    hot = hot_images(boxes, split_above)
-    members = cluster_boxes(boxes, hot=hot, **limits)
-    return members, clusters(members, hot is not None)
+    members = cluster_boxes(boxes, **limits)
+    return members, clusters(members)
 
 
-def clusters(members: DataFrame, has_hot_images: bool) -> DataFrame:
+def clusters(members: DataFrame) -> DataFrame:
     """One row per cluster of :func:`cluster_boxes`, numbered in order of opening.
 
-    ``damage_type`` must be canonical. Without hot images one shuffle by image
-    serves all steps. With them, members are combined before each shuffle and
-    the numbering is split by height.
+    ``damage_type`` must be canonical. Members are combined before each shuffle and
+    the numbering is split by height, so an image may hold any share of the boxes.
     """
     by = ["image_id", "seed_idx", "seed_x", "seed_y"]
-    if not has_hot_images:
-        members = members.repartition("image_id")
     aggs, type_counts = fixed_counts("damage_type", "member_pos", ALL_TYPES, "type_counts")
     rows = (
         members.groupBy(*by)
@@ -332,10 +374,7 @@ def clusters(members: DataFrame, has_hot_images: bool) -> DataFrame:
         .select(*by, *CORNERS, "defect_count", type_counts)
     )
     order = [F.col("seed_y"), F.col("seed_x"), F.col("seed_idx")]
-    if has_hot_images:
-        rows = bucketed_row_number(rows, ["image_id"], order, F.floor(F.col("seed_y") / 16), "_rn")
-    else:
-        rows = rows.withColumn("_rn", F.row_number().over(Window.partitionBy("image_id").orderBy(*order)))
+    rows = bucketed_row_number(rows, ["image_id"], order, F.floor(F.col("seed_y") / 1024), "_rn")
     return rows.withColumns(
         {"cluster_idx": (F.col("_rn") - 1).cast("bigint"), "dominant_type": dominant_of(F.col("type_counts"))}
     ).drop("_rn")
@@ -481,9 +520,10 @@ def grid_plan(images: DataFrame, size: int = 336, overlap: float = 0.3, outline:
 def coverage_filter(cells: DataFrame, outline: str = "outline", min_ratio: float = 0.6) -> DataFrame:
     """Share of each cell inside the outline; cells below the ratio are dropped.
 
-    The clipped area is exact for the polygon; counting filled pixels would
+    What is inside follows the even-odd rule, so outlines may cross or touch themselves, as a
+    filled mask would show them. The clipped area is exact; counting filled pixels would
     differ by at most the border pixels of the outline. A whole Arrow batch of
-    cells is measured at once.
+    cells is measured at once, each outline of it cut into pieces once.
     """
     schema = ", ".join(f"`{c}` {t}" for c, t in cells.dtypes) + ", vehicle_ratio double"
     arrow = arrow_schema(schema, cells.sparkSession)
@@ -496,36 +536,79 @@ def coverage_filter(cells: DataFrame, outline: str = "outline", min_ratio: float
     return cells.mapInArrow(measure, schema).filter(F.col("vehicle_ratio") >= min_ratio)
 
 
+def _crossings(x1, y1, x2, y2, slope):
+    """Abscissae at which two edges cross inside both; a block of edges meets all others at once."""
+    found = []
+    base = y1 - slope * x1
+    for low in range(0, len(x1), 256):
+        i = slice(low, low + 256)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            x = (base[None, :] - base[i, None]) / (slope[i, None] - slope[None, :])
+        inside = (x > np.maximum(x1[i, None], x1[None, :])) & (x < np.minimum(x2[i, None], x2[None, :]))
+        found.append(x[inside])
+    return np.concatenate(found) if found else np.empty(0)
+
+
+def even_odd_pieces(points: np.ndarray) -> np.ndarray:
+    """Edges of an outline cut into pieces between neighbouring corners and crossings, as rows ``x1, y1, x2, y2, sign``.
+
+    Between two such abscissae no edges cross; from below, every second one ends what is
+    inside. The sum of sign times the area under the piece is the filled area.
+    """
+    p, q = points, np.roll(points, -1, axis=0)
+    back = p[:, 0] > q[:, 0]
+    p, q = np.where(back[:, None], q, p), np.where(back[:, None], p, q)
+    wide = p[:, 0] < q[:, 0]
+    (x1, y1), (x2, y2) = p[wide].T, q[wide].T
+    slope = (y2 - y1) / (x2 - x1)
+    cuts = np.unique(np.concatenate([x1, x2, _crossings(x1, y1, x2, y2, slope)]))
+    first, last = np.searchsorted(cuts, x1), np.searchsorted(cuts, x2)
+    n = last - first
+    edge = np.repeat(np.arange(len(x1)), n)
+    slab = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[edge]
+    a, b = cuts[slab], cuts[slab + 1]
+    ya, yb = y1[edge] + slope[edge] * (a - x1[edge]), y1[edge] + slope[edge] * (b - x1[edge])
+    order = np.lexsort((ya + yb, slab))
+    place = np.arange(len(order)) - np.searchsorted(slab[order], slab[order])
+    return np.column_stack([a[order], ya[order], b[order], yb[order], np.where(place % 2, 1.0, -1.0)])
+
+
 def _covered_share(outlines: pa.Array, x1, y1, x2, y2):
     """Covered share of each rectangle; 1.0 where there is no outline.
 
-    An edge contributes the signed integral of its height, limited to the
-    rectangle's heights, over its x-range inside the rectangle. Those parts sum
-    to the clipped area of a closed polygon.
+    A piece of an edge contributes the integral of its height, limited to the
+    rectangle's heights, over its x-range inside the rectangle.
     """
-    import numpy as np
-    import pyarrow.compute as pc
-
     size = pc.fill_null(pc.list_value_length(outlines), 0).to_numpy(zero_copy_only=False)
     points = outlines.flatten().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, 2)
-    cell = np.repeat(np.arange(len(size)), size)
-    after = np.arange(1, len(points) + 1)
-    ends = np.cumsum(size)[size > 0]
-    after[ends - 1] = ends - size[size > 0]  # the last point joins the first
-    p, q = points, points[after]
+    ends = np.cumsum(size)
+    known: dict[bytes, int] = {}
+    pieces, numbers = [np.empty((0, 5))], np.zeros(len(size), np.int64)
+    for i in np.flatnonzero(size):
+        own = points[ends[i] - size[i] : ends[i]]
+        key = own.tobytes()
+        if key not in known:
+            known[key] = len(pieces)
+            pieces.append(even_odd_pieces(own))
+        numbers[i] = known[key]
+    counts = np.array([len(p) for p in pieces])
+    starts, flat = np.cumsum(counts) - counts, np.concatenate(pieces)
+    n = counts[numbers]
+    cell = np.repeat(np.arange(len(size)), n)
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + starts[numbers][cell]
+    px, py, qx, qy, sign = flat[at].T
     left, right, low, top = x1[cell], x2[cell], y1[cell], (y2 - y1)[cell]
-    run = q[:, 0] - p[:, 0]
-    slope = np.divide(q[:, 1] - p[:, 1], run, out=np.zeros(len(p)), where=run != 0)
-    a, b = np.clip(p[:, 0], left, right), np.clip(q[:, 0], left, right)
-    ya = p[:, 1] + slope * (a - p[:, 0]) - low
-    yb = p[:, 1] + slope * (b - p[:, 0]) - low
+    slope = (qy - py) / (qx - px)
+    a, b = np.clip(px, left, right), np.clip(qx, left, right)
+    ya = py + slope * (a - px) - low
+    yb = py + slope * (b - px) - low
 
     def primitive(t):  # antiderivative of min(max(t, 0), top)
         return (np.maximum(t, 0) ** 2 - np.maximum(t - top, 0) ** 2) / 2
 
-    flat = np.clip(ya, 0, top)
-    mean = np.divide(primitive(yb) - primitive(ya), yb - ya, out=flat, where=np.abs(yb - ya) > 1e-9)
-    area = np.abs(np.bincount(cell, (b - a) * mean, len(size)))
+    level = np.clip(ya, 0, top)
+    mean = np.divide(primitive(yb) - primitive(ya), yb - ya, out=level, where=np.abs(yb - ya) > 1e-9)
+    area = np.maximum(np.bincount(cell, sign * (b - a) * mean, len(size)), 0.0)
     return np.where(size > 0, area / ((x2 - x1) * (y2 - y1)), 1.0)
 
 

@@ -62,19 +62,25 @@ def expected_merges(rows):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("hot", [False, True])
-def test_cluster_boxes(spark, seed, hot):
-    rows = random_boxes(seed, [1, 40, 400, 5, 900])
-    df = frame(spark, rows)
-    members, clusters = R.plan_clusters(df, split_above=30 if hot else 10**6)
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_cluster_boxes(spark, seed):
+    rows = random_boxes(seed, [1, 40, 400, 5, 900, 60, 70])
+    members, clusters = R.plan_clusters(frame(spark, rows))
     got = {(r.image_id, r.shape_idx): (r.seed_idx, r.member_pos) for r in members.collect()}
     assert got == expected_merges(rows)
     numbers = clusters.groupBy("image_id").agg(F.count("*").alias("n"), F.max("cluster_idx").alias("top"), F.countDistinct("cluster_idx").alias("d"))
     assert all(r.n == r.d == r.top + 1 for r in numbers.collect())
-    plain = R.clusters(members, False).select("image_id", "seed_idx", "cluster_idx", "defect_count", "dominant_type")
-    split = R.clusters(members, True).select("image_id", "seed_idx", "cluster_idx", "defect_count", "dominant_type")
-    assert sorted(plain.collect()) == sorted(split.collect())
+    first = {}
+    for r in sorted(clusters.collect(), key=lambda r: (r.image_id, r.seed_y, r.seed_x, r.seed_idx)):
+        assert r.cluster_idx == first.get(r.image_id, 0)
+        first[r.image_id] = r.cluster_idx + 1
+
+
+@pytest.mark.parametrize("seed", [4, 5, 6, 7])
+def test_parts_of_a_sparse_image_merge_as_the_whole(spark, seed):
+    rows = random_boxes(seed, [300, 120], w=12_000, h=9_000, biggest=200)
+    got = {(r.image_id, r.shape_idx): (r.seed_idx, r.member_pos) for r in R.cluster_boxes(frame(spark, rows)).collect()}
+    assert got == expected_merges(rows)
 
 
 def test_merge_limits(spark):
@@ -89,11 +95,20 @@ def test_merge_limits(spark):
     assert seeds((0, 0, 421, 400), (0, 20, 421, 420)) == 2
 
 
-def test_hot_image_is_cut_into_blocks(spark):
-    rows = random_boxes(3, [600], w=6000, h=6000, biggest=30)
+def test_hot_image_is_cut_into_parts(spark):
+    rows = random_boxes(3, [3000], w=6000, h=6000, biggest=30)
     sparse = [r for r in rows if r[5] % 900 < 300 and r[4] % 900 < 300]
     df = frame(spark, sparse).withColumn("_group", F.lit("g"))
-    assert R.independent_blocks(df, 100).select("_block").distinct().count() > 10
+    parts = R.connected_parts(df, 100)
+    assert parts.count() == len(sparse)
+    found = parts.groupBy("_part").agg(*[(F.min if c.endswith("min") else F.max)(c).alias(c) for c in R.CORNERS]).collect()
+    assert len(found) > 30
+    for a in found:
+        for b in found:
+            gap = [max(b[f"{c}_min"] - a[f"{c}_max"], a[f"{c}_min"] - b[f"{c}_max"], 0) for c in "xy"]
+            assert a._part == b._part or np.hypot(*gap) >= 100
+    plan = R.cluster_boxes(frame(spark, sparse))._jdf.queryExecution().toString()
+    assert "_part" in plan.split("hashpartitioning")[1].split(")")[0] or any("_part" in p.split(")")[0] for p in plan.split("hashpartitioning")[1:])
 
 
 def expected_seeds(rows):
@@ -172,6 +187,38 @@ def test_grid_and_coverage(spark):
     assert starts == {(x, y) for x in range(0, 1300, 235) for y in range(0, 900, 235) if 1300 - x >= 168 and 900 - y >= 168}
 
 
+CROSSING = {
+    "bow-tie": [[0, 0], [400, 400], [400, 0], [0, 400]],
+    "star": [[300, 0], [480, 560], [10, 210], [590, 210], [120, 560]],
+    "hole": [[0, 0], [600, 0], [600, 600], [0, 600], [0, 0], [150, 150], [450, 150], [450, 450], [150, 450], [150, 150]],
+    "touching": [[0, 0], [300, 300], [600, 0], [600, 600], [300, 300], [0, 600]],
+    "twice": [[0, 0], [500, 0], [500, 500], [0, 500]] * 2,
+    "flat": [[0, 0], [500, 0]],
+}
+
+
+@pytest.mark.parametrize("name", list(CROSSING))
+def test_coverage_of_outlines_that_cross_themselves(spark, name):
+    polygon = CROSSING[name]
+    rows = [(x, y, x + 200, y + 150, polygon) for x in range(0, 600, 100) for y in range(0, 600, 75)]
+    df = spark.createDataFrame(rows, "grid_x long, grid_y long, cell_x2 long, cell_y2 long, outline array<array<int>>")
+    got = R.coverage_filter(df, "outline", 0.0).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        xs, ys = np.meshgrid(np.arange(r.grid_x, r.cell_x2) + 0.4999, np.arange(r.grid_y, r.cell_y2) + 0.5001)
+        inside = np.zeros(xs.shape, dtype=bool)
+        for (px, py), (qx, qy) in zip(polygon, polygon[1:] + polygon[:1]):
+            crosses = (py > ys) != (qy > ys)
+            inside ^= crosses & (xs < (qx - px) * (ys - py) / ((qy - py) or 1) + px)
+        assert r.vehicle_ratio == pytest.approx(inside.mean(), abs=0.012)
+
+
+def test_bow_tie_is_half_covered(spark):
+    df = spark.createDataFrame([(0, 0, 100, 100, [[0, 0], [100, 100], [100, 0], [0, 100]])], "grid_x long, grid_y long, cell_x2 long, cell_y2 long, outline array<array<int>>")
+    assert R.coverage_filter(df).count() == 0
+    assert [r.vehicle_ratio for r in R.coverage_filter(df, min_ratio=0.5).collect()] == [0.5]
+
+
 def test_grid_drops_below_ratio(spark):
     df = spark.createDataFrame([(1, 672, 336, [[0, 0], [336, 0], [336, 336], [0, 336]])], "image_id long, image_w long, image_h long, outline array<array<int>>")
     full = R.grid_plan(df).withColumn("keep", F.lit(1))
