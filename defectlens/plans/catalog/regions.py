@@ -164,6 +164,40 @@ def _(v):
     return cells.select("image_id", "grid_x", "grid_y", r("vehicle_ratio"))
 
 
+# Filled area by the even-odd rule: edges cut at all corners and crossings, signs by their order from below.
+_CROSSED = (
+    """WITH edges AS (SELECT image_id, row_number() OVER () AS k, least(px, qx)::double AS ax, greatest(px, qx)::double AS bx,
+        CASE WHEN px < qx THEN py ELSE qy END::double AS ay, (qy - py)::double / (qx - px) AS m
+      FROM (SELECT image_id, unnest(px) AS px, unnest(py) AS py, unnest(list_append(px[2:], px[1])) AS qx, unnest(list_append(py[2:], py[1])) AS qy FROM fx_crossing)
+      WHERE px <> qx),
+    xs AS (SELECT image_id, ax AS x FROM edges UNION SELECT image_id, bx FROM edges
+      UNION SELECT image_id, x FROM (SELECT e.image_id, ((f.ay - f.m * f.ax) - (e.ay - e.m * e.ax)) / (e.m - f.m) AS x, greatest(e.ax, f.ax) AS low, least(e.bx, f.bx) AS high
+        FROM edges e JOIN edges f ON e.image_id = f.image_id AND e.k < f.k AND e.m <> f.m) WHERE x > low AND x < high),
+    slabs AS (SELECT image_id, x AS a, lead(x) OVER (PARTITION BY image_id ORDER BY x) AS b FROM xs),
+    pieces AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY image_id, sa ORDER BY ya + yb) % 2 = 0 THEN 1 ELSE -1 END AS sign
+      FROM (SELECT e.image_id, s.a AS sa, s.b AS sb, ay + m * (s.a - ax) AS ya, ay + m * (s.b - ax) AS yb FROM edges e JOIN slabs s ON e.image_id = s.image_id AND s.a >= ax AND s.b <= bx)),
+    cells AS (SELECT * FROM ("""
+    + _CELLS.format(
+        src="SELECT i.*, list_min(o.px) AS lx, list_min(o.py) AS ly, list_max(o.px) + 1 AS hx, list_max(o.py) + 1 AS hy FROM fx_clean i JOIN fx_crossing o USING (image_id)"
+    )
+    + """))
+    SELECT image_id, grid_x, grid_y, round(sum(part) / ((cell_x2 - grid_x) * (cell_y2 - grid_y)), 6) AS vehicle_ratio FROM (
+      SELECT *, sign * CASE WHEN abs(hb - ha) < 1e-9 THEN (b - a) * greatest(least(ha, high), 0)
+        ELSE (b - a) / (hb - ha) * ((greatest(hb, 0) ** 2 - greatest(hb - high, 0) ** 2) / 2 - (greatest(ha, 0) ** 2 - greatest(ha - high, 0) ** 2) / 2) END AS part
+      FROM (SELECT *, ya + (yb - ya) / (sb - sa) * (a - sa) - grid_y AS ha, ya + (yb - ya) / (sb - sa) * (b - sa) - grid_y AS hb, cell_y2 - grid_y AS high
+        FROM (SELECT c.image_id, c.grid_x, c.grid_y, c.cell_x2, c.cell_y2, p.sa, p.sb, p.ya, p.yb, p.sign,
+              greatest(c.grid_x, least(c.cell_x2, p.sa)) AS a, greatest(c.grid_x, least(c.cell_x2, p.sb)) AS b FROM cells c JOIN pieces p USING (image_id))))
+    GROUP BY image_id, grid_x, grid_y, cell_x2, cell_y2 HAVING sum(part) / ((cell_x2 - grid_x) * (cell_y2 - grid_y)) >= 0.4"""
+)
+
+
+@query("g7_crossing_outlines", _CROSSED)
+def _(v):
+    clean = v.images.join(v.shapes.select("image_id").distinct(), "image_id", "left_anti").join(v.crossing_outlines, "image_id")
+    cells = R.coverage_filter(R.grid_plan(clean, outline="outline"), "outline", 0.4)
+    return cells.select("image_id", "grid_x", "grid_y", r("vehicle_ratio"))
+
+
 @query(
     "g8_clustered_regions",
     f"""WITH {_MERGES} SELECT r.image_id, replace(i.image_name, '.jpg', '') || '_cluster_' || printf('%03d', cluster_idx) AS crop_id,

@@ -225,6 +225,7 @@ CTES = {
                  (2700 + o_orderkey % 500), (2600 + o_orderkey % 500), (300 + o_orderkey % 500)] AS px,
                [700 + o_custkey % 300, 300 + o_custkey % 300, 350 + o_custkey % 300, 900 + o_custkey % 300, 1900 + o_custkey % 300, 1800 + o_custkey % 300] AS py
         FROM orders""",
+    "fx_crossing": "SELECT image_id, [px[i] FOR i IN [1, 4, 2, 5, 3, 6]] AS px, [py[i] FOR i IN [1, 4, 2, 5, 3, 6]] AS py FROM fx_outlines",
     "fx_clean": "SELECT i.* FROM fx_images i WHERE i.image_id NOT IN (SELECT image_id FROM fx_shapes)",
 }
 

@@ -151,6 +151,11 @@ class Views:
         )
         return self.table("orders").select(F.col("o_orderkey").alias("image_id"), polygon.alias("outline"))
 
+    @cached_property
+    def crossing_outlines(self) -> DataFrame:
+        """The corners of the outlines in an order in which edges cross."""
+        return self.outlines.select("image_id", F.array(*[F.col("outline")[i] for i in (0, 3, 1, 4, 2, 5)]).alias("outline"))
+
     @cached_property
     def vectors(self) -> DataFrame:
         """id, embedding, raw label, zone, density and damage flag of each region vector."""
