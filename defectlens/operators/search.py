@@ -24,6 +24,7 @@ from ..arrow import arrow_schema
 from ..dims import LARGEST_PROFILE, SEARCH_PROFILES, TYPE_DETAILS, lookup
 from ..functions import labels as L
 from ..functions import vectors as V
+from ..ranks import ensure_checkpoint_dir
 from .profile import seeded_pick
 
 BROADCAST_BYTES = 64 << 20
@@ -436,6 +437,122 @@ def search_index(
     return top_k(_block_join(qc, held, "_cell", k, exclude_self, block_bytes, dim).select("query_id", "id", "distance"), ["query_id"], k)
 
 
+# -- exact search in a stored index ----------------------------------------------------
+
+
+def build_bounded_index(corpus: DataFrame, centers: DataFrame | None = None, n_cells: int = 16, seed: int = 42, vector: str = "embedding") -> tuple[DataFrame, DataFrame]:
+    """(all columns of every usable row and its ``cell``; ``cell``, ``center`` and ``radius``) for ``bounded_search``.
+
+    The radius of a cell is the distance of its farthest row from the centre.
+    """
+    c = usable(corpus, vector)
+    dim, _ = measure(c=c.select(F.col(vector).alias("_v")))
+    centers = centers if centers is not None else train_cells(c, vector, n_cells, seed)
+    names, matrix = center_matrix(centers, dim)
+    schema = ", ".join(f"`{n}` {t}" for n, t in c.dtypes) + ", cell bigint, _gap double"
+    arrow = arrow_schema(schema, c.sparkSession)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            x = _matrix(batch[vector])
+            own = _nearest_cells(x, matrix, 1)[:, 0]
+            gap = np.sqrt(((x - matrix[own]) ** 2).sum(axis=1))
+            given = [a.cast(f.type) for a, f in zip(batch.columns, arrow)]
+            yield pa.RecordBatch.from_arrays([*given, pa.array(names[own]), pa.array(gap)], schema=arrow)
+
+    celled = c.mapInArrow(assign, schema)
+    radii = celled.groupBy("cell").agg(F.max("_gap").alias("radius"))
+    return celled.drop("_gap"), centers.select("cell", "center").join(radii, "cell", "left").withColumn("radius", F.coalesce("radius", F.lit(-1.0)))
+
+
+def bounded_search(
+    queries: DataFrame,
+    index: DataFrame,
+    centers: DataFrame,
+    k: int = 5,
+    exclude_self: bool = False,
+    filters: dict | None = None,
+    overfetch: int | None = None,
+    form: str = "crop",
+    vector: str = "embedding",
+    block_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """Exact k nearest rows of a stored index, as ``knn`` finds them, from the cells that can hold them.
+
+    First every query searches its nearest cells until they hold k rows that pass the filter; how
+    many a cell holds is counted on the columns of the filter alone. Its k-th distance then bounds the rest: by the triangle
+    inequality no row of a cell is nearer than the centre's distance less the cell's radius, so only cells within the
+    bound are searched as well. Cells and filter both prune the scan. ``filters`` and ``overfetch`` mean what they
+    mean in ``knn``.
+    """
+    if filters and overfetch:
+        wide = bounded_search(queries, index, centers, k * overfetch, exclude_self, None, None, form, vector, block_bytes)
+        kept = index.filter(filter_condition(filters, form)).select("id")
+        return top_k(wide.drop("rank").join(kept, "id", "left_semi"), ["query_id"], k)
+    held = index.filter(filter_condition(filters, form)) if filters else index
+    q = usable(queries.select("query_id", F.col(vector).alias("_v")), "_v")
+    dim, _ = measure(q=q)
+    names, matrix = center_matrix(centers, dim)
+    # one row for each cell, like the centres themselves
+    counts = {r["cell"]: r["n"] for r in held.groupBy(F.col("cell").cast("bigint").alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    radius = {r["cell"]: r["radius"] for r in centers.select("cell", "radius").collect()}
+    size, reach = np.array([counts.get(int(c), 0) for c in names]), np.array([radius[int(c)] for c in names])
+    full = np.flatnonzero(size)
+    names, matrix, size, reach = names[full], matrix[full], size[full], reach[full]
+    wanted = k + exclude_self
+
+    def first_cells(x: np.ndarray, _: np.ndarray) -> np.ndarray:
+        order = np.argsort(_distances(x, matrix), axis=1, kind="stable")
+        before = np.cumsum(size[order], axis=1) - size[order]
+        chosen = np.zeros(order.shape, bool)
+        np.put_along_axis(chosen, order, before < wanted, axis=1)
+        return chosen
+
+    def more_cells(x: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        near = np.maximum(_distances(x, matrix) - reach - 1e-6 * (1 + reach), 0)
+        return (near * near <= bound[:, None]) & ~first_cells(x, bound)
+
+    def found_in(asked: DataFrame, chosen) -> DataFrame:
+        probes = _probes(asked, names, chosen)
+        cells = [r[0] for r in probes.select("_cell").distinct().collect()]  # one for each centre at most
+        rows = held.filter(F.col("cell").isin(cells)).select("id", F.col(vector).alias("_v"), F.col("cell").cast("bigint").alias("_cell"))
+        return _block_join(probes, rows, "_cell", k, exclude_self, block_bytes, dim).select("query_id", "id", "distance")
+
+    ensure_checkpoint_dir(q.sparkSession)
+    first = top_k(found_in(q.withColumn("_bound", F.lit(0.0)), first_cells), ["query_id"], k).drop("rank").checkpoint()
+    kth = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"), F.max("distance").alias("_far"))
+    bound = F.when(F.col("_n") >= k, F.col("_far")).otherwise(F.lit(float("inf")))
+    again = q.join(kth, "query_id", "left").select("query_id", "_v", F.coalesce(bound, F.lit(float("inf"))).alias("_bound"))
+    return top_k(first.unionByName(found_in(again, more_cells)).distinct(), ["query_id"], k)
+
+
+def _distances(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Distance of every row from every centre."""
+    gap = (x * x).sum(1)[:, None] + (centers * centers).sum(1)[None, :] - 2 * x @ centers.T
+    return np.sqrt(np.maximum(gap, 0))
+
+
+def _probes(asked: DataFrame, names: np.ndarray, chosen) -> DataFrame:
+    """One row of every query (``query_id``, ``_v``, ``_bound``) for each cell that ``chosen`` marks for it."""
+    types = dict(asked.dtypes)
+    schema = f"query_id {types['query_id']}, _v {types['_v']}, _cell bigint"
+    arrow = arrow_schema(schema, asked.sparkSession)
+    step = max(1, SLICE_CELLS // max(len(names), 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in range(0, batch.num_rows, step):
+                part = batch.slice(s, step)
+                row, cell = np.nonzero(chosen(_matrix(part["_v"]), part["_bound"].to_numpy()))
+                take = pa.array(row)
+                columns = [part["query_id"].take(take), part["_v"].take(take), pa.array(names[cell].astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(columns, arrow)], schema=arrow)
+
+    return asked.select("query_id", "_v", "_bound").mapInArrow(run, schema)
+
+
 def recall_of(found: DataFrame, exact: DataFrame) -> DataFrame:
     """Share of the exact hits (``query_id``, ``id``) that were found."""
     hit = found.select("query_id", "id").withColumn("_f", F.lit(1))

@@ -91,6 +91,24 @@ def _(v):
     return hits.select("query_id", "rank", "id", r("distance"))
 
 
+def bounded_index(v):
+    """The labelled vectors with cells and radii in the shared folder."""
+    from ...sources import tables as T
+    from .scans import scratch
+
+    folder = scratch(v.spark)
+    cells, centers = Q.build_bounded_index(labelled(v), v.centers)
+    T.save_index(cells.withColumn("config", F.lit("all")), centers.select("cell"), folder, "cell")
+    T.save_centers(centers, folder)
+    return T.read_index(v.spark, folder, "all"), T.read_centers(v.spark, folder)
+
+
+@query("v9_bounded_search", "SELECT query_id, rank, id, round(distance, 6) AS distance FROM fx_top5")
+def _(v):
+    hits = Q.bounded_search(v.queries, *bounded_index(v), 5, exclude_self=True)
+    return hits.select("query_id", "rank", "id", r("distance"))
+
+
 # Sign hashes whose directions follow from a rule, so that other engines can compute them.
 LSH_TABLES, LSH_BITS = 24, 4
 
@@ -204,6 +222,23 @@ def _(v):
     return hits.select("query_id", "rank", "id")
 
 
+@query("f8_filter_in_index", _filtered_sql("v.vehicle_zone = '4' AND v.has_damage"))
+def _(v):
+    hits = Q.bounded_search(v.queries, *bounded_index(v), 5, exclude_self=True, filters={"vehicle_zone": "4", "has_damage": True})
+    return hits.select("query_id", "rank", "id")
+
+
+@query(
+    "f7_overfetch_in_index",
+    f"""SELECT query_id, id, new_rank AS rank FROM (SELECT p.query_id, p.id, row_number() OVER (PARTITION BY p.query_id ORDER BY p.distance, p.id) AS new_rank FROM (
+          SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rn FROM fx_pairs WHERE query_id <> id) p
+        JOIN fx_vectors v ON v.id = p.id WHERE p.rn <= 25 AND {bench('v.label_raw')} IN ('Scratch')) WHERE new_rank <= 5""",
+)
+def _(v):
+    hits = Q.bounded_search(v.queries, *bounded_index(v), 5, exclude_self=True, filters={"damage_type": "Scratch"}, overfetch=5)
+    return hits.select("query_id", "id", "rank")
+
+
 @query(
     "f9_compatible_configs",
     "SELECT 'visual_' || density AS config, 64::bigint AS embedding_dim, count(*) AS n_vectors FROM fx_vectors GROUP BY density",

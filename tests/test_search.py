@@ -250,3 +250,43 @@ def test_missing_values_in_filters(spark):
 def test_image_form_uses_raw_types_only_without_normalised_ones(spark):
     df = spark.createDataFrame([(1, ["Dent"], ["dent"]), (2, [], ["Dent"]), (3, None, None)], "id long, damage_types array<string>, defect_types array<string>")
     assert [r.id for r in df.filter(Q.filter_condition({"damage_type": "Dent"}, "image")).collect()] == [1, 2]
+
+
+def clustered(seed, n, groups=40, dim=8, spread=0.05):
+    rnd = np.random.default_rng(seed)
+    return rnd.normal(0, 10, (groups, dim))[rnd.integers(0, groups, n)] + rnd.normal(0, spread, (n, dim))
+
+
+@pytest.mark.parametrize("n_cells", [2, 9, 40])
+def test_bounded_search_is_exact_and_reads_few_cells(spark, tmp_path, n_cells, monkeypatch):
+    from defectlens.sources import tables as T
+
+    x = clustered(1, 1500)
+    corpus = vectors(spark, x, "id").withColumn("vehicle_zone", (F.col("id") % 7).cast("string"))
+    cells, centers = Q.build_bounded_index(corpus, n_cells=n_cells)
+    folder = str(tmp_path / "b")
+    T.save_index(cells.withColumn("config", F.lit("all")), centers.select("cell"), folder, "cell", rows_per_file=100)
+    T.save_centers(centers, folder)
+    index, stored = T.read_index(spark, folder, "all"), T.read_centers(spark, folder)
+    read = []
+    whole = Q._block_join
+    monkeypatch.setattr(Q, "_block_join", lambda q, c, *more: read.append(q.select("query_id", "_cell")) or whole(q, c, *more))
+    asked = vectors(spark, x[:60], "query_id")
+    assert answers(Q.bounded_search(asked, index, stored, 4)) == brute(x[:60], x, 4, range(60), range(1500))
+    probed = read[0].unionByName(read[1])
+    assert probed.count() == probed.distinct().count() <= 60 * n_cells
+    if n_cells == 40:
+        assert probed.count() < 0.25 * 60 * n_cells
+    for zone in ("3", "none"):
+        mine = [i for i in range(1500) if str(i % 7) == zone]
+        got = Q.bounded_search(asked, index, stored, 4, filters={"vehicle_zone": zone})
+        assert answers(got) == (brute(x[:60], x[mine], 4, range(60), mine) if mine else {})
+
+
+def test_a_filter_that_few_rows_pass(spark, tmp_path):
+    x = clustered(2, 400, groups=12)
+    corpus = vectors(spark, x, "id").withColumn("vehicle_zone", F.when(F.col("id").isin(7, 300, 301), "rare").otherwise("common"))
+    index, centers = Q.build_bounded_index(corpus, n_cells=12)
+    got = answers(Q.bounded_search(vectors(spark, x[:30], "query_id"), index, centers, 5, filters={"vehicle_zone": "rare"}))
+    assert got == brute(x[:30], x[[7, 300, 301]], 5, range(30), [7, 300, 301])
+    assert len(next(iter(got.values()))) == 3
