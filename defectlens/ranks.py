@@ -95,26 +95,44 @@ def exact_percentiles(
     return placed.groupBy(*by).agg(*aggs)
 
 
+#: Keys in the sample for each range that it cuts.
+SAMPLE = 64
+
+
+def with_range(df: DataFrame, key: Column, parts: int, name: str = "_range") -> DataFrame:
+    """``df`` with the number of the range of ``key`` among about ``parts`` ranges of similar size.
+
+    The cuts come from the keys with the least hashes, a sample that depends on the keys alone: any
+    pass over the same rows, also one repeated after a loss, sees the same ranges. They are held in
+    runs, of which the first cuts are searched first.
+    """
+    sample = df.select(key.alias("k")).orderBy(F.xxhash64("k"), "k").limit(SAMPLE * parts)
+    ordered = sample.agg(F.sort_array(F.collect_list("k")).alias("s"))
+    cuts = ordered.select(F.filter("s", lambda _, i: (i % SAMPLE == 0) & (i > 0)).alias("s"))
+    run = max(1, int(parts**0.5))
+    starts = F.when(F.size("s") > 0, F.sequence(F.lit(1), F.size("s"), F.lit(run))).otherwise(F.array().cast("array<int>"))
+    found = cuts.select(F.struct(F.filter("s", lambda _, i: i % run == 0).alias("firsts"), F.transform(starts, lambda i: F.slice("s", i, run)).alias("runs"))).scalar()
+    place = F.size(F.filter("_cuts.firsts", lambda x: x <= F.col("_key")))
+    inside = F.size(F.filter("_run", lambda x: x <= F.col("_key")))
+    held = df.withColumns({"_cuts": found, "_key": key}).withColumn("_place", place).withColumn("_run", F.get("_cuts.runs", F.col("_place") - 1))
+    number = F.when(F.col("_place") == 0, F.lit(0)).otherwise((F.col("_place") - 1) * run + inside)
+    return held.withColumn(name, number).drop("_cuts", "_key", "_place", "_run")
+
+
 def dense_id(df: DataFrame, order: list[Column], name: str = "id", partitions: int | None = None) -> DataFrame:
-    """Consecutive ids from 0 in a global order.
+    """Consecutive ids from 0 in a global ascending order, nulls first.
 
-    Rows are range-partitioned and sorted, then frozen by a checkpoint: the ids
-    come from partition sizes, so both passes must see the same partitions even
-    when an executor is lost. Include a unique column in ``order``.
+    Rows are numbered inside ranges of the key and shifted by the counts of the ranges before. Cuts
+    between ranges follow from the keys, so counting and numbering agree without a copy of the table. Include a
+    unique column in ``order``; equal keys lie in one range and get ids in any order.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
-    frozen = ranged.sortWithinPartitions(*order).withColumn("_pos", F.monotonically_increasing_id()).checkpoint()
-    part = F.shiftright("_pos", 33)
-    counts = frozen.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per partition of the frozen table: bounded by the partition count
-    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inside = F.col("_pos").bitwiseAND(F.lit((1 << 33) - 1))
-    return (
-        frozen.withColumn("_part", part)
-        .join(F.broadcast(offsets), "_part")
-        .withColumn(name, (F.col("_offset") + inside).cast("bigint"))
-        .drop("_part", "_pos", "_offset")
-    )
+    parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
+    ranged = with_range(df, key, parts)
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    # one row for each range: bounded by the number of partitions
+    offsets = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    numbered = ranged.withColumn("_in", inside).join(F.broadcast(offsets), "_range")
+    return numbered.withColumn(name, (F.col("_offset") + F.col("_in")).cast("bigint")).drop("_range", "_in", "_offset")

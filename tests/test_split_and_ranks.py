@@ -30,6 +30,41 @@ def test_dense_id_is_consecutive(spark):
     assert sorted((r.id, r.x) for r in rows) == [(x, x) for x in range(1000)]
 
 
+@pytest.mark.parametrize("partitions", [1, 2, 7, 40])
+def test_dense_id_of_any_keys(spark, partitions):
+    rows = [(None if i % 50 == 0 else "hot" if i % 3 else f"g{i % 11}", i * 7919 % 4001) for i in range(4000)]
+    df = spark.createDataFrame(rows, "g string, i long").repartition(5)
+    got = dense_id(df, [F.col("g"), F.col("i")], partitions=partitions)
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+    assert sorted((r.id, r.g, r.i) for r in got.collect()) == [(n, *r) for n, r in enumerate(want)]
+    assert [r.id for r in dense_id(df.limit(1), [F.col("i")]).collect()] == [0]
+    assert dense_id(df.limit(0), [F.col("i")]).count() == 0
+    assert "Checkpoint" not in got._jdf.queryExecution().toString()
+
+
+def test_dense_id_in_any_layout(spark):
+    """What a repeated task reads may come in another order; ranges and ids stay."""
+    df = spark.range(3000).selectExpr("id * 7919 % 3001 AS x")
+    key = F.struct(F.col("x").alias("o0"))
+    from defectlens.ranks import with_range
+
+    ids, ranges = [], []
+    for n in (1, 6, 13):
+        laid = df.repartition(n)
+        ids.append(sorted((r.id, r.x) for r in dense_id(laid, [F.col("x")], partitions=8).collect()))
+        ranges.append(sorted((r.x, r._range) for r in with_range(laid, key, 8).collect()))
+    assert ids[0] == ids[1] == ids[2] == list(enumerate(sorted(x for _, x in ids[0])))
+    assert ranges[0] == ranges[1] == ranges[2]
+
+
+def test_ranges_are_even(spark):
+    from defectlens.ranks import with_range
+
+    df = spark.range(20_000).selectExpr("id * 7919 % 20011 AS x")
+    sizes = [r["count"] for r in with_range(df, F.struct("x"), 20, "r").groupBy("r").count().collect()]
+    assert len(sizes) == 20 and max(sizes) < 2000
+
+
 def test_hash_key_is_never_negative(spark):
     low = spark.range(2000).select(F.min(hash_key(F.col("id")))).first()[0]
     assert low >= 0
