@@ -41,6 +41,12 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return values.reshape(len(chunk), -1) if len(chunk) else values.reshape(0, 0)
 
 
+def _finite(x: np.ndarray, *others: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The rows without a missing, NaN or infinite element, and what belongs to them."""
+    good = np.isfinite(x).all(axis=1)
+    return (x, *others) if good.all() else (x[good], *(o[good] for o in others))
+
+
 def _ids(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     chunk = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     if pa.types.is_integer(chunk.type):
@@ -124,11 +130,12 @@ def usable(df: DataFrame, vector: str = "embedding") -> DataFrame:
 
 def measure(**sides: DataFrame) -> tuple[int, dict[str, int]]:
     """Dimension of the vectors ``_v`` of all sides and the rows of each, in one job; mixed dimensions fail."""
-    parts = [df.select(F.lit(name).alias("side"), F.size("_v").alias("d")) for name, df in sides.items()]
+    size = F.size("_v")
+    parts = [df.agg(F.lit(name).alias("side"), F.count(F.lit(1)).alias("n"), F.min(size).alias("low"), F.max(size).alias("high")) for name, df in sides.items()]
     both = parts[0]
     for part in parts[1:]:
         both = both.unionByName(part)
-    rows = both.groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("low"), F.max("d").alias("high")).collect()
+    rows = [r for r in both.collect() if r["n"]]  # one row for each side
     dims = {r["low"] for r in rows} | {r["high"] for r in rows}
     if len(dims) > 1:
         raise ValueError(f"vectors of different dimensions: {sorted(dims)}")
@@ -159,6 +166,8 @@ def knn(
     and, with ``by``, the column of independent corpora to search separately.
     Filters apply before the search; with ``overfetch=n`` the k*n nearest are
     fetched first and filtered afterwards, so fewer than k rows may come back.
+    Vectors that are null or hold an element that is not finite take no part; the tasks leave
+    them out as they meet them.
     """
     if filters and overfetch:
         wide = knn(queries, corpus, k * overfetch, by, exclude_self, None, None, form, vector, broadcast_bytes)
@@ -166,8 +175,8 @@ def knn(
         return top_k(wide.drop("rank").join(kept, "id", "left_semi"), _groups(by), k)
     if filters:
         corpus = corpus.filter(filter_condition(filters, form))
-    q = usable(queries.select("query_id", F.col(vector).alias("_v")), "_v")
-    c = usable(corpus.select(*([by] if by else []), "id", F.col(vector).alias("_v")), "_v")
+    q = queries.select("query_id", F.col(vector).alias("_v")).filter("_v is not null")
+    c = corpus.select(*([by] if by else []), "id", F.col(vector).alias("_v")).filter("_v is not null")
     dim, rows = measure(q=q, c=c)
     types = {"query_id": dict(q.dtypes)["query_id"], "id": dict(c.dtypes)["id"], "distance": "double"}
     if by:
@@ -203,18 +212,19 @@ def _scan_corpus(q, c, k, by, exclude_self, names, schema) -> DataFrame:
     """Few queries: broadcast them and scan the corpus once."""
     spark = c.sparkSession
     table = q.toArrow()
-    held = spark.sparkContext.broadcast((_ids(table["query_id"]), _matrix(table["_v"])))
+    given, asked = _finite(_matrix(table["_v"]), _ids(table["query_id"]))
+    held = spark.sparkContext.broadcast((asked, given))
     arrow = arrow_schema(schema, spark)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = held.value
         best: dict = {}
         for batch in batches:
-            rows, x = _ids(batch["id"]), _matrix(batch["_v"])
             if by is None:
+                x, rows = _finite(_matrix(batch["_v"]), _ids(batch["id"]))
                 best.setdefault(None, _TopK(ids, matrix, k, exclude_self)).add(rows, x)
                 continue
-            groups = np.array(batch[by].to_pylist(), dtype=object)
+            x, rows, groups = _finite(_matrix(batch["_v"]), _ids(batch["id"]), np.array(batch[by].to_pylist(), dtype=object))
             for g in dict.fromkeys(groups.tolist()):
                 mine = groups == g
                 best.setdefault(g, _TopK(ids, matrix, k, exclude_self)).add(rows[mine], x[mine])
@@ -229,13 +239,14 @@ def _scan_queries(q, c, k, by, exclude_self, names, schema) -> DataFrame:
     spark = c.sparkSession
     table = c.toArrow()
     groups = np.array(table[by].to_pylist(), dtype=object) if by else np.full(table.num_rows, None, dtype=object)
-    held = spark.sparkContext.broadcast((groups, _ids(table["id"]), _matrix(table["_v"])))
+    given, groups, own = _finite(_matrix(table["_v"]), groups, _ids(table["id"]))
+    held = spark.sparkContext.broadcast((groups, own, given))
     arrow = arrow_schema(schema, spark)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels, ids, matrix = held.value
         for batch in batches:
-            query_ids, x = _ids(batch["query_id"]), _matrix(batch["_v"])
+            x, query_ids = _finite(_matrix(batch["_v"]), _ids(batch["query_id"]))
             for g in dict.fromkeys(labels.tolist()):
                 mine = np.flatnonzero(labels == g)
                 top = _TopK(query_ids, x, k, exclude_self)
@@ -297,8 +308,9 @@ def _block_join(
     def search(key, a: pa.Table, b: pa.Table) -> pa.Table:
         if a.num_rows == 0 or b.num_rows == 0:
             return pa.Table.from_batches([], schema=arrow)
-        top = _TopK(_ids(a["query_id"]), _matrix(a["_v"]), k, exclude_self)
-        ids, x = _ids(b["id"]), _matrix(b["_v"])
+        asked, query_ids = _finite(_matrix(a["_v"]), _ids(a["query_id"]))
+        top = _TopK(query_ids, asked, k, exclude_self)
+        x, ids = _finite(_matrix(b["_v"]), _ids(b["id"]))
         for s in range(0, len(ids), 10_000):
             top.add(ids[s : s + 10_000], x[s : s + 10_000])
         return pa.Table.from_batches([top.batch(names, arrow, **({group: key[0].as_py()} if group else {}))])

@@ -54,21 +54,58 @@ def _document_folder(v) -> str:
 
 def _image_documents(v) -> str:
     """All polygons of each image, as JSON lines; an image of more than ``DOCUMENT_SHAPES`` has a document for each so many."""
+    folder = scratch(v.spark)
+    _documents_of(v.polygons, "image_id").select("value").write.mode("overwrite").text(folder)
+    return folder
+
+
+def _documents_of(polygons, key: str):
+    """A document (``value``) of all polygons of each ``key``, in parts of bounded length."""
     at = lambda x, y: F.array(F.col(x) + 0.7, F.col(y) + 0.4)
     points = F.array(at("x_min", "y_min"), at("x_max", "y_min"), at("x_max", "y_max"), at("x_min", "y_max"))
     shape = F.struct("shape_idx", "label", F.lit("polygon").alias("shape_type"), points.alias("points"))
     bucket = F.expr("shape_idx div 1000000000000000")
-    numbered = bucketed_row_number(v.polygons, ["image_id"], [F.col("shape_idx"), F.col("x_min"), F.col("y_min")], bucket, "position")
+    numbered = bucketed_row_number(polygons, [key], [F.col("shape_idx"), F.col("x_min"), F.col("y_min")], bucket, "position")
     part = F.floor((F.col("position") - 1) / DOCUMENT_SHAPES)
-    grouped = numbered.groupBy("image_id", "image_w", "image_h", part.alias("part")).agg(F.sort_array(F.collect_list(shape)).alias("shapes"))
+    grouped = numbered.groupBy(key, "image_w", "image_h", part.alias("part")).agg(F.sort_array(F.collect_list(shape)).alias("shapes"))
     doc = F.to_json(
-        F.struct(F.col("image_id").cast("string").alias("imagePath"), F.col("image_w").alias("imageWidth"), F.col("image_h").alias("imageHeight"), "shapes")
+        F.struct(F.col(key).cast("string").alias("imagePath"), F.col("image_w").alias("imageWidth"), F.col("image_h").alias("imageHeight"), "shapes")
     )
+    return grouped.select(doc.alias("value"))
+
+
+def _document_folder(v) -> str:
+    """A folder with one file of several lines for each customer's polygons, and torn files for rectangles."""
+    owner = v.table("orders").select(F.col("o_orderkey").alias("image_id"), F.col("o_custkey").alias("owner"))
+    spread = F.regexp_replace("value", r'([,{\[])"', '$1\n  "')
+    whole = _documents_of(v.polygons.join(owner, "image_id"), "owner").select(spread.alias("value"))
+    torn = v.shapes.filter("shape_type = 'rectangle'").select("label").distinct()
+    torn = torn.select(F.concat(F.lit('{\n  "imagePath": "torn.jpg",\n  "shapes": [ {\n "label": "'), "label").alias("value"))
     folder = scratch(v.spark)
-    grouped.select(doc.alias("value")).write.mode("overwrite").text(folder)
+    every = whole.unionByName(torn).repartition(8 * v.spark.sparkContext.defaultParallelism)
+    every.write.mode("overwrite").option("maxRecordsPerFile", 1).text(folder)
     return folder
 
 
+@query(
+    "s1_annotation_folder",
+    """SELECT o_custkey AS owner, false AS is_broken, 'part-.txt' AS name_form, count(*) AS n_boxes, sum(x_min)::bigint AS sum_x, sum(y_max)::bigint AS sum_y
+         FROM fx_polygons p JOIN orders o ON o.o_orderkey = p.image_id GROUP BY o_custkey
+       UNION ALL SELECT NULL, true, 'part-.txt', count(DISTINCT label), NULL, NULL FROM fx_shapes WHERE shape_type = 'rectangle'""",
+)
+def _(v):
+    # a file for each document, read as files of several lines; torn ones are kept apart
+    docs = A.read_annotations(v.spark, _document_folder(v), "part-*.txt", multi_line=True)
+    valid, broken = A.split_valid(docs)
+    name = F.concat(F.substring("file_name", 1, 5), F.substring("file_name", -4, 4)).alias("name_form")
+    boxes = shapes.with_boxes(shapes.explode_shapes(valid))
+    sums = [F.count(F.lit(1)).alias("n_boxes"), F.sum("x_min").cast("bigint").alias("sum_x"), F.sum("y_max").cast("bigint").alias("sum_y")]
+    read = boxes.groupBy(F.col("imagePath").cast("bigint").alias("owner"), F.lit(False).alias("is_broken"), name).agg(*sums)
+    torn = broken.filter("reason = 'unreadable'").groupBy(name).agg(F.count(F.lit(1)).alias("n_boxes"))
+    torn = torn.withColumns({"owner": F.lit(None).cast("bigint"), "is_broken": F.lit(True), "sum_x": F.lit(None).cast("bigint"), "sum_y": F.lit(None).cast("bigint")})
+    return read.unionByName(torn)
+
+
 @query(
     "s1_read_annotations",
     "SELECT image_id, label, x_min, y_min, x_max, y_max FROM fx_polygons",
