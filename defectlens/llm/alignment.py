@@ -21,10 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SpanHash, keep, ragged, text_blocks
+from .token_files import small_batches
 from .tokens import Encoder
 
-#: Ids of windows a worker remembers before it starts anew, and ids up to which a window is remembered.
-MEMO_IDS = 2_000_000
+#: Ids of windows a worker remembers before it starts anew, ids up to which a window is remembered, and pieces of either tokenizer.
+MEMO_IDS = 1_000_000
+PIECES = 300_000
 LONG_WINDOW = 64
 #: Links that are sent to every executor at most: those in most documents. The others are joined.
 SENT_LINKS = 1_000_000
@@ -196,6 +198,7 @@ class Aligner:
     def __init__(self, path_a: str, path_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.a, self.b = Side(PlainText(path_a)), Side(WordPieces(path_b))
+        self.a.coder.most = self.b.coder.most = PIECES
         self.windows = Windows(self.a, self.b)
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple]:
@@ -342,7 +345,8 @@ def link_report(docs: DataFrame, path_a: str, path_b: str, carried: list[str], t
     once; what the counts need of them is kept in the shared folder. Repeated rows stay and count one each.
     """
     # numbers given before the table is written stay what they are
-    aligned = keep(align(docs, path_a, path_b, carried, text).withColumn("key", F.monotonically_increasing_id()))
+    with small_batches(docs.sparkSession):
+        aligned = keep(align(docs, path_a, path_b, carried, text).withColumn("key", F.monotonically_increasing_id()))
     scored = score(aligned, link_counts(aligned), sent)
     own = aligned.select("row", "key", "n_a", "n_b", "n_groups", "groups_sha256")
     zero = [F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in ("n_links", "n_best", "count_sum")]
