@@ -31,10 +31,14 @@ BLOCK_OF_LINES, BLOCK_OF_BYTES = 2048, 4 << 20
 _ODD = (mix(np.arange(1, 2 * VALUES + 1, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)
 
 
-def normal(line: Column) -> Column:
-    """The form in which lines are compared: lower case, white space as one space, trimmed."""
-    low = F.btrim(F.translate(F.lower(line), "\t\x0b\x0c\r", "    "))
-    return F.when(F.contains(low, F.lit("  ")), F.regexp_replace(low, "  +", " ")).otherwise(low)
+def normal(text: Column) -> Column:
+    """The form in which lines are compared: lower case, white space as one space, trimmed at both ends of a line later.
+
+    Whole texts are put into this form before they are split: the expressions cost more by the call than by the byte.
+    """
+    low = F.lower(text)
+    plain = F.when(low.rlike("[\t\x0b\x0c\r]"), F.translate(low, "\t\x0b\x0c\r", "    ")).otherwise(low)
+    return F.when(F.contains(plain, F.lit("  ")), F.regexp_replace(plain, "  +", " ")).otherwise(plain)
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,8 +149,10 @@ def _rows(docs: DataFrame, id: str, text: str) -> DataFrame:
 
 def _occurrences(docs: DataFrame, id: str, text: str) -> DataFrame:
     """``doc_id``, ``node``, ``pos`` and ``norm`` of each line that is not blank."""
-    lines = _rows(docs, id, text).select("doc_id", "node", F.posexplode("lines").alias("pos", "line"))
-    return lines.select("doc_id", "node", "pos", normal(F.col("line")).alias("norm")).filter("norm <> ''")
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    own = docs.select(F.col(f"`{id}`").alias("doc_id"), F.unhex(F.md5(t)).alias("node"), normal(t).alias("low"))
+    lines = own.select("doc_id", "node", F.posexplode(F.split("low", "\n")).alias("pos", "line"))
+    return lines.select("doc_id", "node", "pos", F.btrim("line").alias("norm")).filter("norm <> ''")
 
 
 def classify_lines(docs: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
