@@ -121,21 +121,30 @@ def _check(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def _links_in_blocks(group: pa.Table) -> pa.Table:
-    """Links between two blocks of a bucket that join classes; what is joined already is not compared."""
+    """Links between two blocks of a bucket that join classes; what is joined already is not compared.
+
+    Values are compared for slices of the block at once; shingle sets are made only for lines of pairs that have enough equal values.
+    """
     i, j = (group.column(c)[0].as_py() for c in ("i", "j"))
     ids, block = group.column("id").to_numpy(), group.column("block").to_numpy()
-    values, sets = _values(group.column("sig")), _sets(group.column("norm"))
-    sizes = np.array([len(s) for s in sets])
+    values = _values(group.column("sig"))
     _, own = np.unique(group.column("class").to_numpy(), return_inverse=True)
     left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    step = max(1, BLOCK_OF_BYTES // (VALUES * max(1, len(right))))
+    sets: dict[int, np.ndarray] = {}
     out = []
-    for a in left:
-        other = right[right > a] if i == j else right
-        other = other[(own[other] != own[a]) & (np.minimum(sizes[other], sizes[a]) >= SIMILARITY * np.maximum(sizes[other], sizes[a]))]
-        same = (values[other] == values[a]).sum(1)
-        likely = same >= LIKELY
-        other, same = other[likely], same[likely]
-        for b in other[np.argsort(-same, kind="stable")]:
+    for k in range(0, len(left), step):
+        rows = left[k : k + step]
+        same = (values[rows][:, None] == values[right][None]).sum(2, dtype=np.uint8)
+        good = (same >= LIKELY) & (own[rows][:, None] != own[right][None])
+        if i == j:
+            good &= rows[:, None] < right[None]
+        x, y = np.nonzero(good)
+        new = [r for r in np.unique(np.concatenate([rows[x], right[y]])).tolist() if r not in sets]
+        if new:
+            sets.update(zip(new, _sets(group.column("norm").take(pa.array(new)))))
+        for at in np.argsort(-same[x, y].astype(np.int64), kind="stable"):  # likely pairs first
+            a, b = int(rows[x[at]]), int(right[y[at]])
             if own[a] != own[b] and _alike(sets[a], sets[b]):
                 out.append(sorted((int(ids[a]), int(ids[b]))))
                 own[own == own[b]] = own[a]
