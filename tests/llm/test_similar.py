@@ -190,3 +190,15 @@ def test_line_query(spark, data_dir):
     want, linked = brute_lines(rows)
     got = {(r.doc_id, int(p)) for r in catalog.QUERIES["op8_line_dedup"](spark, data_dir).collect() for p in r.dropped.split(",") if p}
     assert len(want) > 50 and len(got ^ want) <= 0.02 * len(want)
+
+
+def test_lines_are_normalised_within_their_text(spark):
+    text = "A\t\x0b B  \n \n\x0c\nΟΔΟΣ\nΣ\r\n  Two   words\t\n\nİx"
+    rows = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
+    got = {(r.pos, r.norm) for r in line_dedup._occurrences(rows, "doc_id", "text").collect()}
+    want = set()
+    for pos, line in enumerate(text.split("\n")):
+        norm = " ".join(line.lower().split())
+        if norm:
+            want.add((pos, norm))
+    assert got == want
