@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from ..arrow import arrow_schema
 from ..dims import ALL_TYPES, group_of_type
 from ..functions import geometry as G
 from ..functions import labels as L
-from ..ranks import bucketed_row_number
+from ..ranks import bucketed_row_number, stored
 from .rollup import dominant_of, fixed_counts
 from .shapes import CORNERS, filter_area, filter_area_adaptive, with_position, with_types
 
@@ -33,6 +34,8 @@ MERGE_DISTANCE = 100
 MAX_CLUSTER_AREA = 420 * 420
 #: Side of the squares by whose first corners boxes are taken together when an image is cut into parts.
 PART_CELL = 128
+#: Blocks of the seed search have so many squares a side (about 2 250 pixels at 100 pixels of reach).
+SEED_BLOCK = 32
 
 
 # -- clusters by nearest centre ----------------------------------------------
@@ -281,53 +284,102 @@ def _nearest_centre_sweep(batches, keys: list[str], dist: int, max_area: int, sc
 # -- clusters around a seed ----------------------------------------------------
 
 
-def cluster_seed(boxes: DataFrame, dist: int = MERGE_DISTANCE) -> DataFrame:
+def cluster_seed(boxes: DataFrame, dist: int = MERGE_DISTANCE, block_cells: int = SEED_BLOCK) -> DataFrame:
     """Each box joins the earliest seed closer than ``dist``, else becomes one.
 
-    Boxes with one centre share their fate, so only distinct centres are swept,
-    each with its first ``shape_idx``: an image has a bounded number of them, however
-    many boxes it holds. All boxes then get the seed of their centre by a join on
-    image and centre. Adds ``seed_idx``; boxes with equal keys all stay.
+    Boxes with one centre share their fate, so distinct centres are settled
+    (:func:`seed_centres`), each with its first ``shape_idx``, and all boxes get the seed of their
+    centre by a join on image and centre. Adds ``seed_idx``; boxes with equal
+    keys all stay, boxes without an image or a corner have no seed and are left out.
     """
     spots = boxes.withColumns(
         {"_sx": (F.col("x_min") + F.col("x_max")).cast("bigint"), "_sy": (F.col("y_min") + F.col("y_max")).cast("bigint")}
     )
-    firsts = spots.groupBy("image_id", "_sx", "_sy").agg(F.min("shape_idx").alias("shape_idx"))
-    zero = F.lit(0).cast("bigint")  # a box whose corners add up to the doubled centre
-    centres = firsts.select("image_id", "shape_idx", F.col("_sx").alias("x_min"), F.col("_sy").alias("y_min"), zero.alias("x_max"), zero.alias("y_max"))
-    swept = _seed_sweep(centres, dist).select("image_id", F.col("x_min").alias("_sx"), F.col("y_min").alias("_sy"), "seed_idx")
-    return spots.join(swept, ["image_id", "_sx", "_sy"]).select(*boxes.columns, "seed_idx")
+    firsts = spots.filter("image_id is not null and _sx is not null and _sy is not null").groupBy("image_id", "_sx", "_sy")
+    settled, _ = seed_centres(firsts.agg(F.min("shape_idx").alias("shape_idx")), dist, block_cells)
+    return spots.join(settled.drop("shape_idx"), ["image_id", "_sx", "_sy"]).select(*boxes.columns, "seed_idx")
 
 
-def _seed_sweep(boxes: DataFrame, dist: int) -> DataFrame:
-    ordered = boxes.repartition("image_id").sortWithinPartitions("image_id", "shape_idx")
-    schema = ", ".join(f"`{c}` {t}" for c, t in ordered.dtypes) + f", seed_idx {dict(boxes.dtypes)['shape_idx']}"
+#: What is known of a centre: nothing yet, a seed, no seed but its own seed not known yet, its seed known.
+_OPEN, _SEED, _COVERED, _DONE = range(4)
 
-    arrow = arrow_schema(schema, boxes.sparkSession)
-    side = 2 * dist  # coordinates are doubled, so centres stay whole numbers
 
-    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, cells = None, {}
-        for batch in batches:
-            out = []
-            for image, idx, x1, y1, x2, y2 in zip(*_lists(batch, ["image_id", "shape_idx", *CORNERS])):
-                if image != current:
-                    current, cells = image, {}
-                x, y = x1 + x2, y1 + y2
-                col, row = x // side, y // side
-                hit = None
-                for c in (col - 1, col, col + 1):
-                    for r in (row - 1, row, row + 1):
-                        for s in cells.get((c, r), ()):
-                            if (s[1] - x) ** 2 + (s[2] - y) ** 2 < side * side and (hit is None or s[0] < hit):
-                                hit = s[0]
-                if hit is None:
-                    cells.setdefault((col, row), []).append((idx, x, y))
-                    hit = idx
-                out.append(hit)
-            yield _with_columns(batch, [out], arrow)
-
-    return ordered.mapInArrow(sweep, schema)
+def seed_centres(centres: DataFrame, dist: int = MERGE_DISTANCE, block_cells: int = SEED_BLOCK) -> tuple[DataFrame, int]:
+    """(``image_id, _sx, _sy, shape_idx, seed_idx``, number of rounds) of distinct doubled centres.
+
+    The seeds are the first maximal independent set in order of ``shape_idx``: a centre is a seed
+    when every earlier one in reach is settled as no seed. Images are cut into
+    blocks; a round settles in every block, in order, what depends on nothing open
+    beyond its border, and hands seeds and open centres near a border on to the next block. An
+    image of one block takes one round, a larger one as many as chains of
+    dependent centres cross borders. The earliest open centre is settled in every round, so
+    it ends. Each round is a table in the shared folder.
+    """
+    side = max(1, isqrt(2 * dist * dist))  # all points of such a square are in reach of each other, so it holds one seed at most
+    reach = -(-2 * dist // side)
+    block_cells = max(block_cells, reach)
+    blocks = ["image_id", "_bx", "_by"]
+    edge = lambda c, by: F.floor((F.floor(F.col(c) / side) + by) / block_cells)
+    every = lambda c: F.explode(F.sequence(edge(c, -reach), edge(c, reach)))
+    own = (F.col("_bx") == edge("_sx", 0)) & (F.col("_by") == edge("_sy", 0))
+    spread = lambda df: df.withColumn("_bx", every("_sx")).withColumn("_by", every("_sy")).withColumn("_own", own)
+    new = centres.select("image_id", "_sx", "_sy", "shape_idx", F.col("shape_idx").alias("seed_idx"), F.lit(_OPEN).alias("_state"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in new.schema)
+    arrow = arrow_schema(schema, centres.sparkSession)
+    still, settled, rounds = new, None, 0
+    while True:
+        rows = spread(still).filter(F.col("_own") | (F.col("_state") == _OPEN))
+        if settled is not None:
+            seeds = spread(settled.filter(F.col("_state") == _SEED)).join(rows.select(*blocks).distinct(), blocks, "left_semi")
+            rows = rows.unionByName(seeds.select(*rows.columns))
+        rows = rows.repartition(*blocks).sortWithinPartitions(*blocks, "shape_idx", "_sx", "_sy")
+        round_ = stored(rows.mapInArrow(lambda batches: _settle(batches, blocks, side, reach, dist, arrow), schema))
+        rounds += 1
+        known = F.col("_state").isin(_SEED, _DONE)
+        fresh, still = round_.filter(known), round_.filter(~known)
+        settled = fresh if settled is None else settled.unionByName(fresh)
+        if still.isEmpty():
+            return settled.drop("_state"), rounds
+
+
+def _settle(batches: Iterator[pa.RecordBatch], blocks: list[str], side: int, reach: int, dist: int, schema: pa.Schema):
+    """Every block's own centres with what is known of them now; rows come by block and in order of ``shape_idx``."""
+    current, seeds, waiting, limit = None, {}, {}, 4 * dist * dist
+    window = sorted(((a, b) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1)), key=lambda w: abs(w[0]) + abs(w[1]))
+
+    def near(x: int, y: int, col: int, row: int, held: dict) -> Iterator:
+        """``shape_idx`` of what is held in reach."""
+        lists = held.values() if len(held) < len(window) else (held.get((col + a, row + b), ()) for a, b in window)
+        return (idx for spots in lists for p, q, idx in spots if (p - x) ** 2 + (q - y) ** 2 < limit)
+
+    for batch in batches:
+        rows, found, states = [], [], []
+        for n, (*block, x, y, idx, state, mine) in enumerate(zip(*_lists(batch, [*blocks, "_sx", "_sy", "shape_idx", "_state", "_own"]))):
+            if block != current:
+                current, seeds, waiting = block, {}, {}
+            col, row = at = (x // side, y // side)
+            seed = idx
+            if state == _SEED:
+                seeds.setdefault(at, []).append((x, y, idx))
+                continue
+            first = min(near(x, y, col, row, seeds), default=None)
+            if first is not None:  # no seed, whatever becomes of the rest; an earlier one may still open beside it
+                seed = first
+                state = _COVERED if mine and any(i < first for i in near(x, y, col, row, waiting)) else _DONE
+            elif state == _COVERED:
+                pass
+            elif mine and not any(True for _ in near(x, y, col, row, waiting)):
+                seeds.setdefault(at, []).append((x, y, idx))
+                state = _SEED
+            else:
+                waiting.setdefault(at, []).append((x, y, idx))
+            if mine:
+                rows.append(n)
+                found.append(seed)
+                states.append(state)
+        picked = batch.select(schema.names[:4]).take(pa.array(rows, pa.int64()))
+        new = [pa.array(found, schema[4].type), pa.array(states, schema[5].type)]
+        yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(picked.columns, schema)), *new], schema=schema)
 
 
 # -- cluster rows ------------------------------------------------------------

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,6 +23,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(folder)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows from a table written to the shared folder; what lost executors computed before is not computed again."""
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def hash_key(key: Column, seed: int = 42) -> Column:
     """Seeded non-negative 63-bit order key; the replacement for a random shuffle."""
     return F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 1)

@@ -131,6 +131,56 @@ def test_cluster_seed(spark):
     assert got == expected_seeds(rows)
 
 
+def doubled_centres(spark, rows):
+    firsts = {}
+    for r in rows:
+        key = (r[0], r[4] + r[6], r[5] + r[7])
+        firsts[key] = min(firsts.get(key, r[1]), r[1])
+    return spark.createDataFrame([(*k, i) for k, i in firsts.items()], "image_id long, _sx long, _sy long, shape_idx long").repartition(5)
+
+
+@pytest.mark.parametrize("block_cells", [1, 3, 8])
+def test_seeds_across_the_borders_of_blocks(spark, block_cells):
+    rows = random_boxes(8, [900, 40, 1], w=2600, h=1900)
+    rows = [(*r[:4], r[4] - 1300, r[5] - 900, r[6] - 1300, r[7] - 900, *r[8:]) for r in rows]  # also negative coordinates
+    got = {(r.image_id, r.shape_idx): r.seed_idx for r in R.cluster_seed(frame(spark, rows), block_cells=block_cells).collect()}
+    want = expected_seeds(rows)
+    assert got == want
+    seeds, rounds = R.seed_centres(doubled_centres(spark, rows), block_cells=block_cells)
+    assert {(r.image_id, r.shape_idx): r.seed_idx for r in seeds.collect()}.items() <= want.items()
+    assert 1 < rounds <= 30
+
+
+def test_one_block_takes_one_round_and_a_large_image_several_tasks(spark):
+    small = doubled_centres(spark, random_boxes(9, [200, 200], w=900, h=900))
+    assert R.seed_centres(small)[1] == 1
+    # a row of centres, each in reach of the one before: every third block waits for the second
+    chain = [(7, i, "1", "dent", 60 * i, 0, 60 * i + 10, 10, 0, 0) for i in range(120)]
+    seeds, rounds = R.seed_centres(doubled_centres(spark, chain), block_cells=16)
+    assert sorted((r.shape_idx, r.seed_idx) for r in seeds.collect()) == [(i, i - i % 2) for i in range(120)]
+    assert rounds == 7  # 7 150 pixels in blocks of 1 128
+
+
+@pytest.mark.parametrize("dist", [0, 1, 7])
+def test_seeds_with_small_reach(spark, dist):
+    rows = [(1, i, "1", "dent", i % 9, i // 9 % 5, i % 9 + 4, i // 9 % 5 + 4, 9, 9) for i in range(90)]
+    got = {r.shape_idx: r.seed_idx for r in R.cluster_seed(frame(spark, rows), dist, block_cells=2).collect()}
+    seeds, want = [], {}
+    for i in range(90):
+        x, y = i % 9, i // 9 % 5
+        hit = next((s for s, a, b in seeds if (a, b) == (x, y) or (a - x) ** 2 + (b - y) ** 2 < dist * dist), None)
+        if hit is None:
+            seeds.append((i, x, y))
+        want[i] = i if hit is None else hit
+    assert got == want
+
+
+def test_seeds_of_nulls_and_of_nothing(spark):
+    rows = [(1, 5, "1", "dent", 10, 10, 20, 20, 0, 0), (None, 6, "1", "dent", 10, 10, 20, 20, 0, 0), (1, 7, "1", "dent", None, 10, 20, 20, 0, 0)]
+    assert [(r.shape_idx, r.seed_idx) for r in R.cluster_seed(frame(spark, rows)).collect()] == [(5, 5)]
+    assert R.cluster_seed(frame(spark, [])).count() == 0
+
+
 def test_boxes_with_equal_keys_all_stay(spark):
     rows = [(1, 5, "1", "dent", 10, 10, 20, 20, 3264, 2448), (1, 5, "1", "dent", 900, 900, 920, 920, 3264, 2448), (1, 5, "1", "dent", 10, 10, 20, 20, 3264, 2448), (1, 6, "1", "dent", 30, 30, 40, 40, 3264, 2448)]
     got = sorted((r.shape_idx, r.x_min, r.seed_idx) for r in R.cluster_seed(frame(spark, rows)).collect())
