@@ -7,6 +7,8 @@ by config second, so partial aggregation does most of the work.
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from ..functions import text as X
 from ..ranks import exact_percentiles
 from ..schemas import ANSWER
 from .profile import all_rows, top_n
+from .search import knn
 
 KS = (1, 3, 5)
 
@@ -306,6 +309,35 @@ def merge_results(left: DataFrame, right: DataFrame, key: str = "config") -> Dat
     return right.unionByName(left.join(right.select(key).distinct(), key, "left_anti"), allowMissingColumns=True)
 
 
+def pool_members(members: DataFrame, vectors: DataFrame, by: list[str], on: list[str], digits: int = 6) -> DataFrame:
+    """``by`` and ``embedding``: the mean of the members' vectors, combined before the shuffle.
+
+    Members without a vector, or with a null one, take no part; a group without any is left out. Means are rounded, so
+    that groups of equal members tie whatever the order of addition.
+    """
+    known = members.select(*dict.fromkeys([*by, *on])).join(vectors.select(*on, F.col("embedding").alias("_v")).filter("_v is not null"), on)
+    means = known.groupBy(*by).agg(Summarizer.mean(array_to_vector(F.col("_v").cast("array<double>"))).alias("_m"))
+    return means.select(*by, F.transform(vector_to_array("_m"), lambda x: F.round(x, digits)).alias("embedding"))
+
+
+def recall_by_type(queries: DataFrame, index: DataFrame, k: int = 5) -> DataFrame:
+    """``dataset, recall, n_queries``: share of each expected type's queries with that type among the k nearest of ``index``.
+
+    ``queries`` has ``query_id, embedding, expected_type``, ``index`` has ``id, embedding, item_type``. Queries
+    without an expected type are left out; one that finds nothing counts as a miss.
+    """
+    asked = queries.filter("expected_type is not null")
+    hits = (
+        knn(asked, index, k)
+        .join(index.select("id", "item_type"), "id")
+        .join(asked.select("query_id", "expected_type"), "query_id")
+        .groupBy("query_id")
+        .agg(F.max((F.col("item_type") == F.col("expected_type")).cast("int")).alias("_hit"))
+    )
+    judged = asked.select("query_id", F.col("expected_type").alias("dataset")).join(hits, "query_id", "left")
+    return judged.groupBy("dataset").agg(F.avg(F.coalesce("_hit", F.lit(0))).alias("recall"), F.count(F.lit(1)).alias("n_queries"))
+
+
 def compare_strategies(base: DataFrame, candidate: DataFrame) -> DataFrame:
     """Reduction, kept recall and speed-up of two one-row strategy summaries.
 

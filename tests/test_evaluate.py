@@ -1,5 +1,6 @@
 """Metrics, comparison tables and texts built from results."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,3 +164,26 @@ def test_top_n_limits_before_the_shuffle(spark):
     df = spark.range(100).withColumn("g", F.col("id") % 3)
     plan = top_n(df, ["g"], [F.col("id")], 2)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_recall_of_pooled_groups(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(60, 4)).round(2)
+    owner = rng.integers(0, 25, 60)
+    kind = [f"t{i % 3}" for i in range(60)]
+    members = spark.createDataFrame([(int(owner[i]), i) for i in range(60)] + [(99, 60), (0, 61)], "g long, i long").repartition(4)
+    vectors = spark.createDataFrame([(i, v[i].tolist()) for i in range(60)] + [(61, None)], "i long, embedding array<double>").repartition(3)
+    pooled = {r.g: r.embedding for r in E.pool_members(members, vectors, ["g"], ["i"]).collect()}
+    assert set(pooled) == set(owner.tolist())  # nothing for a group without vectors
+    for g, m in pooled.items():
+        assert np.allclose(m, v[owner == g].mean(axis=0), atol=1e-6)
+    asked = rng.normal(size=(20, 4)).round(2)
+    want = ["t0", "t1", None, "t2"] * 5
+    queries = spark.createDataFrame([(i, asked[i].tolist(), want[i]) for i in range(20)], "query_id long, embedding array<double>, expected_type string")
+    index = spark.createDataFrame([(i, v[i].tolist(), kind[i]) for i in range(60)], "id long, embedding array<double>, item_type string")
+    got = {r.dataset: (r.recall, r.n_queries) for r in E.recall_by_type(queries, index, 2).collect()}
+    for t in ("t0", "t1", "t2"):
+        own = [i for i in range(20) if want[i] == t]
+        hits = [any(kind[j] == t for j in np.argsort(((v - asked[i]) ** 2).sum(1), kind="stable")[:2]) for i in own]
+        assert got[t] == (pytest.approx(np.mean(hits)), 5)
+    assert set(got) == {"t0", "t1", "t2"}
